@@ -66,9 +66,12 @@ def training_labels(labels: DataFrame, target: str, most: int) -> DataFrame:
 def global_rank(df: DataFrame, keys: list[str], bucket: str, name: str) -> DataFrame:
     """0-based rank of every row by (bucket, *keys), where `bucket` is a non-decreasing function of the order.
 
-    Each bucket is ranked on its own, so the buckets should be small; the offsets are one row for each bucket,
-    summed with a window over that narrow table."""
-    counts = df.groupBy(bucket).agg(F.count("*").alias("__n"))
-    before = counts.select(bucket, (F.sum("__n").over(Window.orderBy(bucket)) - F.col("__n")).alias("__before"))
+    Each bucket is ranked on its own, so the buckets should be small. The offsets are running sums over the buckets' counts:
+    within runs of 4096 bucket numbers, and over the runs."""
+    counts = df.groupBy(bucket).agg(F.count("*").alias("__n")).withColumn("__c", F.expr(f"{bucket} div 4096"))
+    coarse = counts.groupBy("__c").agg(F.sum("__n").alias("__m"))
+    ahead = coarse.select("__c", (F.sum("__m").over(Window.orderBy("__c")) - F.col("__m")).alias("__ahead"))
+    inside = F.sum("__n").over(Window.partitionBy("__c").orderBy(bucket)) - F.col("__n")
+    before = counts.withColumn("__in", inside).join(ahead, "__c").select(bucket, (F.col("__ahead") + F.col("__in")).alias("__before"))
     within = df.withColumn("__r", F.row_number().over(Window.partitionBy(bucket).orderBy(*keys)))
     return within.join(before, bucket).withColumn(name, F.col("__before") + F.col("__r") - 1).drop("__before", "__r")

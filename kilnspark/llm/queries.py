@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import fingerprints, secrets
+from kilnspark.llm import fingerprints, secrets, sharding, simhash, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": lambda s, d: fingerprints.fingerprint_report(_table(s, d, "documents")),
+        "op3_sharding": lambda s, d: sharding.shard_report(_table(s, d, "documents")),
+        "op5_simhash_near_dedup": lambda s, d: simhash.simhash_report(_table(s, d, "documents")),
+        "op9_url_filters": lambda s, d: urls.url_report(_table(s, d, "pages")),
         "op10_secret_scans": lambda s, d: secrets.secret_report(_table(s, d, "documents")),
     }
 
