@@ -21,12 +21,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import pick, text_or_empty
+from kilnspark.llm.common import materialize, pick, text_or_empty
 
 #: A bucket of neighbouring documents holds about so many bytes of text; it is streamed, so this bounds no memory.
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 20_000
 NULL_KEY = -(1 << 63)
+MARK_BITS = 27
+#: Differing forms of equal fingerprints up to this number are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_FORMS = 50_000
 
 
 def canonical(text: str) -> str:
@@ -43,23 +46,52 @@ def witness(canon: bytes) -> str:
     return hashlib.blake2b(canon, digest_size=16).hexdigest()
 
 
-def collisions(documents: DataFrame) -> DataFrame:
+def _marks(shared: DataFrame) -> np.ndarray:
+    """One bit for each value of a fingerprint's first 27 bits, set if a shared fingerprint has it: 16 MB at any size.
+
+    The bits are set in 128 slices on the executors; the driver lays the slices side by side."""
+    low = MARK_BITS - 7
+
+    def slice_bits(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << low, bool)
+        bits[group["mark"].to_numpy() & ((1 << low) - 1)] = True
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
+
+    mark = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long")
+    marks = shared.select(F.shiftright(mark, 32 - MARK_BITS).alias("mark")).distinct().withColumn("part", F.shiftright("mark", low))
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for row in marks.groupBy("part").applyInPandas(slice_bits, "part long, bits binary").toLocalIterator():
+        out[row["part"] << (low - 3) : (row["part"] + 1) << (low - 3)] = np.frombuffer(row["bits"], np.uint8)
+    return out
+
+
+def collisions(documents: DataFrame, prints: DataFrame) -> DataFrame:
     """(fingerprint, witness, variant) of canonical forms that share a fingerprint but not their bytes, variant >= 1.
 
-    Groups by (fingerprint, bytes): the grouping compares the bytes, copies meet on the map side first, so a
-    bucket of any size sends one row from each task. The bytes travel compressed (deterministic and lossless)."""
+    prints: the fingerprint of every document. Texts whose fingerprint no other text has need no comparison: a bit table of
+    fixed size keeps most of them back (the more it is filled, the fewer; it never keeps back a shared one). The others are
+    grouped by (fingerprint, bytes): the grouping compares the bytes, copies meet on the map side first, so a bucket of
+    any size sends one row from each task. The bytes travel compressed (deterministic and lossless)."""
+    shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
+    table = documents.sparkSession.sparkContext.broadcast(_marks(shared))
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pack = zstandard.ZstdCompressor(level=1)
+        pack, bits = zstandard.ZstdCompressor(level=1), table.value
         for batch in batches:
-            rows = [(fingerprint(c), witness(c), pack.compress(c)) for c in (canonical(t).encode("utf-8", "replace") for t in batch["text"])]
+            rows = []
+            for text in batch["text"]:
+                form = canonical(text).encode("utf-8", "replace")
+                print_ = fingerprint(form)
+                mark = int(print_[:8], 16) >> (32 - MARK_BITS)
+                if bits[mark >> 3] >> (7 - (mark & 7)) & 1:
+                    rows.append((print_, witness(form), pack.compress(form)))
             yield pd.DataFrame(rows, columns=["fingerprint", "witness", "form"])
 
     each = documents.select(text_or_empty().alias("text")).mapInPandas(forms, "fingerprint string, witness string, form binary")
-    distinct = each.groupBy("fingerprint", "form").agg(F.min("witness").alias("witness")).select("fingerprint", "witness")
-    shared = distinct.groupBy("fingerprint").agg(F.min("witness").alias("first"), F.max("witness").alias("last"), F.count("*").alias("n")).where("n > 1").select("fingerprint")
+    distinct = materialize(each.groupBy("fingerprint", "form").agg(F.min("witness").alias("witness")).select("fingerprint", "witness"), "forms")
+    several = distinct.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint")
     order = Window.partitionBy("fingerprint").orderBy("witness")
-    return distinct.join(shared, "fingerprint").withColumn("variant", F.row_number().over(order) - 1).where("variant > 0")
+    return materialize(distinct.join(several, "fingerprint").withColumn("variant", F.row_number().over(order) - 1).where("variant > 0"), "variants")
 
 
 def with_next(documents: DataFrame) -> DataFrame:
@@ -115,12 +147,13 @@ def with_next(documents: DataFrame) -> DataFrame:
 def fingerprint_report(documents: DataFrame) -> DataFrame:
     """op1: fingerprints of every text and of its edited text, with exact likeness (1 where the canonical bytes are equal, else 0)."""
     docs = pick(documents, doc_id="long", text="string")
-    rows = with_next(docs)
-    odd = collisions(docs).select("fingerprint", "witness", "variant")
+    rows = materialize(with_next(docs), "fingerprints")
+    odd = collisions(docs, rows.select(F.col("fp").alias("fingerprint")))
+    few = odd.count() <= BROADCAST_FORMS
 
     def named(df: DataFrame, fp: str, w: str, out: str) -> DataFrame:
         side = odd.select(F.col("fingerprint").alias(fp), F.col("witness").alias(w), F.col("variant").alias("__v"))
-        joined = df.join(side, [fp, w], "left")
+        joined = df.join(F.broadcast(side) if few else side, [fp, w], "left")
         return joined.withColumn(out, F.when(F.col("__v").isNull(), F.col(fp)).otherwise(F.concat_ws("-", fp, F.col("__v").cast("string")))).drop("__v")
 
     done = named(named(rows, "fp", "w", "fingerprint"), "edited_fp", "edited_w", "edited_fingerprint")
