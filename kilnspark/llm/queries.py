@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import fingerprints, packing, secrets, sharding, simhash, urls
+from kilnspark.llm import fingerprints, packing, quality, secrets, sharding, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,9 +18,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_document_fingerprints": lambda s, d: fingerprints.fingerprint_report(_table(s, d, "documents")),
+        "op2_toxicity": lambda s, d: toxicity.toxicity_report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op3_sharding": lambda s, d: sharding.shard_report(_table(s, d, "documents")),
         "op4_best_fit_packing": lambda s, d: packing.packing_report(_table(s, d, "documents")),
         "op5_simhash_near_dedup": lambda s, d: simhash.simhash_report(_table(s, d, "documents")),
+        "op8_quality_classifier": lambda s, d: quality.quality_report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op9_url_filters": lambda s, d: urls.url_report(_table(s, d, "pages")),
         "op10_secret_scans": lambda s, d: secrets.secret_report(_table(s, d, "documents")),
     }
