@@ -88,26 +88,35 @@ def join_paths(versions: DataFrame, ledger: DataFrame, path: str, rule_version:
     return paths.join(found, "blob", "left")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """`docs` with every secret's span replaced by [SECRET] and n_chars brought up to date; texts without a secret stay as they are."""
+def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+    """`docs` with every secret's span replaced by [SECRET] and n_chars (if there) brought up to date; texts without a secret, and
+    all other columns, stay as they are. Scans what the ledger lacks, then applies the findings to all paths."""
+    texts = docs.select("text")
+    new = scan_unseen(texts, ledger)
+    book = new if ledger is None else ledger.unionByName(new)
+    found = book.where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
 
-    def mask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+    def mask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for values, spans in batches:
             out = []
-            for text in texts:
-                if text is None:
-                    out.append(None)
+            for text, told in zip(values, spans, strict=True):
+                if told is None:
+                    out.append(text)
                     continue
                 parts, at = [], 0
-                for a, b, _ in find_spans(text):
+                for span in told.split(","):
+                    a, b = map(int, span.split(":")[1:])
                     if a >= at:
                         parts += [text[at:a], "[SECRET]"]
                     at = max(at, b)
                 out.append("".join([*parts, text[at:]]))
             yield pd.Series(out, dtype=object)
 
-    masked = docs.withColumn("text", F.pandas_udf(mask, "string")(F.col("text").cast("string")))
-    return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
+    joined = docs.withColumn("__blob", F.sha2(F.encode(text_or_empty().cast("string"), "UTF-8"), 256)).join(found, "__blob", "left")
+    masked = joined.withColumn("text", F.pandas_udf(mask, "string")(F.col("text").cast("string"), F.col("__spans")))
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def secret_report(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -61,14 +61,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, shingle: int = 3, carry: str = "doc_id long") -> DataFrame:
+    """The carried columns and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": np.array([simhash(t, shingle) for t in batch["text"]], dtype=np.uint64).view(np.int64)})
+            texts = batch.pop("__text")
+            yield batch.assign(fp=np.array([simhash(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return documents.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, fp long")
+    names = [c.split()[0] for c in carry.split(",")]
+    return documents.select(*names, text_or_empty().alias("__text")).mapInPandas(run, f"{carry}, fp long")
 
 
 def _links_of(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -125,16 +127,30 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
+def _with_component(rows: DataFrame, radius: int) -> DataFrame:
+    """rows (with fp) and the least fingerprint of each row's component."""
+    found = connected_components(near_links(rows.select("fp").distinct(), radius))
+    return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def components(documents: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached over links."""
-    rows = materialize(fingerprints(documents, shingle), "simhash")
-    nodes = rows.select("fp").distinct()
-    found = connected_components(near_links(nodes, radius))
-    own = rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    own = _with_component(materialize(fingerprints(documents, shingle), "simhash"), radius)
     least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     return own.join(least, "component").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
+    """One row of `docs` for each component, all columns: the one with the least doc_id (null last), then the least text hash."""
+    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(text_or_empty().cast("string")))
+    rows = materialize(fingerprints(marked, shingle, "__id long, __hash long"), "simhash")
+    own = _with_component(rows, radius).withColumn("__none", F.col("__id").isNull())
+    first = own.groupBy("component").agg(F.min(F.struct("__none", "__id", "__hash")).alias("x"))
+    keep = first.select(F.coalesce("x.__id", F.lit(-(1 << 63))).alias("__id"), F.col("x.__hash").alias("__hash")).distinct()
+    keyed = marked.withColumn("__id", F.coalesce("__id", F.lit(-(1 << 63))))
+    return keyed.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def simhash_report(documents: DataFrame) -> DataFrame:
     """op5: fingerprint (16 hex digits) and component of every document."""
     out = components(pick(documents, doc_id="long", text="string"))
