@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kilnspark.functions.arrow import arrow_udf
 from kilnspark.functions.wordlists import (
     BE_WORDS,
     CAUSAL_MARKERS,
@@ -276,7 +277,7 @@ def contradictions(claim: dict, evidence: str) -> list[str]:
 CLAIMS = "array<struct<text:string,subject:string,relation:string,object:string,polarity:string,claim_type:string,verdict:string,codes:array<string>>>"
 
 
-@F.pandas_udf(CLAIMS)
+@arrow_udf(CLAIMS)
 def verify_claims(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Every claim of the answer with verdict (contradicted or unverified, never entailed) and reason codes."""
     for answers, evidences in batches:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from kilnspark.functions.arrow import arrow_udf
 from kilnspark.functions.wordlists import BOILERPLATE_PATTERNS, FORMAT_MARKER_PATTERN, INJECTION_PATTERNS, REFUSAL_PATTERN
 
 SPACE = r"(?U)\s+"
@@ -37,7 +38,7 @@ def normalize(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), SPACE, " "))
 
 
-@F.pandas_udf("string")
+@arrow_udf("string")
 def normalize_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The same for any Unicode text: NFC, full case folding, white space."""
     for x in batches:
@@ -156,7 +157,7 @@ def collapsed(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(x), SPACE, " "))
 
 
-@F.pandas_udf("double")
+@arrow_udf("double")
 def similar_characters(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio of two texts (no native function equals it)."""
     return pd.Series([None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnspark.functions.arrow import arrow_udf
 from kilnspark.functions.text import strip
 from kilnspark.functions.wordlists import INTAKE_LICENSES, REPORT_LICENSES
 
@@ -63,7 +64,7 @@ def find_personal_data(text: str | None) -> list[tuple[str, str, str, int]]:
     return found
 
 
-@F.pandas_udf(FINDINGS)
+@arrow_udf(FINDINGS)
 def scan_personal_data(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: [dict(zip(("kind", "snippet", "confidence", "position"), f, strict=True)) for f in find_personal_data(t)])
