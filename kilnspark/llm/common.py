@@ -44,6 +44,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
     return df.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in columns.items()])
 
 
+#: Stands for a null id while rows pass through pandas, where a null would turn whole numbers into floats.
+NULL_ID = -(1 << 63)
+
+
+def coded(value: Column) -> Column:
+    return F.coalesce(value.cast("long"), F.lit(NULL_ID))
+
+
+def decoded(value: Column) -> Column:
+    return F.when(value != NULL_ID, value)
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 5, is 0. Null ids count as the empty text, whose remainder is 0."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "UTF-8")) % 5 == 0

@@ -25,7 +25,7 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import global_rank, materialize, pick, text_or_empty
+from kilnspark.llm.common import coded, decoded, global_rank, materialize, pick, text_or_empty
 
 CAPACITY = 2048
 ROUNDS = 8
@@ -112,7 +112,7 @@ class WordEncoder:
 
 
 def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): every document's ids, ended by id 0, cut where longer than the capacity."""
+    """(doc_id, piece, start, length, ids_crc32): every document's ids, ended by id 0, cut where longer than the capacity. Null ids are coded."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(path)
@@ -127,9 +127,10 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
                     start.append(a // 4)
                     length.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].iloc[at].to_numpy(), "piece": piece, "start": start, "length": length, "ids_crc32": crc})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].to_numpy()[at], "piece": piece, "start": start, "length": length, "ids_crc32": crc}) if at else batch.iloc[:0].assign(piece=0, start=0, length=0, ids_crc32=0).drop(columns="text")
 
-    return documents.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = documents.select(coded(F.col("doc_id")).alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def _fillings(value: np.ndarray, capacity: int) -> np.ndarray:
@@ -233,4 +234,4 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -
 def packing_report(documents: DataFrame, path: str | None = None) -> DataFrame:
     """op4: every piece of every document with its sequence and place."""
     rows = materialize(pieces(pick(documents, doc_id="long", text="string"), path or tokenizer_path()), "pieces")
-    return pack(rows)
+    return pack(rows).withColumn("doc_id", decoded(F.col("doc_id")))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import held_out, pick, text_or_empty, training_labels
+from kilnspark.llm.common import coded, decoded, held_out, pick, text_or_empty, training_labels
 
 TRAIN_ROWS = 8000
 EPOCHS = 12
@@ -128,7 +128,8 @@ def score(documents: DataFrame, model: Weights) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [weights.score(features.all(t), dense) for t in batch["text"]]})
 
-    return documents.select("doc_id", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, score double")
+    rows = documents.select(coded(F.col("doc_id")).alias("doc_id"), text_or_empty().alias("text"))
+    return rows.mapInPandas(run, "doc_id long, score double").select(decoded(F.col("doc_id")).alias("doc_id"), "score")
 
 
 def toxicity_report(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -144,6 +145,6 @@ def scorer(model) -> callable:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         features, dense = Features(), model.dense()
         for texts in batches:
-            yield pd.Series([model.score(features.all(t or ""), dense) for t in texts])
+            yield pd.Series([model.score(features.all(t or ""), dense) for t in texts], dtype="float64")
 
     return F.pandas_udf(run, "double")
