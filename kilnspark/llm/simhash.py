@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import materialize, pick, text_or_empty
+from kilnspark.llm.common import NULL_ID, coded, decoded, materialize, pick, text_or_empty
 from kilnspark.llm.graph import connected_components
 
 RADIUS = 2
@@ -61,16 +61,16 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(documents: DataFrame, shingle: int = 3, carry: str = "doc_id long") -> DataFrame:
-    """The carried columns and fp, the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, shingle: int = 3, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The carried columns (as long) and fp, the fingerprint as a signed long."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             texts = batch.pop("__text")
             yield batch.assign(fp=np.array([simhash(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    names = [c.split()[0] for c in carry.split(",")]
-    return documents.select(*names, text_or_empty().alias("__text")).mapInPandas(run, f"{carry}, fp long")
+    rows = documents.select(*[coded(F.col(c)).alias(c) for c in carry], text_or_empty().alias("__text"))
+    return rows.mapInPandas(run, ", ".join(f"{c} long" for c in (*carry, "fp"))).select(*[decoded(F.col(c)).alias(c) for c in carry], "fp")
 
 
 def _links_of(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -127,27 +127,34 @@ def near_links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.mapInPandas(run, "a long, b long").distinct()
 
 
-def _with_component(rows: DataFrame, radius: int) -> DataFrame:
-    """rows (with fp) and the least fingerprint of each row's component."""
-    found = connected_components(near_links(rows.select("fp").distinct(), radius))
-    return rows.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+def node_components(rows: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component) of every distinct fingerprint; component is the least fingerprint that can be reached."""
+    nodes = rows.select("fp").distinct()
+    found = connected_components(near_links(nodes, radius)).withColumnRenamed("node", "fp")
+    return materialize(nodes.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component")), "components")
 
 
 def components(documents: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached over links."""
-    own = _with_component(materialize(fingerprints(documents, shingle), "simhash"), radius)
-    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    return own.join(least, "component").select("doc_id", "fp", "component_id")
+    """(doc_id, fp, component_id) of every row; component_id is the least doc_id that can be reached over links.
+
+    Rows meet their component by fingerprint, from a written table, so that a join whose one fingerprint has a large
+    share of the rows can be split."""
+    rows = materialize(fingerprints(documents, shingle), "simhash")
+    nodes = node_components(rows, radius)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = materialize(nodes.join(least, "fp").groupBy("component").agg(F.min("least").alias("component_id")), "roots")
+    named = materialize(nodes.join(roots, "component").select("fp", "component_id"), "named")
+    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
     """One row of `docs` for each component, all columns: the one with the least doc_id (null last), then the least text hash."""
     marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(text_or_empty().cast("string")))
-    rows = materialize(fingerprints(marked, shingle, "__id long, __hash long"), "simhash")
-    own = _with_component(rows, radius).withColumn("__none", F.col("__id").isNull())
+    rows = materialize(fingerprints(marked, shingle, ("__id", "__hash")), "simhash")
+    own = rows.join(node_components(rows, radius), "fp").withColumn("__none", F.col("__id").isNull())
     first = own.groupBy("component").agg(F.min(F.struct("__none", "__id", "__hash")).alias("x"))
-    keep = first.select(F.coalesce("x.__id", F.lit(-(1 << 63))).alias("__id"), F.col("x.__hash").alias("__hash")).distinct()
-    keyed = marked.withColumn("__id", F.coalesce("__id", F.lit(-(1 << 63))))
+    keep = materialize(first.select(F.coalesce("x.__id", F.lit(NULL_ID)).alias("__id"), F.col("x.__hash").alias("__hash")).distinct(), "kept")
+    keyed = marked.withColumn("__id", F.coalesce("__id", F.lit(NULL_ID)))
     return keyed.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
