@@ -15,6 +15,8 @@ repeat are packed each; an empty table gives an empty result."""
 from __future__ import annotations
 
 import os
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -30,12 +32,14 @@ from kilnspark.llm.common import coded, decoded, global_rank, materialize, pick,
 CAPACITY = 2048
 ROUNDS = 8
 #: Entries of a worker's caches; they bound memory, not what is encoded.
-CHUNKS, WORDS = 200_000, 400_000
+CHUNKS, WORDS = 250_000, 250_000
 LAST_LATIN = "ɏ"
 #: Fixed value: the tokenizer file's own split pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Marks that end a word and form one part with each other; an apostrophe is not one, for it may open a part with the letters after it.
+ENDINGS = ".,;:!?%&$#*|)]}\"+-/=<>@^_`~([{\\"
 #: str.split() also splits at these, the tokenizer does not.
-ODD_SPACE = regex.compile(r"[\x1c-\x1f]")
+ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
 def tokenizer_path() -> str:
@@ -69,45 +73,60 @@ class WordEncoder:
         self.chunks: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.whole.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
         got = self.words.get(word)
+        if got is not None:
+            return got
+        got = self.older_words.get(word)
         if got is None:
             mapped = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
-            got = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(word) <= 32:
-                if len(self.words) >= WORDS:
-                    self.words.clear()
-                self.words[word] = got
+            ids = [t.id for t in self.model.tokenize(mapped)]
+            got = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= 32:
+            self.words[word] = got
         return got
 
     def _chunk(self, chunk: str) -> bytes:
-        if not chunk.isprintable() or max(chunk) > LAST_LATIN:
-            return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
-        low = chunk.lower() if chunk.isascii() else unicodedata.normalize("NFC", chunk).lower()
+        if chunk.isascii():
+            low = chunk.lower()
+        elif max(chunk) <= LAST_LATIN:
+            low = unicodedata.normalize("NFC", chunk).lower()
+        else:
+            return self._whole(chunk)
+        letters = low.rstrip(ENDINGS)
+        if letters.isalpha():  # the common case: a word and what ends it are two parts
+            return self._word(letters) + self._word(low[len(letters) :]) if len(letters) < len(low) else self._word(low)
+        if not chunk.isprintable():
+            return self._whole(chunk)
         return b"".join(map(self._word, PIECES.findall(low)))
 
     def encode(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+            return self._whole(text)
         parts = text.split()
-        known = self.chunks
-        try:
-            return b"".join([known[p] for p in parts])
-        except KeyError:
-            pass
-        out = []
-        for p in parts:
-            got = known.get(p)
-            if got is None:
-                got = self.older.get(p)
+        known, older = self.chunks, self.older
+        out = list(map(known.get, parts))
+        if None in out:
+            for i, got in enumerate(out):
                 if got is None:
-                    got = self._chunk(p)
-                if len(p) <= 32:
-                    known[p] = got
-            out.append(got)
-        if len(known) >= CHUNKS:  # two generations: what is in use moves on, the rest goes
-            self.older, self.chunks = known, {}
+                    p = parts[i]
+                    got = known.get(p) or older.get(p)
+                    if got is None:
+                        got = self._chunk(p)
+                    if len(p) <= 32:
+                        known[p] = got
+                    out[i] = got
+            # two generations: what is in use moves on, the rest goes
+            if len(known) >= CHUNKS:
+                self.older, self.chunks = known, {}
+            if len(self.words) >= WORDS:
+                self.older_words, self.words = self.words, {}
         return b"".join(out)
 
 
