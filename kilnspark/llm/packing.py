@@ -32,7 +32,7 @@ from kilnspark.llm.common import coded, decoded, global_rank, materialize, pick,
 CAPACITY = 2048
 ROUNDS = 8
 #: Entries of a worker's caches; they bound memory, not what is encoded.
-CHUNKS, WORDS = 250_000, 250_000
+CHUNKS, WORDS = 60_000, 100_000
 LAST_LATIN = "ɏ"
 #: Fixed value: the tokenizer file's own split pattern.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
