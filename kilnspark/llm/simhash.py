@@ -48,9 +48,10 @@ def simhash(text: str, shingle: int = 3) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def covering_masks(bits: list[int]) -> list[int]:
-    """Seven masks over the given bit positions; any two of these are both outside some mask."""
-    return [sum(1 << b for i, b in enumerate(bits) if (((i % 7) + 1) & v).bit_count() % 2) for v in range(1, 8)]
+def covering_masks(bits: list[int], radius: int = 2) -> list[int]:
+    """2**(radius + 1) - 1 masks over the given bit positions; any `radius` of these are all outside some mask."""
+    n = 2 ** (radius + 1) - 1
+    return [sum(1 << b for i, b in enumerate(bits) if (((i % n) + 1) & v).bit_count() % 2) for v in range(1, n + 1)]
 
 
 FIRST = covering_masks(list(range(64)))
@@ -147,17 +148,6 @@ def components(documents: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """One row of `docs` for each component, all columns: the one with the least doc_id (null last), then the least text hash."""
-    marked = docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__hash", F.xxhash64(text_or_empty().cast("string")))
-    rows = materialize(fingerprints(marked, shingle, ("__id", "__hash")), "simhash")
-    own = rows.join(node_components(rows, radius), "fp").withColumn("__none", F.col("__id").isNull())
-    first = own.groupBy("component").agg(F.min(F.struct("__none", "__id", "__hash")).alias("x"))
-    keep = materialize(first.select(F.coalesce("x.__id", F.lit(NULL_ID)).alias("__id"), F.col("x.__hash").alias("__hash")).distinct(), "kept")
-    keyed = marked.withColumn("__id", F.coalesce("__id", F.lit(NULL_ID)))
-    return keyed.join(keep, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
 def simhash_report(documents: DataFrame) -> DataFrame:
     """op5: fingerprint (16 hex digits) and component of every document."""
     out = components(pick(documents, doc_id="long", text="string"))

@@ -31,7 +31,7 @@ BITS = 22
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.01
 WORD = re.compile(r"\w+")
 #: Words that a worker keeps the hashes of.
-KNOWN = 300_000
+KNOWN = 100_000
 
 
 class Features:
