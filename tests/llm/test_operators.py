@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from kilnspark.llm import fingerprints, graph, packing, quality, search, secrets, sharding, simhash, toxicity, urls
+from kilnspark.llm import fingerprints, graph, neardup, packing, quality, search, secrets, sharding, simhash, toxicity, urls
 from kilnspark.llm.common import held_out, training_labels
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, label int, score double, fp long, component long, k long, bucket int, length long, spans string, blob string, __text string"
@@ -321,12 +321,46 @@ def test_simhash_report(docs):
 
 
 def test_keep_one(docs):
-    kept = simhash.keep_one(docs)
+    kept = neardup.keep_one(docs)
     assert kept.columns == docs.columns
-    got = kept.collect()
-    fps = sorted({simhash.simhash(r["text"] or "") for r in docs.collect()})
-    assert len(got) == len(set(components_of(fps, 2)))
-    assert [r["doc_id"] for r in got].count(10) == 1 and 13 not in [r["doc_id"] for r in got]
+    got = [r["doc_id"] for r in kept.collect()]
+    texts = {tuple(simhash.WORD.findall((r["text"] or "").translate(simhash.LOWER))) for r in docs.collect()}
+    assert len(got) == len(texts)
+    assert got.count(10) == 1 and 13 not in got and 16 in got and not {19, 22} & set(got)
+
+
+def near_copies(rng, words, n):
+    """Texts with copies that differ in some words, and their Jaccard similarity by five-word shingles."""
+    out = []
+    for i in range(n):
+        a = [str(w) for w in rng.choice(words, int(rng.integers(60, 400)))]
+        b = list(a)
+        for at in rng.choice(len(a), max(1, len(a) // 120), replace=False):
+            b[int(at)] = "changed"
+        x, y = ({tuple(t[j : j + 5]) for j in range(len(t) - 4)} for t in (a, b))
+        out.append((i, " ".join(a), " ".join(b), len(x & y) / len(x | y)))
+    return out
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(2000)]
+    cases = near_copies(rng, words, 150)
+    rows = [(i, a) for i, a, _, _ in cases] + [(1000 + i, b) for i, _, b, _ in cases]
+    kept = {r["doc_id"] for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(150)) <= kept
+    alike = [1000 + i for i, _, _, j in cases if j >= 0.84]
+    assert len(alike) > 100 and np.mean([i in kept for i in alike]) < 0.03
+
+
+def test_large_buckets_are_salted(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(500)]
+    base = [str(w) for w in rng.choice(words, 300)]
+    rows = [(i, " ".join([*base[:150], f"x{i}", *base[151:]])) for i in range(120)] + [(500 + i, " ".join(str(w) for w in rng.choice(words, 200))) for i in range(20)]
+    monkeypatch.setattr(neardup, "SALT_ABOVE", 10)
+    kept = {r["doc_id"] for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == {0, *range(500, 520)}
 
 
 def test_components_of_a_long_chain_and_a_star(spark):
