@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import fingerprints, packing, quality, search, secrets, sharding, simhash, toxicity, urls
+from kilnspark.llm import fingerprints, packing, pieces, quality, search, secrets, sharding, simhash, toxicity, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,7 @@ def queries() -> dict[str, Query]:
         "op3_sharding": lambda s, d: sharding.shard_report(_table(s, d, "documents")),
         "op4_best_fit_packing": lambda s, d: packing.packing_report(_table(s, d, "documents")),
         "op5_simhash_near_dedup": lambda s, d: simhash.simhash_report(_table(s, d, "documents")),
+        "op6_sentencepiece": lambda s, d: pieces.pieces_report(_table(s, d, "documents")),
         "op7_exact_top_k": lambda s, d: search.search_report(_table(s, d, "embeddings")),
         "op8_quality_classifier": lambda s, d: quality.quality_report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op9_url_filters": lambda s, d: urls.url_report(_table(s, d, "pages")),
