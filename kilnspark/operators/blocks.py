@@ -88,11 +88,11 @@ def group_units(of: Column, *, target: int = 900, least: int = 180, most: int =
     return F.aggregate(of, start, step, flushed)
 
 
-def chunks(documents: DataFrame, key: str, text: str, **limits: int) -> DataFrame:
-    """(key, ordinal, main_text, heading_path, token_count, boundary_reasons, n_units) for every chunk of every document."""
-    rows = documents.select(key, F.posexplode(group_units(units(parse_blocks(F.col(text))), **limits)).alias("ordinal", "group"))
+def chunks(documents: DataFrame, key: str, text: str, carry: tuple[str, ...] = (), **limits: int) -> DataFrame:
+    """(key, carried columns, ordinal, main_text, heading_path, n_units, token_count, boundary_reasons) for every chunk of every document."""
+    rows = documents.select(key, *carry, F.posexplode(group_units(units(parse_blocks(F.col(text))), **limits)).alias("ordinal", "group"))
     body = F.array_join(F.filter(F.transform("group", lambda u: u["text"]), lambda t: ~is_blank(t)), "\n")
-    rows = rows.select(key, "ordinal", body.alias("main_text"), F.element_at("group", -1)["heading_path"].alias("heading_path"), F.size("group").alias("n_units"))
+    rows = rows.select(key, *carry, "ordinal", body.alias("main_text"), F.element_at("group", -1)["heading_path"].alias("heading_path"), F.size("group").alias("n_units"))
     tokens = approximate_tokens(F.col("main_text"))
     reasons = F.filter(F.array(F.when(tokens > limits.get("most", 1400), F.lit("hard_max_tokens")), F.when(is_blank(F.col("main_text")), F.lit("empty"))), lambda r: r.isNotNull())
     return rows.withColumn("token_count", tokens).withColumn("boundary_reasons", reasons)

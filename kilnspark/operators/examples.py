@@ -69,8 +69,8 @@ def answer(main: Column, family: Column) -> Column:
     return F.concat(_by_family(family, LEADS, F.lit("According to the provided material: ")), main)
 
 
-def generate(chunks: DataFrame) -> DataFrame:
-    """The offline generator: examples from chunks (span_id, source_id, text, topology, task_family, difficulty).
+def generate(chunks: DataFrame, *carry: Column) -> DataFrame:
+    """The offline generator: examples from chunks (span_id, source_id, text, topology, task_family, difficulty), with columns carried along.
 
     Chunks without a sentence of twelve characters yield nothing."""
     said = chunks.withColumn("__s", sentences(F.col("text"))).where(F.size("__s") > 0)
@@ -94,6 +94,7 @@ def generate(chunks: DataFrame) -> DataFrame:
         F.array("span_id").alias("source_span_ids"),
         F.array("source_id").alias("source_document_ids"),
         F.array(content_handle("cand", F.col("span_id"), F.col("topology"))).alias("generation_candidate_ids"),
+        *carry,
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.functions import claims
 from kilnspark.functions.text import content_handle
-from kilnspark.operators import blocks, evidence, examples, report, split, validators
+from kilnspark.operators import blocks, examples, report, split, validators
 
 DIMENSIONS = [*validators.NATIVE, "semantic_consistency"]
 
@@ -15,9 +15,9 @@ DIMENSIONS = [*validators.NATIVE, "semantic_consistency"]
 def chunk_spans(documents: DataFrame) -> DataFrame:
     """(span_id, source_id, group_key, split, text): one span for each chunk; the group's split is propagated, never drawn again."""
     grouped = split.grouped_random(documents.select("doc_id", "text", F.col("source").alias("group_key")), F.col("group_key"))
-    cut = blocks.chunks(grouped, "doc_id", "text").select("doc_id", "ordinal", F.col("main_text").alias("text"))
+    cut = blocks.chunks(grouped, "doc_id", "text", carry=("group_key", "split")).withColumnRenamed("main_text", "text")
     handle = content_handle("sp", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"), F.col("text"))
-    return cut.join(grouped.select("doc_id", "group_key", "split"), "doc_id").select(handle.alias("span_id"), F.concat(F.lit("doc_"), "doc_id").alias("source_id"), "group_key", "split", "text")
+    return cut.select(handle.alias("span_id"), F.concat(F.lit("doc_"), "doc_id").alias("source_id"), "group_key", "split", "text")
 
 
 def validate(rows: DataFrame) -> DataFrame:
@@ -32,9 +32,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     spans = chunk_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     turn = F.pmod(F.xxhash64("span_id"), F.lit(4)).cast("int")
     planned = spans.withColumn("topology", F.get(F.array(*[F.lit(t) for t in examples.TOPOLOGIES]), turn)).withColumn("task_family", F.lit("factual_explanation")).withColumn("difficulty", F.lit("intermediate"))
-    made = examples.generate(planned)
-    # a generated example cites the one span it was made from: its text is joined once, on the span's id
-    return validate(evidence.with_evidence(made, spans.select("span_id", F.col("text").alias("span_text"))))
+    # a generated example cites just the span that it was made from, so its evidence is carried along: the flow needs no shuffle
+    return validate(examples.generate(planned, F.col("text").alias("evidence_text"), F.lit(0).alias("unresolved"), F.col("split")))
 
 
 def curate(spark: SparkSession, sf_dir: str) -> DataFrame:

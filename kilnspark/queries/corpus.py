@@ -1,4 +1,4 @@
-"""Queries over documents, benchmark and pages."""
+"""Queries over documents and pages."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kilnspark.functions import text as T
-from kilnspark.functions.wordlists import INTAKE_LICENSES, PREFERENCE_STOPWORDS, REFUSAL_PATTERN, REPORT_LICENSES
+from kilnspark.functions.wordlists import INTAKE_LICENSES, REFUSAL_PATTERN, REPORT_LICENSES
 from kilnspark.operators import blocks, governance, split
 from kilnspark.operators.export import content_root, manifest, verify
 from kilnspark.queries.common import (
@@ -20,7 +20,6 @@ from kilnspark.queries.common import (
     sql_norm,
     sql_split_case,
     sql_tokens,
-    sql_without,
     sql_words,
     table,
 )
@@ -102,16 +101,6 @@ def chunk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("doc_id", "ordinal", F.sha2("context_text", 256).alias("context_hash")))
 
 
-def jaccard_benchmark_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each benchmark item the documents that share most of its rare words (an extension): candidates meet on words, not in pairs."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", T.content_tokens(F.col("text"), PREFERENCE_STOPWORDS, 2).alias("words")).select("item_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    docs = _docs(spark, sf_dir).select("doc_id", F.explode(T.content_tokens(F.col("text"), PREFERENCE_STOPWORDS, 2)).alias("word"))
-    rare = docs.groupBy("word").agg(F.count("*").alias("df")).where("df <= 20")
-    shared = docs.join(rare, "word").join(items, "word").groupBy("item_id", "n", "doc_id").agg(F.count("*").alias("shared"))
-    best = shared.groupBy("item_id", "n").agg(F.max(F.struct(F.col("shared"), (-F.col("doc_id")).alias("neg"))).alias("b"))
-    return longs(best.select("item_id", (-F.col("b.neg")).alias("doc_id"), F.col("b.shared").alias("shared"), "n"))
-
-
 LICENSED = r"(?i)(?:licensed|released) under (?:the )?([a-z0-9 .-]+?)(?: license|,|\.\s|\.$|\n|$)"
 
 
@@ -221,7 +210,6 @@ QUERIES = {
     "block_parse": block_parse,
     "chunk_docs": chunk_docs,
     "chunk_neighbours": chunk_neighbours,
-    "benchmark_overlap_top1": jaccard_benchmark_top1,
     "license_status_intake": license_status_intake,
     "license_status_report": license_status_report,
     "license_summary": license_summary,
@@ -236,7 +224,6 @@ QUERIES = {
     "release_verify": release_verify,
 }
 
-_TEXT_WORDS = sql_without(sql_ascii_tokens("text"), PREFERENCE_STOPWORDS, 2)
 _CONTEXT = (
     "CASE WHEN {c} IS NOT NULL AND {c} <> '' AND " + sql_tokens("{c}") + " <= 350 THEN '[{t} CONTEXT]' || chr(10) || {c} END"
 )
@@ -267,10 +254,6 @@ ORACLES = {
     "chunk_neighbours": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents),
         n AS (SELECT doc_id, ordinal, lag(line) OVER w AS p, lead(line) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))
         SELECT doc_id, ordinal, sha256(concat_ws(chr(10) || chr(10), {_CONTEXT.format(c='p', t='PREVIOUS')}, {_CONTEXT.format(c='q', t='NEXT')})) AS context_hash FROM n""",
-    "benchmark_overlap_top1": f"""WITH i AS (SELECT item_id, len(w) AS n, unnest(w) AS word FROM (SELECT item_id, {_TEXT_WORDS} AS w FROM benchmark)),
-        d AS (SELECT doc_id, unnest({_TEXT_WORDS}) AS word FROM documents), r AS (SELECT word FROM d GROUP BY 1 HAVING count(*) <= 20),
-        s AS (SELECT item_id, n, doc_id, count(*) AS shared FROM d JOIN r USING (word) JOIN i USING (word) GROUP BY ALL)
-        SELECT item_id, doc_id, shared, n FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, doc_id) = 1""",
     "license_status_intake": f"SELECT doc_id, declared, {SQL_INTAKE} AS status FROM ({DECLARED})",
     "license_status_report": f"SELECT doc_id, declared, {SQL_REPORT} AS status FROM ({DECLARED})",
     "license_summary": f"""SELECT CASE WHEN blocked > 0 THEN 'blocked' WHEN review > 0 THEN 'review' ELSE 'allowed' END AS status, * FROM (SELECT count(*) AS count, count(*) FILTER (s = 'allowed') AS allowed,
