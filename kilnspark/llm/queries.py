@@ -30,5 +30,42 @@ def queries() -> dict[str, Query]:
     }
 
 
+SEARCH_SQL = """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+        WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+    SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p QUALIFY rank <= 5"""
+
+
+def _host(url: str) -> str:
+    return rf"coalesce(translate(regexp_extract({url}, '(?s)^.*?://([^/?#]*)', 1), '{urls.UPPER}', '{urls.LOWER}'), '')"
+
+
+def _path(url: str) -> str:
+    return f"coalesce(regexp_extract({url}, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+
+
+def _node(url: str) -> str:
+    head = f"regexp_extract({url}, '(?s)^(.*?://[^/?#]*)', 1)"
+    return f"CASE WHEN {head} <> '' THEN translate({head}, '{urls.UPPER}', '{urls.LOWER}') || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
+
+
+def _urls_sql() -> str:
+    rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
+    fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
+    rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules, strict=True)) + " END"
+    own = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules, strict=True)) + " END"
+    quote = lambda p: "'" + p.replace("'", "''") + "'"
+    found = [f"regexp_extract(regexp_extract(html, {quote(tag)}), {quote(attribute)}, 1)" for tag, attribute in ((urls.CANONICAL, urls.HREF), (urls.REFRESH, urls.TARGET))]
+    goal = "CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t ELSE t END"
+    return f"""WITH RECURSIVE p AS (SELECT page_id, {_host('url')} AS host, {_path('url')} AS path, {_node('url')} AS node FROM pages),
+        l AS (SELECT {_node('url')} AS a, {_node('goal')} AS b FROM (SELECT url, {goal} AS goal FROM (SELECT url, unnest([{', '.join(found)}]) AS t FROM pages) WHERE t <> '')),
+        e AS (SELECT a, b FROM l WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
+        r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+        o AS (SELECT node, {own} AS own FROM (SELECT DISTINCT seen AS node, {_host('seen')} AS host, {_path('seen')} AS path FROM r)),
+        s AS (SELECT r.node FROM r JOIN o ON o.node = r.seen GROUP BY 1 HAVING bool_or(coalesce(own = 'block', false)) AND NOT bool_or(coalesce(own = 'allow', false)))
+        SELECT page_id, host, path, {rule} AS rule, coalesce({own}, CASE WHEN p.node IN (SELECT node FROM s) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others need hashes, models or tokenizers that SQL lacks; tests hold them against brute force."""
+    return {"op7_exact_top_k": SEARCH_SQL, "op9_url_filters": _urls_sql()}
