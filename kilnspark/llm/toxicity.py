@@ -120,10 +120,10 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic", most:
 
 def score(documents: DataFrame, model: Weights) -> DataFrame:
     """(doc_id, score) of every row."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast((model.at, model.w, model.bias))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        features, weights = Features(), shared.value
+        features, weights = Features(), Weights(*shared.value)
         dense = weights.dense()
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [weights.score(features.all(t), dense) for t in batch["text"]]})
