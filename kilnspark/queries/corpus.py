@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kilnspark.functions import scalars as S
 from kilnspark.functions import text as T
 from kilnspark.functions.wordlists import INTAKE_LICENSES, REFUSAL_PATTERN, REPORT_LICENSES
 from kilnspark.operators import blocks, governance, split
@@ -101,6 +102,34 @@ def chunk_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("doc_id", "ordinal", F.sha2("context_text", 256).alias("context_hash")))
 
 
+def markdown_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir)
+    return rows.select("doc_id", S.strip_markdown(F.col("text")).alias("plain"), S.strip_markdown(S.blocks_to_markdown(blocks.parse_blocks(F.col("text")))).alias("parsed"))
+
+
+def object_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources and urls as handles: most urls are none."""
+    rows = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"([^/?#]*)(?:[?#].*)?$", 1).alias("name"))
+    return rows.select("page_id", S.is_handle(F.col("name")).alias("valid"), S.object_key(F.lit("objects"), F.col("name")).alias("object_key"))
+
+
+def ocr_need(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.get(F.array(*[F.lit(m) for m in ("off", "on", "auto")]), (F.col("doc_id") % 3).cast("int"))
+    engines = F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("tesseract")))
+    return _docs(spark, sf_dir).select("doc_id", S.needs_ocr(mode, F.length("text"), engines).alias("needs_ocr"))
+
+
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", F.sha2(S.user_prompt("kto", source_text=F.col("text"), response=F.col("source")), 256).alias("prompt_hash"))
+
+
+def call_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal calls have equal fingerprints, in whatever order their sources come."""
+    message = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))
+    made = S.call_fingerprint(message, F.lit("offline"), F.lit("1"), F.struct(F.lit(0.3).alias("temperature")), F.lit(None).cast("string"), F.array("source", F.lit("src0")))
+    return _docs(spark, sf_dir).select("doc_id", made.alias("fingerprint"))
+
+
 LICENSED = r"(?i)(?:licensed|released) under (?:the )?([a-z0-9 .-]+?)(?: license|,|\.\s|\.$|\n|$)"
 
 
@@ -220,6 +249,11 @@ QUERIES = {
     "publication_gate": publication_gate,
     "locator_redaction": locator_redaction,
     "media_sniff": media_sniff,
+    "markdown_strip": markdown_strip,
+    "object_keys": object_keys,
+    "ocr_need": ocr_need,
+    "prompt_render": prompts,
+    "call_fingerprints": call_fingerprints,
     "manifest_content_root": manifest_content_root,
     "release_verify": release_verify,
 }
@@ -263,6 +297,12 @@ ORACLES = {
         THEN lower(split_part(url, '://', 1)) || '://' || regexp_replace(regexp_extract(url, '://([^/?#]+)', 1), '^.*@', '') || regexp_extract(url, '://[^/?#]+([^?#]*)', 1) ELSE url END AS locator FROM pages""",
     "media_sniff": r"""SELECT page_id, name, CASE WHEN regexp_matches(name, '.\.html?$') THEN 'text/html' ELSE 'application/octet-stream' END AS media_type, false AS from_magic,
         NOT regexp_matches(name, '.\.[^.]*$') OR regexp_matches(name, '.\.html?$') AS allowed FROM (SELECT page_id, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS name FROM pages)""",
+    "markdown_strip": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '`{1,3}', '', 'g'), '[*_~>{}\[\]()#]', '', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS plain,
+        regexp_replace(regexp_replace(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), ' '), '`{1,3}', '', 'g'), '[*_~>{}\[\]()#]', '', 'g'), '^\s+|\s+$', '', 'g') AS parsed FROM documents""",
+    "object_keys": r"""SELECT page_id, regexp_full_match(n, '[A-Za-z0-9][A-Za-z0-9_.-]{0,127}') AS valid, CASE WHEN regexp_full_match(n, '[A-Za-z0-9][A-Za-z0-9_.-]{0,127}') THEN 'objects/' || n END AS object_key
+        FROM (SELECT page_id, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS n FROM pages)""",
+    "ocr_need": "SELECT doc_id, doc_id % 5 <> 0 AND (doc_id % 3 = 1 OR (doc_id % 3 = 2 AND length(text) < 40)) AS needs_ocr FROM documents",
+    "prompt_render": "SELECT doc_id, sha256('Given the source material, determine whether the following response is a good or bad answer.' || chr(10) || chr(10) || 'SOURCE MATERIAL:' || chr(10) || text || chr(10) || chr(10) || 'RESPONSE:' || chr(10) || source || chr(10) || chr(10) || 'Answer GOOD or BAD with a one-line reason.') AS prompt_hash FROM documents",
     "manifest_content_root": """WITH e AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 12, '0') AS path, sha256(text) AS h FROM documents),
         f AS (SELECT substr(sha256(path), 1, 2) AS folder, count(*) AS n, sha256(string_agg(h, '' ORDER BY path)) AS r FROM e GROUP BY 1) SELECT sum(n)::BIGINT AS n_files, sha256(string_agg(r, '' ORDER BY folder)) AS content_root FROM f""",
     "release_verify": """SELECT 'doc/' || lpad(doc_id::VARCHAR, 12, '0') AS path, CASE doc_id % 10 WHEN 3 THEN 'changed' WHEN 5 THEN 'missing' ELSE 'unexpected' END AS problem FROM documents WHERE doc_id % 10 IN (3, 5, 7)""",

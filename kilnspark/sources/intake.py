@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
@@ -100,3 +101,10 @@ def redact_locator(url: Column) -> Column:
     path = F.regexp_replace(F.regexp_extract(url, whole, 3), r";[^/]*$", "")
     kept = F.concat(F.lower(F.regexp_extract(url, whole, 1)), F.lit("://"), host, path)
     return F.when(F.coalesce(url, F.lit("")) == "", "-").when(url.rlike(whole), kept).otherwise(url)
+
+
+def folder_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """(path, size_bytes, sha256) of all files below a folder, relative to it: what a backup or a release is checked against."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    below = F.regexp_extract("path", r"^(?:[a-z]+:)?/*" + re.escape(path.split(":", 1)[-1].strip("/")) + r"/(.*)$", 1)
+    return files.select(below.alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
