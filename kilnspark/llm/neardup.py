@@ -2,7 +2,9 @@
 
 One SimHash is too coarse for that similarity (half of such pairs differ in more than seven of 64 bits when shingles are hashed),
 so each text gets SEEDS independent fingerprints of its distinct words. Covering masks give all pairs within RADIUS bits a
-common bucket under each of them. Inside a bucket a text joins the first leader within the radius whose sketch of five-word
+common bucket under each of them. Beside them BANDS buckets come from the five-word shingles themselves, each keyed by WIDE
+minima: a pair of Jaccard j lacks a common one with probability (1 - j**WIDE)**BANDS, 3e-6 at 0.8, whatever the edits are (a
+longer or shorter tail and a replaced block move the fingerprints of words too far). Inside a bucket a text joins the first leader within the radius whose sketch of five-word
 shingles (its first 128 minima, of one byte each) agrees enough; a text without one becomes a leader. All 384 minima then
 confirm each link. Buckets are streamed and only leaders
 are held; buckets with many texts are dealt out by a salt first and their leaders then meet once more. The order of
@@ -33,6 +35,8 @@ MINIMA, SHORT = 384, 128
 AGREE, CONFIRM = 0.74, 0.785
 #: Texts of a bucket that one task streams; larger buckets are dealt out by a salt and their leaders meet again.
 SALT_ABOVE = 4096
+#: Buckets by shingles, and the minima that key each.
+BANDS, WIDE = 32, 5
 KNOWN = 100_000
 MASKS = covering_masks(list(range(64)), RADIUS)
 _random = np.random.default_rng(20)
@@ -43,7 +47,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Describer:
-    """Fingerprints and sketch of a text; remembers the hashes of words."""
+    """Fingerprints, keys of the bands and sketch of a text; remembers the hashes of words."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -54,13 +58,13 @@ class Describer:
         got = self.known[word] = xxhash.xxh64_intdigest(word, 42) or 1
         return got
 
-    def __call__(self, text: str) -> tuple[list[int], bytes]:
+    def __call__(self, text: str) -> tuple[list[int], np.ndarray, bytes]:
         known, fresh = self.known, self._hash
         h = np.fromiter((known.get(w) or fresh(w) for w in WORD.findall(text.translate(LOWER))), dtype=np.uint64)
         if not len(h):
-            return [0] * SEEDS, bytes(MINIMA)
+            return [0] * SEEDS, np.zeros(BANDS, np.int64), bytes(MINIMA)
         with np.errstate(over="ignore"):
-            return [self._simhash(np.unique(h), m) for m in MIX], self._sketch(h)
+            return [self._simhash(np.unique(h), m) for m in MIX], *self._sketch(h)
 
     @staticmethod
     def _simhash(words: np.ndarray, mix: np.uint64) -> int:
@@ -72,7 +76,7 @@ class Describer:
         return int(np.packbits(ones * 2 > len(mixed), bitorder="little").view("<i8")[0])
 
     @staticmethod
-    def _sketch(words: np.ndarray) -> bytes:
+    def _sketch(words: np.ndarray) -> tuple[np.ndarray, bytes]:
         width = min(SHINGLE, len(words))
         shingles = np.zeros(len(words) - width + 1, np.uint64)
         for i in range(width):
@@ -81,21 +85,25 @@ class Describer:
         least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
         for at in range(0, len(low), 1024):
             np.minimum(least, (low[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0), out=least)
-        return ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+        keys = np.zeros(BANDS, np.uint64)
+        for minimum in least[: BANDS * WIDE].reshape(BANDS, WIDE).T:
+            keys = (keys + minimum) * BASE
+            keys ^= keys >> np.uint64(31)
+        return keys.view(np.int64), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """(__id, __print, nid, fps, sketch): __print is the text's MD5, nid its 64-bit hash."""
+    """(__id, __print, nid, fps, bands, sketch): __print is the text's MD5, nid its 64-bit hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Describer()
         for batch in batches:
             both = [of(t) for t in batch.pop("__text")]
-            yield batch.assign(fps=[b[0] for b in both], sketch=[b[1] for b in both])
+            yield batch.assign(fps=[b[0] for b in both], bands=[b[1] for b in both], sketch=[b[2] for b in both])
 
     text = text_or_empty().cast("string")
     rows = documents.select(coded(F.col("doc_id")).alias("__id"), F.md5(F.encode(text, "UTF-8")).alias("__print"), F.xxhash64(text).alias("nid"), text.alias("__text"))
-    return rows.mapInPandas(run, "__id long, __print string, nid long, fps array<long>, sketch binary").withColumn("__id", decoded(F.col("__id")))
+    return rows.mapInPandas(run, "__id long, __print string, nid long, fps array<long>, bands array<long>, sketch binary").withColumn("__id", decoded(F.col("__id")))
 
 
 class _Leaders:
@@ -152,17 +160,18 @@ def _bucket_links(rows: DataFrame, partitions: int) -> DataFrame:
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between similar nodes (nid, fps, sketch; nid distinct)."""
+    """Links (a, b) between similar nodes (nid, fps, bands, sketch; nid distinct)."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    places = F.array(*[F.struct(F.lit(s * len(MASKS) + i).alias("t"), F.get("fps", F.lit(s)).bitwiseAND(F.lit(m)).alias("key")) for s in range(SEEDS) for i, m in enumerate(signed)])
-    keyed = nodes.select("nid", F.explode(places).alias("x")).select("nid", "x.t", "x.key")
+    masked = [F.struct(F.lit(s * len(MASKS) + i).alias("t"), F.get("fps", F.lit(s)).bitwiseAND(F.lit(m)).alias("key")) for s in range(SEEDS) for i, m in enumerate(signed)]
+    banded = [F.struct(F.lit(len(masked) + i).alias("t"), F.get("bands", F.lit(i)).alias("key")) for i in range(BANDS)]
+    keyed = nodes.select("nid", F.explode(F.array(*masked, *banded)).alias("x")).select("nid", "x.t", "x.key")
     counts = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
     salt = F.pmod(F.xxhash64("nid"), F.floor(F.col("n") / SALT_ABOVE) + 1).cast("long")
     held = keyed.join(counts, ["t", "key"]).select("t", "key", "nid", salt.alias("salt"), (F.col("n") > SALT_ABOVE).alias("salted"))
 
     def told(rows: DataFrame) -> DataFrame:
-        return rows.join(nodes, "nid").select("t", "key", "salt", "salted", "nid", F.get("fps", F.floor(F.col("t") / len(MASKS)).cast("int")).alias("fp"), F.substring("sketch", 1, SHORT).alias("sketch"))
+        return rows.join(nodes, "nid").select("t", "key", "salt", "salted", "nid", F.coalesce(F.get("fps", F.floor(F.col("t") / len(MASKS)).cast("int")), F.lit(0)).alias("fp"), F.substring("sketch", 1, SHORT).alias("sketch"))
 
     first = materialize(_bucket_links(told(held), n), "bucket-links")
     leaders = first.where("kind = 1").select("t", "key", F.col("a").alias("nid"), F.lit(0).cast("long").alias("salt"), F.lit(False).alias("salted"))
@@ -181,8 +190,8 @@ def similar_links(nodes: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each group of near-duplicates, all columns: the least doc_id (null last), then the least MD5 of the text."""
     rows = materialize(describe(docs), "described")
-    nodes = materialize(rows.groupBy("nid").agg(F.min("__print").alias("__first"), F.min_by("fps", "__print").alias("fps"), F.min_by("sketch", "__print").alias("sketch")), "nodes")
-    found = connected_components(similar_links(nodes.select("nid", "fps", "sketch"))).withColumnRenamed("node", "nid")
+    nodes = materialize(rows.groupBy("nid").agg(F.min("__print").alias("__first"), F.min_by("fps", "__print").alias("fps"), F.min_by("bands", "__print").alias("bands"), F.min_by("sketch", "__print").alias("sketch")), "nodes")
+    found = connected_components(similar_links(nodes.select("nid", "fps", "bands", "sketch"))).withColumnRenamed("node", "nid")
     named = materialize(nodes.join(found, "nid", "left").select("nid", "__first", F.coalesce("component", "nid").alias("component")), "named")
     # two texts with one 64-bit hash stay two: the one that is not the node's own is a group of its own
     own = rows.select("__id", "__print", "nid").join(named, "nid").withColumn("__apart", F.when(F.col("__print") != F.col("__first"), F.col("__print")).otherwise(F.lit("")))
