@@ -4,23 +4,21 @@ One SimHash is too coarse for that similarity (half of such pairs differ in more
 so each text gets SEEDS independent fingerprints of its distinct words. Covering masks give all pairs within RADIUS bits a
 common bucket under each of them. Beside them BANDS buckets come from the five-word shingles themselves, each keyed by WIDE
 minima: a pair of Jaccard j lacks a common one with probability (1 - j**WIDE)**BANDS, 3e-6 at 0.8, whatever the edits are (a
-longer or shorter tail and a replaced block move the fingerprints of words too far). Inside a bucket a text joins the first leader within the radius whose sketch of five-word
-shingles (its first 128 minima, of one byte each) agrees enough; a text without one becomes a leader. All 384 minima then
-confirm each link. Buckets are streamed and only leaders
-are held; buckets with many texts are dealt out by a salt first and their leaders then meet once more. The order of
-texts differs in each table, so that a text that misses a leader meets another.
+longer or shorter tail and a replaced block move the fingerprints of words too far). Inside a bucket a breadth-first
+search runs over all pairs whose sketches of five-word shingles agree, so that a text joins a group over any member's link and
+no link of an absorbed text is lost. A bucket with many texts is dealt into shares, every pair of which meets in one task.
 
 Defined cases: texts without words are equal to each other; texts of fewer than five words have one shingle of all words;
 equal texts are one node; null ids come after all others; an empty table gives an empty result."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.llm.common import coded, decoded, materialize, text_or_empty
@@ -30,11 +28,12 @@ from kilnspark.llm.simhash import LOWER, WORD, covering_masks
 SHINGLE = 5
 SEEDS = 6
 RADIUS = 3
-#: Minima of a sketch; those that buckets see; shares of agreeing ones that make and confirm a link (standard errors at 0.8: 0.035, 0.020).
-MINIMA, SHORT = 384, 128
-AGREE, CONFIRM = 0.74, 0.785
-#: Texts of a bucket that one task streams; larger buckets are dealt out by a salt and their leaders meet again.
+#: Minima of a sketch; the share of agreeing ones that makes a link (standard error at 0.8: 0.020).
+MINIMA, CONFIRM = 384, 0.785
+#: Larger buckets are dealt into shares of about so many texts, and each pair of shares meets.
 SALT_ABOVE = 4096
+#: Texts whose neighbours are sought at once.
+FRONT = 16
 #: Buckets by shingles, and the minima that key each.
 BANDS, WIDE = 32, 5
 KNOWN = 100_000
@@ -106,85 +105,96 @@ def describe(documents: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "__id long, __print string, nid long, fps array<long>, bands array<long>, sketch binary").withColumn("__id", decoded(F.col("__id")))
 
 
-class _Leaders:
-    """The leaders of the bucket that is being streamed."""
-
-    def __init__(self) -> None:
-        self.bucket, self.fps, self.sketches, self.ids = None, np.zeros(0, np.uint64), np.zeros((0, SHORT), np.uint8), np.zeros(0, np.int64)
-
-    def take(self, bucket: tuple, fps: np.ndarray, sketches: np.ndarray, ids: np.ndarray) -> tuple[list, list]:
-        """Links of the texts to leaders, and the texts that became leaders."""
-        if bucket != self.bucket:
-            self.__init__()
-            self.bucket = bucket
-        links, new = [], []
-        at = 0
-        left = np.arange(len(ids))
-        while len(left):
-            if at == len(self.ids):  # the first text that no leader took leads
-                first, left = left[0], left[1:]
-                self.fps = np.append(self.fps, fps[first])
-                self.sketches = np.vstack([self.sketches, sketches[first : first + 1]])
-                self.ids = np.append(self.ids, ids[first])
-                new.append(int(ids[first]))
-            close = np.flatnonzero(np.bitwise_count(fps[left] ^ self.fps[at]) <= RADIUS)
-            if len(close):
-                alike = close[(sketches[left[close]] == self.sketches[at]).mean(axis=1) >= AGREE]
-                links += [(int(self.ids[at]), int(i)) for i in ids[left[alike]]]
-                left = np.delete(left, alike)
-            at += 1
-        return links, new
-
-
-def _bucket_links(rows: DataFrame, partitions: int) -> DataFrame:
-    """rows: t, key, salt, salted, nid, fp, sketch. (kind, a, b, t, key): links (kind 0), leaders a of salted buckets (kind 1)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaders = _Leaders()
-        for batch in batches:
-            t, key, salt = (batch[c].to_numpy() for c in ("t", "key", "salt"))
-            fps, ids, salted = batch["fp"].to_numpy().view(np.uint64), batch["nid"].to_numpy(), batch["salted"].to_numpy()
-            sketches = np.frombuffer(b"".join(batch["sketch"]), np.uint8).reshape(-1, SHORT)
-            cut = np.flatnonzero((t[1:] != t[:-1]) | (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])) + 1
-            out = []
-            for a, b in zip([0, *cut], [*cut, len(t)], strict=True):
-                if a < b:
-                    links, new = leaders.take((t[a], key[a], salt[a]), fps[a:b], sketches[a:b], ids[a:b])
-                    out += [(0, x, y, t[a], key[a]) for x, y in links]
-                    if salted[a]:
-                        out += [(1, x, x, t[a], key[a]) for x in new]
-            yield pd.DataFrame(out, columns=["kind", "a", "b", "t", "key"], dtype="int64")
-
-    dealt = rows.withColumn("__order", F.xxhash64("nid", "t")).repartition(partitions, "t", "key", "salt").sortWithinPartitions("t", "key", "salt", "__order")
-    return dealt.select("t", "key", "salt", "salted", "nid", "fp", "sketch").mapInPandas(run, "kind long, a long, b long, t long, key long")
+def _spread(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
+    """Spanning links of the groups that near(texts, others) connects: breadth first, one for each text that joins a group."""
+    left, out = np.arange(n), []
+    while len(left) > 1:
+        root, left = int(left[0]), left[1:]
+        front = [root]
+        while front and len(left):
+            some, front = front[:FRONT], front[FRONT:]
+            hit = near(np.array(some), left)
+            out += [(root, int(i)) for i in left[hit]]
+            front += left[hit].tolist()
+            left = left[~hit]
+    return out
+
+
+def _sketch_links(sketches: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Links of one bucket between the texts whose sketches agree by CONFIRM."""
+
+    def near(texts: np.ndarray, others: np.ndarray) -> np.ndarray:
+        hit = np.zeros(len(others), bool)
+        for i in texts:
+            for at in range(0, len(others), 4096):
+                part = others[at : at + 4096]
+                hit[at : at + 4096] |= np.count_nonzero(sketches[part] == sketches[i], axis=1) >= CONFIRM * MINIMA
+        return hit
+
+    return [(int(ids[i]), int(ids[j])) for i, j in _spread(len(ids), near)]
+
+
+def _groups(batches: Iterator[pd.DataFrame], keys: list[str], values: list[str]) -> Iterator[list[np.ndarray]]:
+    """The values of each run of rows with equal keys, whole, however batches cut it."""
+    rest, key = [], None
+    for batch in batches:
+        if not len(batch):
+            continue
+        told, kept = [batch[k].to_numpy() for k in keys], [batch[v].to_numpy() for v in values]
+        cut = np.zeros(len(batch) - 1, bool)
+        for t in told:
+            cut |= t[1:] != t[:-1]
+        starts = [0, *(np.flatnonzero(cut) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], len(batch)], strict=True):
+            now = tuple(t[a] for t in told)
+            if rest and now != key:
+                yield [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*rest, strict=True)]
+                rest = []
+            key = now
+            rest.append([v[a:b] for v in kept])
+    if rest:
+        yield [np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*rest, strict=True)]
+
+
+def _frames(links: Iterator[list[tuple[int, int]]]) -> Iterator[pd.DataFrame]:
+    """Links (a, b) in frames of some thousands."""
+    held: list[tuple[int, int]] = []
+    for some in links:
+        held += some
+        if len(held) >= 8192:
+            yield pd.DataFrame(held, columns=["a", "b"], dtype="int64")
+            held = []
+    yield pd.DataFrame(held, columns=["a", "b"], dtype="int64")
+
+
+def dealt_blocks(rows: DataFrame, parts: Column, name: str = "nid") -> DataFrame:
+    """`rows` with i and j: a group dealt into `parts` shares by a hash of `name` goes to all pairs of shares, so that any two of its rows meet."""
+    share = F.pmod(F.xxhash64(name), F.col("__parts")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), (F.col("__parts") - 1).cast("int"))).alias("__other")
+    spread = rows.withColumn("__parts", parts.cast("long")).select(*rows.columns, share.alias("__share"), every)
+    return spread.select(*rows.columns, F.least("__share", "__other").alias("i"), F.greatest("__share", "__other").alias("j"))
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between similar nodes (nid, fps, bands, sketch; nid distinct)."""
+    """Links (a, b) between nodes (nid, fps, bands, sketch; nid distinct) that share a bucket and whose sketches agree by CONFIRM;
+    they connect what all such pairs connect."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
     masked = [F.struct(F.lit(s * len(MASKS) + i).alias("t"), F.get("fps", F.lit(s)).bitwiseAND(F.lit(m)).alias("key")) for s in range(SEEDS) for i, m in enumerate(signed)]
     banded = [F.struct(F.lit(len(masked) + i).alias("t"), F.get("bands", F.lit(i)).alias("key")) for i in range(BANDS)]
     keyed = nodes.select("nid", F.explode(F.array(*masked, *banded)).alias("x")).select("nid", "x.t", "x.key")
-    counts = materialize(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "bucket-sizes")
-    salt = F.pmod(F.xxhash64("nid"), F.floor(F.col("n") / SALT_ABOVE) + 1).cast("long")
-    held = keyed.join(counts, ["t", "key"]).select("t", "key", "nid", salt.alias("salt"), (F.col("n") > SALT_ABOVE).alias("salted"))
+    # buckets of the same texts (count and sum of hashes) are one
+    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("nid").cast("decimal(20,0)")).alias("all")).where("n > 1")
+    one = materialize(counts.groupBy("n", "all").agg(F.min(F.struct("t", "key")).alias("x")).select("x.t", "x.key", "n"), "bucket-sizes")
+    held = dealt_blocks(keyed.join(one, ["t", "key"]).select("t", "key", "nid", "n"), F.floor(F.col("n") / SALT_ABOVE) + 1)
+    told = held.join(nodes.select("nid", "sketch"), "nid")
 
-    def told(rows: DataFrame) -> DataFrame:
-        return rows.join(nodes, "nid").select("t", "key", "salt", "salted", "nid", F.coalesce(F.get("fps", F.floor(F.col("t") / len(MASKS)).cast("int")), F.lit(0)).alias("fp"), F.substring("sketch", 1, SHORT).alias("sketch"))
-
-    first = materialize(_bucket_links(told(held), n), "bucket-links")
-    leaders = first.where("kind = 1").select("t", "key", F.col("a").alias("nid"), F.lit(0).cast("long").alias("salt"), F.lit(False).alias("salted"))
-    again = _bucket_links(told(leaders), n)
-    links = materialize(first.where("kind = 0").select("a", "b").unionByName(again.select("a", "b")).distinct(), "links")
-
-    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch[c]), np.uint8).reshape(-1, MINIMA) for c in ("x", "y"))
-            yield batch.loc[(x == y).mean(axis=1) >= CONFIRM, ["a", "b"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        groups = _groups(batches, ["t", "key", "i", "j"], ["nid", "sketch"])
+        yield from _frames(_sketch_links(np.frombuffer(b"".join(x), np.uint8).reshape(-1, MINIMA), ids) for ids, x in groups)
 
-    both = links.join(nodes.select(F.col("nid").alias("a"), F.col("sketch").alias("x")), "a").join(nodes.select(F.col("nid").alias("b"), F.col("sketch").alias("y")), "b")
-    return both.mapInPandas(confirm, "a long, b long")
+    dealt = told.repartition(n, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "nid")
+    return dealt.select("t", "key", "i", "j", "nid", "sketch").mapInPandas(run, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

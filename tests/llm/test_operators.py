@@ -381,6 +381,24 @@ def test_appended_truncated_and_block_edited_copies(spark):
     assert kept_of(spark, cases) == set(range(240))
 
 
+@pytest.mark.parametrize("salt", [4096, 1])
+def test_no_link_of_an_absorbed_text_is_lost(spark, monkeypatch, salt):
+    """In each bucket, two texts agree by 0.9 with each other and by 0.76 with a third that may come first."""
+    rng = np.random.default_rng(33)
+    monkeypatch.setattr(neardup, "SALT_ABOVE", salt)
+    alone = lambda n: [int(x) for x in rng.integers(-(1 << 62), 1 << 62, n)]
+    nodes, change = [], lambda x, at: np.where(at, x + 1, x).astype(np.uint8)
+    for i in range(60):
+        b = rng.integers(0, 255, neardup.MINIMA)
+        c = change(b, np.arange(neardup.MINIMA) % 10 == 3)
+        a = change(b, np.isin(np.arange(neardup.MINIMA) % 25, [0, 5, 7, 12, 16, 20]))
+        for k, sketch in enumerate((a, b, c)):
+            nodes.append((3 * i + k, alone(neardup.SEEDS), [7 * i, *alone(neardup.BANDS - 1)], sketch.astype(np.uint8).tobytes()))
+    links = neardup.similar_links(spark.createDataFrame(nodes, "nid long, fps array<long>, bands array<long>, sketch binary"))
+    found = {r["node"]: r["component"] for r in graph.connected_components(links).collect()}
+    assert [i for i in range(60) if found.get(3 * i + 1, -1) != found.get(3 * i + 2, -2)] == []
+
+
 def test_large_buckets_are_salted(spark, monkeypatch):
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(500)]
