@@ -5,8 +5,11 @@ so each text gets SEEDS independent fingerprints of its distinct words. Covering
 common bucket under each of them. Beside them BANDS buckets come from the five-word shingles themselves, each keyed by WIDE
 minima: a pair of Jaccard j lacks a common one with probability (1 - j**WIDE)**BANDS, 3e-6 at 0.8, whatever the edits are (a
 longer or shorter tail and a replaced block move the fingerprints of words too far). Inside a bucket a breadth-first
-search runs over all pairs whose sketches of five-word shingles agree, so that a text joins a group over any member's link and
-no link of an absorbed text is lost. A bucket with many texts is dealt into shares, every pair of which meets in one task.
+search runs over all pairs whose sketches of five-word shingles agree loosely, so that a text joins a group over any member's
+link and no link of an absorbed text is lost. A bucket with many texts is dealt into shares, every pair of which meets in one task.
+
+The groups that come of it only say which texts to compare: inside them the sets of shingles (64-bit hashes) are compared, and
+texts of an exact Jaccard of 0.8 or more are linked. Large groups are dealt like large buckets.
 
 Defined cases: texts without words are equal to each other; texts of fewer than five words have one shingle of all words;
 equal texts are one node; null ids come after all others; an empty table gives an empty result."""
@@ -28,8 +31,10 @@ from kilnspark.llm.simhash import LOWER, WORD, covering_masks
 SHINGLE = 5
 SEEDS = 6
 RADIUS = 3
-#: Minima of a sketch; the share of agreeing ones that makes a link (standard error at 0.8: 0.020).
-MINIMA, CONFIRM = 384, 0.785
+#: Minima of a sketch; the share of agreeing ones that makes a candidate (standard error at 0.8: 0.020).
+MINIMA, LOOSE = 384, 0.72
+#: A candidate group is dealt into shares: SPREAD at most, as long as a share stays below SHARE_SHINGLES (memory of a task).
+SPREAD, SPREAD_SHINGLES, SHARE_SHINGLES = 8, 1 << 16, 1 << 19
 #: Larger buckets are dealt into shares of about so many texts, and each pair of shares meets.
 SALT_ABOVE = 4096
 #: Texts whose neighbours are sought at once.
@@ -57,9 +62,17 @@ class Describer:
         got = self.known[word] = xxhash.xxh64_intdigest(word, 42) or 1
         return got
 
-    def __call__(self, text: str) -> tuple[list[int], np.ndarray, bytes]:
+    def words(self, text: str) -> np.ndarray:
         known, fresh = self.known, self._hash
-        h = np.fromiter((known.get(w) or fresh(w) for w in WORD.findall(text.translate(LOWER))), dtype=np.uint64)
+        return np.fromiter((known.get(w) or fresh(w) for w in WORD.findall(text.translate(LOWER))), dtype=np.uint64)
+
+    def shingles(self, text: str) -> np.ndarray:
+        """The set of shingles, sorted; that of a text without words is one zero."""
+        h = self.words(text)
+        return np.unique(self._shingles(h)) if len(h) else np.zeros(1, np.uint64)
+
+    def __call__(self, text: str) -> tuple[list[int], np.ndarray, bytes]:
+        h = self.words(text)
         if not len(h):
             return [0] * SEEDS, np.zeros(BANDS, np.int64), bytes(MINIMA)
         with np.errstate(over="ignore"):
@@ -75,12 +88,16 @@ class Describer:
         return int(np.packbits(ones * 2 > len(mixed), bitorder="little").view("<i8")[0])
 
     @staticmethod
-    def _sketch(words: np.ndarray) -> tuple[np.ndarray, bytes]:
+    def _shingles(words: np.ndarray) -> np.ndarray:
         width = min(SHINGLE, len(words))
         shingles = np.zeros(len(words) - width + 1, np.uint64)
         for i in range(width):
             shingles = shingles * BASE + words[i : len(words) - width + 1 + i]
-        low = np.unique((shingles ^ (shingles >> np.uint64(31))) * BASE >> np.uint64(32)).astype(np.uint32)
+        return (shingles ^ (shingles >> np.uint64(31))) * BASE
+
+    @classmethod
+    def _sketch(cls, words: np.ndarray) -> tuple[np.ndarray, bytes]:
+        low = np.unique(cls._shingles(words) >> np.uint64(32)).astype(np.uint32)
         least = np.full(MINIMA, 0xFFFFFFFF, np.uint32)
         for at in range(0, len(low), 1024):
             np.minimum(least, (low[at : at + 1024, None] * FACTORS + SHIFTS).min(axis=0), out=least)
@@ -121,14 +138,14 @@ def _spread(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> lis
 
 
 def _sketch_links(sketches: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Links of one bucket between the texts whose sketches agree by CONFIRM."""
+    """Links of one bucket between the texts whose sketches agree by LOOSE."""
 
     def near(texts: np.ndarray, others: np.ndarray) -> np.ndarray:
         hit = np.zeros(len(others), bool)
         for i in texts:
             for at in range(0, len(others), 4096):
                 part = others[at : at + 4096]
-                hit[at : at + 4096] |= np.count_nonzero(sketches[part] == sketches[i], axis=1) >= CONFIRM * MINIMA
+                hit[at : at + 4096] |= np.count_nonzero(sketches[part] == sketches[i], axis=1) >= LOOSE * MINIMA
         return hit
 
     return [(int(ids[i]), int(ids[j])) for i, j in _spread(len(ids), near)]
@@ -176,7 +193,7 @@ def dealt_blocks(rows: DataFrame, parts: Column, name: str = "nid") -> DataFrame
 
 
 def similar_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (nid, fps, bands, sketch; nid distinct) that share a bucket and whose sketches agree by CONFIRM;
+    """Links (a, b) between nodes (nid, fps, bands, sketch; nid distinct) that share a bucket and whose sketches agree by LOOSE;
     they connect what all such pairs connect."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
@@ -197,11 +214,63 @@ def similar_links(nodes: DataFrame) -> DataFrame:
     return dealt.select("t", "key", "i", "j", "nid", "sketch").mapInPandas(run, "a long, b long").distinct()
 
 
+def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """(component, nid, size, shingles) of the members (nid, __first, component): the set of the text whose MD5 is __first."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Describer()
+        for batch in batches:
+            sets = [of.shingles(t) for t in batch.pop("__text")]
+            yield batch.assign(size=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
+
+    text = text_or_empty().cast("string")
+    texts = docs.select(F.xxhash64(text).alias("nid"), F.md5(F.encode(text, "UTF-8")).alias("__first"), text.alias("__text"))
+    one = texts.join(members, ["nid", "__first"]).groupBy("component", "nid").agg(F.first("__text").alias("__text"))
+    return one.mapInPandas(run, "component long, nid long, size long, shingles binary")
+
+
+def _set_links(ids: np.ndarray, shingles: np.ndarray) -> list[tuple[int, int]]:
+    """Spanning links of the texts whose sets of shingles have a Jaccard of 0.8 or more."""
+    sizes = np.array([len(x) // 8 for x in shingles], np.int64)
+    names, codes = np.unique(np.frombuffer(b"".join(shingles), np.uint64), return_inverse=True)
+    ends = np.cumsum(sizes)
+    sets = [codes[b - n : b] for b, n in zip(ends, sizes, strict=True)]
+    mark = np.zeros(len(names), bool)
+
+    def near(texts: np.ndarray, others: np.ndarray) -> np.ndarray:
+        hit, theirs = np.zeros(len(others), bool), sizes[others]
+        every, starts = np.concatenate([sets[j] for j in others]), np.cumsum(theirs) - theirs
+        for i in texts:
+            mark[sets[i]] = True
+            shared = np.add.reduceat(mark[every], starts, dtype=np.int64)
+            mark[sets[i]] = False
+            hit |= 5 * shared >= 4 * (sizes[i] + theirs - shared)
+        return hit
+
+    return [(int(ids[i]), int(ids[j])) for i, j in _spread(len(ids), near)]
+
+
+def exact_links(sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect what the pairs of Jaccard 0.8 or more inside the components of `sets` connect."""
+    n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    weights = sets.groupBy("component").agg(F.sum("size").alias("__weight"))
+    parts = F.greatest(F.least(F.floor(F.col("__weight") / SPREAD_SHINGLES) + 1, F.lit(SPREAD)), F.floor(F.col("__weight") / SHARE_SHINGLES) + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from _frames(_set_links(*group) for group in _groups(batches, ["component", "i", "j"], ["nid", "shingles"]))
+
+    dealt = dealt_blocks(sets.join(weights, "component"), parts).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "nid")
+    return dealt.select("component", "i", "j", "nid", "shingles").mapInPandas(run, "a long, b long").distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each group of near-duplicates, all columns: the least doc_id (null last), then the least MD5 of the text."""
     rows = materialize(describe(docs), "described")
     nodes = materialize(rows.groupBy("nid").agg(F.min("__print").alias("__first"), F.min_by("fps", "__print").alias("fps"), F.min_by("bands", "__print").alias("bands"), F.min_by("sketch", "__print").alias("sketch")), "nodes")
-    found = connected_components(similar_links(nodes.select("nid", "fps", "bands", "sketch"))).withColumnRenamed("node", "nid")
+    loose = connected_components(similar_links(nodes.select("nid", "fps", "bands", "sketch"))).withColumnRenamed("node", "nid")
+    members = materialize(nodes.select("nid", "__first").join(loose, "nid"), "candidates")
+    sets = materialize(shingle_sets(docs, members), "shingle-sets")
+    found = connected_components(exact_links(sets)).withColumnRenamed("node", "nid")
     named = materialize(nodes.join(found, "nid", "left").select("nid", "__first", F.coalesce("component", "nid").alias("component")), "named")
     # two texts with one 64-bit hash stay two: the one that is not the node's own is a group of its own
     own = rows.select("__id", "__print", "nid").join(named, "nid").withColumn("__apart", F.when(F.col("__print") != F.col("__first"), F.col("__print")).otherwise(F.lit("")))

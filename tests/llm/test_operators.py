@@ -399,6 +399,22 @@ def test_no_link_of_an_absorbed_text_is_lost(spark, monkeypatch, salt):
     assert [i for i in range(60) if found.get(3 * i + 1, -1) != found.get(3 * i + 2, -2)] == []
 
 
+@pytest.mark.parametrize("spread", [1 << 16, 2000])
+def test_links_are_the_pairs_of_exact_jaccard(spark, monkeypatch, spread):
+    """A family of one template just below the threshold stays, copies in it and copies just above the threshold go."""
+    monkeypatch.setattr(neardup, "SPREAD_SHINGLES", spread)
+    rng = np.random.default_rng(32)
+    template = [f"w{w}" for w in rng.integers(0, 3000, 300)]
+    family = [[*template[:100], *[f"u{i}x{k}" for k in range(31)], *template[131:]] for i in range(60)]
+    copies = [[*t[:200], f"v{i}", *t[201:]] for i, t in enumerate(family[:9])]
+    edits = [c for share in (0.10, 0.105, 0.11) for c in block_edits(rng, 20, 2.4 * share, 1.9 * share, share - 0.005)]
+    texts = [*family, *(a for a, _, _ in edits), *copies, *(b for _, b, _ in edits)]
+    assert 0.78 < shingle_jaccard(family[0], family[1]) < 0.8 and 0.78 < min(j for *_, j in edits) < 0.8 < max(j for *_, j in edits)
+    kept = {r["doc_id"] for r in neardup.keep_one(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")).collect()}
+    gone = {60 + len(edits) + i for i in range(9)} | {69 + len(edits) + i for i, (*_, j) in enumerate(edits) if j >= 0.8}
+    assert kept == set(range(len(texts))) - gone
+
+
 def test_large_buckets_are_salted(spark, monkeypatch):
     rng = np.random.default_rng(9)
     words = [f"w{i}" for i in range(500)]
