@@ -60,14 +60,15 @@ class WordEncoder:
 
     The tokenizer splits at white space before it does anything that looks further, so a text's ids are its
     chunks' ids in turn. Chunks of Latin letters are split by the tokenizer's pattern and its model encodes the parts;
-    any other chunk, and any text with odd white space, goes through the whole tokenizer."""
+    any other chunk, and any text with odd white space or with an added token's content, goes through the whole tokenizer."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)
         self.model = self.whole.model
         self.letters = _byte_letters()
         self.chunks: dict[str, bytes] = {}
@@ -107,7 +108,7 @@ class WordEncoder:
         return b"".join(map(self._word, PIECES.findall(low)))
 
     def encode(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or self.added.search(text):
             return self._whole(text)
         parts = text.split()
         known, older = self.chunks, self.older

@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from kilnspark.llm import fingerprints, graph, neardup, packing, quality, search, secrets, sharding, simhash, toxicity, urls
 from kilnspark.llm.common import held_out, training_labels
@@ -224,6 +225,12 @@ def test_encoder_equals_the_tokenizer():
         assert e.encode(t or "") == np.array(e.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_added_tokens_keep_their_ids():
+    e, fresh = packing.WordEncoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    for t in ["a <|endoftext|> b", "end.<|endoftext|><|startoftext|>Start", "<|ENDOFTEXT|> x", *filter(None, TEXTS)]:
+        assert e.encode(t) == np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 @pytest.mark.parametrize("times", [1, 50])
 def test_plan_packs_the_histogram(times):
     rng = np.random.default_rng(1)
