@@ -4,14 +4,19 @@ Rules give a verdict for a host with its subdomains and a path prefix. Pages tha
 of redirect and canonical-link edges: inside a connected component a block is passed on to the aliases, unless some member is
 allowed by a rule, which takes precedence. Pages with a rule of their own keep its verdict.
 
-Edges come from the pages: `<link rel=canonical href=...>` and `<meta http-equiv=refresh content="...url=...">`, absolute,
-scheme-relative or root-relative. URLs are identified by scheme and host in lower case, path and query, without the fragment.
+Edges come from the pages: every `<link rel=canonical href=...>` and `<meta http-equiv=refresh content="...url=...">`, with
+character references decoded and relative ones resolved (RFC 3986) against the page's url. URLs are identified by scheme and host in lower case, path and query, without the fragment.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule, has no alias and is allowed; a
 null html has no edges; rows that repeat stay; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from html import unescape
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +31,8 @@ CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
 HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
 TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
+CONTENT = re.compile(r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+ADDRESS = re.compile(r"(?s)(.*?:)(//[^/?#]*)([^?#]*)(\?[^#]*)?")
 
 
 def ascii_lower(c: Column) -> Column:
@@ -57,14 +64,55 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return out
 
 
+def resolve(page: str, to: str) -> str:
+    """The reference `to` on the page; as it is if absolute or if the page has no `://`."""
+    at = ADDRESS.match(page)
+    if at is None or re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", to):
+        return to
+    scheme, host, path, query = (x or "" for x in at.groups())
+    if to.startswith("//"):
+        return scheme + to
+    if not to or to[0] in "?#":
+        return scheme + host + path + (query + to if to[:1] != "?" else to)
+    to, rest = re.match(r"(?s)([^?#]*)(.*)", to).groups()
+    out: list[str] = []
+    parts = (to if to.startswith("/") else path.rpartition("/")[0] + "/" + to).split("/")[1:]
+    for part in parts:
+        if part == "..":
+            del out[-1:]
+        elif part != ".":
+            out.append(part)
+    if parts[-1] in (".", ".."):
+        out.append("")
+    return scheme + host + "/" + "/".join(out) + rest
+
+
+def target(tag: str, refresh: bool) -> str:
+    """What a canonical or refresh tag points to, decoded; empty if nothing."""
+    if refresh:
+        told = CONTENT.search(tag)
+        found = re.search(TARGET, unescape(next(x for x in told.groups() if x is not None) if told else tag))
+        return found[1] if found else ""
+    found = re.search(HREF, tag)
+    return unescape(found[1]).strip() if found else ""
+
+
 def page_edges(pages: DataFrame) -> DataFrame:
     """(a, b) url identities joined by a redirect or canonical link."""
-    base = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1)
-    scheme = F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
-    found = F.array(F.regexp_extract(F.regexp_extract("html", CANONICAL, 0), HREF, 1), F.regexp_extract(F.regexp_extract("html", REFRESH, 0), TARGET, 1))
-    links = pages.where(F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH)).select("url", F.explode(found).alias("to")).where("to <> ''")
-    full = F.when(F.col("to").startswith("//"), F.concat(scheme, "to")).when(F.col("to").startswith("/"), F.concat(base, "to")).otherwise(F.col("to"))
-    return links.select(url_identity(F.col("url")).alias("a"), url_identity(full).alias("b")).where("a is not null and b is not null")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            goals = [target(tag, refresh) for tag, refresh in zip(batch["tag"], batch["refresh"], strict=True)]
+            full = [resolve(page, to) if to else None for page, to in zip(batch["url"], goals, strict=True)]
+            yield pd.DataFrame({"url": batch["url"], "full": full})
+
+    def tags(pattern: str, refresh: bool) -> Column:
+        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), lambda tag: F.struct(tag.alias("tag"), F.lit(refresh).alias("refresh")))
+
+    both = F.concat(tags(CANONICAL, False), tags(REFRESH, True))
+    links = pages.where(F.col("url").contains("://") & (F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH))).select("url", F.explode(both).alias("x"))
+    goals = links.select("url", "x.tag", "x.refresh").mapInPandas(run, "url string, full string")
+    return goals.select(url_identity(F.col("url")).alias("a"), url_identity(F.col("full")).alias("b")).where("a is not null and b is not null")
 
 
 def judge(pages: DataFrame, edges: DataFrame, rules=RULES, default: str = "allow") -> DataFrame:

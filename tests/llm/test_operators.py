@@ -503,6 +503,27 @@ def test_rules_and_aliases(spark):
     }
 
 
+def test_relative_decoded_and_repeated_links(spark):
+    c, r = '<link rel="canonical" href="{}">', '<meta http-equiv="refresh" content="0; url={}">'
+    bad = c.format("http://b.example.org/es/y")
+    pages = [
+        (1, "http://s.net/d/page.html?a=1&b=2", bad),
+        (2, "http://s.net/d/2", c.format("page.html?a=1&amp;b=2")),
+        (3, "http://s.net/d/e/3", c.format("../page.html?a=1&#38;b=2")),
+        (4, "http://s.net/d/page.html", r.format("?a=1&amp;b=2")),
+        (5, "http://s.net/5", r.format("./d/x/../page.html?a=1&amp;b=2#f")),
+        (6, "http://s.net", c.format("d/2")),
+        (7, "http://s.net/7", c.format("http://other.net/") + c.format("/d/2") + r.format("8")),
+        (8, "http://s.net/8", None),
+        (9, "http://s.net/9", r.format("10") + r.format("d/2")),
+        (10, "http://s.net/10", None),
+        (11, "http://s.net/11", c.format("#top") + c.format("mailto:x@y.net") + c.format("e/2")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in urls.url_report(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: "allow" if i == 11 else "block" for i in range(1, 12)}
+    assert urls.resolve("http://h/b/c/d;p?q", "../../../g") == "http://h/g" and urls.resolve("http://h/b/c/d;p?q", "..") == "http://h/b/"
+
+
 # --- op10
 
 
