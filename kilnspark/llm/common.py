@@ -6,17 +6,21 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only in local mode with that unset."""
     sc = spark.sparkContext
     told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if told:
         return told.rstrip("/")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="kilnspark-"))
     return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
 
@@ -30,13 +34,49 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+class Scratch:
+    """Written tables in the shared folder: they cut lineage, survive lost executors, are computed once. `drop` frees those that nothing reads
+    any more; what is left goes when the driver ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
+        df.write.mode("overwrite").parquet(path)
+        atexit.register(_remove, self.spark, path)
+        self.paths.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        while self.paths:
+            _remove(self.spark, self.paths.pop())
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: cuts lineage, survives lost executors, computes once."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a written table that stays until the driver ends."""
+    return Scratch(df.sparkSession).table(df, name)
+
+
+MARK_BITS = 27
+
+
+def bit_table(marks: DataFrame) -> np.ndarray:
+    """One bit for each number below 2**MARK_BITS, set for those in column `mark`: 16 MB at any size.
+
+    The bits are set in 128 slices on the executors; the driver lays the slices side by side."""
+    low = MARK_BITS - 7
+
+    def slice_bits(group: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(1 << low, bool)
+        bits[group["mark"].to_numpy() & ((1 << low) - 1)] = True
+        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
+
+    parts = marks.select("mark").distinct().withColumn("part", F.shiftright("mark", low))
+    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
+    for row in parts.groupBy("part").applyInPandas(slice_bits, "part long, bits binary").toLocalIterator():
+        out[row["part"] << (low - 3) : (row["part"] + 1) << (low - 3)] = np.frombuffer(row["bits"], np.uint8)
+    return out
 
 
 def pick(df: DataFrame, **columns: str) -> DataFrame:
@@ -65,6 +105,10 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def _order(target: str) -> list[Column]:
+    return [F.xxhash64(F.lit(target), F.col("doc_id")), F.col("doc_id")]
+
+
 def training_labels(labels: DataFrame, target: str, most: int) -> DataFrame:
     """At most `most` labelled ids outside the held-out fold, in the order of a hash of the id.
 
@@ -72,7 +116,27 @@ def training_labels(labels: DataFrame, target: str, most: int) -> DataFrame:
     broadcast the result and to fit on the driver."""
     rows = pick(labels, doc_id="long", **{target: "int"}).where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & ~held_out(F.col("doc_id")))
     one = rows.groupBy("doc_id").agg(F.max(target).alias("label"))
-    return one.orderBy(F.xxhash64(F.lit(target), F.col("doc_id")), F.col("doc_id")).limit(most)
+    return one.orderBy(*_order(target)).limit(most)
+
+
+def bounded_rows(described: DataFrame, target: str, most_bytes: int) -> list:
+    """(doc_id, label, x) of the training rows in the order of `training_labels`, for the driver: one row for each id (the least x), and
+    whole rows from the front of the order as long as their x stay below `most_bytes` together.
+
+    described: the labelled ids' rows with their features x; an id may have any number of them."""
+    scratch = Scratch(described.sparkSession)
+    rows = scratch.table(described.groupBy("doc_id", "label").agg(F.min("x").alias("x")), "training-rows")
+    keyed = rows.withColumn("place", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(_order(target))]))
+    total, last = 0, None
+    for r in keyed.select("place", F.octet_length("x").alias("n")).orderBy("place").collect():  # as many as there are labels, at most
+        total += r["n"]
+        if total > most_bytes:
+            break
+        last = r["place"]
+    kept = keyed.where(F.col("place") <= F.struct(F.lit(last[0]).alias("c0"), F.lit(last[1]).alias("c1"))) if last else keyed.limit(0)
+    out = kept.orderBy("place").select("doc_id", "label", "x").collect()
+    scratch.drop()
+    return out
 
 
 def global_rank(df: DataFrame, keys: list[str], bucket: str, name: str) -> DataFrame:

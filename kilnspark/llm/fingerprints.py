@@ -21,13 +21,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import materialize, pick, text_or_empty
+from kilnspark.llm.common import MARK_BITS, bit_table, materialize, pick, text_or_empty
 
 #: A bucket of neighbouring documents holds about so many bytes of text; it is streamed, so this bounds no memory.
 BUCKET_BYTES = 8 << 20
 MOST_BUCKETS = 20_000
 NULL_KEY = -(1 << 63)
-MARK_BITS = 27
 #: Differing forms of equal fingerprints up to this number are broadcast; beyond it they are joined by a shuffle.
 BROADCAST_FORMS = 50_000
 
@@ -46,25 +45,6 @@ def witness(canon: bytes) -> str:
     return hashlib.blake2b(canon, digest_size=16).hexdigest()
 
 
-def _marks(shared: DataFrame) -> np.ndarray:
-    """One bit for each value of a fingerprint's first 27 bits, set if a shared fingerprint has it: 16 MB at any size.
-
-    The bits are set in 128 slices on the executors; the driver lays the slices side by side."""
-    low = MARK_BITS - 7
-
-    def slice_bits(group: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(1 << low, bool)
-        bits[group["mark"].to_numpy() & ((1 << low) - 1)] = True
-        return pd.DataFrame({"part": [int(group["part"].iloc[0])], "bits": [np.packbits(bits).tobytes()]})
-
-    mark = F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long")
-    marks = shared.select(F.shiftright(mark, 32 - MARK_BITS).alias("mark")).distinct().withColumn("part", F.shiftright("mark", low))
-    out = np.zeros(1 << (MARK_BITS - 3), np.uint8)
-    for row in marks.groupBy("part").applyInPandas(slice_bits, "part long, bits binary").toLocalIterator():
-        out[row["part"] << (low - 3) : (row["part"] + 1) << (low - 3)] = np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
 def collisions(documents: DataFrame, prints: DataFrame) -> DataFrame:
     """(fingerprint, witness, variant) of canonical forms that share a fingerprint but not their bytes, variant >= 1.
 
@@ -73,7 +53,8 @@ def collisions(documents: DataFrame, prints: DataFrame) -> DataFrame:
     grouped by (fingerprint, bytes): the grouping compares the bytes, copies meet on the map side first, so a bucket of
     any size sends one row from each task. The bytes travel compressed (deterministic and lossless)."""
     shared = prints.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1")
-    table = documents.sparkSession.sparkContext.broadcast(_marks(shared))
+    mark = F.shiftright(F.conv(F.substring("fingerprint", 1, 8), 16, 10).cast("long"), 32 - MARK_BITS).alias("mark")
+    table = documents.sparkSession.sparkContext.broadcast(bit_table(shared.select(mark)))
 
     def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack, bits = zstandard.ZstdCompressor(level=1), table.value

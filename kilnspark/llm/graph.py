@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import materialize
+from kilnspark.llm.common import Scratch
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -17,8 +17,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Edges with a null end, loops and repeats count for nothing. Each round hangs every node on the least
     neighbour known; a hub's many edges meet its minimum by a join that adaptive execution can split, and are never
-    gathered into one row. Rounds grow with the logarithm of a component's diameter. Each round is a written table."""
-    cur = materialize(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    gathered into one row. Rounds grow with the logarithm of a component's diameter. Each round is a written table; the one
+    before it is dropped."""
+    before = Scratch(edges.sparkSession)
+    cur = before.table(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     mark = _signature(cur)
     while mark[0]:
         both = cur.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(cur.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -26,7 +28,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a <> b").distinct()
         root = large.groupBy("b").agg(F.min("a").alias("m"))
         hung = large.join(root, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        cur = materialize(hung.unionByName(root.select(F.col("m").alias("a"), "b")).distinct(), "stars")
+        after = Scratch(edges.sparkSession)
+        cur = after.table(hung.unionByName(root.select(F.col("m").alias("a"), "b")).distinct(), "stars")
+        before.drop()
+        before = after
         now = _signature(cur)
         if now == mark:
             break

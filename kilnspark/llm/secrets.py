@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.llm.common import pick, text_or_empty
@@ -96,27 +96,29 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     book = new if ledger is None else ledger.unionByName(new)
     found = book.where((F.col("rule_version") == RULE_VERSION) & (F.col("spans") != "")).select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
 
-    def mask(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for values, spans in batches:
-            out = []
-            for text, told in zip(values, spans, strict=True):
-                if told is None:
-                    out.append(text)
-                    continue
-                parts, at = [], 0
-                for span in told.split(","):
-                    a, b = map(int, span.split(":")[1:])
-                    if a >= at:
-                        parts += [text[at:a], "[SECRET]"]
-                    at = max(at, b)
-                out.append("".join([*parts, text[at:]]))
-            yield pd.Series(out, dtype=object)
-
-    joined = docs.withColumn("__blob", F.sha2(F.encode(text_or_empty().cast("string"), "UTF-8"), 256)).join(found, "__blob", "left")
-    masked = joined.withColumn("text", F.pandas_udf(mask, "string")(F.col("text").cast("string"), F.col("__spans")))
-    if "n_chars" in docs.columns:
-        masked = masked.withColumn("n_chars", F.when(F.col("__spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return masked.select(*[F.col(f"`{c}`") for c in docs.columns])
+    # a row travels as one struct, so that no column of it can clash with the keys
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.sha2(F.encode(text_or_empty().cast("string"), "UTF-8"), 256).alias("__blob"))
+    joined = rows.join(found, "__blob", "left").select("row", "__spans")
+    text = F.col("row.text").cast("string")
+
+    def mask(done: Column, span: Column) -> Column:
+        start, end = (F.split(span, ":")[i].cast("int") for i in (1, 2))
+        more = F.concat(done["out"], F.substring(text, done["at"] + 1, start - done["at"]), F.lit("[SECRET]"))
+        return F.struct(F.when(start >= done["at"], more).otherwise(done["out"]).alias("out"), F.greatest(done["at"], end).alias("at"))
+
+    def close(done: Column) -> Column:
+        return F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text)))
+
+    empty = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    masked = F.when(F.col("__spans").isNotNull(), F.aggregate(F.split("__spans", ","), empty, mask, close))
+    out = joined.select("row", masked.alias("masked"))
+    fresh = {"text": F.col("masked"), "n_chars": F.length("masked")}
+
+    def column(c: str) -> Column:
+        own = F.col("row").getField(c)
+        return (F.when(F.col("masked").isNotNull(), fresh[c].cast(docs.schema[c].dataType)).otherwise(own) if c in fresh else own).alias(c)
+
+    return out.select(*map(column, docs.columns))
 
 
 def secret_report(documents: DataFrame, ledger: DataFrame | None = None) -> DataFrame:

@@ -4,8 +4,9 @@ A text's features are the presence of its words, word pairs and pairs with one w
 FTRL-proximal keeps a learning rate for each coordinate and an L1 threshold below which a weight is exactly zero,
 so the model is a short list of coordinates and weights, broadcast to the scorers.
 
-The fit sees at most TRAIN_ROWS labelled documents (by a hash of the id, held-out fold excluded) and their whole texts;
-executors turn texts into coordinates, the driver takes the proximal steps. Scoring covers all rows.
+The fit sees at most TRAIN_ROWS labelled documents (by a hash of the id, held-out fold excluded) and their whole texts, fewer if their
+coordinates exceed TRAIN_BYTES; executors turn texts into coordinates, the driver takes the proximal steps. An id with several rows
+counts once. Scoring covers all rows.
 
 Defined cases: a null text is empty; an empty text has the score of the bias; null ids are scored and count as held out; rows that
 repeat are scored each; with no training rows of both kinds every score is the share of label 1 (0 without rows); an
@@ -23,9 +24,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import coded, decoded, held_out, pick, text_or_empty, training_labels
+from kilnspark.llm.common import bounded_rows, coded, decoded, held_out, pick, text_or_empty, training_labels
 
 TRAIN_ROWS = 8000
+#: Bytes of the training rows' coordinates, at most; a row is in whole or left out.
+TRAIN_BYTES = 96 << 20
 EPOCHS = 12
 BITS = 22
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 0.01
@@ -114,7 +117,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "toxic", most:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": [features.distinct(t).tobytes() for t in batch["text"]]})
 
     rows = documents.join(chosen, "doc_id").select("doc_id", "label", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, label int, x binary")
-    got = sorted(rows.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["x"]))  # at most `most` ids
+    got = bounded_rows(rows, target, TRAIN_BYTES)
     return fit_ftrl([np.frombuffer(r["x"], np.int32) for r in got], np.array([r["label"] for r in got], float))
 
 
