@@ -1,10 +1,11 @@
 """Best-fit packing of tokenised documents by a configuration linear program over the length histogram.
 
 A configuration is a multiset of lengths that fits one sequence. The covering program (as few configurations as
-cover the histogram) is solved by multiplicative weights: each round prices the lengths, a knapsack dynamic program finds the
-best filling of every capacity under these prices, the configurations it gives are taken in proportion, and lengths covered
-too little (too much) get dearer (cheaper). The fractional solution is rounded by diving: under the final prices the longest
-length left is completed by the best filling that the counts left allow, as often as they allow, until nothing is left.
+cover the histogram) is solved by multiplicative weights: lengths are priced and configurations weighed by steps against each
+other over a pool of configurations, a knapsack dynamic program gives the best configuration of each length under the prices, which
+joins the pool, and the bound that the prices prove; the weights' mean is the fractional solution, and rounds end when its value is
+within GAP of the bound. It is rounded down, then up where the counts allow, and the rest is packed by best fit. Where plain best fit
+of all pieces needs fewer sequences than that, its packing is taken.
 
 Only the histogram (one number for each length) and the plan (a few thousand configurations at most, however many
 documents) are on the driver. Pieces find their place by their exact rank among pieces of the same length.
@@ -30,7 +31,11 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import coded, decoded, global_rank, materialize, pick, text_or_empty
 
 CAPACITY = 2048
-ROUNDS = 8
+#: Rounds of pricing, multiplicative steps in each, and the relative gap to the bound at which they end.
+ROUNDS, STEPS, GAP = 40, 100, 0.003
+PRICE_STEP, WEIGHT_STEP = 0.3, 1.0
+#: A configuration whose weight the floor cut by as much may be taken once more.
+CUT = 0.02
 #: Entries of a worker's caches; they bound memory, not what is encoded.
 CHUNKS, WORDS = 60_000, 100_000
 LAST_LATIN = "ɏ"
@@ -153,70 +158,186 @@ def pieces(documents: DataFrame, path: str, capacity: int = CAPACITY) -> DataFra
     return rows.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _fillings(value: np.ndarray, capacity: int) -> np.ndarray:
-    """Knapsack dynamic program: the most value of lengths (with repeats) that fit each capacity; value[s] for length s, -inf if absent."""
-    best = np.zeros(capacity + 1)
+Configuration = tuple[tuple[int, int], ...]  # (length, copies), longest first
+
+
+def _fillings(value: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack dynamic program: the most value of lengths (with repeats) that fit each capacity, and the length that its best filling
+    takes there (0: none fits). value[s] is length s's price, -inf if absent."""
+    best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
     sizes = np.flatnonzero(np.isfinite(value))
-    if not len(sizes):
-        return best
     worth = value[sizes]
     upto = np.searchsorted(sizes, np.arange(capacity + 1), side="right")
-    for c in range(int(sizes[0]), capacity + 1):
-        n = upto[c]
-        best[c] = max(best[c - 1], (best[c - sizes[:n]] + worth[:n]).max())
-    return best
-
-
-def _complete(first: int, left: np.ndarray, value: np.ndarray, best: np.ndarray, capacity: int) -> dict[int, int]:
-    """A configuration with length `first`, filled along the program's table by lengths of which some are left."""
-    used, room = {first: 1}, capacity - first
-    while room > 0:
-        sizes = np.flatnonzero(left[: room + 1] > 0)
-        sizes = sizes[left[sizes] > [used.get(int(s), 0) for s in sizes]] if len(used) and len(sizes) else sizes
-        if not len(sizes):
-            break
-        s = int(sizes[len(sizes) - 1 - np.argmax((value[sizes] + best[room - sizes])[::-1])])
+    for c in range(int(sizes[0]) if len(sizes) else capacity + 1, capacity + 1):
+        every = best[c - sizes[: upto[c]]] + worth[: upto[c]]
+        at = len(every) - 1 - int(every[::-1].argmax())
+        best[c], take[c] = every[at], sizes[at]
+        if best[c - 1] > best[c]:
+            best[c], take[c] = best[c - 1], take[c - 1]
+    return best, take
+
+
+def _priced(first: int, take: np.ndarray, capacity: int) -> Configuration:
+    """The best configuration with length `first` (0: of all), read off the program's table."""
+    used, room = ({first: 1} if first else {}), capacity - first
+    while take[room]:
+        s = int(take[room])
         used[s] = used.get(s, 0) + 1
         room -= s
-    return used
-
-
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, dict[int, int]]], float]:
-    """[(times, {length: copies})] that packs the histogram (index: length) exactly, and a lower bound on the sequences."""
-    demand = histogram.astype(np.int64).copy()
-    sizes = np.arange(capacity + 1)
-    there = demand > 0
-    weight = np.ones(capacity + 1)
-    price = np.where(there, sizes * weight, -np.inf)
-    bound = float(np.ceil((demand * sizes).sum() / capacity))
-    for _ in range(rounds if there.sum() > 1 else 0):
-        best = _fillings(price, capacity)
-        bound = max(bound, float((demand[there] * price[there]).sum() / best[capacity]))
-        covered = np.zeros(capacity + 1)
-        endless = np.where(there, 1 << 40, 0)
-        for s in np.flatnonzero(there)[::-1]:
-            short = demand[s] - covered[s]
-            if short > 0:
-                made = _complete(int(s), endless, price, best, capacity)
-                times = short / made[int(s)]
-                for t, n in made.items():
-                    covered[t] += n * times
-        excess = np.clip(covered[there] / demand[there], 0.0, 4.0) - 1.0
-        weight[there] *= np.exp(-0.05 * excess)
-        price = np.where(there, sizes * weight, -np.inf)
-    left, out = demand.copy(), []
-    best, stale = _fillings(price, capacity), 0
-    for s in range(capacity, 0, -1):
-        while left[s] > 0:
-            made = _complete(s, left, price, best, capacity)
-            times = int(min(left[t] // n for t, n in made.items()))
-            for t, n in made.items():
-                left[t] -= n * times
-                stale += left[t] == 0
-            out.append((times, made))
-            if stale > 64:
-                best, stale = _fillings(np.where(left > 0, price, -np.inf), capacity), 0
-    return out, bound
+        if s > room and not take[room]:
+            break
+    return tuple(sorted(used.items(), reverse=True))
+
+
+def best_fit(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, Configuration]]:
+    """Best fit of the longest first, by counts: [(times, configuration)]. Sequences of one filling move together, so the work depends on the
+    number of distinct lengths, not of pieces."""
+    held: dict[int, list[tuple[int, dict[int, int]]]] = {}  # room: [(sequences, filling)]
+    room_left = np.zeros(capacity + 1, bool)
+
+    def put(room: int, times: int, filling: dict[int, int]) -> None:
+        held.setdefault(room, []).append((times, filling))
+        room_left[room] = True
+
+    for s in np.flatnonzero(histogram)[::-1].tolist():
+        left = int(histogram[s])
+        rooms = (np.flatnonzero(room_left[s:]) + s).tolist()
+        for room in [*rooms, capacity]:
+            fresh = room == capacity
+            groups = [(left, {})] if fresh else held.pop(room)
+            room_left[room] = room_left[room] and fresh
+            each = room // s
+            for times, filling in groups:
+                full = min(times, left // each)
+                rest = left - full * each if full < times else 0
+                rest = min(rest, each)
+                if full:
+                    put(room - each * s, full, filling | {s: each})
+                if rest:
+                    put(room - rest * s, 1, filling | {s: rest})
+                left -= full * each + rest
+                over = times - full - (rest > 0)
+                if over and not fresh:
+                    put(room, over, filling)
+            if not left:
+                break
+    return [(times, tuple(sorted(filling.items(), reverse=True))) for groups in held.values() for times, filling in groups]
+
+
+class Covering:
+    """The covering program over a pool of configurations, as a game: shares of the sequences go to configurations (weights), shares of
+    the worth to lengths (prices); coverage is measured against a guess of the optimum."""
+
+    def __init__(self, demand: np.ndarray, start: list[tuple[int, Configuration]]):
+        self.sizes = np.flatnonzero(demand)
+        self.need = demand[self.sizes].astype(float)
+        self.row_of = {int(s): i for i, s in enumerate(self.sizes)}
+        self.pool: dict[Configuration, int] = {}
+        self.rows, self.columns, self.copies = (np.zeros(0, np.int64) for _ in range(3))
+        self.weight, self.worth = np.zeros(0), self.sizes * self.need / (self.sizes @ self.need)
+        self.add(start)
+
+    def add(self, made: list[tuple[float, Configuration]]) -> None:
+        new = list(dict.fromkeys(c for _, c in made if c not in self.pool))
+        self.pool |= {c: len(self.pool) + i for i, c in enumerate(new)}
+        parts = np.array([(self.row_of[s], self.pool[c], n) for c in new for s, n in c], np.int64).reshape(-1, 3)
+        self.rows, self.columns, self.copies = (np.append(x, y) for x, y in zip((self.rows, self.columns, self.copies), parts.T, strict=True))
+        self.weight = np.append(self.weight, np.zeros(len(new)))
+        for w, c in made:
+            self.weight[self.pool[c]] += w
+
+    def play(self, steps: int, guess: float) -> np.ndarray:
+        """Optimistic multiplicative steps of both sides; their mean, the first quarter left out. Weights sum to the guess."""
+        each = self.copies / self.need[self.rows] * guess
+        x, y = np.log(self.weight / self.weight.sum() + 1e-9), np.log(self.worth)
+        gain_x, gain_y, mean_x, mean_y = 0.0, 0.0, np.zeros(len(x)), np.zeros(len(y))
+        for step in range(steps):
+            w, p = np.exp(x - x.max()), np.exp(y - y.max())
+            w, p = w / w.sum(), p / p.sum()
+            value = np.bincount(self.columns, each * p[self.rows], len(w)) - 1
+            cover = np.clip(np.bincount(self.rows, each * w[self.columns], len(p)), 0, 3) - 1
+            x, y = x + WEIGHT_STEP * (2 * value - gain_x), y - PRICE_STEP * (2 * cover - gain_y)
+            gain_x, gain_y = value, cover
+            if 4 * step >= steps:
+                mean_x, mean_y = mean_x + w, mean_y + p
+        self.weight, self.worth = mean_x * (guess / mean_x.sum()), np.maximum(mean_y / mean_y.sum(), 1e-300)
+        return self.weight
+
+    def completed(self, weight: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+        """The least value over some scalings of a solution, with what it leaves uncovered put into sequences of one length each; and the scaled solution."""
+        cover = np.bincount(self.rows, self.copies * weight[self.columns], len(self.sizes)) / self.need
+        alone = self.need / (capacity // self.sizes)
+        scales = 1 / np.maximum(np.quantile(cover, [0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5]), 0.05)
+        values = [float(t * weight.sum() + np.clip(1 - t * cover, 0, None) @ alone) for t in scales]
+        return min(values), weight * scales[int(np.argmin(values))]
+
+
+def _proved(price: np.ndarray, histogram: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The bound that prices prove (their worth over that of the best configuration), and the knapsack program's choices under them."""
+    best, take = _fillings(price, capacity)
+    sizes = np.flatnonzero(histogram)
+    return float(price[sizes] @ histogram[sizes]) / best[capacity], take
+
+
+def solve(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP) -> tuple[dict[Configuration, float], float, float]:
+    """(fractional weights of configurations, their value, a lower bound on any packing) of the configuration program.
+
+    Starts from best fit's configurations and prices by length. In each round multiplicative steps price the lengths and weigh the
+    configurations known; the knapsack program then gives the bound that the prices (and their moving mean, which is less ragged) prove, and
+    the best configuration of each length under them, which join the pool. Ends when value and bound are within `gap`."""
+    demand = histogram.astype(np.int64)
+    if not demand.any():
+        return {}, 0.0, 0.0
+    start = best_fit(demand, capacity)
+    program = Covering(demand, start)
+    sizes, near = program.sizes, np.ones(11)
+    value, found = float(sum(times for times, _ in start)), program.weight
+    bound = float(program.need @ sizes) / capacity
+    for _ in range(rounds):
+        price = np.full(capacity + 1, -np.inf)
+        price[sizes] = program.worth / program.need
+        proved, take = _proved(price, demand, capacity)
+        worth = np.zeros(capacity + 1)
+        worth[sizes] = program.worth
+        price[sizes] = (np.convolve(worth, near, "same") / np.maximum(np.convolve(demand, near, "same"), 1))[sizes]
+        bound = max(bound, proved, _proved(price, demand, capacity)[0])
+        if value <= bound * (1 + gap):
+            break
+        made = [_priced(int(s), take, capacity) for s in sizes]
+        program.add([(0.02 * value / len(made), c) for c in made])
+        got, scaled = program.completed(program.play(STEPS, value), capacity)
+        if got < value:
+            value, found = got, scaled
+    return {c: float(found[i]) for c, i in program.pool.items() if i < len(found) and found[i] > 1e-6}, value, bound
+
+
+def _rounded(weights: dict[Configuration, float], histogram: np.ndarray) -> list[tuple[int, Configuration]]:
+    """Whole numbers of sequences near a fractional solution: its floors, then one more of each in the order of what the floor cut, as far
+    as the counts allow; what is left is packed by best fit."""
+    left, out = histogram.astype(np.int64).copy(), []
+
+    def taken(c: Configuration, most: int) -> None:
+        times = min([most, *(int(left[s]) // n for s, n in c)])
+        if times > 0:
+            out.append((times, c))
+            for s, n in c:
+                left[s] -= n * times
+
+    order = sorted(weights, key=lambda c: (-weights[c], c))
+    for c in order:
+        taken(c, int(weights[c]))
+    for c in sorted(order, key=lambda c: (int(weights[c]) - weights[c], c)):
+        if weights[c] % 1 >= CUT:
+            taken(c, 1)
+    return out + best_fit(left, len(histogram) - 1)
+
+
+def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, Configuration]], float, float]:
+    """[(times, configuration)] that packs the histogram (index: length) exactly, the value of the fractional solution that it is rounded
+    from, and a lower bound on the sequences. Rounding that needs more sequences than best fit of all pieces gives way to that."""
+    weights, value, bound = solve(histogram, capacity, rounds)
+    count = lambda made: sum(times for times, _ in made)
+    return min((_rounded(weights, histogram), best_fit(histogram, capacity)), key=count), value, bound
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -> DataFrame:
@@ -225,11 +346,11 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -
     histogram = np.zeros(capacity + 1, np.int64)
     for r in got:
         histogram[r["length"]] = r["n"]
-    configurations, _ = plan(histogram, capacity)
+    configurations, _, _ = plan(histogram, capacity)
     taken, runs, sequence = np.zeros(capacity + 1, np.int64), [], 0
     for times, made in configurations:
         offset = 0
-        for s, n in sorted(made.items(), reverse=True):
+        for s, n in made:
             runs.append((s, taken[s], n, sequence, offset))
             taken[s] += n * times
             offset += s * n
@@ -246,7 +367,8 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -
             length, _, copies, sequence, offset = runs[run].T
             yield batch.assign(sequence_id=sequence + inside // copies, offset=offset + (inside % copies) * length)
 
-    bucketed = rows.withColumn("__bucket", F.col("length") * 64 + F.pmod(F.xxhash64(id_column, "piece"), F.lit(64)))
+    shares = max(64, int(histogram.max()) >> 16)  # of the pieces of one length, each ranked in one task
+    bucketed = rows.withColumn("__bucket", F.col("length").cast("long") * shares + F.pmod(F.xxhash64(id_column, "piece"), F.lit(shares)))
     ranked = global_rank(bucketed, [id_column, "piece", "start"], "__bucket", "__rank").drop("__bucket").select(*rows.columns, "__rank")
     return ranked.mapInPandas(place, f"{rows.schema.simpleString()[7:-1]}, sequence_id bigint, offset bigint".replace(":", " "))
 
