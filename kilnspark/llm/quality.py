@@ -1,11 +1,13 @@
 """Quality: attention-based multiple-instance learning over passages.
 
-A document is a bag of passages of PASSAGE words. Each passage is described by what its characters and words are like, encoded
-by a learned layer, and weighed by gated attention (tanh times sigmoid); the document's score is a logistic function
-of the weighted passage representation. Only document labels are used; the weights say which passages decided.
+A document is a bag of passages of PASSAGE words. A passage is described by the shares of its words' hashed identities and hashed
+character trigrams, and by what its characters and words are like as a whole. It is encoded by a learned layer and weighed by gated
+attention (tanh times sigmoid); the document's score is a logistic function of the weighted passage representation. Only
+document labels are used; the weights say which passages decided.
 
-The fit sees at most TRAIN_ROWS labelled documents (by a hash of the id, held-out fold excluded); executors describe their
-passages, whole texts included, and the driver fits the few hundred parameters. Scoring covers all rows.
+The fit sees at most TRAIN_ROWS labelled documents (by a hash of the id, held-out fold excluded), fewer if their descriptions exceed
+TRAIN_BYTES, each with all its passages; executors describe them, the driver takes the steps in small batches. An id with several
+rows counts once. Scoring covers all rows; a long text is encoded some passages at a time.
 
 Defined cases: a null or blank text is a bag of one empty passage and gets a score; null ids are scored and count as held out;
 rows that repeat are scored each; with no training rows of both kinds every score is the share of label 1 (0.5 without
@@ -13,6 +15,7 @@ rows); an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,52 +24,98 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import held_out, pick, text_or_empty, training_labels
+from kilnspark.llm.common import bounded_rows, held_out, pick, text_or_empty, training_labels
 
 TRAIN_ROWS = 6000
+#: Bytes of the training rows' descriptions, at most; a row is in whole or left out.
+TRAIN_BYTES = 64 << 20
 PASSAGE = 64
-#: Passages of one training document that the fit keeps, evenly spaced; bounds the driver, not the scoring.
-TRAIN_PASSAGES = 64
+#: Passages of a text that are described at once.
+BLOCK = 512
 THRESHOLD = 0.3
-HIDDEN, GATE, STEPS, RATE, DECAY = 16, 8, 400, 0.02, 1e-4
+HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 16, 8, 16, 128, 0.01, 1e-4
+#: Hashed words and hashed trigrams, the factor that brings their shares near one, and their own decay.
+WORDS, TRIGRAMS, NGRAM_SCALE, NGRAM_DECAY = 512, 512, 8.0, 2e-3
+#: Words that a worker keeps the hashes of.
+KNOWN = 100_000
 
 
 def _classes() -> np.ndarray:
-    """Class of each code point below 256; 256 stands for all others."""
-    out = np.full(257, 9, np.uint8)
-    groups = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", ".,;:'\"-()?", "!", "|", "#$%&*@^~=+<>\\/_`{}[]"]
-    for i, chars in enumerate(groups):
-        out[[ord(c) for c in chars]] = i
-    out[256] = 8
-    out[192:256] = 8
-    return out
+    """Class of each code point below 0x250 by its Unicode category; the last stands for all others."""
+    kinds = {"Ll": 0, "Lu": 1, "N": 2, "Z": 3, "P": 4, "S": 5, "C": 6}
+    return np.array([*(next((k for c, k in kinds.items() if unicodedata.category(chr(i)).startswith(c)), 7) for i in range(0x250)), 7], np.uint8)
 
 
 CLASSES = _classes()
-N_CLASSES = 10
-WIDTH = N_CLASSES + 5
-
-
-def describe(text: str) -> np.ndarray:
-    """One row for each passage: shares of character classes, distinct words, word lengths, repeats in a row, fullness."""
-    words = text.split()
-    if not words:
-        return np.zeros((1, WIDTH), np.float32)
-    count = (len(words) + PASSAGE - 1) // PASSAGE
-    lens = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lens + 1)
-    of = np.arange(len(words)) // PASSAGE
-    codes = np.frombuffer(" ".join(words).encode("utf-32-le", "replace"), np.uint32)
-    kinds = CLASSES[np.minimum(codes, 256)]
-    starts = np.concatenate([[0], ends[PASSAGE - 1 :: PASSAGE]])[:count]
-    where = np.repeat(np.arange(count), np.diff(np.append(starts, len(codes))))
-    shares = np.bincount(where * N_CLASSES + kinds, minlength=count * N_CLASSES).reshape(count, N_CLASSES).astype(np.float32)
-    shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1)
-    n = np.bincount(of, minlength=count).astype(np.float32)
-    distinct = np.array([len(set(words[i * PASSAGE : (i + 1) * PASSAGE])) for i in range(count)], np.float32) / n
-    same = np.bincount(of[1:], np.fromiter(map(str.__eq__, words, words[1:]), bool, len(words) - 1), count).astype(np.float32) / n
-    mean, short = np.bincount(of, lens, count) / n, np.bincount(of, lens <= 2, count) / n
-    return np.column_stack([shares, distinct, same, np.minimum(mean, 40) / 10, short, n / PASSAGE]).astype(np.float32)
+N_CLASSES = 8
+SURFACE = N_CLASSES + 5
+WIDTH = SURFACE + WORDS + TRIGRAMS
+
+
+class Trigrams(dict):
+    """Hashed trigrams, remembered."""
+
+    def __missing__(self, gram: str) -> int:
+        if len(self) >= KNOWN:
+            self.clear()
+        got = self[gram] = WORDS + xxhash.xxh32_intdigest(gram) % TRIGRAMS
+        return got
+
+
+class Describer:
+    """Passage rows of texts; remembers the hashed features of words."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, np.ndarray] = {}
+        self.grams = Trigrams()
+
+    def _features(self, word: str) -> np.ndarray:
+        low = word.lower()
+        framed = f"^{low}$"
+        grams = [framed[i : i + 3] for i in range(len(framed) - 2)]
+        got = np.array([xxhash.xxh32_intdigest(low) % WORDS, *map(self.grams.__getitem__, grams)], np.int64)
+        if len(word) <= 32:
+            if len(self.known) >= KNOWN:
+                self.known.clear()
+            self.known[word] = got
+        return got
+
+    def _block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        count = (len(words) + PASSAGE - 1) // PASSAGE
+        lens = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(lens + 1)
+        of = np.arange(len(words)) // PASSAGE
+        codes = np.frombuffer(" ".join(words).encode("utf-32-le", "replace"), np.uint32)
+        kinds = CLASSES[np.minimum(codes, 0x250)]
+        starts = np.concatenate([[0], ends[PASSAGE - 1 :: PASSAGE]])[:count]
+        where = np.repeat(np.arange(count), np.diff(np.append(starts, len(codes))))
+        shares = np.bincount(where * N_CLASSES + kinds, minlength=count * N_CLASSES).reshape(count, N_CLASSES).astype(np.float32)
+        shares /= np.maximum(shares.sum(axis=1, keepdims=True), 1)
+        n = np.bincount(of, minlength=count).astype(np.float32)
+        distinct = np.array([len(set(words[i * PASSAGE : (i + 1) * PASSAGE])) for i in range(count)], np.float32) / n
+        same = np.bincount(of[1:], np.fromiter(map(str.__eq__, words, words[1:]), bool, len(words) - 1), count).astype(np.float32) / n
+        mean, short = np.bincount(of, lens, count) / n, np.bincount(of, lens <= 2, count) / n
+        surface = np.column_stack([shares, distinct, same, np.minimum(mean, 40) / 10, short, n / PASSAGE]).astype(np.float32)
+        known, fresh = self.known, self._features
+        each = [known.get(w) if w in known else fresh(w) for w in words]
+        width = np.fromiter(map(len, each), np.int64, len(each))
+        flat = np.concatenate(each) + np.repeat(of * (WORDS + TRIGRAMS), width)
+        return surface, np.bincount(flat, minlength=count * (WORDS + TRIGRAMS)).reshape(count, -1)
+
+    def blocks(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(surface, counts of hashed features) of the text's passages, BLOCK of them at a time."""
+        words = text.split()
+        if not words:
+            yield np.zeros((1, SURFACE), np.float32), np.zeros((1, WORDS + TRIGRAMS), np.int64)
+        for at in range(0, len(words), BLOCK * PASSAGE):
+            yield self._block(words[at : at + BLOCK * PASSAGE])
+
+
+def rows_of(surface: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Passage rows for the model: surface, then scaled shares of the hashed words and of the hashed trigrams."""
+    words, trigrams = counts[:, :WORDS], counts[:, WORDS:]
+    shares = [x * (NGRAM_SCALE / np.maximum(x.sum(axis=1, keepdims=True), 1)) for x in (words, trigrams)]
+    return np.hstack([surface, *shares]).astype(np.float32)
 
 
 class Attention:
@@ -76,47 +125,57 @@ class Attention:
         r = np.random.default_rng(seed)
         self.mean, self.scale = np.zeros(WIDTH), np.ones(WIDTH)
         self.p = {
-            "W": r.normal(0, WIDTH**-0.5, (WIDTH, HIDDEN)), "b": np.zeros(HIDDEN),
+            "W": np.vstack([r.normal(0, SURFACE**-0.5, (SURFACE, HIDDEN)), r.normal(0, 0.05, (WIDTH - SURFACE, HIDDEN))]), "b": np.zeros(HIDDEN),
             "V": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)), "U": r.normal(0, HIDDEN**-0.5, (HIDDEN, GATE)),
             "w": r.normal(0, GATE**-0.5, GATE), "c": np.zeros(HIDDEN), "d": np.zeros(1),
         }
 
-    def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple:
+    def encode(self, x: np.ndarray) -> tuple:
+        """Of passages: standardised rows, codes, the two gates and the attention's exponents."""
         p = self.p
         f = np.clip((x - self.mean) / self.scale, -8, 8)
         h = np.tanh(f @ p["W"] + p["b"])
         t, s = np.tanh(h @ p["V"]), 1 / (1 + np.exp(-(h @ p["U"])))
-        e = (t * s) @ p["w"]
-        count = np.diff(np.append(starts, len(x)))
+        return f, h, t, s, (t * s) @ p["w"]
+
+    def attend(self, h: np.ndarray, e: np.ndarray, starts: np.ndarray) -> tuple:
+        """Of documents: score, representation; of passages: weights; passages of each document."""
+        count = np.diff(np.append(starts, len(h)))
         a = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), count))
         a /= np.repeat(np.add.reduceat(a, starts), count)
         z = np.add.reduceat(a[:, None] * h, starts, axis=0)
-        y = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["d"][0], -35, 35)))
-        return y, (f, h, t, s, a, z, count)
+        return 1 / (1 + np.exp(-np.clip(z @ self.p["c"] + self.p["d"][0], -35, 35))), z, a, count
 
-    def score(self, bags: list[np.ndarray]) -> np.ndarray:
-        if not bags:
-            return np.zeros(0)
-        return self.forward(np.concatenate(bags).astype(float), np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]]))[0]
+    def forward(self, x: np.ndarray, starts: np.ndarray) -> tuple:
+        f, h, t, s, e = self.encode(x)
+        y, z, a, count = self.attend(h, e, starts)
+        return y, (f, h, t, s, a, z, count)
 
-    def fit(self, bags: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> Attention:
-        """Adam on the mean log loss of the documents."""
+    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Attention:
+        """Adam on the mean log loss of batches of documents; bags as `Describer.blocks` gives them (counts in any integer type)."""
         ones = float(labels.sum())
         if not len(labels) or ones in (0, len(labels)):
             share = ones / len(labels) if len(labels) else 0.5
             self.p["d"][0] = np.clip(np.log((share + 1e-15) / (1 - share + 1e-15)), -35, 35)
             return self
-        x = np.concatenate(bags).astype(float)
-        starts = np.concatenate([[0], np.cumsum([len(b) for b in bags])[:-1]])
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+        surface = np.concatenate([b[0] for b in bags]).astype(float)
+        self.mean[:SURFACE], self.scale[:SURFACE] = surface.mean(axis=0), surface.std(axis=0) + 1e-3
+        decay = {k: DECAY for k in self.p} | {"W": np.repeat([DECAY, NGRAM_DECAY], [SURFACE, WIDTH - SURFACE])[:, None]}
         first, second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        for step in range(1, steps + 1):
-            for k, g in self._gradient(x, starts, labels).items():
-                g = g + DECAY * self.p[k]
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                rate = RATE * (1 - step / (steps + 1))
-                self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
+        r, step, steps = np.random.default_rng(11), 0, epochs * ((len(bags) + BATCH - 1) // BATCH)
+        for _ in range(epochs):
+            order = r.permutation(len(bags))
+            for at in range(0, len(order), BATCH):
+                some = order[at : at + BATCH]
+                x = np.concatenate([rows_of(*bags[i]) for i in some]).astype(float)
+                starts = np.concatenate([[0], np.cumsum([len(bags[i][0]) for i in some])[:-1]])
+                step += 1
+                for k, g in self._gradient(x, starts, labels[some]).items():
+                    g = g + decay[k] * self.p[k]
+                    first[k] = 0.9 * first[k] + 0.1 * g
+                    second[k] = 0.999 * second[k] + 0.001 * g * g
+                    rate = RATE * (1 - step / (steps + 1))
+                    self.p[k] = self.p[k] - rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
         return self
 
     def _gradient(self, x: np.ndarray, starts: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
@@ -131,29 +190,65 @@ class Attention:
         return {"W": f.T @ dh, "b": dh.sum(axis=0), "V": h.T @ dt, "U": h.T @ ds, "w": (t * s).T @ de, "c": z.T @ dy, "d": np.array([dy.sum()])}
 
 
+def packed(text: str, of: Describer) -> bytes:
+    """A text's whole description: passages, surface rows, and the counts that are not zero with their places."""
+    surface, counts = (np.concatenate(x) for x in zip(*of.blocks(text), strict=True))
+    at = np.flatnonzero(counts)
+    return b"".join([np.int64(len(surface)).tobytes(), surface.tobytes(), at.astype("<i8").tobytes() if counts.size >> 31 else at.astype("<i4").tobytes(), np.minimum(counts.ravel()[at], 255).astype(np.uint8).tobytes()])
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    surface = np.frombuffer(raw, np.float32, n * SURFACE, 8).reshape(n, SURFACE)
+    rest, counts = 8 + surface.nbytes, np.zeros(n * (WORDS + TRIGRAMS), np.uint8)
+    wide = 8 if counts.size >> 31 else 4
+    held = (len(raw) - rest) // (wide + 1)
+    counts[np.frombuffer(raw, f"<i{wide}", held, rest)] = np.frombuffer(raw, np.uint8, held, rest + wide * held)
+    return surface, counts.reshape(n, -1)
+
+
 def train(documents: DataFrame, labels: DataFrame, target: str = "quality", most: int = TRAIN_ROWS) -> Attention:
     chosen = F.broadcast(training_labels(labels, target, most))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        of = Describer()
         for batch in batches:
-            bags = [describe(t) for t in batch["text"]]
-            kept = [b if len(b) <= TRAIN_PASSAGES else b[np.linspace(0, len(b) - 1, TRAIN_PASSAGES).astype(int)] for b in bags]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": [b.tobytes() for b in kept]})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "label": batch["label"], "x": [packed(t, of) for t in batch["text"]]})
 
     rows = documents.join(chosen, "doc_id").select("doc_id", "label", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, label int, x binary")
-    got = sorted(rows.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r["doc_id"])), r["x"]))  # at most `most` ids
-    bags = [np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH) for r in got]
-    return Attention().fit(bags, np.array([r["label"] for r in got], float))
+    got = bounded_rows(rows, target, TRAIN_BYTES)
+    return Attention().fit([unpacked(r["x"]) for r in got], np.array([r["label"] for r in got], float))
 
 
 def scorer(model: Attention) -> callable:
     """A column function text -> score."""
 
+    def scores(texts: list[str], of: Describer) -> np.ndarray:
+        codes, exponents, lengths, held = [], [], [], []
+
+        def flush() -> None:
+            if held:
+                _, h, _, _, e = model.encode(np.concatenate(held))
+                codes.append(h)
+                exponents.append(e)
+                held.clear()
+
+        for text in texts:
+            lengths.append(0)
+            for block in of.blocks(text):
+                held.append(rows_of(*block))
+                lengths[-1] += len(block[0])
+                if sum(map(len, held)) >= BLOCK:
+                    flush()
+        flush()
+        return model.attend(np.concatenate(codes), np.concatenate(exponents), np.concatenate([[0], np.cumsum(lengths)[:-1]]))[0]
+
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        of = Describer()
         for texts in batches:
             out = [np.zeros(0)]
             for at in range(0, len(texts), 256):
-                out.append(model.score([describe(t or "") for t in texts.iloc[at : at + 256]]))
+                out.append(scores([t or "" for t in texts.iloc[at : at + 256]], of))
             yield pd.Series(np.concatenate(out))
 
     return F.pandas_udf(run, "double")
