@@ -1,84 +1,123 @@
 """Exact top-k inner products by ball-tree branch and bound.
 
-Candidates are dealt into shards of bounded size; each shard builds a ball tree. Queries are dealt into blocks of bounded
-size, and every block meets every shard. A node's bound for a query is <q, centre> + |q| radius; nodes are opened in
-the order of their bounds, and a node whose bound lies below the query's k-th score so far is not opened. The k-th score
-is shared: each query first meets a sample of all candidates, and the k-th best of these (a bound from below) goes to all
-shards with the query. Each shard returns at most k rows for each query, and these are merged.
+Candidates lie in cells around pivots (centres of a bounded sample; they only decide what lies together), cells in shards of bounded size.
+Each shard builds its ball tree once and stores it with its centre and radius. Queries lie in blocks of bounded size. A
+node's bound for a query is <q, centre> + |q| radius. Shards are bounded first, by blocks of shards; in a first wave each query
+searches the shard of the highest bound in each of these blocks, and its k-th score so far goes with it into the second wave, to those
+shards alone whose bound reaches it. Inside a tree, nodes below that score are not opened, and leaves are read in the order of
+their bounds while the k-th score rises.
 
-Arithmetic is exact: integers, in 64-bit floating point only where all sums stay below 2**53, else in Python integers;
-bounds are widened by more than the rounding error.
+Of rows with equal vectors only the k + 1 least ids can be among anyone's best; the others are left out before the search, so that a
+vector that very many rows share costs no more than others.
+
+Arithmetic is exact: integers held in floating point where all sums stay below 2**53 (components up to NARROW), else Python
+integers; bounds are widened by more than the rounding error.
 
 Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors of different lengths do not
-meet; null ids take no part; equal scores go to the smaller id; rows that repeat an id are candidates each (a query never meets
-rows of its own id); fewer than k candidates give fewer rows; an empty table gives an empty result."""
+meet; null ids take no part; equal scores go to the smaller id; an inner product beyond a long counts as the nearest long; rows that
+repeat an id are candidates each (a query never meets rows of its own id), and rows that repeat a query's id are queries each;
+fewer than k candidates give fewer rows; an empty table gives an empty result."""
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import materialize
+from kilnspark.llm.common import Scratch
 
 SHARD_ROWS = 8192
 BLOCK_ROWS = 2048
-LEAF = 64
-SEED_ROWS = 2048
+#: Shards whose bounds are looked at together.
+SHARD_BLOCK = 1024
+LEAF = 128
+SAMPLE_ROWS = 4096
+PIVOTS = 512
+#: Largest component, and largest dimension, of the vectors whose inner products floating point holds exactly.
+NARROW, NARROW_DIM = 1 << 20, 4096
+LONG = (1 << 63) - 1
+
+SHARD, BLOCK = ["dim", "cell", "salt"], ["dim", "q_cell", "q_salt"]
 
 
 def usable(vectors: DataFrame, id_column: str, vector: str) -> DataFrame:
-    """(id, dim, v): floor(256 x) of each component, as 64-bit integers where they fit (tag i), else in decimal text (tag t)."""
+    """(id, dim, wide, v): floor(256 x) of each component, as 32-bit integers, or in decimal text where that is too narrow (wide)."""
     rows = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x"))
     bad = F.exists("x", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf")))
     good = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull() & (F.size("x") > 0)).where(~bad)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            v = []
+            v, wide = [], []
             for x in batch["x"]:
-                scaled = np.floor(256.0 * np.asarray(x, np.float64))
-                v.append(b"i" + scaled.astype("<i8").tobytes() if np.abs(scaled).max() < 2**62 else b"t" + b" ".join(str(int(s)).encode() for s in scaled))
-            yield pd.DataFrame({"id": batch["id"], "dim": batch["x"].map(len).astype(np.int32), "v": v})
+                x = np.asarray(x, np.float64)
+                wide.append(bool(np.abs(x).max() > NARROW // 256 or len(x) > NARROW_DIM))
+                # 256 x is exact unless it overflows; whole numbers of that size have no fraction to cut
+                v.append(b" ".join(str(int(e) * 256 if abs(e) > 2.0**60 else int(np.floor(256 * e))).encode() for e in x) if wide[-1] else np.floor(256 * x).astype("<i4").tobytes())
+            yield pd.DataFrame({"id": batch["id"], "dim": batch["x"].map(len).astype(np.int32), "wide": wide, "v": v})
+
+    return good.mapInPandas(run, "id long, dim int, wide boolean, v binary")
+
+
+def matrix(v: pd.Series, dim: int, wide: bool) -> np.ndarray:
+    """float64, or Python integers (object) of wide vectors."""
+    if wide:
+        out = np.empty((len(v), dim), object)
+        for i, b in enumerate(v):
+            out[i] = [int(s) for s in b.split(b" ")]
+        return out
+    return np.frombuffer(b"".join(v), "<i4").reshape(-1, dim).astype(np.float64)
+
 
-    return good.mapInPandas(run, "id long, dim int, v binary")
+def as_float(points: np.ndarray) -> np.ndarray:
+    """Wide integers as the nearest floating-point numbers, infinite beyond their range."""
+    if points.dtype != object:
+        return points
+    near = lambda x: float(x) if abs(x) < 1 << 1000 else (np.inf if x > 0 else -np.inf)
+    return np.vectorize(near, otypes=[float])(points) if points.size else points.astype(float)
 
 
-def matrix(v: pd.Series, dim: int) -> np.ndarray:
-    """float64 where inner products of such numbers are exact, else Python integers (object)."""
-    if all(b[:1] == b"i" for b in v):
-        m = np.frombuffer(b"".join(b[1:] for b in v), "<i8").reshape(-1, dim)
-        if not len(m) or float(np.abs(m).max()) ** 2 * dim < 2**53:
-            return m.astype(np.float64)
-        return m.astype(object)
-    return np.array([[int(s) for s in (b[1:].split(b" ") if b[:1] == b"t" else np.frombuffer(b[1:], "<i8"))] for b in v], dtype=object)
+def upper_bounds(centres: np.ndarray, radii: np.ndarray, asks: np.ndarray, norms: np.ndarray) -> np.ndarray:
+    """Of nodes (rows) for queries (columns); infinite where floating point can't tell."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        out = centres @ asks.T + np.outer(radii, norms)
+        out += 1e-9 * (np.abs(out) + np.outer(np.linalg.norm(centres, axis=1) + radii + 1, norms)) + 1e-6
+    return np.where(np.isnan(out), np.inf, out)
+
+
+def _alike(*arrays: np.ndarray) -> list[np.ndarray]:
+    """All as Python integers if one of them is."""
+    if any(a.dtype == object for a in arrays):
+        return [a if a.dtype == object else a.astype(np.int64).astype(object) for a in arrays]
+    return list(arrays)
 
 
 class BallTree:
-    """Nodes in arrays: rows [start, end) of `order`, centre, radius, children (node 2i+1 and 2i+2 of a list), least id."""
+    """Nodes in arrays: rows [start, end) of `order`, centre, radius, children."""
 
     def __init__(self, points: np.ndarray, ids: np.ndarray):
         self.order = np.argsort(ids, kind="stable")
         self.points, self.ids = points, ids
         self.nodes: list[tuple[int, int, int, int]] = []
-        centres, radii = [], []
+        centres, radii, near = [], [], as_float(points)
 
         def build(a: int, b: int) -> int:
-            own = points[self.order[a:b]].astype(np.float64)
-            centre = own.mean(axis=0)
-            apart = np.linalg.norm(own - centre, axis=1)
-            at = len(self.nodes)
+            own = near[self.order[a:b]]
+            with np.errstate(invalid="ignore", over="ignore"):
+                centre = own.mean(axis=0)
+                apart = np.linalg.norm(own - centre, axis=1)
+            at, radius = len(self.nodes), float(np.nan_to_num(apart.max(), nan=np.inf))
             self.nodes.append((a, b, -1, -1))
             centres.append(centre)
-            radii.append(float(apart.max()))
-            if b - a > LEAF and apart.max() > 0:
+            radii.append(radius)
+            if b - a > LEAF and 0 < radius < np.inf:
                 far = own[apart.argmax()]
                 other = own[np.linalg.norm(own - far, axis=1).argmax()]
-                side = own @ (other - far)
-                self.order[a:b] = self.order[a:b][np.argsort(side, kind="stable")]
+                self.order[a:b] = self.order[a:b][np.argsort(own @ (other - far), kind="stable")]
                 mid = (a + b) // 2
                 self.nodes[at] = (a, b, build(a, mid), build(mid, b))
             return at
@@ -87,78 +126,205 @@ class BallTree:
             build(0, len(points))
         self.centres, self.radii = np.array(centres), np.array(radii)
 
-    def search(self, query: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
-        """Best (score, id) with score >= floor, without rows of id `own`, in order."""
-        norm = float(np.linalg.norm(query.astype(np.float64)))
-        bounds = self.centres @ query.astype(np.float64) + norm * self.radii
-        bounds += 1e-9 * (np.abs(bounds) + norm * (1 + np.abs(self.radii))) + 1e-6
-        best: list[tuple[int, int]] = []
-        heap = [0] if len(self.nodes) else []
-        while heap:
-            i = max(range(len(heap)), key=lambda j: bounds[heap[j]])
-            node = heap.pop(i)
-            least = max(floor, best[-1][0]) if len(best) == k else floor
-            if bounds[node] < least:
-                break
-            a, b, left, right = self.nodes[node]
-            if left >= 0:
-                heap += [c for c in (left, right) if bounds[c] >= least]
-                continue
-            rows = self.order[a:b]
-            scores = self.points[rows] @ query
-            keep = np.flatnonzero((scores >= least) & (self.ids[rows] != own))
-            if len(keep):
-                best = sorted([*best, *((int(scores[j]), int(self.ids[rows[j]])) for j in keep)], key=lambda x: (-x[0], x[1]))[:k]
-        return best
+    def stored(self) -> bytes:
+        return pickle.dumps((self.order, self.points, self.ids, self.nodes, self.centres, self.radii))
+
+    @classmethod
+    def read(cls, raw: bytes) -> BallTree:
+        tree = cls.__new__(cls)
+        tree.order, tree.points, tree.ids, tree.nodes, tree.centres, tree.radii = pickle.loads(raw)
+        return tree
+
+    def search(self, asks: np.ndarray, own: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(scores, ids) of each query's k best with score >= floor, without rows of the query's own id; scores of -inf fill up."""
+        near = as_float(asks)
+        with np.errstate(over="ignore"):
+            norms = np.linalg.norm(near, axis=1)
+        leaves, told, open_ = [], [], [(0, np.arange(len(asks)))] if self.nodes else []
+        while open_:
+            node, who = open_.pop()
+            bound = upper_bounds(self.centres[node : node + 1], self.radii[node : node + 1], near[who], norms[who])[0]
+            who, bound = who[bound >= floor[who]], bound[bound >= floor[who]]
+            _, _, left, right = self.nodes[node]
+            if len(who) and left >= 0:
+                open_ += [(left, who), (right, who)]
+            elif len(who):
+                leaves.append(node)
+                told.append(np.full(len(asks), -np.inf))
+                told[-1][who] = bound
+        points, asks = _alike(self.points, asks)
+        scores, ids = np.full((k, len(asks)), -np.inf, asks.dtype), np.full((k, len(asks)), LONG, np.int64)
+        bounds = np.array(told).reshape(len(leaves), len(asks))
+        turn = np.argsort(-bounds, axis=0, kind="stable")
+        active = np.arange(len(asks))
+        for place in range(len(leaves)):
+            leaf = turn[place, active]
+            bound = bounds[leaf, active]
+            least = np.maximum(floor[active], scores[-1, active].astype(float))
+            go = (bound > -np.inf) & (bound >= least - np.abs(least) * 1e-12)
+            active, leaf = active[go], leaf[go]
+            for one in np.unique(leaf):
+                self._read(points, self.nodes[leaves[one]], active[leaf == one], asks, own, scores, ids)
+        return scores, ids
+
+    def _read(self, points: np.ndarray, node: tuple, who: np.ndarray, asks: np.ndarray, own: np.ndarray, scores: np.ndarray, ids: np.ndarray) -> None:
+        """Joins the rows of a leaf into the best of the queries `who`."""
+        rows = self.order[node[0] : node[1]]
+        got = points[rows] @ asks[who].T
+        if got.dtype == object:
+            got = np.clip(got, -LONG - 1, LONG)
+        got = np.where(self.ids[rows][:, None] == own[who], -np.inf, got)
+        all_scores = np.vstack([scores[:, who], got])
+        all_ids = np.vstack([ids[:, who], np.repeat(self.ids[rows][:, None], len(who), axis=1)])
+        first = np.lexsort((all_ids, -all_scores), axis=0)[: len(scores)] if got.dtype != object else np.array([sorted(range(len(all_ids)), key=lambda i: (-all_scores[i, j], all_ids[i, j]))[: len(scores)] for j in range(len(who))]).T
+        scores[:, who], ids[:, who] = np.take_along_axis(all_scores, first, 0), np.take_along_axis(all_ids, first, 0)
+
+
+def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
+    """For each dimension in a sample of SAMPLE_ROWS rows, at most PIVOTS centres of it, one for SHARD_ROWS rows."""
+    n = rows.count()
+    sample = rows.where("not wide").orderBy(F.xxhash64("id", "v"), "id").limit(SAMPLE_ROWS).toPandas()
+    out, random = {}, np.random.default_rng(4)
+    for dim, g in sample.groupby("dim"):
+        points = matrix(g["v"], dim, False)
+        count = int(min(PIVOTS, max(1, len(points) // 4), n * len(points) / len(sample) // SHARD_ROWS + 1))
+        centres = points[random.permutation(len(points))[:count]]
+        for _ in range(8):
+            nearest = _nearest(points, centres)
+            held = np.bincount(nearest, minlength=count)
+            centres = np.array([points[nearest == c].mean(axis=0) if held[c] else centres[c] for c in range(count)])
+        out[int(dim)] = centres
+    return out
+
+
+def _nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return ((centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+
+
+def in_cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """`rows` (id, dim, wide, v) with cell: the nearest pivot; -1 of dimensions without pivots, -2 of wide vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            cell = np.where(batch["wide"], -2, -1)
+            for dim, centres in pivots.items():
+                own = np.flatnonzero(((batch["dim"] == dim) & ~batch["wide"]).to_numpy())
+                if len(own):
+                    cell[own] = _nearest(matrix(batch["v"].iloc[own], dim, False), centres)
+            yield batch.assign(cell=cell)
+
+    return rows.mapInPandas(run, "id long, dim int, wide boolean, v binary, cell int")
+
+
+def _salted(rows: DataFrame, most: int) -> DataFrame:
+    """`rows` with salt, so that (dim, cell, salt) holds about `most` rows at most."""
+    parts = rows.groupBy("dim", "cell").agg(F.expr(f"count(*) div {most} + 1").alias("parts"))
+    return rows.join(parts, ["dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "parts").cast("int")).drop("parts")
+
+
+def distinct_enough(rows: DataFrame, k: int) -> DataFrame:
+    """Of the rows of one vector, those of the k + 1 least ids, each at most k times."""
+    each = rows.groupBy("dim", "wide", "v", "id").agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("n"))
+    order = Window.partitionBy("dim", "wide", "v").orderBy("id")
+    few = each.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+    return few.select("id", "dim", "wide", "v", F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy")
+
+
+def shard_trees(candidates: DataFrame) -> DataFrame:
+    """(dim, cell, salt, centre, radius, tree) of the candidates' shards."""
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        dim, wide = int(rows["dim"].iloc[0]), bool(rows["wide"].iloc[0])
+        tree = BallTree(matrix(rows["v"], dim, wide), rows["id"].to_numpy())
+        radius = np.inf if wide else tree.radii[0]
+        return pd.DataFrame({**{c: [rows[c].iloc[0]] for c in SHARD}, "centre": [tree.centres[0].tobytes()], "radius": [radius], "tree": [tree.stored()]})
+
+    return _salted(candidates, SHARD_ROWS).groupBy(*SHARD).applyInPandas(build, "dim int, cell int, salt int, centre binary, radius double, tree binary")
+
+
+def query_blocks(queries: DataFrame) -> DataFrame:
+    """(dim, q_cell, q_salt, asks) of the queries' blocks; asks: their ids and vectors."""
+
+    def build(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["id", "v"])
+        asks = rows["id"].to_numpy(), matrix(rows["v"], int(rows["dim"].iloc[0]), bool(rows["wide"].iloc[0]))
+        return pd.DataFrame({"dim": [rows["dim"].iloc[0]], "q_cell": [rows["cell"].iloc[0]], "q_salt": [rows["salt"].iloc[0]], "asks": [pickle.dumps(asks)]})
+
+    return _salted(queries, BLOCK_ROWS).groupBy("dim", "cell", "salt").applyInPandas(build, "dim int, q_cell int, q_salt int, asks binary")
+
+
+def _tiles(blocks: DataFrame, shards: DataFrame, first: bool) -> DataFrame:
+    """(block, shard, who): which queries of a block a shard has to be searched for. In the first wave each query goes to the best
+    shard of each block of shards; in the second to the others whose bound reaches its k-th score (blocks have a column `floors` then)."""
+    parts = shards.groupBy("dim").agg(F.expr(f"count(*) div {SHARD_BLOCK} + 1").alias("parts"))
+    dealt = shards.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("cell", "salt"), "parts"))
+    inside = F.array_sort(F.collect_list(F.struct("cell", "salt", "centre", "radius")))
+    met = blocks.join(dealt.groupBy("dim", "part").agg(inside.alias("shards")), "dim")  # blocks of at most about SHARD_BLOCK shards
+
+    def run(row: pd.DataFrame) -> pd.DataFrame:
+        row = row.iloc[0]
+        near = as_float(pickle.loads(row["asks"])[1])
+        centres = np.array([np.frombuffer(s["centre"]) for s in row["shards"]])
+        with np.errstate(over="ignore"):
+            bounds = upper_bounds(centres, np.array([s["radius"] for s in row["shards"]]), near, np.linalg.norm(near, axis=1))
+        best = np.arange(len(bounds))[:, None] == bounds.argmax(axis=0)
+        go = best if first else (bounds >= pickle.loads(row["floors"])) & ~best
+        rows = [(row["dim"], row["q_cell"], row["q_salt"], s["cell"], s["salt"], np.flatnonzero(g).astype(np.int32).tobytes()) for s, g in zip(row["shards"], go, strict=True) if g.any()]
+        return pd.DataFrame(rows, columns=[*BLOCK, "cell", "salt", "who"])
+
+    # a group is one row: what a task holds at a time is one block of queries and one of shards
+    return met.groupBy(*BLOCK, "part").applyInPandas(run, "dim int, q_cell int, q_salt int, cell int, salt int, who binary")
+
+
+def _searched(tiles: DataFrame, blocks: DataFrame, trees: DataFrame, k: int) -> DataFrame:
+    """(block, at, query_id, vec_id, score): the k best that each query of a tile finds in its shard."""
+    met = tiles.join(blocks, BLOCK).join(trees.select(*SHARD, "tree"), SHARD)
+
+    def run(row: pd.DataFrame) -> pd.DataFrame:
+        row = row.iloc[0]
+        (ids, asks), tree = pickle.loads(row["asks"]), BallTree.read(row["tree"])
+        who = np.frombuffer(row["who"], np.int32)
+        floor = pickle.loads(row["floors"])[who] if "floors" in row else np.full(len(who), -np.inf)
+        scores, found = tree.search(asks[who], ids[who], k, floor)
+        place, one = np.nonzero(scores.astype(float) > -np.inf)
+        out = pd.DataFrame({"at": who[one], "query_id": ids[who][one], "vec_id": found[place, one], "score": [int(s) for s in scores[place, one]]})
+        return out.assign(dim=row["dim"], q_cell=row["q_cell"], q_salt=row["q_salt"])[[*BLOCK, "at", "query_id", "vec_id", "score"]].astype({"score": "int64"})
+
+    return met.groupBy(*BLOCK, "cell", "salt").applyInPandas(run, "dim int, q_cell int, q_salt int, at int, query_id long, vec_id long, score long")
+
+
+def _place(k: int) -> Column:
+    return F.row_number().over(Window.partitionBy(*BLOCK, "at").orderBy(F.desc("score"), "vec_id"))
 
 
 def top_k(candidates: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, vec_id, score) of each query's k best candidates; both frames as `usable` gives them."""
-    spark = candidates.sparkSession
-    n, m = candidates.count(), queries.count()
-    shards, blocks = n // SHARD_ROWS + 1, m // BLOCK_ROWS + 1
-    sample = candidates.orderBy(F.xxhash64("id"), "id").limit(SEED_ROWS).toPandas()
-    seeds = spark.sparkContext.broadcast(sample)
-
-    def lower(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The k-th best of the sampled candidates for each query; null if there are fewer than k."""
-        known = {dim: (matrix(g["v"], dim), g["id"].to_numpy()) for dim, g in seeds.value.groupby("dim")}
-        for batch in batches:
-            floors = []
-            for own, dim, v in zip(batch["id"], batch["dim"], batch["v"], strict=True):
-                floors.append(None)
-                if dim in known:
-                    points, ids = known[dim]
-                    scores = (points @ matrix(pd.Series([v]), dim)[0])[ids != own]
-                    if len(scores) >= k:
-                        floors[-1] = float(np.partition(scores.astype(np.float64), -k)[-k])
-            yield batch.assign(floor=pd.Series(floors, dtype="float64", index=batch.index))
-
-    asked = queries.mapInPandas(lower, "id long, dim int, v binary, floor double")
-    asked = asked.withColumn("block", F.pmod(F.xxhash64(F.lit("q"), "id"), F.lit(blocks))).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    held = candidates.withColumn("shard", F.pmod(F.xxhash64(F.lit("c"), "id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for dim, own in right.groupby("dim"):
-            held = left[left["dim"] == dim]
-            points, asks = matrix(held["v"], dim), matrix(own["v"], dim)
-            if points.dtype == object or asks.dtype == object or float(np.abs(points).max(initial=0)) * float(np.abs(asks).max(initial=0)) * dim >= 2**53:
-                points, asks = points.astype(object), asks.astype(object)
-                if len(points) and not isinstance(points[0, 0], int):
-                    points, asks = np.vectorize(int, otypes=[object])(points), np.vectorize(int, otypes=[object])(asks)
-            tree = BallTree(points, held["id"].to_numpy())
-            for query, at, floor in zip(asks, own["id"], own["floor"], strict=True):
-                low = -np.inf if pd.isna(floor) else floor * (1 - 1e-12 * np.sign(floor))
-                rows += [(at, i, s) for s, i in tree.search(query, at, k, low)]
-        return pd.DataFrame({"query_id": [r[0] for r in rows], "vec_id": [r[1] for r in rows], "score": [r[2] for r in rows]}, columns=["query_id", "vec_id", "score"])
-
-    part = held.groupBy("dim", "shard", "block").cogroup(asked.groupBy("dim", "shard", "block")).applyInPandas(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return part.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scratch, kept = Scratch(candidates.sparkSession), Scratch(candidates.sparkSession)
+    pivots = _pivots(candidates)
+    trees = scratch.table(shard_trees(in_cells(distinct_enough(candidates, k), pivots)), "trees")
+    blocks = scratch.table(query_blocks(in_cells(queries, pivots)), "query-blocks")
+    shards = trees.drop("tree")
+    first = scratch.table(_searched(_tiles(blocks, shards, True), blocks, trees, k), "first-wave")
+    kth = first.withColumn("rank", _place(k)).where(F.col("rank") == k).groupBy(*BLOCK).agg(F.collect_list(F.struct("at", "score")).alias("known"))  # at most a block's queries
+
+    def floors(row: pd.DataFrame) -> pd.DataFrame:
+        known = row.pop("known").iloc[0]
+        floor = np.full(len(pickle.loads(row["asks"].iloc[0])[0]), -np.inf)
+        for r in () if known is None else known:
+            floor[r["at"]] = r["score"] - abs(r["score"]) * 1e-12
+        return row.assign(floors=[pickle.dumps(floor)])
+
+    raised = scratch.table(blocks.join(kth, BLOCK, "left").groupBy(*BLOCK).applyInPandas(floors, "dim int, q_cell int, q_salt int, asks binary, floors binary"), "raised")
+    second = _searched(_tiles(raised, shards, False), raised, trees, k)
+    found = kept.table(first.unionByName(second).withColumn("rank", _place(k)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "best")
+    scratch.drop()
+    return found
 
 
 def search_report(embeddings: DataFrame, k: int = 5) -> DataFrame:
     """op7: the five best of all other vectors for each vector whose id is divisible by 50."""
-    rows = materialize(usable(embeddings, "vec_id", "embedding"), "vectors")
-    return top_k(rows, rows.where("id % 50 = 0"), k)
+    scratch = Scratch(embeddings.sparkSession)
+    rows = scratch.table(usable(embeddings, "vec_id", "embedding"), "vectors")
+    found = top_k(rows, rows.where("id % 50 = 0"), k)
+    scratch.drop()
+    return found
