@@ -4,15 +4,17 @@ One SimHash is too coarse for that similarity (half of such pairs differ in more
 so each text gets SEEDS independent fingerprints of its distinct words. Covering masks give all pairs within RADIUS bits a
 common bucket under each of them. Beside them BANDS buckets come from the five-word shingles themselves, each keyed by WIDE
 minima: a pair of Jaccard j lacks a common one with probability (1 - j**WIDE)**BANDS, 3e-6 at 0.8, whatever the edits are (a
-longer or shorter tail and a replaced block move the fingerprints of words too far). Inside a bucket a breadth-first
-search runs over all pairs whose sketches of five-word shingles agree loosely, so that a text joins a group over any member's
-link and no link of an absorbed text is lost. A bucket with many texts is dealt into shares, every pair of which meets in one task.
+longer or shorter tail and a replaced block move the fingerprints of words too far). Keys are counted first; only those that several
+texts have meet their texts. Inside a bucket a breadth-first search runs over all pairs whose sketches of five-word
+shingles agree loosely, so that a text joins a group over any member's link and no link of an absorbed text is lost. A bucket of a
+mask with many texts is divided by further covering masks over the bits that the first one left free; a bucket
+that is large even so, or comes from shingles, is dealt into shares, every pair of which meets in one task.
 
 The groups that come of it only say which texts to compare: inside them the sets of shingles (64-bit hashes) are compared, and
 texts of an exact Jaccard of 0.8 or more are linked. Large groups are dealt like large buckets.
 
 Defined cases: texts without words are equal to each other; texts of fewer than five words have one shingle of all words;
-equal texts are one node; null ids come after all others; an empty table gives an empty result."""
+equal texts are one node; null ids come after all others; columns of any name are carried as they are; an empty table gives an empty result."""
 
 from __future__ import annotations
 
@@ -24,17 +26,19 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import coded, decoded, materialize, text_or_empty
+from kilnspark.llm.common import MARK_BITS, Scratch, bit_table, coded, decoded, text_or_empty
 from kilnspark.llm.graph import connected_components
 from kilnspark.llm.simhash import LOWER, WORD, covering_masks
 
 SHINGLE = 5
-SEEDS = 6
+SEEDS = 2
 RADIUS = 3
 #: Minima of a sketch; the share of agreeing ones that makes a candidate (standard error at 0.8: 0.020).
 MINIMA, LOOSE = 384, 0.72
 #: A candidate group is dealt into shares: SPREAD at most, as long as a share stays below SHARE_SHINGLES (memory of a task).
 SPREAD, SPREAD_SHINGLES, SHARE_SHINGLES = 8, 1 << 16, 1 << 19
+#: Buckets of a mask with more texts are divided by further masks.
+DIVIDE_ABOVE = 512
 #: Larger buckets are dealt into shares of about so many texts, and each pair of shares meets.
 SALT_ABOVE = 4096
 #: Texts whose neighbours are sought at once.
@@ -43,6 +47,9 @@ FRONT = 16
 BANDS, WIDE = 32, 5
 KNOWN = 100_000
 MASKS = covering_masks(list(range(64)), RADIUS)
+#: Under each mask, those that divide its buckets; as one array of unsigned numbers each.
+DIVIDED = np.array([[m | s for s in covering_masks([b for b in range(64) if not m >> b & 1], RADIUS)] for m in MASKS], np.uint64)
+MASKED = np.array(MASKS, np.uint64)
 _random = np.random.default_rng(20)
 MIX = _random.integers(1 << 62, 1 << 63, SEEDS, dtype=np.uint64) | np.uint64(1)
 FACTORS = _random.integers(1, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -50,8 +57,16 @@ SHIFTS = _random.integers(0, 1 << 32, MINIMA, dtype=np.uint64).astype(np.uint32)
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def named_keys(values: np.ndarray, first: int) -> np.ndarray:
+    """64-bit keys of values under the tables numbered from `first` on, along the last axis."""
+    with np.errstate(over="ignore"):
+        x = (values.astype(np.uint64) + BASE * np.arange(first, first + values.shape[-1], dtype=np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+        return (x ^ (x >> np.uint64(29))).view(np.int64)
+
+
 class Describer:
-    """Fingerprints, keys of the bands and sketch of a text; remembers the hashes of words."""
+    """Fingerprints, keys of all buckets and sketch of a text; remembers the hashes of words."""
 
     def __init__(self) -> None:
         self.known: dict[str, int] = {}
@@ -73,10 +88,13 @@ class Describer:
 
     def __call__(self, text: str) -> tuple[list[int], np.ndarray, bytes]:
         h = self.words(text)
-        if not len(h):
-            return [0] * SEEDS, np.zeros(BANDS, np.int64), bytes(MINIMA)
-        with np.errstate(over="ignore"):
-            return [self._simhash(np.unique(h), m) for m in MIX], *self._sketch(h)
+        prints, bands, sketch = [0] * SEEDS, np.zeros(BANDS, np.uint64), bytes(MINIMA)
+        if len(h):
+            with np.errstate(over="ignore"):
+                prints = [self._simhash(np.unique(h), m) for m in MIX]
+                bands, sketch = self._sketch(h)
+        masked = np.array(prints, np.int64).view(np.uint64)[:, None] & MASKED
+        return prints, named_keys(np.concatenate([masked.ravel(), bands]), 0), sketch
 
     @staticmethod
     def _simhash(words: np.ndarray, mix: np.uint64) -> int:
@@ -105,21 +123,21 @@ class Describer:
         for minimum in least[: BANDS * WIDE].reshape(BANDS, WIDE).T:
             keys = (keys + minimum) * BASE
             keys ^= keys >> np.uint64(31)
-        return keys.view(np.int64), ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+        return keys, ((least * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
 def describe(documents: DataFrame) -> DataFrame:
-    """(__id, __print, nid, fps, bands, sketch): __print is the text's MD5, nid its 64-bit hash."""
+    """(__id, __print, nid, fps, keys, sketch): __print is the text's MD5, nid its 64-bit hash."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         of = Describer()
         for batch in batches:
             both = [of(t) for t in batch.pop("__text")]
-            yield batch.assign(fps=[b[0] for b in both], bands=[b[1] for b in both], sketch=[b[2] for b in both])
+            yield batch.assign(fps=[b[0] for b in both], keys=[b[1] for b in both], sketch=[b[2] for b in both])
 
     text = text_or_empty().cast("string")
     rows = documents.select(coded(F.col("doc_id")).alias("__id"), F.md5(F.encode(text, "UTF-8")).alias("__print"), F.xxhash64(text).alias("nid"), text.alias("__text"))
-    return rows.mapInPandas(run, "__id long, __print string, nid long, fps array<long>, bands array<long>, sketch binary").withColumn("__id", decoded(F.col("__id")))
+    return rows.mapInPandas(run, "__id long, __print string, nid long, fps array<long>, keys array<long>, sketch binary").withColumn("__id", decoded(F.col("__id")))
 
 
 def _spread(n: int, near: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[tuple[int, int]]:
@@ -192,26 +210,62 @@ def dealt_blocks(rows: DataFrame, parts: Column, name: str = "nid") -> DataFrame
     return spread.select(*rows.columns, F.least("__share", "__other").alias("i"), F.greatest("__share", "__other").alias("j"))
 
 
-def similar_links(nodes: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes (nid, fps, bands, sketch; nid distinct) that share a bucket and whose sketches agree by LOOSE;
+def _several(keyed: DataFrame) -> DataFrame:
+    """(key, n) of the keys that several rows have."""
+    return keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+
+
+def shared_buckets(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, nid, n) of the buckets with several of the nodes (nid, fps, keys).
+
+    The keys of all nodes are shuffled once, alone, to count them. A bit table of fixed size then holds back most
+    rows whose key nothing shares (the more it is filled, the fewer; never a shared one), and the rest meets the counts."""
+    shared = scratch.table(_several(nodes.select(F.explode("keys").alias("key"))), "shared-keys")
+    mark = F.shiftrightunsigned("key", 64 - MARK_BITS)
+    table = nodes.sparkSession.sparkContext.broadcast(bit_table(shared.select(mark.alias("mark"))))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = table.value
+        for batch in batches:
+            keys = np.array(batch["keys"].tolist(), np.int64).reshape(len(batch), -1)
+            at = (keys.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+            row, slot = np.nonzero(bits[at >> 3] >> (7 - (at & 7)) & 1)
+            yield pd.DataFrame({"nid": batch["nid"].to_numpy()[row], "key": keys[row, slot], "slot": slot})
+
+    first = nodes.select("nid", "keys").mapInPandas(keep, "nid long, key long, slot int")
+    held = scratch.table(first.join(shared, "key"), "buckets")
+    large = (F.col("n") > DIVIDE_ABOVE) & (F.col("slot") < SEEDS * len(MASKS))
+
+    def divide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            slot = batch["slot"].to_numpy()
+            prints = np.array(batch["fps"].tolist(), np.int64).reshape(len(batch), SEEDS)[np.arange(len(batch)), slot // len(MASKS)]
+            under = prints.view(np.uint64)[:, None] & DIVIDED[slot % len(MASKS)]
+            keys = named_keys(under + slot[:, None].astype(np.uint64) * MIX[0], SEEDS * len(MASKS) + BANDS)
+            yield pd.DataFrame({"nid": np.repeat(batch["nid"].to_numpy(), len(MASKS)), "key": keys.ravel()})
+
+    parts = held.where(large).select("nid", "slot").join(nodes.select("nid", "fps"), "nid").mapInPandas(divide, "nid long, key long")
+    divided = scratch.table(parts, "divided")
+    return held.where(~large).select("key", "nid", "n").unionByName(divided.join(_several(divided), "key").select("key", "nid", "n"))
+
+
+def similar_links(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Links (a, b) between nodes (nid, fps, keys, sketch; nid distinct) that share a bucket and whose sketches agree by LOOSE;
     they connect what all such pairs connect."""
     n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    signed = [m - (1 << 64) if m >> 63 else m for m in MASKS]
-    masked = [F.struct(F.lit(s * len(MASKS) + i).alias("t"), F.get("fps", F.lit(s)).bitwiseAND(F.lit(m)).alias("key")) for s in range(SEEDS) for i, m in enumerate(signed)]
-    banded = [F.struct(F.lit(len(masked) + i).alias("t"), F.get("bands", F.lit(i)).alias("key")) for i in range(BANDS)]
-    keyed = nodes.select("nid", F.explode(F.array(*masked, *banded)).alias("x")).select("nid", "x.t", "x.key")
+    held = shared_buckets(nodes, scratch)
     # buckets of the same texts (count and sum of hashes) are one
-    counts = keyed.groupBy("t", "key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("nid").cast("decimal(20,0)")).alias("all")).where("n > 1")
-    one = materialize(counts.groupBy("n", "all").agg(F.min(F.struct("t", "key")).alias("x")).select("x.t", "x.key", "n"), "bucket-sizes")
-    held = dealt_blocks(keyed.join(one, ["t", "key"]).select("t", "key", "nid", "n"), F.floor(F.col("n") / SALT_ABOVE) + 1)
-    told = held.join(nodes.select("nid", "sketch"), "nid")
+    whole = held.groupBy("key").agg(F.count("*").alias("n"), F.sum(F.xxhash64("nid").cast("decimal(20,0)")).alias("all"))
+    one = scratch.table(whole.groupBy("n", "all").agg(F.min("key").alias("key")).select("key"), "distinct-buckets")
+    dealt = dealt_blocks(held.join(one, "key"), F.floor(F.col("n") / SALT_ABOVE) + 1)
+    told = dealt.select("key", "i", "j", "nid").join(nodes.select("nid", "sketch"), "nid")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups = _groups(batches, ["t", "key", "i", "j"], ["nid", "sketch"])
+        groups = _groups(batches, ["key", "i", "j"], ["nid", "sketch"])
         yield from _frames(_sketch_links(np.frombuffer(b"".join(x), np.uint8).reshape(-1, MINIMA), ids) for ids, x in groups)
 
-    dealt = told.repartition(n, "t", "key", "i", "j").sortWithinPartitions("t", "key", "i", "j", "nid")
-    return dealt.select("t", "key", "i", "j", "nid", "sketch").mapInPandas(run, "a long, b long").distinct()
+    ordered = told.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "nid")
+    return ordered.select("key", "i", "j", "nid", "sketch").mapInPandas(run, "a long, b long").distinct()
 
 
 def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
@@ -265,16 +319,25 @@ def exact_links(sets: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of `docs` for each group of near-duplicates, all columns: the least doc_id (null last), then the least MD5 of the text."""
-    rows = materialize(describe(docs), "described")
-    nodes = materialize(rows.groupBy("nid").agg(F.min("__print").alias("__first"), F.min_by("fps", "__print").alias("fps"), F.min_by("bands", "__print").alias("bands"), F.min_by("sketch", "__print").alias("sketch")), "nodes")
-    loose = connected_components(similar_links(nodes.select("nid", "fps", "bands", "sketch"))).withColumnRenamed("node", "nid")
-    members = materialize(nodes.select("nid", "__first").join(loose, "nid"), "candidates")
-    sets = materialize(shingle_sets(docs, members), "shingle-sets")
+    scratch, last = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    rows = scratch.table(describe(docs), "described")
+    best = rows.groupBy("nid").agg(F.min_by(F.struct("__print", "fps", "keys", "sketch"), "__print").alias("x"))
+    nodes = scratch.table(best.select("nid", F.col("x.__print").alias("__first"), "x.fps", "x.keys", "x.sketch"), "nodes")
+    loose = connected_components(similar_links(nodes, scratch)).withColumnRenamed("node", "nid")
+    members = scratch.table(nodes.select("nid", "__first").join(loose, "nid"), "candidates")
+    sets = scratch.table(shingle_sets(docs, members), "shingle-sets")
     found = connected_components(exact_links(sets)).withColumnRenamed("node", "nid")
-    named = materialize(nodes.join(found, "nid", "left").select("nid", "__first", F.coalesce("component", "nid").alias("component")), "named")
+    named = scratch.table(nodes.join(found, "nid", "left").select("nid", "__first", F.coalesce("component", "nid").alias("component")), "named")
     # two texts with one 64-bit hash stay two: the one that is not the node's own is a group of its own
     own = rows.select("__id", "__print", "nid").join(named, "nid").withColumn("__apart", F.when(F.col("__print") != F.col("__first"), F.col("__print")).otherwise(F.lit("")))
-    first = own.groupBy("component", "__apart").agg(F.min(F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__print").alias("print"))).alias("x"))
-    keep = materialize(first.select(coded(F.col("x.id")).alias("__id"), F.col("x.print").alias("__print")).distinct(), "kept")
-    keyed = docs.withColumn("__id", coded(F.col("doc_id"))).withColumn("__print", F.md5(F.encode(text_or_empty().cast("string"), "UTF-8")))
-    return keyed.join(keep, ["__id", "__print"], "left_semi").dropDuplicates(["__id", "__print"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    key = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__print").alias("print"))
+    first = own.groupBy("component", "__apart").agg(F.min(key).alias("x")).select("x.id", "x.print")
+    counts = rows.groupBy("__id", "__print").agg(F.count("*").alias("n")).where("n > 1")
+    keep = first.join(counts, F.col("id").eqNullSafe(F.col("__id")) & (F.col("print") == F.col("__print")), "left")
+    kept = last.table(keep.select(coded(F.col("id")).alias("__id"), F.col("print").alias("__print"), (F.col("n").isNotNull()).alias("several")).distinct(), "kept")
+    scratch.drop()
+    # a row travels as one struct, so that no column of it can clash with the keys; only rows that repeat as a whole are grouped
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), coded(F.col("doc_id")).alias("__id"), F.md5(F.encode(text_or_empty().cast("string"), "UTF-8")).alias("__print"))
+    single = keyed.join(kept.where("not several"), ["__id", "__print"], "left_semi").select("row.*")
+    several = keyed.join(kept.where("several"), ["__id", "__print"], "left_semi").groupBy("__id", "__print").agg(F.first("row").alias("row"))
+    return single.unionByName(several.select("row.*"))
