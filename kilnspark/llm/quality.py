@@ -52,34 +52,25 @@ SURFACE = N_CLASSES + 5
 WIDTH = SURFACE + WORDS + TRIGRAMS
 
 
-class Trigrams(dict):
-    """Hashed trigrams, remembered."""
-
-    def __missing__(self, gram: str) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        got = self[gram] = WORDS + xxhash.xxh32_intdigest(gram) % TRIGRAMS
-        return got
-
-
 class Describer:
-    """Passage rows of texts; remembers the hashed features of words."""
+    """Passage rows of texts; remembers the hashes of words."""
 
     def __init__(self) -> None:
-        self.known: dict[str, np.ndarray] = {}
-        self.grams = Trigrams()
-
-    def _features(self, word: str) -> np.ndarray:
-        low = word.lower()
-        framed = f"^{low}$"
-        grams = [framed[i : i + 3] for i in range(len(framed) - 2)]
-        got = np.array([xxhash.xxh32_intdigest(low) % WORDS, *map(self.grams.__getitem__, grams)], np.int64)
-        if len(word) <= 32:
-            if len(self.known) >= KNOWN:
-                self.known.clear()
-            self.known[word] = got
+        self.known: dict[str, int] = {}
+
+    def _hash(self, word: str) -> int:
+        if len(self.known) >= KNOWN:
+            self.known.clear()
+        got = self.known[word] = xxhash.xxh32_intdigest(word.lower()) % WORDS
         return got
 
+    @staticmethod
+    def _trigrams(codes: np.ndarray) -> np.ndarray:
+        """Hashes of all trigrams of code points, A-Z folded."""
+        c = codes + np.uint32(32) * ((codes >= 65) & (codes <= 90))
+        h = c[:-2] * np.uint32(2654435761) + c[1:-1] * np.uint32(2246822519) + c[2:] * np.uint32(3266489917)
+        return ((h ^ (h >> np.uint32(15))) * np.uint32(2246822519)) >> np.uint32(16)
+
     def _block(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         count = (len(words) + PASSAGE - 1) // PASSAGE
         lens = np.fromiter(map(len, words), np.int64, len(words))
@@ -96,11 +87,11 @@ class Describer:
         same = np.bincount(of[1:], np.fromiter(map(str.__eq__, words, words[1:]), bool, len(words) - 1), count).astype(np.float32) / n
         mean, short = np.bincount(of, lens, count) / n, np.bincount(of, lens <= 2, count) / n
         surface = np.column_stack([shares, distinct, same, np.minimum(mean, 40) / 10, short, n / PASSAGE]).astype(np.float32)
-        known, fresh = self.known, self._features
-        each = [known.get(w) if w in known else fresh(w) for w in words]
-        width = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.concatenate(each) + np.repeat(of * (WORDS + TRIGRAMS), width)
-        return surface, np.bincount(flat, minlength=count * (WORDS + TRIGRAMS)).reshape(count, -1)
+        known, fresh = self.known, self._hash
+        hashed = np.fromiter((known[w] if w in known else fresh(w) for w in words), np.int64, len(words))
+        counts = np.bincount(of * WORDS + hashed, minlength=count * WORDS).reshape(count, WORDS)
+        at = where[:-2] * TRIGRAMS + self._trigrams(codes) % TRIGRAMS if len(codes) > 2 else np.zeros(0, np.int64)
+        return surface, np.hstack([counts, np.bincount(at, minlength=count * TRIGRAMS).reshape(count, TRIGRAMS)])
 
     def blocks(self, text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(surface, counts of hashed features) of the text's passages, BLOCK of them at a time."""
