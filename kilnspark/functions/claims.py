@@ -32,6 +32,7 @@ from kilnspark.functions.wordlists import (
 
 UNIT = {word: (canonical, kind, factor) for names, canonical, kind, factor in UNITS for word in names.split()}
 DISCOURSE, ANCHORLESS, NEGATIONS, CONTEXTLESS = map(set, (DISCOURSE_WORDS, EXCHANGE_NON_ANCHORS, NEGATION_WORDS, NUMBER_CONTEXT_STOPWORDS))
+#: The patterns of numbers, dates and roles.
 AMOUNT = r"[\d,]+(?:\.\d+)?"
 CURRENCY = re.compile(rf"([\$€£¥])\s*({AMOUNT})")
 PERCENT = re.compile(rf"({AMOUNT})\s*%")

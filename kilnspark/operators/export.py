@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnspark.functions.wordlists import SPAN_PRECISIONS
 from kilnspark.operators.examples import MESSAGES, contents
 
 PROVENANCE = ["source_document_ids", "source_span_ids", "generation_candidate_ids", "content_hash", "split"]
@@ -95,12 +96,104 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def content_root(entries: DataFrame, group: str | None = None) -> DataFrame:
-    """The SHA-256 of the entries' digests in path order; by group if one is named (a release's files are one group)."""
+    """The SHA-256 of the entries' digests in path order; by group if one is named. Each group's digests meet in one row: for groups of a
+    known size (a release's files); `content_tree` is for any number."""
     digests = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda e: e["sha256"]), "")
     grouped = entries.groupBy(group) if group else entries.groupBy()
     return grouped.agg(F.count("*").alias("n_files"), F.sha2(digests, 256).alias("content_root"))
 
 
+def training_rows(examples: DataFrame, key: str = "example_id") -> DataFrame:
+    """Rows for training by topology: prompt, chosen and rejected of a preference; messages and label of a kto (without system turns); messages
+    with the system turns first of any other. The columns of other topologies are null."""
+    pair, kto = F.col("topology") == "preference", F.col("topology") == "kto"
+    turns = F.concat("prompt_messages", "chosen_messages")
+    sides = [F.when(pair, F.col(f"{side}_messages")).alias(side) for side in ("prompt", "chosen", "rejected")]
+    messages = F.when(kto, turns).when(~pair, _chat()).alias("messages")
+    return examples.select(key, "topology", messages, *sides, F.when(kto, F.col("label_or_target")).alias("label"), *PROVENANCE, F.round("quality_score", 4).alias("quality_score"))
+
+
+SPLITS = ["train", "validation", "test"]
+
+
+def _counted(rows: DataFrame, section: str, name: str, domain: list[str] | None = None) -> DataFrame:
+    """(section, name, n): rows by name; names of the domain that no row has count zero."""
+    counts = rows.groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    if domain is not None:
+        every = rows.sparkSession.createDataFrame([(d,) for d in domain], "name string")
+        counts = every.join(counts, "name", "left").select("name", F.coalesce("n", F.lit(0)).alias("n"))
+    return counts.select(F.lit(section).alias("section"), "name", "n")
+
+
+def export_manifest(examples: DataFrame, spans: DataFrame) -> DataFrame:
+    """(section, name, n) of an export: its records, the splits' counts, the documents with the examples that cite them, and how many of the
+    cited spans (span_id, precision) have each precision."""
+    records = examples.agg(F.count("*").alias("n")).select(F.lit("records").alias("section"), F.lit("all").alias("name"), "n")
+    cited = examples.select(F.explode("source_span_ids").alias("span_id")).distinct().join(spans.select("span_id", "precision"), "span_id")
+    documents = examples.select(F.explode(F.array_distinct("source_document_ids")).alias("document"))
+    parts = [_counted(examples, "split", "split", SPLITS), _counted(documents, "document", "document"), _counted(cited, "precision", "precision", SPAN_PRECISIONS)]
+    for part in parts:
+        records = records.unionByName(part)
+    return records
+
+
+def release_files(lines: DataFrame, key: str = "example_id", shard_rows: int = 4096) -> DataFrame:
+    """(path, content) of a release's data: the lines (key, split, line) of each split in shards of about `shard_rows` by a hash of the key, in
+    key order, each line ended by a line feed. Carriage returns before line feeds go."""
+    shards = lines.groupBy("split").agg((F.floor(F.count("*") / shard_rows) + 1).alias("__shards"))
+    number = F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("long") % F.col("__shards")
+    dealt = lines.join(F.broadcast(shards), "split").withColumn("path", F.format_string("data/%s/part-%05d.jsonl", F.col("split"), number))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("k"), F.col("line").alias("l")))), lambda x: x["l"]), "\n")
+    return dealt.groupBy("path").agg(F.replace(F.concat(text, F.lit("\n")), F.lit("\r\n"), F.lit("\n")).alias("content"))
+
+
+def media_type(path: Column) -> Column:
+    return F.when(path.endswith(".jsonl"), "application/x-ndjson").when(path.endswith(".json"), "application/json").when(path.endswith(".md"), "text/markdown").otherwise("application/octet-stream")
+
+
+def bundle_manifest(files: DataFrame) -> DataFrame:
+    """(path, size_bytes, sha256, media_type) of a release's files. Its content root is `content_tree` of these rows."""
+    return manifest(files).withColumn("media_type", media_type(F.col("path")))
+
+
+def verify_bundle(records: DataFrame, files: DataFrame, required: list[str], root: str) -> DataFrame:
+    """(path, problem) of a release against its manifest records: required files that are missing, listed files that are absent or differ in
+    size or digest, and a content root that is not the records'. Files that the manifest does not list are no problem."""
+    have = manifest(files).select("path", F.col("size_bytes").alias("size"), F.col("sha256").alias("digest"))
+    met = records.select("path", "size_bytes", "sha256").join(have, "path", "left")
+    problem = F.when(F.col("digest").isNull(), "absent").when(F.col("digest") != F.col("sha256"), "sha256_mismatch").when(F.col("size") != F.col("size_bytes"), "size_mismatch")
+    listed = met.select("path", problem.alias("problem")).where("problem is not null")
+    needed = files.sparkSession.createDataFrame([(r,) for r in required], "path string")
+    missing = needed.join(have.select("path"), "path", "left_anti").select("path", F.lit("missing_required").alias("problem"))
+    rooted = content_tree(records).where(F.col("content_root") != root).select(F.lit("").alias("path"), F.lit("content_root_mismatch").alias("problem"))
+    return listed.unionByName(missing).unionByName(rooted)
+
+
+def freeze(examples: DataFrame, version_id: str, key: str = "example_id") -> DataFrame:
+    """One row: a version's members (accepted examples), their counts by split, and the root of their content hashes in key order of the tree.
+    Which examples are members is a table of its own (`lifecycle.stamp`), for a version may have any number of them."""
+    members = examples.where("quality_status = 'accepted'")
+    counts = members.agg(F.count("*").alias("member_count"), *[F.count_if(F.col("split") == s).alias(f"{s}_count") for s in SPLITS])
+    root = content_tree(members.select(F.col(key).alias("path"), F.col("content_hash").alias("sha256")))
+    return counts.crossJoin(root.select("content_root")).withColumn("version_id", F.lit(version_id))
+
+
+def content_tree(entries: DataFrame, fan_out: int = 256) -> DataFrame:
+    """One row (n_files, content_root) over any number of (path, sha256): folders named by the first hex digits of a hash of the path, two
+    digits fewer on each level, as many levels as keep a folder to about `fan_out` entries."""
+    n, levels = entries.count(), 0
+    while n > fan_out * 256**levels:
+        levels += 1
+    level = entries.select("path", "sha256", F.lit(1).cast("long").alias("n"), F.sha2("path", 256).alias("__h"))
+    for digits in range(2 * levels, -1, -2):
+        inside = F.array_sort(F.collect_list(F.struct("path", "sha256")))
+        folder = F.substring("__h", 1, digits) if digits else F.lit("")
+        made = level.groupBy(folder.alias("__f")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(inside, lambda e: e["sha256"]), ""), 256).alias("sha256"))
+        level = made.select(F.col("__f").alias("path"), "sha256", "n", F.col("__f").alias("__h"))
+    empty = F.sha2(F.lit(""), 256)
+    return level.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_files"), F.coalesce(F.max("sha256"), empty).alias("content_root"))
+
+
 def verify(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """(path, problem) for files that are missing, unexpected or changed."""
     e, a = expected.select("path", F.col("sha256").alias("want")), actual.select("path", F.col("sha256").alias("have"))

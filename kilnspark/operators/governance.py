@@ -28,6 +28,7 @@ def report_license(declared: Column) -> Column:
     return F.when(declared.isNull() | (declared == ""), "review").when(d.isin(REPORT_LICENSES["blocked"]), "blocked").when(d.isin(REPORT_LICENSES["allowed"]) | inside, "allowed").otherwise("review")
 
 
+#: Patterns by kind, words that make a finding near them sure, kinds that are sure by themselves.
 PATTERNS = {
     "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
@@ -89,9 +90,15 @@ def privacy(documents: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def privacy_report(classified: DataFrame) -> DataFrame:
-    """One row for each classification and kind seen: counts only, so that no list of documents is gathered."""
-    kinds = classified.select("classification", "high_confidence", F.explode_outer("kinds").alias("kind"))
-    return kinds.groupBy("classification", F.coalesce("kind", F.lit("-")).alias("kind")).agg(F.count("*").alias("documents"))
+    """One row: documents, findings of high confidence, the kinds seen (sorted; there are five), how many documents are blocked."""
+    kinds = classified.select(F.explode_outer("kinds").alias("kind")).agg(F.array_sort(F.collect_set("kind")).alias("kinds"))
+    rows = classified.agg(F.count("*").alias("classified_documents"), F.coalesce(F.sum("high_confidence"), F.lit(0)).cast("long").alias("high_confidence_total"), F.count_if(F.col("classification") == "high").alias("n_blocked"))
+    return rows.crossJoin(kinds)
+
+
+def privacy_blocked(classified: DataFrame, key: str) -> DataFrame:
+    """The documents that the report blocks, as rows."""
+    return classified.where(F.col("classification") == "high").select(key)
 
 
 def license_summary(statuses: DataFrame) -> DataFrame:

@@ -55,3 +55,29 @@ def failure_class(name: Column) -> Column:
     low = F.lower(name)
     short = low.contains("timeout") | low.contains("ratelimit") | low.contains("rate_limit") | low.contains("connection")
     return F.when(low == "budgetexceedederror", "budget_exhausted").when(low == "policyblockerror", "policy_block").when(low == "providererror", "provider").when(short, "transient").otherwise("worker_failure")
+
+
+#: Limits in the order in which they are looked at, and what each is compared with.
+LIMITS = ("cost", "calls", "input_tokens", "output_tokens")
+
+
+def budget_checks(calls: DataFrame, job: str, order: list[str], limits: dict[str, int], *, per_model: dict[str, int] | None = None, per_stage: dict[str, int] | None = None) -> DataFrame:
+    """Adds the running spent_* of each job (cost in millionths, calls, tokens; cost by model and by stage too) and exceeded: the first limit
+    that is reached after the call, or null. Limits are inclusive; those that are not given do not count."""
+    w = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    running = {f"spent_{c}": F.sum(F.lit(1) if c == "calls" else F.col("cost_micro" if c == "cost" else c)).over(w) for c in LIMITS}
+    out = calls.withColumns(running)
+    checks = [F.when(F.col(f"spent_{c}") >= limits[c], c) for c in LIMITS if c in limits]
+    for name, caps in (("model", per_model), ("stage", per_stage)):
+        if caps:
+            own = F.sum("cost_micro").over(Window.partitionBy(job, name).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+            cap = F.create_map(*[F.lit(x) for pair in caps.items() for x in pair])
+            out = out.withColumn(f"spent_{name}", own)
+            checks.append(F.when(F.col(f"spent_{name}") >= cap[F.col(name)], f"{name}_cost"))
+    return out.withColumn("exceeded", F.coalesce(*checks) if checks else F.lit(None).cast("string"))
+
+
+def job_estimate(tokens_in: Column, tokens_out: Column, calls: Column, *, price_in: float, price_out: float) -> Column:
+    """US dollars of a job by prices for a million tokens, to six places."""
+    one = tokens_in / F.lit(1_000_000) * F.lit(price_in) + tokens_out / F.lit(1_000_000) * F.lit(price_out)
+    return F.round(one * calls, 6)

@@ -30,9 +30,21 @@ def allocate(spark: SparkSession, families: dict[str, float], total: int, *, top
 
 
 def round_robin(specs: DataFrame, chunks: DataFrame, ordinal: str, chunk_count: int) -> DataFrame:
-    """One row for each planned example: specs in turn over the chunks, each spec from the first chunk on."""
-    slots = specs.select("*", F.explode(F.sequence(F.lit(0), F.col("per_chunk") - 1)).alias("slot")).withColumn(ordinal, F.col("slot") % chunk_count)
-    return slots.join(chunks, ordinal)
+    """One row for each planned example: specs in turn over the chunks, each spec from the first chunk on.
+
+    The planned examples are a range of numbers, cut into tasks like any range; a running sum over the specs (a plan's few rows, in
+    the driver) says whose a number is."""
+    rows = specs.collect()
+    starts, total = [], 0
+    for r in rows:
+        starts.append(total)
+        total += r["per_chunk"]
+    at = sum(((F.col("id") >= F.lit(a)).cast("int") for a in starts), F.lit(0))
+    first = F.get(F.array(*[F.lit(a).cast("long") for a in starts]), at - 1) if starts else F.lit(0).cast("long")
+    slots = specs.sparkSession.range(total).select(at.alias("__spec"), (F.col("id") - first).alias("slot"))
+    named = specs.sparkSession.createDataFrame([(i + 1, *r) for i, r in enumerate(rows)], f"__spec int, {specs.schema.simpleString()[7:-1].replace(':', ' ')}")
+    dealt = slots.join(F.broadcast(named), "__spec").drop("__spec").withColumn(ordinal, F.col("slot") % chunk_count)
+    return dealt.join(chunks, ordinal)
 
 
 def top_up(specs: DataFrame, *, target: int, validated: int, planned: int, maximum: int | None = None) -> DataFrame:

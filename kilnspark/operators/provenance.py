@@ -44,8 +44,14 @@ def missing_minimum(require_evidence: bool = True) -> Column:
     return F.filter(F.array(*marks), lambda m: m.isNotNull())
 
 
+def hash_mismatches(examples: DataFrame, content_hash: Column) -> DataFrame:
+    """(example_id, violation, reference) of examples whose stored content_hash is not the one recomputed from their contents."""
+    changed = examples.where(~F.col("content_hash").eqNullSafe(content_hash))
+    return changed.select("example_id", F.lit("content_hash_mismatch").alias("violation"), F.col("content_hash").alias("reference"))
+
+
 def violations(examples: DataFrame, sources: DataFrame, spans: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(example_id, violation, reference) for every broken link; empty means that the export may go on.
+    """(example_id, violation, reference) for every broken link; empty (with `hash_mismatches` empty too) means that the export may go on.
 
     sources: source_document_id, project_id. spans: span_id, source_document_id. candidates: candidate_id, project_id."""
 

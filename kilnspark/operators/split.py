@@ -24,20 +24,24 @@ def grouped_random(df: DataFrame, group: Column, *, seed: int = 42, train: float
 
 
 def time_based(df: DataFrame, time: str, tie: str, *, train: float = 0.8, validation: float = 0.1) -> DataFrame:
-    """Adds split by chronological position; the day of `time` must not be null."""
-    placed = with_position(df, [F.col(time), F.col(tie)], F.to_date(time), "__at")
+    """Adds split by chronological position; rows without a time come first, equal times go by `tie`.
+
+    A whole-number tie also divides the rows of one time, so that no task has to order a whole day."""
+    whole = df.schema[tie].dataType.typeName() in ("byte", "short", "integer", "long")
+    high = F.floor(F.col(tie) / 65536) if whole else F.lit(0).cast("long")
+    placed = with_position(df, [F.col(time), F.col(tie)], F.struct(F.col(time).alias("t"), high.alias("h")), "__at", F.to_date(time))
     total = df.agg(F.count("*").alias("__total"))
     ratio = F.col("__at").cast("double") / F.col("__total")
     return placed.crossJoin(F.broadcast(total)).withColumn("split", _by_ratio(ratio, train, validation)).drop("__at", "__total")
 
 
 def kfold(df: DataFrame, group: str, *, k: int = 5, fold: int = 0, seed: int = 42) -> DataFrame:
-    """Adds fold and split; groups are dealt by the order of a seeded hash (a deliberate change from a shuffled list)."""
-    digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col(group)), 256)
-    groups = df.select(group).distinct().withColumn("__h", digest)
-    dealt = with_position(groups, [F.col("__h")], F.substring("__h", 1, 3), "__at").select(group, (F.col("__at") % k).cast("int").alias("fold"))
+    """Adds fold and split; groups are dealt by the order of a seeded hash (a deliberate change from a shuffled list). Rows without a group are a
+    group of their own, the first in that order."""
+    groups = df.select(F.col(group).alias("__g")).distinct().withColumn("__h", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("__g")), 256))
+    dealt = with_position(groups, [F.col("__h")], F.substring("__h", 1, 5), "__at", F.substring("__h", 1, 2)).select("__g", (F.col("__at") % k).cast("int").alias("fold"))
     part = F.when(F.col("fold") == fold, "test").when(F.col("fold") == (fold + 1) % k, "validation").otherwise("train")
-    return df.join(dealt, group).withColumn("split", part)
+    return df.join(dealt, F.col(group).eqNullSafe(F.col("__g"))).drop("__g").withColumn("split", part)
 
 
 def manual(df: DataFrame, id_column: str, group: str, mapping: dict[str, str]) -> DataFrame:

@@ -6,14 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.queries import corpus, examples, operations
+from kilnspark.queries import corpus, examples, operations, releases
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {**corpus.QUERIES, **examples.QUERIES, **operations.QUERIES}
+    return {**corpus.QUERIES, **examples.QUERIES, **operations.QUERIES, **releases.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**corpus.ORACLES, **examples.ORACLES, **operations.ORACLES}
+    return {**corpus.ORACLES, **examples.ORACLES, **operations.ORACLES, **releases.ORACLES}

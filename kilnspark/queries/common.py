@@ -71,9 +71,29 @@ def sql_count(x: str, needle: str) -> str:
     return f"((length({x}) - length(replace({x}, {sql_text(needle)}, ''))) // {len(needle)})"
 
 
+def sql_features(x: str, refusal: str) -> dict[str, str]:
+    """The superficial features of a text."""
+    bullets = rf"len(regexp_extract_all({x}, '(?m)^\s*(#|\*|-|\d\.)\s'))"
+    return {
+        "token_count": sql_words(x),
+        "bullet_count": bullets,
+        "heading_count": sql_count(x, "## "),
+        "refusal_count": f"len(regexp_extract_all({x}, {sql_text('(?i)' + refusal)}))",
+        "citation_count": f"{sql_count(x, '[')} + {sql_count(x, ']')}",
+        "punct_count": f"len(regexp_extract_all({x}, '[!?;:]'))",
+        "has_format": f"{bullets} > 0",
+    }
+
+
 def sql_split_case(ratio: str, train: float = 0.8, validation: float = 0.1) -> str:
     return f"CASE WHEN {ratio} < {train}::DOUBLE THEN 'train' WHEN {ratio} < ({train}::DOUBLE + {validation}::DOUBLE) THEN 'validation' ELSE 'test' END"
 
 
 def sql_hash_ratio(key: str, seed: int = 42) -> str:
     return f"(('0x' || substr(sha256('{seed}:' || {key}), 1, 8))::BIGINT)::DOUBLE / 4294967295::DOUBLE"
+
+
+def sql_tree(entries: str) -> str:
+    """Table `tree` (n, root): the content root of `entries` (path, h) as far as two levels of folders hold (65536 entries)."""
+    return f"""folders AS (SELECT substr(sha256(path), 1, 2) AS folder, sha256(string_agg(h, '' ORDER BY path)) AS r FROM {entries} GROUP BY 1),
+        tree AS (SELECT count(*) AS n, CASE WHEN count(*) <= 256 THEN sha256(string_agg(h, '' ORDER BY path)) ELSE (SELECT sha256(string_agg(r, '' ORDER BY folder)) FROM folders) END AS root FROM {entries})"""

@@ -9,18 +9,19 @@ from kilnspark.functions import scalars as S
 from kilnspark.functions import text as T
 from kilnspark.functions.wordlists import INTAKE_LICENSES, REFUSAL_PATTERN, REPORT_LICENSES
 from kilnspark.operators import blocks, governance, split
-from kilnspark.operators.export import content_root, manifest, verify
+from kilnspark.operators.export import content_tree, manifest, verify
 from kilnspark.queries.common import (
     longs,
     sql_any,
     sql_ascii_tokens,
-    sql_count,
+    sql_features,
     sql_hash_ratio,
     sql_injections,
     sql_list,
     sql_norm,
     sql_split_case,
     sql_tokens,
+    sql_tree,
     sql_words,
     table,
 )
@@ -207,11 +208,8 @@ def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def manifest_content_root(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Content roots in two levels, files in folders by a hash of their path, so that no root gathers all digests in one row."""
-    files = _files(spark, sf_dir)
-    entries = manifest(files).withColumn("folder", F.substring(F.sha2("path", 256), 1, 2))
-    folders = content_root(entries, "folder").select(F.col("folder").alias("path"), F.col("content_root").alias("sha256"), "n_files")
-    return folders.agg(F.sum("n_files").alias("n_files"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("path", "sha256"))), lambda e: e["sha256"]), ""), 256).alias("content_root"))
+    """The content root of all documents as files, by a tree of folders, so that no row gathers all digests."""
+    return content_tree(manifest(_files(spark, sf_dir)))
 
 
 def release_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,9 +269,7 @@ ORACLES = {
         SELECT doc_id, source AS group_key, fold, CASE fold WHEN 0 THEN 'test' WHEN 1 THEN 'validation' ELSE 'train' END AS split FROM documents JOIN g USING (source)""",
     "norm_dedup_groups": f"SELECT sha256({sql_norm('text')}) AS chunk_hash, count(*) AS n_docs, min(doc_id) AS first_doc_id FROM documents GROUP BY 1",
     "token_stats": rf"SELECT doc_id, {sql_tokens('text')} AS tokens, len(list_distinct(list_filter(list_transform(string_split({sql_norm('text')}, ' '), lambda t: regexp_replace(t, '[^\p{{L}}\p{{N}}]', '', 'g')), lambda t: t <> ''))) AS lexical, len({sql_ascii_tokens('text')}) AS ascii_tokens FROM documents",
-    "artifact_features": f"""SELECT doc_id, {sql_words('text')} AS token_count, len(regexp_extract_all(text, '(?m)^\\s*(#|\\*|-|\\d\\.)\\s')) AS bullet_count, {sql_count('text', '## ')} AS heading_count,
-        len(regexp_extract_all(text, '(?i){REFUSAL_PATTERN.replace("'", "''")}')) AS refusal_count, {sql_count('text', '[')} + {sql_count('text', ']')} AS citation_count,
-        len(regexp_extract_all(text, '[!?;:]')) AS punct_count, len(regexp_extract_all(text, '(?m)^\\s*(#|\\*|-|\\d\\.)\\s')) > 0 AS has_format FROM documents""",
+    "artifact_features": "SELECT doc_id, " + ", ".join(f"{c} AS {n}" for n, c in sql_features("text", REFUSAL_PATTERN).items()) + " FROM documents",
     "injection_scan": f"SELECT doc_id, len(h) AS n_hits, array_to_string(h, '|') AS hits FROM (SELECT doc_id, {sql_injections('text')} AS h FROM documents)",
     "sentence_split": r"""SELECT doc_id, len(s) AS n_sentences, array_to_string(s, '|') AS sentences FROM (SELECT doc_id, list_filter(list_transform(
         string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) >= 12) AS s FROM documents)""",
@@ -303,7 +299,8 @@ ORACLES = {
         FROM (SELECT page_id, regexp_extract(url, '([^/?#]*)([?#].*)?$', 1) AS n FROM pages)""",
     "ocr_need": "SELECT doc_id, doc_id % 5 <> 0 AND (doc_id % 3 = 1 OR (doc_id % 3 = 2 AND length(text) < 40)) AS needs_ocr FROM documents",
     "prompt_render": "SELECT doc_id, sha256('Given the source material, determine whether the following response is a good or bad answer.' || chr(10) || chr(10) || 'SOURCE MATERIAL:' || chr(10) || text || chr(10) || chr(10) || 'RESPONSE:' || chr(10) || source || chr(10) || chr(10) || 'Answer GOOD or BAD with a one-line reason.') AS prompt_hash FROM documents",
-    "manifest_content_root": """WITH e AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 12, '0') AS path, sha256(text) AS h FROM documents),
-        f AS (SELECT substr(sha256(path), 1, 2) AS folder, count(*) AS n, sha256(string_agg(h, '' ORDER BY path)) AS r FROM e GROUP BY 1) SELECT sum(n)::BIGINT AS n_files, sha256(string_agg(r, '' ORDER BY folder)) AS content_root FROM f""",
+    "manifest_content_root": f"WITH e AS (SELECT 'doc/' || lpad(doc_id::VARCHAR, 12, '0') AS path, sha256(text) AS h FROM documents), {sql_tree('e')} SELECT n AS n_files, root AS content_root FROM tree",
+    "call_fingerprints": r"""WITH t AS (SELECT doc_id, array_to_string(list_transform(string_split(to_json(text)::VARCHAR, ''), lambda c: CASE WHEN unicode(c) < 128 THEN c ELSE printf('\u%04x', unicode(c)) END), '') AS content, least(source, 'src0') AS s1, greatest(source, 'src0') AS s2 FROM documents)
+        SELECT doc_id, sha256('{"messages":[{"content":' || content || ',"role":"user"}],"model":"offline","pt":"1","sampling":{"temperature":0.3},"schema":null,"sources":["' || s1 || '","' || s2 || '"]}') AS fingerprint FROM t""",
     "release_verify": """SELECT 'doc/' || lpad(doc_id::VARCHAR, 12, '0') AS path, CASE doc_id % 10 WHEN 3 THEN 'changed' WHEN 5 THEN 'missing' ELSE 'unexpected' END AS problem FROM documents WHERE doc_id % 10 IN (3, 5, 7)""",
 }

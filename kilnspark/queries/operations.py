@@ -149,7 +149,7 @@ def plan_round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each planned example with the document that it is generated from; the plan holds as many examples as there are documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
     n = docs.count()
-    ordinals = split.with_position(docs, [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), "ordinal")
+    ordinals = split.with_position(docs, [F.col("doc_id")], F.floor(F.col("doc_id") / 4096), "ordinal", F.floor(F.col("doc_id") / (1 << 24)))
     plan = planner.round_robin(planner.allocate(spark, FAMILIES, n), ordinals, "ordinal", n)
     return longs(plan.select("topology", "task_family", "difficulty", "slot", "doc_id"))
 
