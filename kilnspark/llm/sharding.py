@@ -1,6 +1,6 @@
 """Shards along a Hilbert curve.
 
-Several metadata dimensions are quantised by the quantiles of all rows; rows are ordered by their cell's index on the
+Several metadata dimensions are quantised by the quantiles of all rows (strings by their whole values); rows are ordered by their cell's index on the
 Hilbert curve, then by id, and the order is cut into runs of equal row counts. Each shard then covers a compact
 region of every dimension, so that a filter on any of them prunes whole files.
 
@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import global_rank, materialize, pick, text_or_empty
+from kilnspark.llm.common import Scratch, global_rank, materialize, pick, text_or_empty
 
 BITS = 4
 #: Ids are cut at so many quantiles inside each cell, so that no cell is ordered by a single task.
@@ -50,12 +50,6 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def ordered_number(name: str) -> Column:
-    """A long in the order of a string's first seven bytes (null: -1)."""
-    digits = F.rpad(F.hex(F.encode(F.col(name), "UTF-8")), 14, "0")
-    return F.coalesce(F.conv(digits, 16, 10).cast("long"), F.lit(-1))
-
-
 def level(value: Column, cuts: list) -> Column:
     """How many of the cuts lie at or below the value."""
     out = F.lit(0)
@@ -70,15 +64,39 @@ def quantile_cuts(df: DataFrame, parts: dict[str, int]) -> dict[str, list]:
     return {c: sorted(set(row[c] or [])) for c in parts}
 
 
+def text_cuts(df: DataFrame, name: str, parts: int) -> list[str]:
+    """At most parts - 1 values of a string column that cut its rows (nulls left out) into runs of nearly equal counts.
+
+    Whole values are compared: they are counted, sorted in ranges, and each is placed by the rows before it. Only the cuts leave the executors."""
+    scratch = Scratch(df.sparkSession)
+    counts = df.select(F.col(name).alias("value")).where(F.col("value").isNotNull()).groupBy("value").agg(F.count("*").alias("n"))
+    ranges = scratch.table(counts.orderBy("value").withColumn("range", F.spark_partition_id()), "shard-values")
+    sizes = ranges.groupBy("range").agg(F.sum("n").alias("m"))
+    earlier = sizes.select("range", (F.sum("m").over(Window.orderBy("range")) - F.col("m")).alias("ahead"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    after = F.col("ahead") + F.sum("n").over(Window.partitionBy("range").orderBy("value"))
+    placed = ranges.join(F.broadcast(earlier), "range").withColumn("after", after)  # one row for each range of the sort
+    crosses = F.expr(f"(after - n) * {parts} div total < least(after * {parts} div total, {parts - 1})")
+    cuts = sorted(r["value"] for r in placed.where(crosses).select("value").collect())
+    scratch.drop()
+    return cuts
+
+
 def hilbert_shards(rows: DataFrame, dims: list[str], key: str, shards: int, bits: int = BITS) -> DataFrame:
-    """`rows` with shard (int) and slot (long, gapless from 0); `dims` are long columns, `key` breaks ties on the curve."""
-    cuts = quantile_cuts(rows.withColumn("__key", F.coalesce(F.col(key), F.lit(-(1 << 63)))), {**{d: 1 << bits for d in dims}, "__key": ID_CUTS})
+    """`rows` with shard (int) and slot (long, gapless from 0); `dims` are long or string columns, `key` breaks ties on the curve."""
+    strings = [d for d in dims if dict(rows.dtypes)[d] == "string"]
+    numbers = {d: 1 << bits for d in dims if d not in strings}
+    cuts = quantile_cuts(rows.withColumn("__key", F.coalesce(F.col(key), F.lit(-(1 << 63)))), {**numbers, "__key": ID_CUTS})
+    cuts |= {d: text_cuts(rows, d, (1 << bits) - 1) for d in strings}
+
+    def cell(d: str) -> Column:
+        """A string's level is one more than that of its value, for nulls take the lowest."""
+        return F.coalesce(level(F.col(d), cuts[d]) + 1, F.lit(0)) if d in strings else level(F.col(d), cuts[d])
 
     def index(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for columns in batches:
             yield pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
 
-    on_curve = rows.withColumn("__curve", F.pandas_udf(index, "long")(*[level(F.col(d), cuts[d]) for d in dims]))
+    on_curve = rows.withColumn("__curve", F.pandas_udf(index, "long")(*[cell(d) for d in dims]))
     part = F.coalesce(level(F.col(key), cuts["__key"]), F.lit(0))
     placed = on_curve.withColumn("__bucket", F.col("__curve") * ID_CUTS + part)
     tie = [F.col(key).asc_nulls_first(), *[F.col(c) for c in rows.columns if c != key]]
@@ -98,8 +116,8 @@ def shard_report(documents: DataFrame, shards: int = 40) -> DataFrame:
         "doc_id",
         (F.octet_length(text_or_empty()) + 16).cast("long").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        ordered_number("lang").alias("d_lang"),
-        ordered_number("source").alias("d_source"),
+        F.col("lang").alias("d_lang"),
+        F.col("source").alias("d_source"),
         F.coalesce("doc_id", F.lit(-1)).alias("d_id"),
     )
     rows = materialize(narrow, "shard-metadata")

@@ -247,6 +247,24 @@ def test_shards_are_even_and_gapless(docs, shards):
         assert (r["size"], r["text_crc32"]) == (len(raw) + 16, binascii.crc32(raw))
 
 
+def test_long_source_names_are_told_apart_on_the_curve(spark):
+    rows = [(i, "t", ["en", None][i % 2], f"https://host/{i * 7 % 40:02}" if i % 10 else None) for i in range(1600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    cuts = sharding.text_cuts(frame, "source", 15)
+    values = sorted(r[3] for r in rows if r[3])
+    assert len(cuts) == 14 and all(abs(sum(v < c for v in values) - (k + 1) * len(values) / 15) <= 40 for k, c in enumerate(cuts))
+    assert sharding.text_cuts(frame.where("source is null"), "source", 15) == []
+    by_shard = {}
+    for r in sharding.shard_report(frame, 40).collect():
+        by_shard.setdefault(r["shard"], set()).add(rows[r["doc_id"]][3])
+    assert sum(map(len, by_shard.values())) / 40 < 12  # a shard cut by the order of ids would hold nearly all 37 of them
+
+
+def test_a_hot_source_keeps_its_own_level(spark):
+    frame = spark.createDataFrame([(["hot", "a", "z"][i % 3 if i % 2 else 0],) for i in range(600)], "source string")
+    assert sharding.text_cuts(frame, "source", 15) == ["a", "hot", "z"]
+
+
 # --- op4
 
 
