@@ -57,6 +57,10 @@ def object_key(*parts: Column) -> Column:
     return F.when(safe, F.concat_ws("/", *parts))
 
 
+#: Fields of an example that the generator stamps.
+STAMPED = ("chunk_id", "source_document_id", "source_group_id", "split", "topology")
+
+
 @arrow_udf("string")
 def canonical_hash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """SHA-256 of a JSON text in canonical form (sorted keys, compact, ASCII-escaped); null for text that is no JSON."""
@@ -77,6 +81,64 @@ def call_fingerprint(messages: Column, model: Column, template_version: Column,
     return canonical_hash(F.to_json(whole, {"ignoreNullFields": "false"}))
 
 
+def prompt_fingerprint(template: Column, version: Column, slots: Column, messages: Column) -> Column:
+    """Identity of a rendered prompt: its template, and the hashes of its slots and messages (JSON texts)."""
+    hashed = [F.sha2(canonical_hash(x), 256) for x in (slots, messages)]
+    return F.sha2(F.concat_ws(":", template, version, *hashed), 256)
+
+
+def seeded_id(seed: str, n: Column) -> Column:
+    """The n-th id of a seed: an HMAC-SHA-256 of the number, its first 32 hex digits in the form of a UUID."""
+    key = seed.encode()
+    key = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (F.lit(bytes(b ^ mask for b in key)) for mask in (0x36, 0x5C))
+    mac = F.sha2(F.concat(outer, F.unhex(F.sha2(F.concat(inner, F.encode(n.cast("string"), "UTF-8")), 256))), 256)
+    return F.concat_ws("-", *[F.substring(mac, at, size) for at, size in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+
+
+def schema_hash(schema: dict) -> str:
+    """The short digest of an output schema, whatever the order of its keys."""
+    return "schema:" + hashlib.sha256(json.dumps(schema, sort_keys=True, separators=(",", ":")).encode()).hexdigest()[:16]
+
+
+def output_schema(fields: dict[str, dict], required: list[str], stamped: tuple[str, ...] = STAMPED) -> dict:
+    """The JSON schema that a model has to satisfy; fields that the generator stamps itself are left out."""
+    return {"type": "object", "properties": {k: v for k, v in fields.items() if k not in stamped}, "required": [r for r in required if r not in stamped]}
+
+
+def merged_config(base: dict, over: dict) -> dict:
+    """Settings with others laid over them; maps are merged key by key, everything else is replaced."""
+    both = {k: merged_config(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
+    return {**base, **both}
+
+
+def setting(config: dict, path: str, default=None):
+    """The value at a dotted path, or the default where a part of the path is missing."""
+    for part in path.split("."):
+        if not isinstance(config, dict) or part not in config:
+            return default
+        config = config[part]
+    return config
+
+
+MESSAGE = "struct<role:string,content:string,name:string,tool_call_id:string>"
+
+
+def coerced_messages(body: Column) -> Column:
+    """Messages from a generated body (a JSON array): a missing role is user, a missing content empty; no list at all is one empty user turn."""
+    parsed = F.from_json(body, f"array<{MESSAGE}>")
+    filled = F.transform(parsed, lambda m: F.struct(F.coalesce(m["role"], F.lit("user")).alias("role"), F.coalesce(m["content"], F.lit("")).alias("content"), m["name"].alias("name"), m["tool_call_id"].alias("tool_call_id")))
+    nothing = F.struct(F.lit("user").alias("role"), F.lit("").alias("content"), F.lit(None).alias("name"), F.lit(None).alias("tool_call_id"))
+    return F.coalesce(filled, F.array(nothing).cast(f"array<{MESSAGE}>"))
+
+
+def coerced_evidence(body: Column) -> Column:
+    """Evidence from a generated body (a JSON array): a missing span is empty, a missing support direct; no list at all is none."""
+    parsed = F.from_json(body, "array<struct<span_id:string,support_type:string>>")
+    filled = F.transform(F.filter(parsed, lambda e: e.isNotNull()), lambda e: F.struct(F.coalesce(e["span_id"], F.lit("")).alias("span_id"), F.coalesce(e["support_type"], F.lit("direct")).alias("support_type")))
+    return F.coalesce(filled, F.array().cast("array<struct<span_id:string,support_type:string>>"))
+
+
 def judge_json(x: Column) -> Column:
     """The JSON array in a judge's chatty answer: from the first `[` to the last `]`, code fences gone; null if there is none."""
     return F.nullif(F.regexp_extract(F.regexp_replace(x, "```(?:json)?", ""), r"(?s)(\[.*\])", 1), F.lit(""))

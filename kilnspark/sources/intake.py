@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import io
+import ipaddress
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kilnspark.functions import text as text_functions
+from kilnspark.operators import governance
+
 #: Magic bytes (hexadecimal) and media types; extensions.
 MAGIC = {"255044462D": "application/pdf", "504B0304": "application/zip", "89504E470D0A1A0A": "image/png", "FFD8FF": "image/jpeg"}
 MEDIA = {
@@ -54,7 +59,7 @@ def decode(content: Column) -> Column:
 
 def quarantine_reason(name: Column, size: Column, content: Column, media_type: Column) -> Column:
     """Why a file is held back; null if it is not. A frame of reasons takes the place of exceptions."""
-    broken = (F.locate("00", F.hex(content)) % 2 == 1) | ~F.is_valid_utf8(content.cast("string"))
+    broken = F.contains(F.decode(content, "ISO-8859-1"), F.lit("\0")) | ~F.is_valid_utf8(content.cast("string"))
     return F.when(size == 0, "empty").when(size > MOST_BYTES, "too_large").when(~extension_allowed(name), "extension").when(media_type.isin(BINARY) & broken, "binary")
 
 
@@ -94,6 +99,100 @@ def archive_problems(files: DataFrame, *, members: int = 2000, ratio: float = 20
     return files.select("name", "content").mapInPandas(run, "name string, problem string")
 
 
+def intake_table(files: DataFrame, declared: str) -> DataFrame:
+    """Rows of `read_files` with their declared licence's status and the injection patterns that their text shows (null where held back)."""
+    hits = F.when(F.col("reason").isNull(), text_functions.injection_hits(F.col("text")))
+    return files.withColumn("license_status", governance.intake_license(F.col(declared))).withColumn("injection_hits", hits)
+
+
+#: Suffixes of archive members that are read.
+MEMBERS = (".pdf", ".docx", ".pptx", ".xlsx", ".html", ".htm", ".md", ".txt", ".png", ".jpg", ".jpeg", ".csv", ".json", ".epub")
+
+
+def archive_members(files: DataFrame, suffixes: tuple[str, ...] = MEMBERS) -> DataFrame:
+    """(name, member, content) of the readable members of each zip (name, content), one at a time; encrypted and broken ones are left out, as
+    are archives that are none. `archive_problems` says which archives to open at all."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, content in zip(b["name"], b["content"], strict=True):
+                try:
+                    archive = zipfile.ZipFile(io.BytesIO(bytes(content)))
+                except zipfile.BadZipFile:
+                    continue
+                for info in archive.infolist():
+                    if info.is_dir() or not info.filename.lower().endswith(suffixes):
+                        continue
+                    try:
+                        yield pd.DataFrame({"name": [name], "member": [info.filename], "content": [archive.read(info)]})
+                    except (RuntimeError, zipfile.BadZipFile, NotImplementedError):
+                        continue
+
+    return files.select("name", "content").mapInPandas(run, "name string, member string, content binary")
+
+
+def scanned(files: DataFrame, mode: str = "off", scanners: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
+    """Adds malware: what the scanner of that mode (a column of the content) says, null for clean. Off by default; a mode without a scanner
+    raises, so that no scan that was asked for is left out silently."""
+    if mode in ("", "off", "null"):
+        return files.withColumn("malware", F.lit(None).cast("string"))
+    if mode not in (scanners or {}):
+        raise ValueError(f"no scanner for mode {mode!r}")
+    return files.withColumn("malware", scanners[mode](F.col("content")))
+
+
+def check_local_path(path: str, roots: list[str]) -> str | None:
+    """Why a local path must not be read, on the driver and before `spark.read`; None if it may be: shell syntax, outside the allowed roots,
+    a symbolic link on the way, missing, a special file, a file with several hard links."""
+    if any(c in path for c in "$`;|\n"):
+        return "syntax"
+    given = Path(path).absolute()
+    real, allowed = given.resolve(), [Path(r).resolve() for r in roots]
+    if not any(real.is_relative_to(r) for r in allowed):
+        return "outside"
+    if any(p.is_symlink() for p in (given, *given.parents)):
+        return "symlink"
+    if not real.exists():
+        return "missing"
+    if not (real.is_file() or real.is_dir()):
+        return "special"
+    return "hardlink" if real.is_file() and real.stat().st_nlink > 1 else None
+
+
+#: Hosts of metadata services, and networks that no fetch may reach.
+METADATA_HOSTS = ["metadata.google.internal", "169.254.169.254"]
+PRIVATE_NETWORKS = [
+    "0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24",
+    "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+]
+
+
+def url_problem(url: Column, *, allowlist: tuple[str, ...] = (), allow_http: bool = False) -> Column:
+    """Why a URL must not be fetched, null if it may be: scheme, host, allowlist (`*.name` takes subdomains), metadata, private, credentials.
+
+    Addresses are judged as they are written, names aren't resolved: a fetcher has to judge what they resolve to with the same rules. A host
+    that is a number in another form than four decimal parts is private, as is any IPv6 address that isn't global unicast."""
+    authority = F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)
+    scheme = F.lower(F.regexp_extract(url, r"^([^:/?#]+)://", 1))
+    place = F.regexp_replace(authority, "^.*@", "")
+    v6 = place.startswith("[")
+    host = F.lower(F.when(v6, F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(place, "^([^:]*)", 1)))
+    quad = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
+    number = sum((F.split(host, r"\.")[i].try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0))
+    networks = [ipaddress.ip_network(n) for n in PRIVATE_NETWORKS]
+    inside = F.greatest(*[number.between(int(n.network_address), int(n.broadcast_address)) for n in networks])
+    odd = host.rlike(r"(^|\.)(\d+|0x[0-9a-f]*)\.?$") & ~quad
+    private = F.when(quad, inside).when(v6, ~host.rlike("^[23]")).otherwise(odd | host.rlike(r"(^|\.)localhost\.?$"))
+    listed = F.lit(not allowlist)
+    for name in allowlist:
+        listed = listed | (host.endswith(name[1:]) if name.startswith("*.") else host == name)
+    schemes = ["https", "http"] if allow_http else ["https"]
+    return (
+        F.when(~F.coalesce(scheme.isin(schemes), F.lit(False)), "scheme").when(host == "", "host").when(~listed, "allowlist")
+        .when(host.isin(METADATA_HOSTS), "metadata").when(private, "private").when(~F.regexp_extract(authority, "^(.*)@", 1).isin("", ":"), "credentials")
+    )
+
+
 def redact_locator(url: Column) -> Column:
     """Scheme, host with port, and path; user info, parameters, query and fragment go. Empty becomes `-`; no URL stays."""
     whole = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]+)([^?#]*).*$"

@@ -29,6 +29,23 @@ def blobs(files: DataFrame) -> DataFrame:
     return rows.withColumn("object_path", F.concat_ws("/", F.lit("objects"), F.substring("sha256", 1, 2), "sha256"))
 
 
+def damaged_blobs(stored: DataFrame) -> DataFrame:
+    """(sha256, actual) of stored blobs whose content doesn't give the digest they are kept under."""
+    return stored.select("sha256", F.sha2("content", 256).alias("actual")).where("actual is distinct from sha256")
+
+
+def write_blobs(files: DataFrame, path: str) -> DataFrame:
+    """Writes blobs that the store doesn't hold yet, by the first two digits of their digest; returns what the store holds. The path may be of
+    any file system that Spark can write to."""
+    spark = files.sparkSession
+    new = blobs(files).withColumn("folder", F.substring("sha256", 1, 2))
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        new = new.join(spark.read.parquet(path).select("sha256"), "sha256", "left_anti")
+    new.write.mode("append").partitionBy("folder").parquet(path)
+    return spark.read.parquet(path).drop("folder")
+
+
 def metrics_text(samples: DataFrame) -> DataFrame:
     """(value): count and sum lines of each metric (name, value)."""
     agg = samples.groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
