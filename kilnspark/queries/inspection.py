@@ -25,7 +25,7 @@ def url_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, form in forms.items():
         url = F.when(F.col("page_id") % 8 == k, form).otherwise(url)
     rows = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
-    return rows.select("page_id", "url", intake.url_problem(F.col("url")).alias("problem"))
+    return intake.url_problems(rows, "url")
 
 
 def intake_prescan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,30 +167,32 @@ PRIVATE_NETWORKS = [
 ]
 
 
-def url_problem(url: Column, *, allowlist: tuple[str, ...] = (), allow_http: bool = False) -> Column:
-    """Why a URL must not be fetched, null if it may be: scheme, host, allowlist (`*.name` takes subdomains), metadata, private, credentials.
+def url_problems(df: DataFrame, url: str, *, allowlist: tuple[str, ...] = (), allow_http: bool = False) -> DataFrame:
+    """Adds problem, why a URL must not be fetched, null if it may be: scheme, host, allowlist (`*.name` takes subdomains), metadata, private,
+    credentials.
 
     Addresses are judged as they are written, names aren't resolved: a fetcher has to judge what they resolve to with the same rules. A host
     that is a number in another form than four decimal parts is private, as is any IPv6 address that isn't global unicast."""
     authority = F.regexp_extract(url, r"^[^:/?#]+://([^/?#]*)", 1)
-    scheme = F.lower(F.regexp_extract(url, r"^([^:/?#]+)://", 1))
-    place = F.regexp_replace(authority, "^.*@", "")
-    v6 = place.startswith("[")
-    host = F.lower(F.when(v6, F.regexp_extract(place, r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract(place, "^([^:]*)", 1)))
-    quad = host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    number = sum((F.split(host, r"\.")[i].try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0))
+    rows = df.withColumns({"__authority": authority, "__place": F.regexp_replace(authority, "^.*@", "")})
+    v6, host = F.col("__place").startswith("["), F.col("__host")
+    bare = F.when(v6, F.regexp_extract("__place", r"^\[([^\]]*)", 1)).otherwise(F.regexp_extract("__place", "^([^:]*)", 1))
+    rows = rows.withColumn("__host", F.lower(bare))
+    number = sum((F.split_part(host, F.lit("."), F.lit(i + 1)).try_cast("long") * 256 ** (3 - i) for i in range(4)), F.lit(0))
+    rows = rows.withColumns({"__quad": host.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), "__number": F.when(host.rlike(r"^[\d.]+$"), number)})
     networks = [ipaddress.ip_network(n) for n in PRIVATE_NETWORKS]
-    inside = F.greatest(*[number.between(int(n.network_address), int(n.broadcast_address)) for n in networks])
-    odd = host.rlike(r"(^|\.)(\d+|0x[0-9a-f]*)\.?$") & ~quad
-    private = F.when(quad, inside).when(v6, ~host.rlike("^[23]")).otherwise(odd | host.rlike(r"(^|\.)localhost\.?$"))
+    inside = F.greatest(*[F.col("__number").between(int(n.network_address), int(n.broadcast_address)) for n in networks])
+    odd = host.rlike(r"(^|\.)(\d+|0x[0-9a-f]*)\.?$")
+    private = F.when(F.col("__quad"), inside).when(v6, ~host.rlike("^[23]")).otherwise(odd | host.rlike(r"(^|\.)localhost\.?$"))
     listed = F.lit(not allowlist)
     for name in allowlist:
         listed = listed | (host.endswith(name[1:]) if name.startswith("*.") else host == name)
-    schemes = ["https", "http"] if allow_http else ["https"]
-    return (
-        F.when(~F.coalesce(scheme.isin(schemes), F.lit(False)), "scheme").when(host == "", "host").when(~listed, "allowlist")
-        .when(host.isin(METADATA_HOSTS), "metadata").when(private, "private").when(~F.regexp_extract(authority, "^(.*)@", 1).isin("", ":"), "credentials")
+    scheme = F.lower(F.regexp_extract(url, r"^([^:/?#]+)://", 1))
+    problem = (
+        F.when(~F.coalesce(scheme.isin(["https", "http"] if allow_http else ["https"]), F.lit(False)), "scheme").when(host == "", "host").when(~listed, "allowlist")
+        .when(host.isin(METADATA_HOSTS), "metadata").when(private, "private").when(~F.regexp_extract("__authority", "^(.*)@", 1).isin("", ":"), "credentials")
     )
+    return rows.withColumn("problem", problem).drop("__authority", "__place", "__host", "__quad", "__number")
 
 
 def redact_locator(url: Column) -> Column:

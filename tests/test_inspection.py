@@ -26,12 +26,11 @@ def test_urls_that_must_not_be_fetched(spark):
         "https://172.31.255.255/": "private", "https://2130706433/": "private", "https://0x7f.1/": "private", "https://127.1/": "private", "https://LOCALHOST/": "private",
         "https://[::1]/": "private", "https://[fe80::1]:1/": "private", "https://[2606:4700::1]/": None, "https://u:p@example.org/": "credentials", "https://@example.org/": None,
     }
-    rows = spark.createDataFrame([(u,) for u in want], "url string").select("url", intake.url_problem(F.col("url")).alias("p"))
-    assert {r["url"]: r["p"] for r in rows.collect()} == want
-    listed = intake.url_problem(F.col("url"), allowlist=("example.org", "*.example.net"), allow_http=True)
+    rows = intake.url_problems(spark.createDataFrame([(u,) for u in want], "url string"), "url")
+    assert {r["url"]: r["problem"] for r in rows.collect()} == want
     names = ["http://example.org/", "https://a.example.net/", "https://example.com/", "https://badexample.net/"]
-    got = spark.createDataFrame([(u,) for u in names], "url string").select(listed.alias("p")).collect()
-    assert [r["p"] for r in got] == [None, None, "allowlist", "allowlist"]
+    got = intake.url_problems(spark.createDataFrame([(u,) for u in names], "url string"), "url", allowlist=("example.org", "*.example.net"), allow_http=True).collect()
+    assert [r["problem"] for r in got] == [None, None, "allowlist", "allowlist"]
 
 
 def test_local_paths(tmp_path):
