@@ -1,96 +1,114 @@
-"""Block parsing and structure-aware chunking as folds over a document's lines and blocks."""
+"""Block parsing and structure-aware chunking: one pass over a document's lines, in Arrow batches, linear in the length of a text."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator
+from itertools import groupby
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.functions.text import approximate_tokens, is_blank, strip
+from kilnspark.functions.arrow import arrow_udf
+from kilnspark.functions.text import approximate_tokens, is_blank
 
 BLOCK = "struct<type:string,level:int,text:string,heading_path:array<string>>"
-LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
-
-
-def _block(kind: str, level: Column, text: Column, path: Column) -> Column:
-    return F.struct(F.lit(kind).alias("type"), level.cast("int").alias("level"), text.alias("text"), path.alias("heading_path"))
-
-
-def parse_blocks(text: Column) -> Column:
-    """Headings (with their path), list items and paragraphs of a text, in order."""
-    none = F.lit(None).cast("int")
+UNIT = "struct<text:string,kind:string,heading_path:array<string>>"
+#: How a heading and a list item begin.
+HEADING = re.compile(r"\s{0,3}(#{1,6})\s+(.*)")
+ITEM = re.compile(r"\s{0,3}(?:[-*+]|\d+[.)])\s+(.*)")
 
-    def closed(state: Column) -> Column:
-        """The blocks with the open paragraph, if it holds anything."""
-        body = F.array_join(F.filter(F.transform(state["para"], strip), lambda s: s != ""), " ")
-        return F.when(body == "", state["blocks"]).otherwise(F.concat(state["blocks"], F.array(_block("paragraph", none, body, state["path"]))))
 
-    def state_of(blocks: Column, path: Column, para: Column) -> Column:
-        return F.struct(blocks.alias("blocks"), path.alias("path"), para.alias("para"))
+def blocks_of(text: str | None) -> Iterator[dict]:
+    """Headings (with their path), list items and paragraphs (runs of other lines that aren't blank) of a text, in order."""
+    path: list[str] = []
+    marked = ((HEADING.fullmatch(line), ITEM.fullmatch(line), line.strip()) for line in (text or "").splitlines())
+    for plain, run in groupby(marked, key=lambda m: not m[0] and not m[1] and m[2] != ""):
+        if plain:
+            yield {"type": "paragraph", "level": None, "text": " ".join(line for _, _, line in run), "heading_path": path}
+            continue
+        for heading, item, _ in run:
+            if heading:
+                level, title = len(heading[1]), heading[2].strip()
+                path = [*path[: level - 1], title]
+                yield {"type": "heading", "level": level, "text": title, "heading_path": path}
+            elif item:
+                yield {"type": "list_item", "level": None, "text": item[1].strip(), "heading_path": path}
 
-    def step(state: Column, line: Column) -> Column:
-        marks = F.regexp_extract(line, r"(?U)^\s{0,3}(#{1,6})\s+.*$", 1)
-        item = F.regexp_extract(line, r"(?U)^\s{0,3}(?:[-*+]|\d+[.)])\s+(.*)$", 1)
-        is_item = line.rlike(r"(?U)^\s{0,3}(?:[-*+]|\d+[.)])\s+.*$")
-        title = strip(F.regexp_extract(line, r"(?U)^\s{0,3}#{1,6}\s+(.*)$", 1))
-        level = F.length(marks)
-        path = F.concat(F.slice(state["path"], 1, F.greatest(level - 1, F.lit(0))), F.array(title))
-        empty = F.array().cast("array<string>")
-        return (
-            F.when(level > 0, state_of(F.concat(closed(state), F.array(_block("heading", level, title, path))), path, empty))
-            .when(is_item, state_of(F.concat(closed(state), F.array(_block("list_item", none, strip(item), state["path"]))), state["path"], empty))
-            .when(is_blank(line), state_of(closed(state), state["path"], empty))
-            .otherwise(state_of(state["blocks"], state["path"], F.concat(state["para"], F.array(line))))
-        )
 
-    start = state_of(F.array().cast(f"array<{BLOCK}>"), F.array().cast("array<string>"), F.array().cast("array<string>"))
-    return F.aggregate(F.split(F.coalesce(text, F.lit("")), LINES), start, step, closed)
+@arrow_udf(f"array<{BLOCK}>")
+def parse_blocks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield texts.map(lambda t: list(blocks_of(t)))
 
 
-UNIT = "struct<text:string,kind:string,heading_path:array<string>>"
+KINDS = {"heading": "heading", "list_item": "list_item", "caption": "caption", "table": "table", "table_cell": "table"}
 
 
-def units(blocks: Column) -> Column:
-    """Blocks as chunking units; unknown kinds count as text."""
-    kind = lambda b: F.when(b["type"].isin("heading", "list_item", "caption"), b["type"]).when(b["type"].isin("table", "table_cell"), "table").otherwise("text")
-    return F.transform(blocks, lambda b: F.struct(b["text"].alias("text"), kind(b).alias("kind"), b["heading_path"].alias("heading_path")))
+def unit_of(block: dict) -> dict:
+    """A block as a chunking unit; unknown kinds count as text."""
+    return {"text": block["text"], "kind": KINDS.get(block["type"], "text"), "heading_path": block["heading_path"]}
 
 
-def group_units(of: Column, *, target: int = 900, least: int = 180, most: int = 1400) -> Column:
+def runs_of(units: Iterable[dict], *, target: int = 900, least: int = 180, most: int = 1400) -> Iterator[list[dict]]:
     """Units in runs: a heading opens one; tables close one; lists keep together; text goes by the target and the limits.
 
-    No unit is ever divided."""
-
-    def state_of(done: Column, open_: Column, tokens: Column, in_list: Column) -> Column:
-        return F.struct(done.alias("done"), open_.alias("open"), tokens.cast("int").alias("tokens"), in_list.alias("in_list"))
-
-    nothing = F.array().cast(f"array<{UNIT}>")
-
-    def flushed(s: Column) -> Column:
-        return F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(s["open"]))).otherwise(s["done"])
-
-    def step(s: Column, unit: Column) -> Column:
-        n, one = approximate_tokens(unit["text"]), F.array(unit)
-        opened = state_of(flushed(s), one, n, F.lit(False))
-        added = state_of(s["done"], F.concat(s["open"], one), s["tokens"] + n, s["in_list"])
-        table_alone = state_of(F.concat(flushed(s), F.array(one)), nothing, F.lit(0), F.lit(False))
-        table_with = state_of(F.concat(s["done"], F.array(F.concat(s["open"], one))), nothing, F.lit(0), F.lit(False))
-        table = F.when((F.size(s["open"]) > 0) & (s["tokens"] + n > most), table_alone).otherwise(table_with)
-        so_far = F.when(s["in_list"], s["tokens"]).otherwise(F.greatest(s["tokens"], F.lit(least)))
-        listed = F.when(so_far + n > most, state_of(flushed(s), one, n, F.lit(True))).otherwise(state_of(s["done"], F.concat(s["open"], one), so_far + n, F.lit(True)))
-        breaks = ((s["tokens"] + n > target) & (s["tokens"] >= least)) | (s["tokens"] + n > most)
-        closes = state_of(F.concat(flushed(s), F.array(one)), nothing, F.lit(0), F.lit(False))
-        full = state_of(F.concat(s["done"], F.array(F.concat(s["open"], one))), nothing, F.lit(0), F.lit(False))
-        weightless = (F.size(s["open"]) > 0) & (s["tokens"] == 0) & (n > most)
-        text = F.when(weightless, full).when(breaks, F.when(n >= most, closes).otherwise(opened)).otherwise(F.when(s["tokens"] + n >= most, full).otherwise(added))
-        return F.when(unit["kind"] == "heading", opened).when(unit["kind"] == "table", table).when(unit["kind"] == "list_item", listed).otherwise(text)
-
-    start = state_of(F.array().cast(f"array<array<{UNIT}>>"), nothing, F.lit(0), F.lit(False))
-    return F.aggregate(of, start, step, flushed)
+    No unit is ever divided. Each unit says whether it starts a new run and whether it ends its run."""
+    run: list[dict] = []
+    tokens, listing = 0, False
+    for unit in units:
+        n = max(1, len(unit["text"].split())) if unit["text"] else 0
+        kind, ends, base = unit["kind"], False, tokens
+        if kind == "heading":
+            fresh = True
+        elif kind == "table":
+            fresh, ends = bool(run) and tokens + n > most, True
+        elif kind == "list_item":
+            base = tokens if listing else max(tokens, least)
+            fresh = base + n > most
+        elif run and tokens == 0 and n > most:
+            fresh, ends = False, True
+        else:
+            fresh = tokens + n > most or (tokens >= least and tokens + n > target)
+            ends = n >= most if fresh else tokens + n >= most
+        if fresh and run:
+            yield run
+            run = []
+        run.append(unit)
+        tokens, listing = n if fresh else base + n, kind == "list_item"
+        if ends:
+            yield run
+            run, tokens, listing = [], 0, False
+    if run:
+        yield run
+
+
+def group_units(of: Column, **limits: int) -> Column:
+    """An array of units as an array of runs."""
+
+    @arrow_udf(f"array<array<{UNIT}>>")
+    def grouped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for arrays in batches:
+            yield arrays.map(lambda a: list(runs_of(({k: u[k] for k in ("text", "kind", "heading_path")} for u in a), **limits)))
+
+    return grouped(of)
+
+
+def chunk_groups(text: Column, **limits: int) -> Column:
+    """A text's blocks as units in runs."""
+
+    @arrow_udf(f"array<array<{UNIT}>>")
+    def grouped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: list(runs_of(map(unit_of, blocks_of(t)), **limits)))
+
+    return grouped(text)
 
 
 def chunks(documents: DataFrame, key: str, text: str, carry: tuple[str, ...] = (), **limits: int) -> DataFrame:
     """(key, carried columns, ordinal, main_text, heading_path, n_units, token_count, boundary_reasons) for every chunk of every document."""
-    rows = documents.select(key, *carry, F.posexplode(group_units(units(parse_blocks(F.col(text))), **limits)).alias("ordinal", "group"))
+    rows = documents.select(key, *carry, F.posexplode(chunk_groups(F.col(text), **limits)).alias("ordinal", "group"))
     body = F.array_join(F.filter(F.transform("group", lambda u: u["text"]), lambda t: ~is_blank(t)), "\n")
     rows = rows.select(key, *carry, "ordinal", body.alias("main_text"), F.element_at("group", -1)["heading_path"].alias("heading_path"), F.size("group").alias("n_units"))
     tokens = approximate_tokens(F.col("main_text"))

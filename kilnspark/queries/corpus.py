@@ -93,6 +93,21 @@ def chunk_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(rows.select("doc_id", "ordinal", T.content_handle("ck", F.col("doc_id").cast("string"), F.col("ordinal").cast("string"), F.col("main_text")).alias("chunk_id"), "token_count", F.array_join("boundary_reasons", ",").alias("reasons")))
 
 
+def _as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents below a heading, with two list items behind."""
+    return _docs(spark, sf_dir).select("doc_id", F.concat(F.lit("# Title\r\n\n"), "text", F.lit("\n- item one\n 2) item two")).alias("text"))
+
+
+def block_parse_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _as_markdown(spark, sf_dir).select("doc_id", F.posexplode(blocks.parse_blocks(F.col("text"))).alias("position", "b"))
+    return longs(rows.select("doc_id", "position", "b.type", F.coalesce("b.level", F.lit(0)).alias("level"), "b.text", F.array_join("b.heading_path", " > ").alias("heading_path")))
+
+
+def chunk_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = blocks.chunks(_as_markdown(spark, sf_dir), "doc_id", "text")
+    return longs(rows.select("doc_id", "ordinal", "n_units", "token_count", F.array_join("heading_path", " > ").alias("heading_path")))
+
+
 def _lines_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = _docs(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "main_text"))
     return lines
@@ -236,6 +251,8 @@ QUERIES = {
     "repetition": repetition,
     "block_parse": block_parse,
     "chunk_docs": chunk_docs,
+    "block_parse_markdown": block_parse_markdown,
+    "chunk_markdown": chunk_markdown,
     "chunk_neighbours": chunk_neighbours,
     "license_status_intake": license_status_intake,
     "license_status_report": license_status_report,
@@ -281,6 +298,12 @@ ORACLES = {
     "chunk_docs": f"""SELECT doc_id, 0::BIGINT AS ordinal, 'ck_' || substr(sha256(doc_id || chr(31) || '0' || chr(31) || body), 1, 24) AS chunk_id, {sql_tokens('body')} AS token_count,
         CASE WHEN {sql_tokens('body')} > 1400 THEN 'hard_max_tokens' ELSE '' END AS reasons
         FROM (SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), ' ') AS body FROM documents)""",
+    "block_parse_markdown": """SELECT doc_id, unnest(range(4)) AS position, unnest(['heading', 'paragraph', 'list_item', 'list_item']) AS type, unnest([1, 0, 0, 0])::BIGINT AS level,
+        unnest(['Title', array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> ''), ' '), 'item one', 'item two']) AS text, 'Title' AS heading_path FROM documents""",
+    "chunk_markdown": f"""WITH w AS (SELECT doc_id, {sql_words('text')} AS n FROM documents),
+        c AS (SELECT doc_id, n, unnest(CASE WHEN n >= 1400 THEN [{{'u': 1, 't': 1}}, {{'u': 1, 't': n}}, {{'u': 2, 't': 4}}] WHEN n >= 1398 THEN [{{'u': 2, 't': n + 1}}, {{'u': 2, 't': 4}}]
+            WHEN n >= 1396 THEN [{{'u': 3, 't': n + 3}}, {{'u': 1, 't': 2}}] ELSE [{{'u': 4, 't': n + 5}}] END) AS x FROM w)
+        SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN x.t = n THEN 1 WHEN x.u = 1 AND x.t = 1 THEN 0 WHEN x.t > 4 THEN 0 ELSE 2 END) - 1 AS ordinal, x.u::BIGINT AS n_units, x.t::BIGINT AS token_count, 'Title' AS heading_path FROM c""",
     "chunk_neighbours": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents),
         n AS (SELECT doc_id, ordinal, lag(line) OVER w AS p, lead(line) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))
         SELECT doc_id, ordinal, sha256(concat_ws(chr(10) || chr(10), {_CONTEXT.format(c='p', t='PREVIOUS')}, {_CONTEXT.format(c='q', t='NEXT')})) AS context_hash FROM n""",
