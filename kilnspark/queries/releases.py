@@ -9,6 +9,7 @@ from kilnspark.operators import examples, export, ledger, provenance
 from kilnspark.queries.common import sql_hash_ratio, sql_list, sql_split_case, sql_tree
 from kilnspark.queries.examples import _PRECISION, EXAMPLES, _generated_sql, _located, conversation_examples, generated
 from kilnspark.queries.operations import SQL_EVENTS, _events
+from kilnspark.sources import sinks
 
 BUDGET = {"cost": 400_000, "calls": 12, "input_tokens": 9_000}
 MODEL_CAPS = {"click": 60_000, "purchase": 90_000}
@@ -51,6 +52,10 @@ def release_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.bundle_manifest(export.release_files(lines, shard_rows=64))
 
 
+def publish_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sinks.publication_plan(release_bundle(spark, sf_dir), "datasets/example/")
+
+
 def candidate_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generated(spark, sf_dir).groupBy("topology").agg(F.count("*").alias("n"))
 
@@ -68,6 +73,7 @@ QUERIES = {
     "dataset_version": dataset_version,
     "content_hash_check": content_hash_check,
     "release_bundle": release_bundle,
+    "publish_plan": publish_plan,
     "candidate_counts": candidate_counts,
     "budget_limits": budget_limits,
 }
@@ -98,3 +104,4 @@ ORACLES = {
         SELECT event_id, spent_cost::BIGINT AS spent_cost, spent_calls, spent_input::BIGINT AS spent_input_tokens, spent_model::BIGINT AS spent_model,
             CASE WHEN spent_cost >= {BUDGET['cost']} THEN 'cost' WHEN spent_calls >= {BUDGET['calls']} THEN 'calls' WHEN spent_input >= {BUDGET['input_tokens']} THEN 'input_tokens' WHEN spent_model >= CASE event_type {_CAPPED} END THEN 'model_cost' END AS exceeded FROM r""",
 }
+ORACLES["publish_plan"] = f"SELECT path, size_bytes, sha256, 'datasets/example/' || path AS target, 'dry_run' AS action FROM ({ORACLES['release_bundle']})"

@@ -204,6 +204,17 @@ def redact_locator(url: Column) -> Column:
     return F.when(F.coalesce(url, F.lit("")) == "", "-").when(url.rlike(whole), kept).otherwise(url)
 
 
+def read_table(spark: SparkSession, store: str, name: str, *, key: str | None = None, bounds: tuple[int, int] | None = None, parts: int = 64, **options: str) -> DataFrame:
+    """A table of a store: a folder of Parquet tables, or a database by its JDBC URL, which is read in `parts` ranges of a whole-number key
+    (without a key by one task: for small tables). Filters and columns reach either."""
+    if not store.startswith("jdbc:"):
+        return spark.read.parquet(f"{store.rstrip('/')}/{name}")
+    reader = spark.read.format("jdbc").options(url=store, dbtable=name, **options)
+    if key is not None and bounds is not None:
+        reader = reader.options(partitionColumn=key, lowerBound=bounds[0], upperBound=bounds[1], numPartitions=parts)
+    return reader.load()
+
+
 def folder_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(path, size_bytes, sha256) of all files below a folder, relative to it: what a backup or a release is checked against."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

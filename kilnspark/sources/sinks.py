@@ -46,6 +46,32 @@ def write_blobs(files: DataFrame, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("folder")
 
 
+#: The tables of a run in the order in which they refer to one another.
+GRAPH = ["parsed", "spans", "chunks", "candidates", "examples"]
+
+
+def write_graph(tables: dict[str, DataFrame], path: str) -> DataFrame:
+    """Writes a run's tables below a new folder, each after those that it refers to, and last the number of rows of each: a folder without that
+    table is a run that broke off. Whether references hold is for `provenance.violations` to say before."""
+    unknown = set(tables) - set(GRAPH)
+    if unknown or not tables:
+        raise ValueError(f"tables of a run are {GRAPH}, got {sorted(tables)}")
+    spark = next(iter(tables.values())).sparkSession
+    written = [name for name in GRAPH if name in tables]
+    for name in written:
+        tables[name].write.parquet(f"{path}/{name}")
+    counts = [(name, spark.read.parquet(f"{path}/{name}").count()) for name in written]
+    spark.createDataFrame(counts, "name string, n_rows long").coalesce(1).write.parquet(f"{path}/written")
+    return spark.read.parquet(f"{path}/written")
+
+
+def publication_plan(records: DataFrame, repository: str, *, authorized: bool = False) -> DataFrame:
+    """(path, size_bytes, sha256, target, action) for each manifest record of a release: what would be uploaded where. Without an explicit
+    authorization every action is a dry run; the upload itself is no Spark job."""
+    target = F.concat(F.lit(repository.rstrip("/") + "/"), F.col("path"))
+    return records.select("path", "size_bytes", "sha256", target.alias("target"), F.lit("upload" if authorized else "dry_run").alias("action"))
+
+
 def metrics_text(samples: DataFrame) -> DataFrame:
     """(value): count and sum lines of each metric (name, value)."""
     agg = samples.groupBy("name").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -159,3 +159,18 @@ def test_model_verdicts_hold_a_judge_to_the_citations(spark):
     got = one(spark, judging.model_verdicts(claims, F.lit(text), cited).alias("v"), judging.model_verdicts(claims, F.lit(None).cast("string"), cited).alias("n"))
     assert [(v["verdict"], v["confidence"], v["spans"], v["codes"]) for v in got["v"]] == [("unverified", 0.0, [], ["judge_no_verdict"]), ("entailed", 0.0, ["s"], [])]
     assert [v["codes"] for v in got["n"]] == [["model_verifier_failed"]] * 2
+
+
+def test_a_run_is_written_in_the_order_of_its_references(spark, tmp_path):
+    rows = spark.range(3)
+    counts = sinks.write_graph({"examples": rows, "parsed": rows.limit(2)}, str(tmp_path / "run"))
+    assert {r["name"]: r["n_rows"] for r in counts.collect()} == {"parsed": 2, "examples": 3}
+    assert intake.read_table(spark, str(tmp_path / "run"), "examples").count() == 3
+    with pytest.raises(ValueError):
+        sinks.write_graph({"other": rows}, str(tmp_path / "other"))
+
+
+def test_publication_is_a_dry_run_unless_authorized(spark):
+    records = spark.createDataFrame([("a/b.json", 3, "h")], "path string, size_bytes long, sha256 string")
+    assert sinks.publication_plan(records, "r").first()["action"] == "dry_run"
+    assert tuple(sinks.publication_plan(records, "r/", authorized=True).first()) == ("a/b.json", 3, "h", "r/a/b.json", "upload")
