@@ -20,6 +20,7 @@ from kilnspark.queries.common import (
     sql_list,
     sql_norm,
     sql_split_case,
+    sql_text,
     sql_tokens,
     sql_tree,
     sql_words,
@@ -277,6 +278,28 @@ _CONTEXT = (
     "CASE WHEN {c} IS NOT NULL AND {c} <> '' AND " + sql_tokens("{c}") + " <= 350 THEN '[{t} CONTEXT]' || chr(10) || {c} END"
 )
 
+def _sql_luhn(digits: str) -> str:
+    double = f"list_transform(range(length({digits})), lambda i: ({digits})[length({digits}) - i]::INT * (1 + i % 2))"
+    return f"(length({digits}) NOT IN (13, 15, 16, 19) OR list_sum(list_transform({double}, lambda v: v // 10 + v % 10)) % 10 = 0)"
+
+
+def _sql_personal_data() -> str:
+    """Tables `hits` (place: the start of a match, from the lengths of all matches and gaps before it) and `found`, the findings."""
+    each = [f"SELECT doc_id, text, {sql_text(k)} AS kind, regexp_extract_all(text, {sql_text(p)}) AS raws, string_split_regex(text, {sql_text(p)}) AS gaps FROM documents" for k, p in governance.PATTERNS.items()]
+    size = lambda part: f"coalesce(list_sum(list_transform({part}, lambda s: length(s))), 0)"
+    around = "substr(text, greatest(place - 40, 0) + 1, place + length(raw) + 40 - greatest(place - 40, 0))"
+    sure = f"length(snippet) > 6 AND (kind IN {tuple(governance.SURE)} OR regexp_matches({around}, {sql_text('(?i)' + governance.CONTEXT)}))"
+    return f"""rows AS ({" UNION ALL ".join(each)}),
+        hits AS (SELECT doc_id, text, kind, raws[i] AS raw, trim(raws[i]) AS snippet, regexp_replace(raws[i], '[^0-9]', '', 'g') AS digits, ({size("gaps[1:i]")} + {size("raws[1:i - 1]")})::INTEGER AS place
+            FROM (SELECT *, unnest(range(1, len(raws) + 1)) AS i FROM rows WHERE len(raws) > 0)),
+        found AS (SELECT doc_id, kind, snippet, CASE WHEN {sure} THEN 'high' ELSE 'medium' END AS confidence, place AS position FROM hits
+            WHERE (kind <> 'ipv4' OR len(list_filter(string_split(snippet, '.'), lambda n: n::INT > 255)) = 0) AND (kind <> 'credit_card' OR {_sql_luhn("digits")})),
+        classes AS (SELECT doc_id, CASE WHEN coalesce(sure, 0) >= 2 OR coalesce(grave, false) THEN 'high' WHEN sure = 1 THEN 'moderate' WHEN sure IS NOT NULL THEN 'low' ELSE 'clean' END AS classification, coalesce(sure, 0)::INTEGER AS high_confidence, coalesce(kinds, []) AS kinds
+            FROM documents LEFT JOIN (SELECT doc_id, count(*) FILTER (confidence = 'high') AS sure, bool_or(kind IN ('ssn', 'credit_card')) AS grave, list_sort(list(DISTINCT kind)) AS kinds FROM found GROUP BY 1) USING (doc_id))"""
+
+
+_PERSONAL = _sql_personal_data()
+
 ORACLES = {
     "split_assign": ASSIGNED,
     "split_integrity": f"SELECT count(*) AS group_count, count(*) FILTER (n > 1) AS leaked_count, count(*) FILTER (n > 1) = 0 AS ok FROM (SELECT group_key, count(DISTINCT split) AS n FROM ({ASSIGNED}) GROUP BY 1)",
@@ -307,6 +330,15 @@ ORACLES = {
     "chunk_neighbours": f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS ordinal FROM documents),
         n AS (SELECT doc_id, ordinal, lag(line) OVER w AS p, lead(line) OVER w AS q FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal))
         SELECT doc_id, ordinal, sha256(concat_ws(chr(10) || chr(10), {_CONTEXT.format(c='p', t='PREVIOUS')}, {_CONTEXT.format(c='q', t='NEXT')})) AS context_hash FROM n""",
+    "pii_scan": f"WITH {_PERSONAL} SELECT * FROM found",
+    "privacy_class": f"WITH {_PERSONAL} SELECT * FROM classes",
+    "privacy_report": f"""WITH {_PERSONAL} SELECT count(*) AS classified_documents, sum(high_confidence)::BIGINT AS high_confidence_total, count(*) FILTER (classification = 'high') AS n_blocked,
+        (SELECT list_sort(list(DISTINCT kind)) FROM found) AS kinds FROM classes""",
+    "publication_gate": f"""WITH {_PERSONAL}, s AS (SELECT classification, {SQL_REPORT} AS licence FROM ({DECLARED}) JOIN classes USING (doc_id)),
+        n AS (SELECT count(*) FILTER (licence <> 'allowed' OR classification = 'high') AS unresolved, count(*) FILTER (licence = 'review') AS review, count(*) FILTER (licence = 'blocked') AS blocked FROM s)
+        SELECT unresolved = 0 AS allowed, unresolved, CASE WHEN blocked > 0 THEN 'blocked' WHEN review > 0 THEN 'review' ELSE 'allowed' END AS status,
+            CASE WHEN blocked > 0 THEN blocked || ' source(s) license-blocked' WHEN review > 0 THEN review || ' source(s) pending license/redistribution review' WHEN unresolved > 0 THEN unresolved || ' source(s) not approved for public release'
+            ELSE 'all sources approved for redistribution, no blocked or high-confidence-PII source' END AS reason FROM n""",
     "license_status_intake": f"SELECT doc_id, declared, {SQL_INTAKE} AS status FROM ({DECLARED})",
     "license_status_report": f"SELECT doc_id, declared, {SQL_REPORT} AS status FROM ({DECLARED})",
     "license_summary": f"""SELECT CASE WHEN blocked > 0 THEN 'blocked' WHEN review > 0 THEN 'review' ELSE 'allowed' END AS status, * FROM (SELECT count(*) AS count, count(*) FILTER (s = 'allowed') AS allowed,
