@@ -421,3 +421,14 @@ def test_stream_equals_batch(spark, tmp_path):
     query.awaitTermination(120)
     want = {tuple(r) for r in stream.rate_windows(rows, every="1 hour").collect()}
     assert {tuple(r) for r in spark.sql("SELECT * FROM rates").collect()} == want
+
+
+def test_texts_kept_from_the_scan_hold_nothing(spark):
+    """The JVM's test lets through whatever the scan would find, in Python's sense of digits, spaces and word edges."""
+    from kilnspark.operators import governance
+
+    texts = ["", None, "no data", "a@b.co", "x 123-45-6789.", "٣٤٥-٦٧-٨٩٠١", "4111 1111 1111 1111", "call (555) 123-4567", "555\x1c123\x1f4567", "555 123 4567", "10.0.0.255", "999.1.1.1", "+1 555.123.4567 é", "v1.2.3", "12-34 56"]
+    got = spark.createDataFrame(list(enumerate(texts)), "n int, t string").select("n", governance.scan_personal_data(F.col("t")).alias("f")).collect()
+    found = {r["n"]: [tuple(x) for x in r["f"]] for r in got}
+    assert found == {n: governance.find_personal_data(t) for n, t in enumerate(texts)}
+    assert sum(map(bool, found.values())) >= 9
