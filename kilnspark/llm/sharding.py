@@ -16,11 +16,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import Scratch, global_rank, materialize, pick, text_or_empty
+from kilnspark.llm.common import Scratch, coded, global_rank, materialize, pick, text_or_empty
 
 BITS = 4
-#: Ids are cut at so many quantiles inside each cell, so that no cell is ordered by a single task.
-ID_CUTS = 64
+#: Ids are cut at quantiles, one for so many rows (64 to 4096 of them), so that no cell is ordered by a single task, however many rows it holds.
+CUT_ROWS, LEAST_CUTS, MOST_CUTS = 100_000, 64, 4096
 
 
 def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -59,8 +59,8 @@ def level(value: Column, cuts: list) -> Column:
 
 
 def quantile_cuts(df: DataFrame, parts: dict[str, int]) -> dict[str, list]:
-    """Distinct inner quantiles of each column over all rows: at most parts - 1 numbers each."""
-    row = df.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], 10_000).alias(c) for c, n in parts.items()]).first()
+    """Distinct inner quantiles of each column over all rows: at most parts - 1 numbers each, to an eighth of a part."""
+    row = df.agg(*[F.percentile_approx(c, [i / n for i in range(1, n)], max(10_000, 8 * n)).alias(c) for c, n in parts.items()]).first()
     return {c: sorted(set(row[c] or [])) for c in parts}
 
 
@@ -85,27 +85,29 @@ def hilbert_shards(rows: DataFrame, dims: list[str], key: str, shards: int, bits
     """`rows` with shard (int) and slot (long, gapless from 0); `dims` are long or string columns, `key` breaks ties on the curve."""
     strings = [d for d in dims if dict(rows.dtypes)[d] == "string"]
     numbers = {d: 1 << bits for d in dims if d not in strings}
-    cuts = quantile_cuts(rows.withColumn("__key", F.coalesce(F.col(key), F.lit(-(1 << 63)))), {**numbers, "__key": ID_CUTS})
+    total = rows.count()
+    runs = min(MOST_CUTS, max(LEAST_CUTS, total // CUT_ROWS))
+    cuts = quantile_cuts(rows.withColumn("__key", coded(F.col(key))), {**numbers, "__key": runs})
+    key_cuts = np.array(cuts.pop("__key"), dtype=np.int64)
     cuts |= {d: text_cuts(rows, d, (1 << bits) - 1) for d in strings}
 
     def cell(d: str) -> Column:
         """A string's level is one more than that of its value, for nulls take the lowest."""
         return F.coalesce(level(F.col(d), cuts[d]) + 1, F.lit(0)) if d in strings else level(F.col(d), cuts[d])
 
-    def index(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        for columns in batches:
-            yield pd.Series(hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits))
+    def bucket(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        """The place on the curve, and inside a cell the run of ids."""
+        for keys, *columns in batches:
+            curve = hilbert_index(np.stack([c.to_numpy() for c in columns], axis=1), bits)
+            yield pd.Series(curve * (runs + 1) + np.searchsorted(key_cuts, keys.to_numpy(np.int64), side="right"))
 
-    on_curve = rows.withColumn("__curve", F.pandas_udf(index, "long")(*[cell(d) for d in dims]))
-    part = F.coalesce(level(F.col(key), cuts["__key"]), F.lit(0))
-    placed = on_curve.withColumn("__bucket", F.col("__curve") * ID_CUTS + part)
+    placed = rows.withColumn("__bucket", F.pandas_udf(bucket, "long")(coded(F.col(key)), *[cell(d) for d in dims]))
     tie = [F.col(key).asc_nulls_first(), *[F.col(c) for c in rows.columns if c != key]]
     ranked = global_rank(placed, tie, "__bucket", "__rank")
-    total = rows.count()
     shard = F.expr(f"__rank * {shards}L div {max(total, 1)}L")
     start = F.expr(f"(__shard * {max(total, 1)}L + {shards - 1}L) div {shards}L")
     out = ranked.withColumn("__shard", shard).withColumn("slot", F.col("__rank") - start).withColumn("shard", F.col("__shard").cast("int"))
-    return out.drop("__curve", "__bucket", "__rank", "__shard")
+    return out.drop("__bucket", "__rank", "__shard")
 
 
 def shard_report(documents: DataFrame, shards: int = 40) -> DataFrame:

@@ -247,6 +247,24 @@ def test_shards_are_even_and_gapless(docs, shards):
         assert (r["size"], r["text_crc32"]) == (len(raw) + 16, binascii.crc32(raw))
 
 
+@pytest.mark.parametrize("rows_a_cut", [100_000, 1])
+def test_shards_are_runs_of_all_rows_sorted_on_the_curve(spark, monkeypatch, rows_a_cut):
+    """Against one sort of all rows; more cuts of the ids change no place."""
+    monkeypatch.setattr(sharding, "CUT_ROWS", rows_a_cut)
+    rows = [(None if i % 50 == 0 else (1 << 60) + i * 7 % 1500, i % 7 * 10, f"s{i % 3}" if i % 4 else None, i) for i in range(1500)]
+    frame = spark.createDataFrame(rows, "doc_id long, size long, source string, n long").repartition(5)
+    cuts = sharding.quantile_cuts(frame, {"size": 16})["size"]
+    names = sharding.text_cuts(frame, "source", 15)
+    cells = np.array([[0 if r[2] is None else 1 + bisect.bisect_right(names, r[2]), bisect.bisect_right(cuts, r[1])] for r in rows])
+    curve = sharding.hilbert_index(cells, 4)
+    order = sorted(range(len(rows)), key=lambda i: (curve[i], rows[i][0] is not None, rows[i][0] or 0, rows[i][1], rows[i][2] or "", i))
+    shards = np.arange(len(rows)) * 40 // len(rows)
+    slots = {}
+    expect = {i: (int(s), slots.__setitem__(s, slots.get(s, -1) + 1) or slots[s]) for i, s in zip(order, shards, strict=True)}
+    got = sharding.hilbert_shards(frame, ["source", "size"], "doc_id", 40).collect()
+    assert {r["n"]: (r["shard"], r["slot"]) for r in got} == expect and len(got) == len(rows)
+
+
 def test_long_source_names_are_told_apart_on_the_curve(spark):
     rows = [(i, "t", ["en", None][i % 2], f"https://host/{i * 7 % 40:02}" if i % 10 else None) for i in range(1600)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
@@ -644,6 +662,59 @@ def test_spans():
     assert [k for k, _ in f("secret=" + "ab" * 20)] == ["assign", "hex"]
 
 
+def by_hand(text):
+    """(kind, start, end) of the base rules by walking over the text, without regular expressions."""
+    value, found = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"), []
+
+    def run(at, chars):
+        while at < len(text) and text[at] in chars:
+            at += 1
+        return at
+
+    def assigned(at):
+        for word in ("password", "passwd", "secret", "token", "api_key", "apikey"):
+            if text[at : at + len(word)].translate(simhash.LOWER) == word:
+                p = at + len(word)
+                p += text[p : p + 1] in ("'", '"')
+                p = run(p, " ")
+                if text[p : p + 1] in (":", "="):
+                    p = run(p + 1, " ")
+                    # the quote is optional, but no value starts with one
+                    p += text[p : p + 1] in ("'", '"')
+                    if run(p, value) > p:
+                        return p, run(p, value)
+        return None
+
+    at = 0
+    while at < len(text):
+        hit = assigned(at)
+        if hit and hit[1] - hit[0] >= 8:
+            found.append(("assign", at, hit[1]))
+        at = hit[1] if hit else at + 1
+    for kind, head, chars, least in (("access", "AKIA", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 16), ("hex", "", "0123456789abcdef", 32)):
+        at = 0
+        while at < len(text):
+            end = run(at + len(head), chars) if text.startswith(head, at) else at
+            whole = end > at + len(head)
+            if whole and end - at >= least:
+                found.append((kind, at, end))
+            at = end if whole else at + 1
+    return sorted(found, key=lambda x: (x[1], ("assign", "access", "hex").index(x[0])))
+
+
+def test_base_spans_by_hand(spark):
+    bits = ["password", "PassWd", "secret", "Token", "api_key", "APIKEY", "'", '"', " ", "  ", ":", "=", "abcdefgh", "a1b2", "AKIA", "ABCDEFGHIJKL", "0" * 30, "deadbeef" * 4, "é", "\u212a", "\n", "g", "Z"]
+    rng = np.random.default_rng(5)
+    texts = ["".join(rng.choice(bits, rng.integers(1, 25))) for _ in range(3000)]
+    got = secrets.secret_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(got) == len(texts) and sum(r["n_assign"] for r in got) > 300
+    for r in got:
+        spans = by_hand(texts[r["doc_id"]])
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == kind for k, *_ in spans) for kind in ("assign", "access", "hex")]
+        assert r["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+
+
 def test_ledger_scans_only_what_it_lacks(spark):
     old = spark.createDataFrame([(1, "token=abcdefgh"), (2, "token=abcdefgh"), (3, None)], "doc_id long, text string")
     ledger = secrets.scan_unseen(old)
