@@ -269,6 +269,8 @@ ORACLES = {
     "prompt_fingerprints": f"WITH {_PROMPTS} SELECT doc_id, h AS prompt_fingerprint FROM p",
     "prompt_manifest": f"WITH {_PROMPTS}, e AS (SELECT 'cand_' || doc_id AS path, h FROM p), {sql_tree('e')} SELECT n AS record_count, root AS manifest_root FROM tree",
     "structured_modes": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'json_in_prompt' WHEN event_id % 2 = 0 THEN 'native_jsonschema' ELSE 'constrained_decoding' END AS mode FROM events",
+    "output_schemas": """SELECT t AS topology, 'schema:' || substr(sha256('{"properties":{' || CASE t WHEN 'evaluation' THEN '"question":{"type":"string"},"reference_answer":{"type":"string"}' ELSE '"messages":{"type":"array"}' END
+        || ',"task_family":{"type":"string"}},"required":["task_family"],"type":"object"}'), 1, 16) AS schema_hash FROM (SELECT unnest(['sft', 'preference', 'kto', 'evaluation']) AS t)""",
     "verify_metadata": """WITH s AS (SELECT doc_id, CASE WHEN max(quality) = 1 THEN 'verified' ELSE 'failed' END AS q, CASE WHEN max(toxic) = 1 THEN 'verified' ELSE 'failed' END AS t FROM labels GROUP BY 1)
         SELECT doc_id, q AS verify_state, 'grounding=' || q || ',refusal=' || t AS per_dimension, 'critical_unverified:' || doc_id AS critical_unverified, 'critical_failed:grounding' AS critical_failed FROM s""",
     "model_verdicts": f"WITH {_JUDGED} SELECT * FROM m",
