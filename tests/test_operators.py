@@ -432,3 +432,32 @@ def test_texts_kept_from_the_scan_hold_nothing(spark):
     found = {r["n"]: [tuple(x) for x in r["f"]] for r in got}
     assert found == {n: governance.find_personal_data(t) for n, t in enumerate(texts)}
     assert sum(map(bool, found.values())) >= 9
+
+
+def test_identical_pairs_against_plain_python(spark):
+    """Verdicts of pairs by word sets and character ratio, computed once more without Spark."""
+    import difflib
+    import itertools
+    import re
+
+    from kilnspark.functions.wordlists import PREFERENCE_STOPWORDS
+    from kilnspark.operators import preference
+
+    texts = ["", None, "Rivers carry fine sand to the delta", "rivers  carry fine SAND to the delta", "Rivers carry fine sand to a delta.", "Fine sand: rivers carry it", "Deltas are made of sand", "the of and"]
+    cases = [(i, a, b) for i, (a, b) in enumerate(itertools.product(texts, texts))]
+
+    def expect(a, b):
+        if not a or not b:
+            return "review", "missing_preference_text", None
+        low = [" ".join(x.lower().split()) for x in (a, b)]
+        if low[0] == low[1]:
+            return "invalid", "identical_pair", None
+        sets = [{t for t in re.findall(r"[a-z0-9]+", x) if len(t) >= 2 and t not in PREFERENCE_STOPWORDS} for x in low]
+        words = len(sets[0] & sets[1]) / len(sets[0] | sets[1]) if all(sets) else 0.0
+        near = max(words, difflib.SequenceMatcher(None, *low).ratio())
+        return ("invalid", "near_duplicate_pair", near) if near > 0.85 else ("valid", None, None)
+
+    frame = spark.createDataFrame([(*c, "") for c in cases], "n int, chosen string, rejected string, evidence string")
+    got = {r["n"]: tuple(r["x"]) for r in preference.prepare(frame).select("n", preference.identical().alias("x")).collect()}
+    assert got == {n: expect(a, b) for n, a, b in cases}
+    assert {v[1] for v in got.values()} == {"missing_preference_text", "identical_pair", "near_duplicate_pair", None}
