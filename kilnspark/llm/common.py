@@ -1,61 +1,13 @@
-"""What the operators share: shared-folder tables, exact distributed ranks, the label split."""
+"""What the operators share: bit tables, exact distributed ranks, the label split."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; one of our own only in local mode with that unset."""
-    sc = spark.sparkContext
-    told = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if told:
-        return told.rstrip("/")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="kilnspark-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm, hadoop = spark._jvm, spark._jsc.hadoopConfiguration()
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop).delete(target, True)
-    except Exception:  # noqa: BLE001  the session may be gone when the interpreter ends
-        pass
-
-
-class Scratch:
-    """Written tables in the shared folder: they cut lineage, survive lost executors, are computed once. `drop` frees those that nothing reads
-    any more; what is left goes when the driver ends."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.mode("overwrite").parquet(path)
-        atexit.register(_remove, self.spark, path)
-        self.paths.append(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        while self.paths:
-            _remove(self.spark, self.paths.pop())
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table that stays until the driver ends."""
-    return Scratch(df.sparkSession).table(df, name)
+from kilnspark.operators.shared import Scratch, materialize, shared_dir  # noqa: F401  tables for all operators
 
 
 MARK_BITS = 27

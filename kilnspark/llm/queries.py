@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import fingerprints, packing, pieces, quality, search, secrets, sharding, simhash, toxicity, urls
+from kilnspark.llm import fingerprints, packing, pieces, quality, repair, search, secrets, sharding, simhash, toxicity, trie, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,8 @@ def queries() -> dict[str, Query]:
         "op8_quality_classifier": lambda s, d: quality.quality_report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op9_url_filters": lambda s, d: urls.url_report(_table(s, d, "pages")),
         "op10_secret_scans": lambda s, d: secrets.secret_report(_table(s, d, "documents")),
+        "op12_conversation_prefix_trie": lambda s, d: trie.trie_report(_table(s, d, "conversations")),
+        "op13_conversation_repair": lambda s, d: repair.repair_report(_table(s, d, "conversations")),
     }
 
 
@@ -66,6 +68,58 @@ def _urls_sql() -> str:
         SELECT page_id, host, path, {rule} AS rule, coalesce({own}, CASE WHEN p.node IN (SELECT node FROM s) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
 
 
+def _crc(text: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    octets = f"list_transform(list_filter(string_split({text}, ''), lambda ch: ch <> ''), lambda ch: ascii(ch)::BIGINT)"
+    bits = "list_reduce(list_prepend(xor(acc, x), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]), lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda acc, x: {bits}), 4294967295)"
+
+
+TRIE_SQL = f"""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
+        FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
+    n AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {_crc('conv_id::VARCHAR')} % 6 AS h FROM t GROUP BY 1),
+    c AS (SELECT n.*, least(n.h, coalesce(b.n, 0)) AS m FROM n LEFT JOIN n b ON b.conv_id = n.base),
+    r AS (SELECT c.conv_id, pos - h + m AS depth, role, text FROM t JOIN c USING (conv_id) WHERE pos > h
+        UNION ALL SELECT c.conv_id, pos, role, text FROM t JOIN c ON c.base = t.conv_id WHERE pos <= m),
+    p AS (SELECT conv_id, depth, text, string_agg(md5(md5(role) || md5(text)), '') OVER (PARTITION BY conv_id ORDER BY depth) AS key, max(depth) OVER (PARTITION BY conv_id) AS last FROM r
+        UNION ALL SELECT conv_id, 0, '', '', (SELECT coalesce(max(depth), 0) FROM r WHERE r.conv_id = c.conv_id) FROM c),
+    k AS (SELECT key, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * min(length(text)) AS own,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (depth = last), '')) AS ends FROM p GROUP BY 1),
+    f AS (SELECT left(key, 32 * (depth - 1)) AS key, count(*) AS n FROM k WHERE depth > 0 GROUP BY 1),
+    s AS (SELECT a.key, count(*) FILTER (f.n IS NULL) AS leaves, sum(b.own)::BIGINT AS saved FROM k a JOIN k b ON starts_with(b.key, a.key) LEFT JOIN f ON f.key = b.key GROUP BY 1)
+    SELECT k.conv_id, k.depth, u.conv_id AS parent_conv_id, k.n AS n_convs, coalesce(f.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, k.ends AS ends_sha256
+    FROM k JOIN s USING (key) LEFT JOIN f USING (key) LEFT JOIN k u ON k.depth > 0 AND u.key = left(k.key, 32 * (k.depth - 1))"""
+
+REPAIR_SQL = f"""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        {_crc("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS k FROM conversations),
+    d AS (SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE k WHEN 0 THEN []::INTEGER[] WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM o),
+    p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+    q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS kind,
+        count(*) OVER (PARTITION BY conv_id) AS n FROM p),
+    w AS (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN again THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(kind) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM q),
+    ins(p, j, q, told) AS (VALUES ('0', 0, '0', ''), ('0', 1, 'u', 'u'), ('0', 2, 'a', 'ua'), ('s', 0, 's', ''), ('s', 1, 'u', 'u'), ('s', 2, 'a', 'ua'), ('u', 0, 'u', ''), ('u', 1, 'a', 'a'), ('u', 2, 'u', 'au'), ('a', 0, 'a', ''), ('a', 1, 'u', 'u'), ('a', 2, 'a', 'ua')),
+    op(p, kind, op, q, cost) AS (SELECT p, kind, 'D', p, 3 FROM (VALUES ('0'), ('s'), ('u'), ('a')) s(p), (VALUES ('s'), ('u'), ('a'), ('?')) k(kind)
+        UNION ALL SELECT p, kind, 'R', CASE p WHEN 'u' THEN 'a' ELSE 'u' END, 2 FROM (VALUES ('0'), ('s'), ('u'), ('a')) s(p), (VALUES ('s'), ('u'), ('a'), ('?')) k(kind)
+        UNION ALL VALUES ('0', 's', 'K', 's', 0), ('0', 'u', 'K', 'u', 0), ('s', 'u', 'K', 'u', 0), ('a', 'u', 'K', 'u', 0), ('u', 'a', 'K', 'a', 0)),
+    dp AS (SELECT DISTINCT conv_id, n, 0::BIGINT AS i, ins.q, ins.j * 2 AS cost, repeat('I', ins.j) AS audit, ins.told AS plan FROM w, ins WHERE ins.p = '0'
+        UNION ALL SELECT conv_id, n, i, q, cost, audit, plan FROM (
+            SELECT dp.conv_id, dp.n, dp.i + 1 AS i, ins.q, dp.cost + op.cost + CASE WHEN op.op <> 'D' AND w.fault = 't' THEN 1 ELSE 0 END + 2 * ins.j AS cost, dp.audit || op.op || repeat('I', ins.j) AS audit,
+                dp.plan || CASE WHEN op.op <> 'R' THEN op.op WHEN op.q = 'u' THEN 'U' ELSE 'A' END || ins.told AS plan
+            FROM dp JOIN w ON w.conv_id IS NOT DISTINCT FROM dp.conv_id AND w.pos = dp.i + 1 JOIN op ON op.p = dp.q AND op.kind = w.kind AND (op.op = 'D' OR w.fault NOT IN ('b', 'd')) JOIN ins ON ins.p = op.q)
+            QUALIFY row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) = 1),
+    best AS (SELECT * FROM dp WHERE i = n AND q IN ('0', 'a') QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY cost, audit) = 1),
+    x AS (SELECT conv_id, unnest(regexp_extract_all(plan, '[A-Z]|[a-z]')) AS c, unnest(range(length(plan))) AS step FROM best),
+    y AS (SELECT *, sum((c IN ('D', 'K', 'U', 'A'))::INT) OVER (PARTITION BY conv_id ORDER BY step) AS pos FROM x),
+    z AS (SELECT y.conv_id, step, CASE c WHEN 'u' THEN 'user:' WHEN 'a' THEN 'assistant:' WHEN 'K' THEN w.role || ':' || w.text WHEN 'U' THEN 'user:' || w.text WHEN 'A' THEN 'assistant:' || w.text END AS line
+        FROM y LEFT JOIN w ON w.conv_id IS NOT DISTINCT FROM y.conv_id AND w.pos = y.pos WHERE c <> 'D'),
+    sha AS (SELECT conv_id, sha256(string_agg(line, chr(10) ORDER BY step)) AS sha FROM z GROUP BY 1),
+    f AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+        count(*) FILTER (pos > 1 AND before || kind NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY 1)
+    SELECT i.conv_id, coalesce(f.gaps, 0) AS gaps, coalesce(f.blank, 0) AS blank, coalesce(f.duplicate, 0) AS duplicate, coalesce(f.truncated, 0) AS truncated, coalesce(f.illegal, 0) AS illegal, coalesce(b.cost, 0)::BIGINT AS cost, coalesce(b.audit, '') AS audit, coalesce(s.sha, sha256('')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) i LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM i.conv_id LEFT JOIN sha s ON s.conv_id IS NOT DISTINCT FROM i.conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others need hashes, models or tokenizers that SQL lacks; tests hold them against brute force."""
-    return {"op7_exact_top_k": SEARCH_SQL, "op9_url_filters": _urls_sql()}
+    return {"op7_exact_top_k": SEARCH_SQL, "op9_url_filters": _urls_sql(), "op12_conversation_prefix_trie": TRIE_SQL, "op13_conversation_repair": REPAIR_SQL}
