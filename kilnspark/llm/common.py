@@ -72,21 +72,19 @@ def training_labels(labels: DataFrame, target: str, most: int) -> DataFrame:
 
 
 def bounded_rows(described: DataFrame, target: str, most_bytes: int) -> list:
-    """(doc_id, label, x) of the training rows in the order of `training_labels`, for the driver: one row for each id (the least x), and
-    whole rows from the front of the order as long as their x stay below `most_bytes` together.
+    """(doc_id, label, x) of the training rows in the order of `training_labels`, for the driver: one row for each id (the least x), as many as
+    fit into `most_bytes`. A row that doesn't fit into what is left is skipped, and those after it are tried.
 
     described: the labelled ids' rows with their features x; an id may have any number of them."""
     scratch = Scratch(described.sparkSession)
     rows = scratch.table(described.groupBy("doc_id", "label").agg(F.min("x").alias("x")), "training-rows")
-    keyed = rows.withColumn("place", F.struct(*[c.alias(f"c{i}") for i, c in enumerate(_order(target))]))
-    total, last = 0, None
-    for r in keyed.select("place", F.octet_length("x").alias("n")).orderBy("place").collect():  # as many as there are labels, at most
-        total += r["n"]
-        if total > most_bytes:
-            break
-        last = r["place"]
-    kept = keyed.where(F.col("place") <= F.struct(F.lit(last[0]).alias("c0"), F.lit(last[1]).alias("c1"))) if last else keyed.limit(0)
-    out = kept.orderBy("place").select("doc_id", "label", "x").collect()
+    total, kept = 0, []
+    for r in rows.orderBy(*_order(target)).select("doc_id", F.octet_length("x").alias("n")).collect():  # as many as there are labels, at most
+        if total + r["n"] <= most_bytes:
+            total += r["n"]
+            kept.append((r["doc_id"],))
+    chosen = F.broadcast(described.sparkSession.createDataFrame(kept, "doc_id long"))
+    out = rows.join(chosen, "doc_id", "left_semi").orderBy(*_order(target)).select("doc_id", "label", "x").collect()
     scratch.drop()
     return out
 

@@ -66,10 +66,11 @@ def named_keys(values: np.ndarray, first: int) -> np.ndarray:
 
 
 class Describer:
-    """Fingerprints, keys of all buckets and sketch of a text; remembers the hashes of words."""
+    """Fingerprints, keys of all buckets and sketch of a text, or its set of shingles of any width; remembers the hashes of words."""
 
-    def __init__(self) -> None:
+    def __init__(self, width: int = SHINGLE) -> None:
         self.known: dict[str, int] = {}
+        self.width = width
 
     def _hash(self, word: str) -> int:
         if len(self.known) >= KNOWN:
@@ -84,7 +85,7 @@ class Describer:
     def shingles(self, text: str) -> np.ndarray:
         """The set of shingles, sorted; that of a text without words is one zero."""
         h = self.words(text)
-        return np.unique(self._shingles(h)) if len(h) else np.zeros(1, np.uint64)
+        return np.unique(self._shingles(h, self.width)) if len(h) else np.zeros(1, np.uint64)
 
     def __call__(self, text: str) -> tuple[list[int], np.ndarray, bytes]:
         h = self.words(text)
@@ -106,8 +107,8 @@ class Describer:
         return int(np.packbits(ones * 2 > len(mixed), bitorder="little").view("<i8")[0])
 
     @staticmethod
-    def _shingles(words: np.ndarray) -> np.ndarray:
-        width = min(SHINGLE, len(words))
+    def _shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+        width = min(width, len(words))
         shingles = np.zeros(len(words) - width + 1, np.uint64)
         for i in range(width):
             shingles = shingles * BASE + words[i : len(words) - width + 1 + i]
@@ -283,8 +284,8 @@ def shingle_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
     return one.mapInPandas(run, "component long, nid long, size long, shingles binary")
 
 
-def _set_links(ids: np.ndarray, shingles: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links of the texts whose sets of shingles have a Jaccard of 0.8 or more."""
+def _set_links(ids: np.ndarray, shingles: np.ndarray, share: tuple[int, int] = (4, 5)) -> list[tuple[int, int]]:
+    """Spanning links of the texts whose sets of shingles have a Jaccard of share[0] / share[1] or more."""
     sizes = np.array([len(x) // 8 for x in shingles], np.int64)
     names, codes = np.unique(np.frombuffer(b"".join(shingles), np.uint64), return_inverse=True)
     ends = np.cumsum(sizes)
@@ -298,20 +299,20 @@ def _set_links(ids: np.ndarray, shingles: np.ndarray) -> list[tuple[int, int]]:
             mark[sets[i]] = True
             shared = np.add.reduceat(mark[every], starts, dtype=np.int64)
             mark[sets[i]] = False
-            hit |= 5 * shared >= 4 * (sizes[i] + theirs - shared)
+            hit |= share[1] * shared >= share[0] * (sizes[i] + theirs - shared)
         return hit
 
     return [(int(ids[i]), int(ids[j])) for i, j in _spread(len(ids), near)]
 
 
-def exact_links(sets: DataFrame) -> DataFrame:
-    """Links (a, b) that connect what the pairs of Jaccard 0.8 or more inside the components of `sets` connect."""
+def exact_links(sets: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
+    """Links (a, b) that connect what the pairs of a Jaccard of share[0] / share[1] or more inside the components of `sets` connect."""
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     weights = sets.groupBy("component").agg(F.sum("size").alias("__weight"))
     parts = F.greatest(F.least(F.floor(F.col("__weight") / SPREAD_SHINGLES) + 1, F.lit(SPREAD)), F.floor(F.col("__weight") / SHARE_SHINGLES) + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _frames(_set_links(*group) for group in _groups(batches, ["component", "i", "j"], ["nid", "shingles"]))
+        yield from _frames(_set_links(*group, share) for group in _groups(batches, ["component", "i", "j"], ["nid", "shingles"]))
 
     dealt = dealt_blocks(sets.join(weights, "component"), parts).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "nid")
     return dealt.select("component", "i", "j", "nid", "shingles").mapInPandas(run, "a long, b long").distinct()

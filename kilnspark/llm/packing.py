@@ -3,9 +3,10 @@
 A configuration is a multiset of lengths that fits one sequence. The covering program (as few configurations as
 cover the histogram) is solved by multiplicative weights: lengths are priced and configurations weighed by steps against each
 other over a pool of configurations, a knapsack dynamic program gives the best configuration of each length under the prices, which
-joins the pool, and the bound that the prices prove; the weights' mean is the fractional solution, and rounds end when its value is
-within GAP of the bound. It is rounded down, then up where the counts allow, and the rest is packed by best fit. Where plain best fit
-of all pieces needs fewer sequences than that, its packing is taken.
+joins the pool, and the bound that the prices prove; the weights' mean is the fractional solution. In each round it is rounded down, then up
+where the counts allow, and the rest is packed by best fit. Rounds end when the fewest sequences so found are the bound rounded up, hence
+proved the fewest possible, or when neither has moved for PATIENCE rounds. Where plain best fit of all pieces needs fewer
+sequences than every rounded solution, its packing is taken.
 
 Only the histogram (one number for each length) and the plan (a few thousand configurations at most, however many
 documents) are on the driver. Pieces find their place by their exact rank among pieces of the same length.
@@ -20,6 +21,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import coded, decoded, global_rank, materialize, pick, text_or_empty
 
 CAPACITY = 2048
-#: Rounds of pricing, multiplicative steps in each, and the relative gap to the bound at which they end.
-ROUNDS, STEPS, GAP = 40, 100, 0.003
+#: Rounds of pricing at most, multiplicative steps in each, and the rounds without a gain after which they end.
+ROUNDS, STEPS, PATIENCE = 40, 100, 8
 PRICE_STEP, WEIGHT_STEP = 0.3, 1.0
 #: A configuration whose weight the floor cut by as much may be taken once more.
 CUT = 0.02
@@ -263,6 +265,9 @@ class Covering:
         self.weight, self.worth = mean_x * (guess / mean_x.sum()), np.maximum(mean_y / mean_y.sum(), 1e-300)
         return self.weight
 
+    def named(self, weight: np.ndarray) -> dict[Configuration, float]:
+        return {c: float(weight[i]) for c, i in self.pool.items() if i < len(weight) and weight[i] > 1e-6}
+
     def completed(self, weight: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
         """The least value over some scalings of a solution, with what it leaves uncovered put into sequences of one length each; and the scaled solution."""
         cover = np.bincount(self.rows, self.copies * weight[self.columns], len(self.sizes)) / self.need
@@ -279,36 +284,75 @@ def _proved(price: np.ndarray, histogram: np.ndarray, capacity: int) -> tuple[fl
     return float(price[sizes] @ histogram[sizes]) / best[capacity], take
 
 
-def solve(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, gap: float = GAP) -> tuple[dict[Configuration, float], float, float]:
-    """(fractional weights of configurations, their value, a lower bound on any packing) of the configuration program.
+def _threshold_bound(histogram: np.ndarray, capacity: int) -> float:
+    """A bound from lengths alone, by dual feasible functions: prices under which no configuration is worth more than 1.
+
+    For each t up to half: lengths over capacity - t count 1, lengths below t nothing, those between their share x of the capacity; the shares are
+    then rounded to floor((k + 1) x) / k, where (k + 1) x is no whole number, for some k (k = 1: pieces over half count 1)."""
+    sizes = np.flatnonzero(histogram)
+    count, best = histogram[sizes].astype(float), 0.0
+    rounded = [sizes / capacity]
+    for k in range(1, 9):
+        up = (k + 1) * sizes
+        rounded.append(np.where(up % capacity, up // capacity / k, sizes / capacity))
+    worth = np.array(rounded) * count
+    for t in range(1, capacity // 2 + 1):
+        low, high = np.searchsorted(sizes, [t, capacity - t + 1])
+        best = max(best, float(count[high:].sum() + worth[:, low:high].sum(axis=1).max(initial=0.0)))
+    return best
+
+
+def _count(made: list[tuple[int, Configuration]]) -> int:
+    return sum(times for times, _ in made)
+
+
+@dataclass
+class Solution:
+    """weights: the fractional solution; value: what it takes; bound: no packing takes fewer; rounds: as many as were played; made: the
+    rounded plan with the fewest sequences, or best fit's."""
+
+    weights: dict[Configuration, float]
+    value: float
+    bound: float
+    rounds: int
+    made: list[tuple[int, Configuration]]
+
+
+def solve(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> Solution:
+    """Solves and rounds the configuration program.
 
     Starts from best fit's configurations and prices by length. In each round multiplicative steps price the lengths and weigh the
     configurations known; the knapsack program then gives the bound that the prices (and their moving mean, which is less ragged) prove, and
-    the best configuration of each length under them, which join the pool. Ends when value and bound are within `gap`."""
+    the best configuration of each length under them, which join the pool; the solution is completed and rounded."""
     demand = histogram.astype(np.int64)
     if not demand.any():
-        return {}, 0.0, 0.0
-    start = best_fit(demand, capacity)
+        return Solution({}, 0.0, 0.0, 0, [])
+    made = start = best_fit(demand, capacity)
     program = Covering(demand, start)
     sizes, near = program.sizes, np.ones(11)
-    value, found = float(sum(times for times, _ in start)), program.weight
-    bound = float(program.need @ sizes) / capacity
-    for _ in range(rounds):
+    value, found = float(_count(start)), program.weight
+    bound = max(float(program.need @ sizes) / capacity, _threshold_bound(demand, capacity))
+    played = idle = 0
+    while played < rounds and idle < PATIENCE:
+        played += 1
         price = np.full(capacity + 1, -np.inf)
         price[sizes] = program.worth / program.need
         proved, take = _proved(price, demand, capacity)
         worth = np.zeros(capacity + 1)
         worth[sizes] = program.worth
         price[sizes] = (np.convolve(worth, near, "same") / np.maximum(np.convolve(demand, near, "same"), 1))[sizes]
-        bound = max(bound, proved, _proved(price, demand, capacity)[0])
-        if value <= bound * (1 + gap):
-            break
-        made = [_priced(int(s), take, capacity) for s in sizes]
-        program.add([(0.02 * value / len(made), c) for c in made])
+        proved = max(proved, _proved(price, demand, capacity)[0])
+        new = [_priced(int(s), take, capacity) for s in sizes]
+        program.add([(0.02 * value / len(new), c) for c in new])
         got, scaled = program.completed(program.play(STEPS, value), capacity)
+        rounded = _rounded(program.named(scaled), demand)
+        idle = 0 if got < value * (1 - 1e-5) or proved > bound * (1 + 1e-5) or _count(rounded) < _count(made) else idle + 1
+        bound, made = max(bound, proved), min(made, rounded, key=_count)
         if got < value:
             value, found = got, scaled
-    return {c: float(found[i]) for c, i in program.pool.items() if i < len(found) and found[i] > 1e-6}, value, bound
+        if _count(made) <= np.ceil(bound - 1e-6):
+            break
+    return Solution(program.named(found), min(value, float(_count(made))), bound, played, made)
 
 
 def _rounded(weights: dict[Configuration, float], histogram: np.ndarray) -> list[tuple[int, Configuration]]:
@@ -332,21 +376,13 @@ def _rounded(weights: dict[Configuration, float], histogram: np.ndarray) -> list
     return out + best_fit(left, len(histogram) - 1)
 
 
-def plan(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> tuple[list[tuple[int, Configuration]], float, float]:
-    """[(times, configuration)] that packs the histogram (index: length) exactly, the value of the fractional solution that it is rounded
-    from, and a lower bound on the sequences. Rounding that needs more sequences than best fit of all pieces gives way to that."""
-    weights, value, bound = solve(histogram, capacity, rounds)
-    count = lambda made: sum(times for times, _ in made)
-    return min((_rounded(weights, histogram), best_fit(histogram, capacity)), key=count), value, bound
-
-
 def pack(rows: DataFrame, capacity: int = CAPACITY, id_column: str = "doc_id") -> DataFrame:
     """`rows` (with a length column, 1 to capacity) with sequence_id and offset."""
     got = rows.groupBy("length").agg(F.count("*").alias("n")).collect()  # at most `capacity` rows
     histogram = np.zeros(capacity + 1, np.int64)
     for r in got:
         histogram[r["length"]] = r["n"]
-    configurations, _, _ = plan(histogram, capacity)
+    configurations = solve(histogram, capacity).made
     taken, runs, sequence = np.zeros(capacity + 1, np.int64), [], 0
     for times, made in configurations:
         offset = 0

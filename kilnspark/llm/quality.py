@@ -6,7 +6,8 @@ attention (tanh times sigmoid); the document's score is a logistic function of t
 document labels are used; the weights say which passages decided.
 
 The fit sees at most TRAIN_ROWS labelled documents (by a hash of the id, held-out fold excluded), fewer if their descriptions exceed
-TRAIN_BYTES, each with all its passages; executors describe them, the driver takes the steps in small batches. An id with several
+TRAIN_BYTES, each with all its passages and whole counts; a document that
+doesn't fit into what is left is skipped, whatever its size. Executors describe them, the driver takes the steps in small batches. An id with several
 rows counts once. Scoring covers all rows; a long text is encoded some passages at a time.
 
 Defined cases: a null or blank text is a bag of one empty passage and gets a score; null ids are scored and count as held out;
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import bounded_rows, held_out, pick, text_or_empty, training_labels
 
 TRAIN_ROWS = 6000
-#: Bytes of the training rows' descriptions, at most; a row is in whole or left out.
+#: Bytes of the training rows' descriptions, at most; a row is in whole, or skipped if it doesn't fit into what is left.
 TRAIN_BYTES = 64 << 20
 PASSAGE = 64
 #: Passages of a text that are described at once.
@@ -182,19 +183,22 @@ class Attention:
 
 
 def packed(text: str, of: Describer) -> bytes:
-    """A text's whole description: passages, surface rows, and the counts that are not zero with their places."""
+    """A text's whole description: passages, counts that are not zero, surface rows, these counts' places and values."""
     surface, counts = (np.concatenate(x) for x in zip(*of.blocks(text), strict=True))
     at = np.flatnonzero(counts)
-    return b"".join([np.int64(len(surface)).tobytes(), surface.tobytes(), at.astype("<i8").tobytes() if counts.size >> 31 else at.astype("<i4").tobytes(), np.minimum(counts.ravel()[at], 255).astype(np.uint8).tobytes()])
+    values = counts.ravel()[at]
+    places, sizes = "<i8" if counts.size >> 31 else "<i4", "<u1" if values.max(initial=0) < 256 else "<i8"
+    return b"".join([np.array([len(surface), len(at)], "<i8").tobytes(), surface.tobytes(), at.astype(places).tobytes(), values.astype(sizes).tobytes()])
 
 
 def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(raw, np.int64, 1)[0])
-    surface = np.frombuffer(raw, np.float32, n * SURFACE, 8).reshape(n, SURFACE)
-    rest, counts = 8 + surface.nbytes, np.zeros(n * (WORDS + TRIGRAMS), np.uint8)
-    wide = 8 if counts.size >> 31 else 4
-    held = (len(raw) - rest) // (wide + 1)
-    counts[np.frombuffer(raw, f"<i{wide}", held, rest)] = np.frombuffer(raw, np.uint8, held, rest + wide * held)
+    n, held = (int(x) for x in np.frombuffer(raw, "<i8", 2))
+    surface = np.frombuffer(raw, np.float32, n * SURFACE, 16).reshape(n, SURFACE)
+    size = n * (WORDS + TRIGRAMS)
+    wide, rest = 8 if size >> 31 else 4, 16 + surface.nbytes
+    kind = np.uint8 if len(raw) == rest + held * (wide + 1) else np.int64
+    counts = np.zeros(size, kind)
+    counts[np.frombuffer(raw, f"<i{wide}", held, rest)] = np.frombuffer(raw, kind, held, rest + wide * held)
     return surface, counts.reshape(n, -1)
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kilnspark.llm import fingerprints, packing, pieces, quality, repair, search, secrets, sharding, simhash, toxicity, trie, urls
+from kilnspark.llm import fingerprints, packing, pieces, quality, repair, search, secrets, setjoin, sharding, simhash, toxicity, trie, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +27,7 @@ def queries() -> dict[str, Query]:
         "op8_quality_classifier": lambda s, d: quality.quality_report(_table(s, d, "documents"), _table(s, d, "labels")),
         "op9_url_filters": lambda s, d: urls.url_report(_table(s, d, "pages")),
         "op10_secret_scans": lambda s, d: secrets.secret_report(_table(s, d, "documents")),
+        "op11_jaccard_join": lambda s, d: setjoin.join_report(_table(s, d, "documents")),
         "op12_conversation_prefix_trie": lambda s, d: trie.trie_report(_table(s, d, "conversations")),
         "op13_conversation_repair": lambda s, d: repair.repair_report(_table(s, d, "conversations")),
     }
@@ -75,6 +76,18 @@ def _crc(text: str) -> str:
     return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), lambda acc, x: {bits}), 4294967295)"
 
 
+JOIN_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+    s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END)) AS s FROM w),
+    k AS (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS k, s FROM s),
+    d AS (SELECT k, min(doc_id) AS id, any_value(n) AS n, any_value(s) AS s FROM k WHERE k IS NOT NULL GROUP BY 1),
+    x AS (SELECT k, n, unnest(s) AS h FROM d),
+    p AS (SELECT a.k AS a, b.k AS b FROM x a JOIN x b USING (h) WHERE a.k < b.k AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.k, b.k HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+    e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+    r AS (SELECT k, k AS seen FROM d UNION SELECT r.k, e.b FROM r JOIN e ON e.a = r.seen),
+    c AS (SELECT r.k, min(d.id) AS component_id, count(*) AS sets FROM r JOIN d ON d.k = r.seen GROUP BY 1)
+    SELECT k.doc_id, k.n AS n_shingles, coalesce(c.component_id, k.doc_id) AS component_id, k.k IS NOT NULL AS has_set, coalesce(c.sets, 0) AS n_sets FROM k LEFT JOIN c USING (k)"""
+
+
 TRIE_SQL = f"""WITH t AS (SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos
         FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL)),
     n AS (SELECT conv_id, count(*) AS n, conv_id - conv_id % 100 AS base, {_crc('conv_id::VARCHAR')} % 6 AS h FROM t GROUP BY 1),
@@ -122,4 +135,4 @@ REPAIR_SQL = f"""WITH RECURSIVE o AS (SELECT conv_id, turn, coalesce(role, ' ')
 
 def oracle_sql() -> dict[str, str]:
     """The others need hashes, models or tokenizers that SQL lacks; tests hold them against brute force."""
-    return {"op7_exact_top_k": SEARCH_SQL, "op9_url_filters": _urls_sql(), "op12_conversation_prefix_trie": TRIE_SQL, "op13_conversation_repair": REPAIR_SQL}
+    return {"op7_exact_top_k": SEARCH_SQL, "op9_url_filters": _urls_sql(), "op11_jaccard_join": JOIN_SQL, "op12_conversation_prefix_trie": TRIE_SQL, "op13_conversation_repair": REPAIR_SQL}

@@ -5,7 +5,7 @@ FTRL-proximal keeps a learning rate for each coordinate and an L1 threshold belo
 so the model is a short list of coordinates and weights, broadcast to the scorers.
 
 The fit sees at most TRAIN_ROWS labelled documents (by a hash of the id, held-out fold excluded) and their whole texts, fewer if their
-coordinates exceed TRAIN_BYTES; executors turn texts into coordinates, the driver takes the proximal steps. An id with several rows
+coordinates exceed TRAIN_BYTES (a text that doesn't fit into what is left is skipped, those after it are not); executors turn texts into coordinates, the driver takes the proximal steps. An id with several rows
 counts once. Scoring covers all rows.
 
 Defined cases: a null text is empty; an empty text has the score of the bias; null ids are scored and count as held out; rows that
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from kilnspark.llm.common import bounded_rows, coded, decoded, held_out, pick, text_or_empty, training_labels
 
 TRAIN_ROWS = 8000
-#: Bytes of the training rows' coordinates, at most; a row is in whole or left out.
+#: Bytes of the training rows' coordinates, at most; a row is in whole, or skipped if it doesn't fit into what is left.
 TRAIN_BYTES = 96 << 20
 EPOCHS = 12
 BITS = 22
