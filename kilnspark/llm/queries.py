@@ -52,20 +52,52 @@ def _node(url: str) -> str:
     return f"CASE WHEN {head} <> '' THEN translate({head}, '{urls.UPPER}', '{urls.LOWER}') || regexp_extract({url}, '(?s)^.*?://[^/?#]*([^#]*)', 1) END"
 
 
+def _text(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _attribute(name: str) -> str:
+    """The first attribute of a name, without quotes, the common character references decoded; lists names and vals."""
+    raw = f"vals[list_position(names, '{name}')]"
+    bare = f"""CASE WHEN left({raw}, 1) IN ('"', '''') THEN substr({raw}, 2, length({raw}) - 2) ELSE {raw} END"""
+    for code, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&#38;", "&"), ("&amp;", "&")):
+        bare = f"replace({bare}, {_text(code)}, {_text(char)})"
+    return f"coalesce({bare}, '')"
+
+
+def _resolved(page: str, to: str) -> str:
+    scheme, host, path, query = (f"regexp_extract({page}, '(?s)^(.*?:)(//[^/?#]*)([^?#]*)(\\?[^#]*)?', {i})" for i in (1, 2, 3, 4))
+    plain = f"regexp_extract({to}, '(?s)^[^?#]*')"
+    parts = f"string_split(CASE WHEN starts_with({plain}, '/') THEN {plain} ELSE regexp_extract({path}, '(?s)^(.*)/', 1) || '/' || {plain} END, '/')[2:]"
+    steps = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda p: [p])), lambda a, p: CASE p[1] WHEN '..' THEN a[1:len(a) - 1] WHEN '.' THEN a ELSE list_concat(a, p) END)"
+    last = f"CASE WHEN {parts}[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END"
+    return f"""CASE WHEN NOT contains({page}, '://') OR regexp_matches({to}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {to} WHEN starts_with({to}, '//') THEN {scheme} || {to} WHEN {to} = '' OR left({to}, 1) = '#' THEN {scheme} || {host} || {path} || {query} || {to}
+        WHEN left({to}, 1) = '?' THEN {scheme} || {host} || {path} || {to} ELSE {scheme} || {host} || '/' || array_to_string(list_concat({steps}, {last}), '/') || substr({to}, length({plain}) + 1) END"""
+
+
 def _urls_sql() -> str:
+    """Tags are cut out and taken apart by patterns of its own; named character references other than the four of markup are left as they are."""
     rules = sorted(urls.RULES, key=lambda r: -len(r[1] + r[2]))
     fits = [f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')" for _, h, p in rules]
     rule = "CASE " + " ".join(f"WHEN {f} THEN '{h}{p}'" for f, (_, h, p) in zip(fits, rules, strict=True)) + " END"
     own = "CASE " + " ".join(f"WHEN {f} THEN '{v}'" for f, (v, _, _) in zip(fits, rules, strict=True)) + " END"
-    quote = lambda p: "'" + p.replace("'", "''") + "'"
-    found = [f"regexp_extract(regexp_extract(html, {quote(tag)}), {quote(attribute)}, 1)" for tag, attribute in ((urls.CANONICAL, urls.HREF), (urls.REFRESH, urls.TARGET))]
-    goal = "CASE WHEN starts_with(t, '//') THEN regexp_extract(url, '(?s)^(.*?:)//', 1) || t WHEN starts_with(t, '/') THEN regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) || t ELSE t END"
+    hidden = "(?is)<!--.*?(-->|$)|" + "|".join(f"<{t}[\\s/>].*?(</{t}[\\s/>]|$)" for t in ("script", "style", "title", "textarea"))
+    tag = """(?is)<(?:link|meta|base)[\\s/](?:[^>"']|"[^"]*"|'[^']*')*>"""
+    pair = """(?s)([^\\s/>][^\\s/>=]*)(?:\\s*=\\s*("[^"]*"|'[^']*'|[^\\s>"'][^\\s>]*))?"""
+    inside = "regexp_extract(tag, '(?s)^<[A-Za-z]+(.*)>$', 1)"
+    refresh = f"""regexp_extract({_attribute('content')}, '(?is)^\\s*[0-9.]*(?:\\s*[;,]\\s*|\\s+)(?:url\\s*=\\s*)?("[^"]*|''[^'']*|.*)', 1)"""
     return f"""WITH RECURSIVE p AS (SELECT page_id, {_host('url')} AS host, {_path('url')} AS path, {_node('url')} AS node FROM pages),
-        l AS (SELECT {_node('url')} AS a, {_node('goal')} AS b FROM (SELECT url, {goal} AS goal FROM (SELECT url, unnest([{', '.join(found)}]) AS t FROM pages) WHERE t <> '')),
+        g AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, {_text(hidden)}, ' ', 'g'), {_text(tag)})) AS tag FROM pages WHERE contains(url, '://')),
+        v AS (SELECT url, row_number() OVER () AS n, lower(regexp_extract(tag, '^<([A-Za-z]+)', 1)) AS tag, list_transform(regexp_extract_all({inside}, {_text(pair)}, 1), lambda x: lower(x)) AS names, regexp_extract_all({inside}, {_text(pair)}, 2) AS vals FROM g),
+        o AS (SELECT url, arg_min({_attribute('href')}, n) AS base FROM v WHERE tag = 'base' AND list_contains(names, 'href') GROUP BY 1),
+        t AS (SELECT url, {_attribute('href')} AS t FROM v WHERE tag = 'link' AND list_contains(regexp_split_to_array(lower({_attribute('rel')}), '\\s+'), 'canonical')
+            UNION ALL SELECT url, ltrim({refresh}, '"''') FROM v WHERE tag = 'meta' AND lower({_attribute('http-equiv')}) = 'refresh'),
+        u AS (SELECT t.url, trim(t) AS t, CASE WHEN base <> '' THEN {_resolved('t.url', 'base')} ELSE t.url END AS page FROM t LEFT JOIN o USING (url) WHERE trim(t) <> ''),
+        l AS (SELECT {_node('url')} AS a, {_node('goal')} AS b FROM (SELECT url, {_resolved('page', 't')} AS goal FROM u)),
         e AS (SELECT a, b FROM l WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM l WHERE a IS NOT NULL AND b IS NOT NULL),
         r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
-        o AS (SELECT node, {own} AS own FROM (SELECT DISTINCT seen AS node, {_host('seen')} AS host, {_path('seen')} AS path FROM r)),
-        s AS (SELECT r.node FROM r JOIN o ON o.node = r.seen GROUP BY 1 HAVING bool_or(coalesce(own = 'block', false)) AND NOT bool_or(coalesce(own = 'allow', false)))
+        w AS (SELECT node, {own} AS own FROM (SELECT DISTINCT seen AS node, {_host('seen')} AS host, {_path('seen')} AS path FROM r)),
+        s AS (SELECT r.node FROM r JOIN w ON w.node = r.seen GROUP BY 1 HAVING bool_or(coalesce(own = 'block', false)) AND NOT bool_or(coalesce(own = 'allow', false)))
         SELECT page_id, host, path, {rule} AS rule, coalesce({own}, CASE WHEN p.node IN (SELECT node FROM s) THEN 'block' ELSE 'allow' END) AS verdict FROM p"""
 
 

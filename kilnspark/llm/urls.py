@@ -4,8 +4,11 @@ Rules give a verdict for a host with its subdomains and a path prefix. Pages tha
 of redirect and canonical-link edges: inside a connected component a block is passed on to the aliases, unless some member is
 allowed by a rule, which takes precedence. Pages with a rule of their own keep its verdict.
 
-Edges come from the pages: every `<link rel=canonical href=...>` and `<meta http-equiv=refresh content="...url=...">`, with
-character references decoded and relative ones resolved (RFC 3986) against the page's url. URLs are identified by scheme and host in lower case, path and query, without the fragment.
+Edges come from the pages: every `<link>` whose `rel` list holds `canonical`, and every `<meta http-equiv=refresh>` with a url in its
+content. Tags are read attribute by attribute (quoted either way or not, in any order, names exact, the first of a name counts), outside comments,
+scripts, styles, titles and text areas; character references are decoded. A refresh's target goes up to the quote that it opens with, or to the end.
+Relative targets are resolved (RFC 3986) against the page's first `<base href>` or its url. URLs are identified by scheme and host in lower case, path
+and query, without the fragment.
 
 Defined cases: a null url, or one without `://`, has an empty host and path, fits no rule, has no alias and is allowed; a
 null html has no edges; rows that repeat stay; an empty table gives an empty result."""
@@ -26,12 +29,15 @@ from kilnspark.llm.graph import connected_components
 #: Verdict, host, path.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
+ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-CANONICAL = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-REFRESH = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-TARGET = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)"
-CONTENT = re.compile(r"(?is)\bcontent\s*=\s*(?:\"([^\"]*)\"|'([^']*)')")
+#: Where a tag that counts begins, or what is passed over as a whole.
+TAG = re.compile(r"(?is)<!--.*?(?:-->|\Z)|<(script|style|title|textarea)(?=[\s/>]).*?(?:</\1(?=[\s/>])|\Z)|<(link|meta|base)(?=[\s/>])")
+ATTRIBUTE = re.compile(r"(?s)[\s/]*(?:(>)|([^\s/>][^\s/>=]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"'][^\s>]*)|))?)")
+#: A refresh's content: seconds, a separator, `url=` or nothing, the target.
+REFRESH = re.compile(r"(?is)\s*[0-9.]*\s*(?:[;,]\s*|(?<=\s))(?:url\s*=\s*)?(?:\"([^\"]*)|'([^']*)|(.*))")
+#: Pages without one of these words, or a coded value where it could be, have no edge.
+WORTH = r"(?i)canonical|refresh|(rel|http-equiv)\s*=[^>]*&"
 ADDRESS = re.compile(r"(?s)(.*?:)(//[^/?#]*)([^?#]*)(\?[^#]*)?")
 
 
@@ -87,31 +93,47 @@ def resolve(page: str, to: str) -> str:
     return scheme + host + "/" + "/".join(out) + rest
 
 
-def target(tag: str, refresh: bool) -> str:
-    """What a canonical or refresh tag points to, decoded; empty if nothing."""
-    if refresh:
-        told = CONTENT.search(tag)
-        found = re.search(TARGET, unescape(next(x for x in told.groups() if x is not None) if told else tag))
-        return found[1] if found else ""
-    found = re.search(HREF, tag)
-    return unescape(found[1]).strip() if found else ""
+def tags(html: str) -> Iterator[tuple[str, dict[str, str]]]:
+    """(name, attributes) of the link, meta and base tags that are closed; names in lower case, values decoded."""
+    at = 0
+    while found := TAG.search(html, at):
+        at = found.end()
+        if found[2]:
+            own: dict[str, str] = {}
+            while one := ATTRIBUTE.match(html, at):
+                at = one.end()
+                if one[1]:
+                    yield found[2].lower(), own
+                    break
+                own.setdefault(one[2].translate(ASCII_LOWER), unescape(one[3] or one[4] or one[5] or ""))
+
+
+def targets(url: str, html: str) -> Iterator[str]:
+    """What the page's canonical links and refreshes point to, in full."""
+    base, links = None, []
+    for name, own in tags(html):
+        if name == "base":
+            base = own.get("href") if base is None else base
+        elif name == "link" and "canonical" in own.get("rel", "").translate(ASCII_LOWER).split():
+            links.append(own.get("href", ""))
+        elif name == "meta" and own.get("http-equiv", "").translate(ASCII_LOWER) == "refresh":
+            told = REFRESH.match(own.get("content", ""))
+            links.append(next((x for x in told.groups() if x is not None), "") if told else "")
+    clean = lambda x: re.sub(r"[\t\n\r]", "", x).strip(" \f")
+    page = resolve(url, clean(base)) if base else url
+    return (resolve(page, clean(x)) for x in links if clean(x))
 
 
 def page_edges(pages: DataFrame) -> DataFrame:
-    """(a, b) url identities joined by a redirect or canonical link."""
+    """(a, b) url identities joined by a redirect or canonical link. Only pages that may have one reach Python."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            goals = [target(tag, refresh) for tag, refresh in zip(batch["tag"], batch["refresh"], strict=True)]
-            full = [resolve(page, to) if to else None for page, to in zip(batch["url"], goals, strict=True)]
-            yield pd.DataFrame({"url": batch["url"], "full": full})
+            found = [(url, to) for url, html in zip(batch["url"], batch["html"], strict=True) for to in targets(url, html)]
+            yield pd.DataFrame(found, columns=["url", "full"])
 
-    def tags(pattern: str, refresh: bool) -> Column:
-        return F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), lambda tag: F.struct(tag.alias("tag"), F.lit(refresh).alias("refresh")))
-
-    both = F.concat(tags(CANONICAL, False), tags(REFRESH, True))
-    links = pages.where(F.col("url").contains("://") & (F.col("html").rlike(CANONICAL) | F.col("html").rlike(REFRESH))).select("url", F.explode(both).alias("x"))
-    goals = links.select("url", "x.tag", "x.refresh").mapInPandas(run, "url string, full string")
+    links = pages.where(F.col("url").contains("://") & F.col("html").rlike(WORTH))
+    goals = links.select("url", "html").mapInPandas(run, "url string, full string")
     return goals.select(url_identity(F.col("url")).alias("a"), url_identity(F.col("full")).alias("b")).where("a is not null and b is not null")
 
 
