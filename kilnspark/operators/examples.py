@@ -115,15 +115,3 @@ def prompt_text() -> Column:
 
 def side_text(column: str) -> Column:
     return F.array_join(contents(F.filter(column, lambda m: m["role"] == "assistant")), "")
-
-
-def coerced_messages(raw: Column) -> Column:
-    """Messages as given, with role `user` and empty contents where those lack; one empty user turn where there is no list."""
-    full = F.transform(raw, lambda m: message(F.coalesce(m["role"], F.lit("user")), F.coalesce(m["content"], F.lit(""))))
-    return F.coalesce(full, F.array(message("user", F.lit(""))))
-
-
-def coerced_evidence(raw: Column) -> Column:
-    """Evidence references with an empty span and `direct` support where those lack; none where there is no list. References that are null go."""
-    full = F.transform(F.filter(raw, lambda e: e.isNotNull()), lambda e: F.struct(F.coalesce(e["span_id"], F.lit("")).alias("span_id"), F.coalesce(e["support_type"], F.lit("direct")).alias("support_type")))
-    return F.coalesce(full, F.array().cast("array<struct<span_id:string,support_type:string>>"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kilnspark.operators.governance import classify, report_license, scan_personal_data
+from kilnspark.operators.scan import BLOCK, blocks, scan
+from kilnspark.operators.shared import Scratch
 
 #: States of jobs that wait, and of jobs whose worker may have died.
 WAITING, HELD = ["queued", "retry_wait"], ["leased", "running"]
@@ -63,8 +65,9 @@ def run_estimate(sources: DataFrame, project: str, size: str, *, paid: bool = Fa
 
 def history(log: DataFrame, key: str, revision: str, state: str) -> DataFrame:
     """Each key's revisions in order: position from 1, and the state before (null for the first)."""
-    w = Window.partitionBy(key).orderBy(revision)
-    return log.withColumn("position", F.row_number().over(w)).withColumn("previous_state", F.lag(state).over(w))
+    order = [F.col(revision)]
+    held = blocks(log, [key], order, Scratch(log.sparkSession), "history")
+    return scan(held, [key], order, number="position", lags={"previous_state": F.col(state)}).drop(BLOCK)
 
 
 def eligible(now: Column) -> Column:

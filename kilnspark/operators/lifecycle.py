@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnspark.operators.scan import BLOCK, blocks, scan
+from kilnspark.operators.shared import Scratch
+
 
 def latest(log: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """The last row of each key (an upsert's state over an append-only log)."""
-    return log.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*[c.desc() for c in order]))).where("__r = 1").drop("__r")
+    """The last row of each key (an upsert's state over an append-only log): a maximum, combined before rows move; nulls come first."""
+    row = F.struct(*[F.col(f"`{c}`") for c in log.columns])
+    return log.groupBy(key).agg(F.max_by(row, F.struct(*order)).alias("__x")).select("__x.*")
 
 
 def review_state(decision: Column) -> Column:
@@ -26,8 +30,9 @@ def apply_reviews(revisions: DataFrame, reviews: DataFrame) -> tuple[DataFrame,
 
 def version_chain(versions: DataFrame, project: str, order: list[str]) -> DataFrame:
     """Adds parent_version_id and version_no within each project."""
-    w = Window.partitionBy(project).orderBy(*order)
-    return versions.withColumn("parent_version_id", F.lag("version_id").over(w)).withColumn("version_no", F.row_number().over(w))
+    columns = [F.col(c) for c in order]
+    held = blocks(versions, [project], columns, Scratch(versions.sparkSession), "versions")
+    return scan(held, [project], columns, number="version_no", lags={"parent_version_id": F.col("version_id")}).drop(BLOCK)
 
 
 def keyset_page(df: DataFrame, key: str, before: int | None, size: int) -> DataFrame:
@@ -40,27 +45,6 @@ def visible(projects: DataFrame, principal: str, admins: list[str]) -> DataFrame
     return projects.where(F.lit(principal in admins or principal in ("local", "system")) | (F.col("owner") == principal))
 
 
-def history(log: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """Every row of an append-only log with its place (from 1) in its key's history."""
-    return log.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
-
-
 def stamp(examples: DataFrame, version_id: str) -> DataFrame:
     """Accepted examples get the version's id, those of older versions too; others keep what they have."""
     return examples.withColumn("version_id", F.when(F.col("quality_status") == "accepted", F.lit(version_id)).otherwise(F.col("version_id")))
-
-
-def oldest_waiting(jobs: DataFrame, states: list[str], now: Column) -> DataFrame:
-    """The job that has waited longest among those in one of the states whose time has come (at most one row)."""
-    ready = jobs.where(F.col("state").isin(states) & (F.coalesce("not_before", now) <= now))
-    return ready.orderBy("created_at", "job_id").limit(1)
-
-
-def compare_runs(jobs: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: cost and progress of two jobs and what the second has more."""
-    def of(job: str, column: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("job_id") == job, F.col(column))), F.lit(0))
-
-    told = {f"{side}_{c}": of(job, c) for side, job in (("a", a), ("b", b)) for c in ("cost_micro", "progress")}
-    rows = jobs.where(F.col("job_id").isin(a, b)).agg(*[v.alias(k) for k, v in told.items()])
-    return rows.withColumns({f"delta_{c}": F.col(f"b_{c}") - F.col(f"a_{c}") for c in ("cost_micro", "progress")})

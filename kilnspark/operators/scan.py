@@ -35,7 +35,7 @@ def scan(rows: DataFrame, key: list[str], order: list[Column], *, number: str |
         adds[number] = F.lit(1).cast("long")
     lags = lags or {}
     place = F.struct(*[F.struct(F.when(c.isNull(), 0).otherwise(1), c) for c in order])
-    totals = rows.groupBy(*key, BLOCK).agg(F.count("*").alias("__n"), *[F.sum(c).alias(k) for k, c in adds.items()], *[F.max_by(F.struct(c.alias("x")), place).alias(k) for k, c in lags.items()])
+    totals = rows.groupBy(*key, BLOCK).agg(F.count("*").alias("__rows"), *[F.sum(c).alias(k) for k, c in adds.items()], *[F.max_by(F.struct(c.alias("x")), place).alias(k) for k, c in lags.items()])
     ahead = Window.partitionBy(*key).orderBy(BLOCK)
     carried = totals.withColumns(
         {f"__{k}": F.sum(k).over(ahead.rowsBetween(Window.unboundedPreceding, -1)) for k in adds} | {f"__{k}": F.lag(k).over(ahead) for k in lags} | {"__first": F.row_number().over(ahead) == 1}

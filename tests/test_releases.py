@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from kilnspark.operators import examples, export, governance, ledger, lifecycle, planner, provenance, split
+from kilnspark.operators import examples, export, governance, inspection, ledger, lifecycle, planner, provenance, split
 from kilnspark.operators.ranking import with_position
 
 
@@ -132,19 +132,13 @@ def test_budget_stops_at_the_first_limit(spark):
     assert price == 0.12
 
 
-def test_jobs_by_age_and_side_by_side(spark):
-    jobs = spark.createDataFrame([("a", "queued", 3, None, 100, 5), ("b", "queued", 1, 50, None, 2), ("c", "running", 0, None, 7, 1), ("d", "queued", 2, 9, 40, 0)], "job_id string, state string, created_at int, not_before int, cost_micro long, progress long")
-    assert [r["job_id"] for r in lifecycle.oldest_waiting(jobs, ["queued"], F.lit(10)).collect()] == ["d"]
-    r = lifecycle.compare_runs(jobs, "a", "b").first()
-    assert (r["a_cost_micro"], r["b_cost_micro"], r["delta_cost_micro"], r["delta_progress"]) == (100, 0, -100, -3)
-    log = spark.createDataFrame([("x", 2), ("x", 1), ("y", 5)], "example_id string, revision_id int")
-    assert sorted((r["example_id"], r["revision_id"], r["place"]) for r in lifecycle.history(log, "example_id", [F.col("revision_id")]).collect()) == [("x", 1, 1), ("x", 2, 2), ("y", 5, 1)]
-
-
-def test_coerced_messages_and_evidence(spark):
-    rows = spark.createDataFrame([(1, None, None), (2, [(None, "hi"), ("assistant", None)], [("s1", None), None, (None, "partial")])], "id int, m array<struct<role:string,content:string>>, e array<struct<span_id:string,support_type:string>>")
-    got = {r["id"]: (r["m"], r["e"]) for r in rows.select("id", examples.coerced_messages(F.col("m")).alias("m"), examples.coerced_evidence(F.col("e")).alias("e")).collect()}
-    assert got[1] == ([("user", "")], []) and got[2] == ([("user", "hi"), ("assistant", "")], [("s1", "direct"), ("", "partial")])
+def test_waiting_jobs_come_when_their_time_has_come(spark):
+    jobs = spark.createDataFrame([("a", "queued", 3, None), ("b", "queued", 1, 50), ("c", "running", 0, None), ("d", "queued", 2, 9)], "job_id string, state string, created_at int, not_before int")
+    jobs = jobs.withColumns({"lease_expires_at": F.lit(99), "queue": F.lit("q")}).where(F.coalesce("not_before", F.lit(10)) <= 10)
+    assert [r["job_id"] for r in inspection.next_jobs(jobs, "queue", F.lit(10), "created_at", "job_id").collect()] == ["d"]
+    log = spark.createDataFrame([("x", 2, "b"), ("x", 1, "a"), ("y", 5, "c")], "example_id string, revision_id int, state string")
+    got = inspection.history(log, "example_id", "revision_id", "state").collect()
+    assert sorted((r["example_id"], r["revision_id"], r["position"], r["previous_state"] or "") for r in got) == [("x", 1, 1, ""), ("x", 2, 2, "a"), ("y", 5, 1, "")]
 
 
 def test_privacy_report_has_one_row(spark):
