@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kilnspark.functions.canonical import json_list
 from kilnspark.functions.wordlists import SPAN_PRECISIONS
 from kilnspark.operators.examples import MESSAGES, contents
 
@@ -82,11 +83,12 @@ def layout(examples: DataFrame, name: str, key: str = "example_id") -> DataFrame
 
 
 def content_hash() -> Column:
-    """SHA-256 over the topology's contents as compact JSON; equal to the canonical form for contents that are ASCII and need no escapes beyond JSON's own."""
-    pair = F.concat(F.lit('{"c":'), F.to_json(contents(F.col("chosen_messages"))), F.lit(',"r":'), F.to_json(contents(F.col("rejected_messages"))), F.lit("}"))
+    """SHA-256 over the topology's contents as canonical JSON."""
+    of = lambda c: json_list(contents(F.col(c)))
+    pair = F.concat(F.lit('{"c":'), of("chosen_messages"), F.lit(',"r":'), of("rejected_messages"), F.lit("}"))
     first = lambda c: F.coalesce(F.get(contents(F.col(c)), F.lit(0)), F.lit(""))
-    asked = F.to_json(F.array(first("prompt_messages"), first("chosen_messages")))
-    chain = F.to_json(F.concat("system_messages", contents(F.col("prompt_messages")), contents(F.col("chosen_messages"))))
+    asked = json_list(F.array(first("prompt_messages"), first("chosen_messages")))
+    chain = json_list(F.concat("system_messages", contents(F.col("prompt_messages")), contents(F.col("chosen_messages"))))
     return F.sha2(F.when(F.col("topology") == "preference", pair).when(F.col("topology") == "evaluation", asked).otherwise(chain), 256)
 
 

@@ -23,6 +23,15 @@ def sql_text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
 
+def sql_json_text(x: str) -> str:
+    """A string as ASCII JSON."""
+    unit = lambda c: f"printf('\\u%04x', {c})"
+    high, low = "55296 + ((unicode(ch) - 65536) >> 10)", "56320 + ((unicode(ch) - 65536) & 1023)"
+    short = " ".join(f"WHEN {code} THEN '{text}'" for code, text in ((34, '\\"'), (92, "\\\\"), (8, "\\b"), (12, "\\f"), (10, "\\n"), (13, "\\r"), (9, "\\t")))
+    one = f"CASE unicode(ch) {short} ELSE CASE WHEN unicode(ch) > 65535 THEN {unit(high)} || {unit(low)} WHEN unicode(ch) < 32 OR unicode(ch) > 126 THEN {unit('unicode(ch)')} ELSE ch END END"
+    return f"""('"' || array_to_string(list_transform(regexp_extract_all({x}, '(?s).'), lambda ch: {one}), '') || '"')"""
+
+
 def sql_norm(x: str) -> str:
     return rf"trim(regexp_replace(replace(lower({x}), 'ß', 'ss'), '\s+', ' ', 'g'))"
 
