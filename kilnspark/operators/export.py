@@ -158,19 +158,24 @@ def bundle_manifest(files: DataFrame) -> DataFrame:
     return manifest(files).withColumn("media_type", media_type(F.col("path")))
 
 
-def verify_bundle(records: DataFrame, files: DataFrame, required: list[str], root: str) -> DataFrame:
-    """(path, problem) of a release against its manifest records: required files that are missing, listed files that are absent or differ in
-    size or digest, and a content root that is not the records'. Files that the manifest does not list are no problem."""
-    have = manifest(files).select("path", F.col("size_bytes").alias("size"), F.col("sha256").alias("digest"))
-    met = records.select("path", "size_bytes", "sha256").join(have, "path", "left")
+def verify_records(records: DataFrame, have: DataFrame, required: list[str], root: str | None) -> DataFrame:
+    """(path, problem) of files (path, size_bytes, sha256) against a release's records: required files that are missing, listed files that are
+    absent or differ in size or digest, and a content root that is not the records'. Files that the records do not list are no problem."""
+    own = have.select("path", F.col("size_bytes").alias("size"), F.col("sha256").alias("digest"))
+    met = records.select("path", "size_bytes", "sha256").join(own, "path", "left")
     problem = F.when(F.col("digest").isNull(), "absent").when(F.col("digest") != F.col("sha256"), "sha256_mismatch").when(F.col("size") != F.col("size_bytes"), "size_mismatch")
     listed = met.select("path", problem.alias("problem")).where("problem is not null")
-    needed = files.sparkSession.createDataFrame([(r,) for r in required], "path string")
-    missing = needed.join(have.select("path"), "path", "left_anti").select("path", F.lit("missing_required").alias("problem"))
-    rooted = content_tree(records).where(F.col("content_root") != root).select(F.lit("").alias("path"), F.lit("content_root_mismatch").alias("problem"))
+    needed = records.sparkSession.createDataFrame([(r,) for r in required], "path string")
+    missing = needed.join(own.select("path"), "path", "left_anti").select("path", F.lit("missing_required").alias("problem"))
+    rooted = content_tree(records).where(F.col("content_root") != F.lit(root)).select(F.lit("").alias("path"), F.lit("content_root_mismatch").alias("problem"))
     return listed.unionByName(missing).unionByName(rooted)
 
 
+def verify_bundle(records: DataFrame, files: DataFrame, required: list[str], root: str) -> DataFrame:
+    """`verify_records` of files (path, content)."""
+    return verify_records(records, manifest(files), required, root)
+
+
 def freeze(examples: DataFrame, version_id: str, key: str = "example_id") -> DataFrame:
     """One row: a version's members (accepted examples), their counts by split, and the root of their content hashes in key order of the tree.
     Which examples are members is a table of its own (`lifecycle.stamp`), for a version may have any number of them."""

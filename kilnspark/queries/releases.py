@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnspark.operators import examples, export, ledger, provenance
-from kilnspark.queries.common import sql_hash_ratio, sql_list, sql_split_case, sql_tree
+from kilnspark.operators import examples, export, ledger, provenance, tree
+from kilnspark.operators.shared import shared_dir
+from kilnspark.queries.common import sql_hash_ratio, sql_list, sql_split_case, sql_tree, table
 from kilnspark.queries.examples import _PRECISION, EXAMPLES, _generated_sql, _located, conversation_examples, generated
 from kilnspark.queries.operations import SQL_EVENTS, _events
-from kilnspark.sources import sinks
+from kilnspark.sources import release, sinks
+from kilnspark.sources.intake import folder_manifest
 
 BUDGET = {"cost": 400_000, "calls": 12, "input_tokens": 9_000}
 MODEL_CAPS = {"click": 60_000, "purchase": 90_000}
@@ -67,7 +71,60 @@ def budget_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "spent_cost", "spent_calls", "spent_input_tokens", "spent_model", "exceeded")
 
 
+def _written(spark: SparkSession, sf_dir: str) -> str:
+    """A release of chat lines with a line for each source, on disk; its folder."""
+    path = f"{shared_dir(spark)}/release-{uuid.uuid4().hex}/v1"
+    lines = conversation_examples(spark, sf_dir).select("example_id", "split", F.to_json(F.struct(*export.openai_chat())).alias("line"))
+    sources = table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    told = sources.select(F.col("source").alias("example_id"), F.to_json(F.struct("source", "n", "chars")).alias("line"))
+    cards = {name: {"name": name} for name in ("dataset_card", "quality_report", "license_summary", "privacy_summary")}
+    release.write_release(lines, path, version="1.0", project="p", readme="# Release", cards=cards, tables={"sources": told}, shard_rows=64)
+    return path
+
+
+def release_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data and source files of a release, as they lie on disk."""
+    path = _written(spark, sf_dir)
+    return folder_manifest(spark, path).where("path like 'data/%' or path like 'sources/%'")
+
+
+def release_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the check of a release on disk finds after all shards of one split have gone and those of the sources were written again."""
+    path = _written(spark, sf_dir)
+    folder = release._Folder(spark, path)
+    folder.fs.delete(folder.at(f"{path}/data/test"), True)
+    for found in folder.fs.listStatus(folder.at(f"{path}/sources")):
+        folder.put(found.getPath().toString(), b"other\n")
+    return release.verify_release(spark, path)
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[str, str, DataFrame, DataFrame, int]:
+    """Two snapshots of the documents as files, written with their trees: some files changed, went or came."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc/"), "doc_id").alias("path"), F.coalesce("text", F.lit("")).alias("content"), "doc_id")
+    old = docs.where("doc_id % 101 <> 7")
+    new = docs.where("doc_id % 97 <> 5").withColumn("content", F.when(F.col("doc_id") % 53 == 3, F.concat("content", F.lit("!"))).otherwise(F.col("content")))
+    path, levels = f"{shared_dir(spark)}/snapshots-{uuid.uuid4().hex}", tree.levels_for(docs.count())
+    for name, rows in (("old", old), ("new", new)):
+        tree.write_snapshot(rows.select("path", F.sha2("content", 256).alias("sha256")), f"{path}/{name}", levels)
+    return f"{path}/old", f"{path}/new", old, new, levels
+
+
+def snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new, _, _, levels = _snapshots(spark, sf_dir)
+    return tree.compare_snapshots(spark, old, new, levels)
+
+
+def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan that brings the new snapshot back to the old one."""
+    old, new, backup, _, levels = _snapshots(spark, sf_dir)
+    return tree.restore_plan(tree.compare_snapshots(spark, old, new, levels), backup.select("path", F.sha2("content", 256).alias("sha256")))
+
+
 QUERIES = {
+    "release_written": release_written,
+    "release_damage": release_damage,
+    "snapshot_changes": snapshot_changes,
+    "backup_restore": backup_restore,
     "training_rows": training_rows,
     "export_manifest": export_manifest,
     "dataset_version": dataset_version,
@@ -105,3 +162,13 @@ ORACLES = {
             CASE WHEN spent_cost >= {BUDGET['cost']} THEN 'cost' WHEN spent_calls >= {BUDGET['calls']} THEN 'calls' WHEN spent_input >= {BUDGET['input_tokens']} THEN 'input_tokens' WHEN spent_model >= CASE event_type {_CAPPED} END THEN 'model_cost' END AS exceeded FROM r""",
 }
 ORACLES["publish_plan"] = f"SELECT path, size_bytes, sha256, 'datasets/example/' || path AS target, 'dry_run' AS action FROM ({ORACLES['release_bundle']})"
+
+_SHARD = "lpad((('0x' || substr(sha256({key}), 1, 8))::BIGINT % {shards})::VARCHAR, 5, '0')"
+_SOURCES = f"""o AS (SELECT source, to_json({{'source': source, 'n': count(*), 'chars': sum(n_chars)::BIGINT}})::VARCHAR AS line, count(*) OVER () // 64 + 1 AS shards FROM documents GROUP BY 1),
+    g AS (SELECT 'sources/part-' || {_SHARD.format(key='source', shards='shards')} || '.jsonl' AS path, string_agg(line, chr(10) ORDER BY source) || chr(10) AS content FROM o GROUP BY 1)"""
+ORACLES["release_written"] = f"WITH b AS ({ORACLES['release_bundle']}), {_SOURCES} SELECT path, size_bytes, sha256 FROM b UNION ALL SELECT path, strlen(content)::BIGINT, sha256(content) FROM g"
+ORACLES["release_damage"] = f"WITH b AS ({ORACLES['release_bundle']}), {_SOURCES} SELECT path, 'absent' AS problem FROM b WHERE starts_with(path, 'data/test/') UNION ALL SELECT path, 'sha256_mismatch' FROM g"
+_CHANGES = """f AS (SELECT 'doc/' || doc_id AS path, coalesce(text, '') AS c, doc_id FROM documents),
+    d AS (SELECT path, c, CASE WHEN doc_id % 101 = 7 AND doc_id % 97 = 5 THEN NULL WHEN doc_id % 101 = 7 THEN 'extra' WHEN doc_id % 97 = 5 THEN 'missing' WHEN doc_id % 53 = 3 THEN 'changed' END AS change FROM f)"""
+ORACLES["snapshot_changes"] = f"WITH {_CHANGES} SELECT path, change FROM d WHERE change IS NOT NULL"
+ORACLES["backup_restore"] = f"WITH {_CHANGES} SELECT path, CASE change WHEN 'extra' THEN 'delete' ELSE 'copy' END AS action, CASE WHEN change <> 'extra' THEN sha256(c) END AS sha256 FROM d WHERE change IS NOT NULL"

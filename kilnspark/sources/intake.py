@@ -216,7 +216,8 @@ def read_table(spark: SparkSession, store: str, name: str, *, key: str | None =
 
 
 def folder_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """(path, size_bytes, sha256) of all files below a folder, relative to it: what a backup or a release is checked against."""
+    """(path, size_bytes, sha256) of all files below a folder, relative to it: what a backup or a release is checked against.
+    Files without a byte are not listed (Spark does not read them)."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     below = F.regexp_extract("path", r"^(?:[a-z]+:)?/*" + re.escape(path.split(":", 1)[-1].strip("/")) + r"/(.*)$", 1)
     return files.select(below.alias("path"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"))
