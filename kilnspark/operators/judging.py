@@ -21,7 +21,7 @@ REVIEW = [
 ]
 ASSESSMENT = "struct<claim:string,verdict:string,confidence:double,spans:array<string>,codes:array<string>>"
 _ITEM = "struct<claim_id:string,verdict:string,confidence:string,evidence_span_ids:array<string>,reason_codes:array<string>>"
-_RUN = "struct<first_quality:double,second_quality:double,preferred:string,defects_first:array<string>,defects_second:array<string>,confidence:double>"
+_RUN = "struct<first_quality:string,second_quality:string,preferred:string,defects_first:array<string>,defects_second:array<string>,confidence:string>"
 
 
 def _texts(*items: str) -> Column:
@@ -70,22 +70,39 @@ def composite_verdicts(deterministic: Column, model: Column) -> Column:
     return F.transform(deterministic, one)
 
 
+def judge_object(x: Column) -> Column:
+    """The JSON object in a judge's answer: the answer itself without code fences, or what lies between its first and last brace; null if
+    there is none, or if the answer is JSON of another kind."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(F.trim(x), r"^```[a-zA-Z]*\n?", ""), r"\n?```$", ""))
+    other = F.get_json_object(bare, "$").isNotNull() & ~bare.startswith("{")
+    return F.when(~other, F.nullif(F.regexp_extract(bare, r"(?s)(\{.*\})", 1), F.lit("")))
+
+
+def _within(number: Column, least: float, most: float) -> Column:
+    """A number held to a range; null if it is none."""
+    value = number.try_cast("double")
+    return F.when(value.isNotNull() & ~F.isnan(value), F.greatest(F.lit(least), F.least(F.lit(most), value)))
+
+
 def certify(pairs: DataFrame, judgements: DataFrame, key: str = "pair_id", *, least_margin: float = 0.5) -> DataFrame:
     """(key, verdict, codes, margin, order_consistent, chosen_absolute, rejected_absolute, rejected_defects, confidence) of each pair
     (chosen, rejected) from its two judgements (key, chosen_first, answer: a JSON object).
 
     Only a pair that both orders prefer, by the margin, for a real defect of the other side, is valid. Without one of the judgements, with an
-    unreadable one or an empty side it stays in review. A run that calls a tie gives its first quality to the chosen side in either order."""
-    parsed = judgements.select(key, "chosen_first", F.from_json("answer", _RUN).alias("p"))
-    whole = F.col("p.preferred").isin("first", "second", "tie") & F.col("p.first_quality").isNotNull() & F.col("p.second_quality").isNotNull()
+    unreadable one or an empty side it stays in review. Answers may be fenced or chatty; qualities are held to 1 to 5, confidence to 0 to 1. A run that calls a tie gives its first quality to the chosen side in either order."""
+    parsed = judgements.select(key, "chosen_first", F.from_json(judge_object(F.col("answer")), _RUN).alias("p"))
+    held = {c: _within(F.col(f"p.{c}"), least, most) for c, least, most in (("first_quality", 1.0, 5.0), ("second_quality", 1.0, 5.0), ("confidence", 0.0, 1.0))}
+    parsed = parsed.withColumns({f"__{c}": v for c, v in held.items()})
+    readable = F.col("__confidence").isNotNull() | F.col("p.confidence").isNull()
+    whole = F.col("p.preferred").isin("first", "second", "tie") & F.col("__first_quality").isNotNull() & F.col("__second_quality").isNotNull() & readable
     as_shown = F.col("chosen_first") | (F.col("p.preferred") == "tie")
     run = F.struct(
         F.coalesce(whole, F.lit(False)).alias("whole"),
-        F.when(as_shown, F.col("p.first_quality")).otherwise(F.col("p.second_quality")).alias("chosen"),
-        F.when(as_shown, F.col("p.second_quality")).otherwise(F.col("p.first_quality")).alias("rejected"),
+        F.when(as_shown, F.col("__first_quality")).otherwise(F.col("__second_quality")).alias("chosen"),
+        F.when(as_shown, F.col("__second_quality")).otherwise(F.col("__first_quality")).alias("rejected"),
         F.when(F.col("p.preferred") != "tie", (F.col("p.preferred") == "first") == F.col("chosen_first")).alias("prefers"),
         F.coalesce(F.when(F.col("chosen_first"), F.col("p.defects_second")).otherwise(F.col("p.defects_first")), _texts()).alias("defects"),
-        F.coalesce(F.col("p.confidence"), F.lit(0.0)).alias("confidence"),
+        F.coalesce(F.col("__confidence"), F.lit(0.0)).alias("confidence"),
     )
     runs = parsed.groupBy(key).agg(F.max(F.when(F.col("chosen_first"), run)).alias("a"), F.max(F.when(~F.col("chosen_first"), run)).alias("b"))
     rows = pairs.select(key, "chosen", "rejected").join(runs, key, "left")

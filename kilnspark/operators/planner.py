@@ -10,19 +10,22 @@ TOPOLOGY = {"sft": 0.6, "preference": 0.2, "kto": 0.1, "evaluation": 0.1}
 DIFFICULTY = {"basic": 0.3, "intermediate": 0.5, "advanced": 0.2}
 
 
-def _weights(spark: SparkSession, name: str, weights: dict[str, float]) -> DataFrame:
+def _shares(weights: dict[str, float]) -> list[tuple[int, str, float]]:
     total = sum(weights.values()) or 1.0
-    return spark.createDataFrame([(i, k, v / total) for i, (k, v) in enumerate(weights.items())], f"{name}_ix int, {name} string, {name}_w double")
+    return [(i, k, v / total) for i, (k, v) in enumerate(weights.items())]
 
 
 def allocate(spark: SparkSession, families: dict[str, float], total: int, *, topology: dict[str, float] | None = None, difficulty: dict[str, float] | None = None, maximum: int | None = None) -> DataFrame:
     """(ix, topology, task_family, difficulty, per_chunk): whole counts that sum to the total, largest remainders first.
 
-    The plan has one row for each combination of three short weight lists, so it never grows with the data."""
+    The plan has one row for each combination of three short weight lists, made in the driver, so it never grows with the data."""
     total = min(total, maximum) if maximum is not None else total
-    t, f, d = (_weights(spark, n, w) for n, w in (("topology", topology or TOPOLOGY), ("task_family", families), ("difficulty", difficulty or DIFFICULTY)))
-    cells = t.crossJoin(f).crossJoin(d).withColumn("weight", F.col("topology_w") * F.col("task_family_w") * F.col("difficulty_w")).where("weight > 0")
-    cells = cells.withColumn("ix", (F.col("topology_ix") * len(families) + F.col("task_family_ix")) * len(difficulty or DIFFICULTY) + F.col("difficulty_ix"))
+    levels = _shares(difficulty or DIFFICULTY)
+    cells = [
+        ((i * len(families) + j) * len(levels) + k, t, f, d, a * b * c)
+        for i, t, a in _shares(topology or TOPOLOGY) for j, f, b in _shares(families) for k, d, c in levels if a * b * c > 0
+    ]
+    cells = spark.createDataFrame(cells, "ix int, topology string, task_family string, difficulty string, weight double").coalesce(1)
     cells = cells.withColumn("exact", F.lit(total) * F.col("weight")).withColumn("whole", F.floor("exact"))
     rank = F.row_number().over(Window.orderBy(F.desc(F.col("exact") - F.col("whole")), F.desc("weight"), "ix"))
     left = F.lit(total) - F.sum("whole").over(Window.partitionBy())

@@ -9,7 +9,7 @@ from kilnspark.functions import scalars
 from kilnspark.operators import export, inspection, judging
 from kilnspark.operators.examples import TOPOLOGIES
 from kilnspark.queries.common import longs, sql_injections, sql_list, sql_text, sql_tree, table
-from kilnspark.queries.corpus import _declared, DECLARED, SQL_INTAKE, SQL_REPORT
+from kilnspark.queries.corpus import _PERSONAL, _declared, DECLARED, SQL_INTAKE, SQL_REPORT
 from kilnspark.queries.operations import _LABELS, _REVIEW_STATE, _STATE, SQL_EVENTS, _events, _revisions, _state
 from kilnspark.sources import intake, sinks
 
@@ -49,8 +49,8 @@ def coerced_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records of documents that all hold the same harmless text, so that the declared licence decides."""
-    return inspection.license_records(_declared(spark, sf_dir).withColumn("plain", F.lit("plain words")), "doc_id", "declared", "plain")
+    """Records of documents by the licence that they name and the personal data that they hold."""
+    return inspection.license_records(_declared(spark, sf_dir), "doc_id", "declared", "text")
 
 
 def source_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,16 +194,17 @@ def _judgement(first: Column, second: Column, preferred: Column, defect: Column,
 
 def certified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as chosen answers against cut or equal ones; qualities, preferences and defects by number. In the second order the rejected
-    side's defects are of no known code; every eleventh pair lacks its second judgement."""
+    side's defects are of no known code; every eleventh pair lacks its second judgement. Some answers are fenced or chatty, or out of range."""
     n = F.col("doc_id")
     rejected = F.when(n % 4 == 0, F.concat("text", F.lit(" !"))).when(n % 4 == 1, F.expr("left(text, length(text) div 3)")).otherwise(F.concat("text", F.lit(" more")))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     pairs = docs.select(n.alias("pair_id"), F.col("text").alias("chosen"), rejected.alias("rejected"))
-    good, bad = (n % 5 + 1).cast("int"), (F.floor(n / 5) % 5 + 1).cast("int")
+    good, bad = F.when(n % 7 == 0, 50).otherwise(n % 5 + 1).cast("int"), (F.floor(n / 5) % 5 + 1).cast("int")  # 50 is held to 5
     side = F.when(good == bad, "tie").when(good > bad, "first").otherwise("second")
     other = F.when(side == "tie", "tie").when((side == "first") == (n % 13 != 0), "second").otherwise("first")
     defect = F.when(n % 3 == 0, "style_only_difference").otherwise("misses_question")
-    one = _judgement(good, bad, side, defect, "0.9")
+    one = _judgement(good, bad, side, defect, "1.9")
+    one = F.when(n % 6 == 1, F.concat(F.lit("```json\n"), one, F.lit("\n```"))).when(n % 6 == 2, F.concat(F.lit("My verdict: "), one, F.lit(" That is all."))).otherwise(one)
     two = _judgement(bad, good, other, F.lit("omits_requirement"), "0.75")
     runs = docs.select(n.alias("pair_id"), F.lit(True).alias("chosen_first"), one.alias("answer")).unionByName(docs.where(n % 11 != 0).select(n.alias("pair_id"), F.lit(False).alias("chosen_first"), two.alias("answer")))
     out = judging.certify(pairs, runs)
@@ -211,10 +212,12 @@ def certified_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def output_schemas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest of each topology's output schema; it reads no table."""
+    """The output schema that each topology's conversations are asked to satisfy, and how many there are."""
     text, turns = {"type": "string"}, {"type": "array"}
     fields = {t: {"task_family": text, "topology": text, **({"question": text, "reference_answer": text} if t == "evaluation" else {"messages": turns})} for t in TOPOLOGIES}
-    return spark.createDataFrame([(t, scalars.schema_hash(scalars.output_schema(f, ["task_family"]))) for t, f in fields.items()], "topology string, schema_hash string")
+    hashes = F.create_map(*[F.lit(x) for t, f in fields.items() for x in (t, scalars.schema_hash(scalars.output_schema(f, ["task_family"])))])
+    asked = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(F.get(F.array(*[F.lit(t) for t in TOPOLOGIES]), (F.col("conv_id") % 4).cast("int")).alias("topology"))
+    return asked.groupBy("topology").agg(F.count("*").alias("n")).select("topology", hashes[F.col("topology")].alias("schema_hash"), "n")
 
 
 QUERIES = {
@@ -250,8 +253,8 @@ ORACLES = {
         FROM ({DECLARED})""",
     "blob_store": "SELECT DISTINCT sha256(text) AS sha256, 'objects/' || substr(sha256(text), 1, 2) || '/' || sha256(text) AS object_path, strlen(text)::BIGINT AS size_bytes FROM documents",
     "coerced_messages": """SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 4 IN (1, 3) THEN 'user' ELSE role END AS role, CASE WHEN (conv_id + turn) % 4 IN (2, 3) THEN '' ELSE text END AS content FROM conversations""",
-    "source_inspection": f"""SELECT doc_id, strlen(text)::BIGINT AS byte_size, coalesce(s, 'review') AS license_status, CASE WHEN s IS NULL THEN 'no_preflight_scan' ELSE 'clean' END AS privacy, coalesce(s = 'allowed', false) AS approved_for_public_release
-        FROM documents LEFT JOIN ({_KNOWN}) USING (doc_id)""",
+    "source_inspection": f"""WITH {_PERSONAL} SELECT d.doc_id, strlen(text)::BIGINT AS byte_size, coalesce(s, 'review') AS license_status, CASE WHEN s IS NULL THEN 'no_preflight_scan' ELSE classification END AS privacy,
+        coalesce(s = 'allowed' AND classification <> 'high', false) AS approved_for_public_release FROM documents d LEFT JOIN ({_KNOWN}) k ON k.doc_id = d.doc_id LEFT JOIN classes c ON c.doc_id = d.doc_id""",
     "run_deltas": f"WITH {SQL_EVENTS}, r AS (SELECT user_id, sum(cost_micro)::BIGINT AS cost, count(*) AS progress FROM c GROUP BY 1) SELECT x.user_id AS a, y.user_id AS b, y.cost - x.cost AS delta_cost, y.progress - x.progress AS delta_progress FROM r x JOIN r y ON y.user_id = x.user_id + 1",
     "eligible_jobs": f"WITH {_JOBS} SELECT user_id, event_id, state FROM j WHERE state IN {_WAITING} OR (state IN {_HELD} AND (lease IS NULL OR lease < TIMESTAMP '{NOW}')) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1",
     "job_counts": f"WITH {_JOBS} SELECT user_id, count(*) AS n, count(*) FILTER (state IN {_HELD}) AS in_progress, count(*) FILTER (state IN {_WAITING}) AS waiting FROM j GROUP BY 1",
@@ -270,15 +273,15 @@ ORACLES = {
     "prompt_manifest": f"WITH {_PROMPTS}, e AS (SELECT 'cand_' || doc_id AS path, h FROM p), {sql_tree('e')} SELECT n AS record_count, root AS manifest_root FROM tree",
     "structured_modes": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'json_in_prompt' WHEN event_id % 2 = 0 THEN 'native_jsonschema' ELSE 'constrained_decoding' END AS mode FROM events",
     "output_schemas": """SELECT t AS topology, 'schema:' || substr(sha256('{"properties":{' || CASE t WHEN 'evaluation' THEN '"question":{"type":"string"},"reference_answer":{"type":"string"}' ELSE '"messages":{"type":"array"}' END
-        || ',"task_family":{"type":"string"}},"required":["task_family"],"type":"object"}'), 1, 16) AS schema_hash FROM (SELECT unnest(['sft', 'preference', 'kto', 'evaluation']) AS t)""",
+        || ',"task_family":{"type":"string"}},"required":["task_family"],"type":"object"}'), 1, 16) AS schema_hash, n FROM (SELECT (TOPOLOGY_LIST)[conv_id % 4 + 1] AS t, count(*) AS n FROM (SELECT DISTINCT conv_id FROM conversations) GROUP BY 1)""".replace("TOPOLOGY_LIST", sql_list(list(TOPOLOGIES))),
     "verify_metadata": """WITH s AS (SELECT doc_id, CASE WHEN max(quality) = 1 THEN 'verified' ELSE 'failed' END AS q, CASE WHEN max(toxic) = 1 THEN 'verified' ELSE 'failed' END AS t FROM labels GROUP BY 1)
         SELECT doc_id, q AS verify_state, 'grounding=' || q || ',refusal=' || t AS per_dimension, 'critical_unverified:' || doc_id AS critical_unverified, 'critical_failed:grounding' AS critical_failed FROM s""",
     "model_verdicts": f"WITH {_JUDGED} SELECT * FROM m",
     "composite_verdicts": f"""WITH {_JUDGED} SELECT doc_id, place, claim, CASE WHEN own THEN 'contradicted' ELSE verdict END AS verdict, CASE WHEN own THEN 0.0::DOUBLE ELSE confidence END AS confidence, CASE WHEN own THEN '' ELSE spans END AS spans, CASE WHEN own THEN 'number_mismatch' ELSE codes END AS codes
         FROM (SELECT *, place = 1 AND doc_id % 2 = 0 AS own FROM m)""",
-    "certified_pairs": rf"""WITH d AS (SELECT doc_id AS k, text AS c, CASE doc_id % 4 WHEN 0 THEN text || ' !' WHEN 1 THEN left(text, length(text) // 3) ELSE text || ' more' END AS r, (doc_id % 5 + 1)::DOUBLE AS good, (doc_id // 5 % 5 + 1)::DOUBLE AS bad, doc_id % 13 <> 0 AS steady,
+    "certified_pairs": rf"""WITH d AS (SELECT doc_id AS k, text AS c, CASE doc_id % 4 WHEN 0 THEN text || ' !' WHEN 1 THEN left(text, length(text) // 3) ELSE text || ' more' END AS r, CASE WHEN doc_id % 7 = 0 THEN 5 ELSE doc_id % 5 + 1 END::DOUBLE AS good, doc_id % 7 <> 0 AND doc_id % 5 = doc_id // 5 % 5 AS tie, (doc_id // 5 % 5 + 1)::DOUBLE AS bad, doc_id % 13 <> 0 AS steady,
             CASE WHEN doc_id % 3 = 0 THEN 'style_only_difference' ELSE 'misses_question' END AS defect FROM documents),
-        v AS (SELECT *, good - bad AS gap, good = bad AS tie, CASE WHEN trim(c) = '' OR trim(r) = '' THEN 'missing_answer_text' WHEN k % 11 = 0 THEN 'judge_unavailable' END AS early,
+        v AS (SELECT *, good - bad AS gap, CASE WHEN trim(c) = '' OR trim(r) = '' THEN 'missing_answer_text' WHEN k % 11 = 0 THEN 'judge_unavailable' END AS early,
             regexp_replace(lower(c), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') AS pc, regexp_replace(lower(r), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') AS pr, length(c)::DOUBLE / greatest(1, length(r)) AS ratio FROM d),
         w AS (SELECT *, NOT tie AND steady AS agreed, list_filter([CASE WHEN tie THEN 'judge_called_tie' WHEN NOT steady THEN 'judge_order_disagreement' END, CASE WHEN abs(gap) < 0.5 THEN 'insufficient_preference_margin' END, CASE WHEN ratio < 0.5 OR ratio > 2 THEN 'length_signature' END,
             CASE WHEN trim(pc) = trim(pr) THEN 'identical_content' END, CASE WHEN gap > 0 AND steady AND defect = 'style_only_difference' THEN 'rejected_defect_not_classified' END, CASE WHEN good < 3 THEN 'chosen_below_absolute_floor' END,

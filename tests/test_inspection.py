@@ -153,6 +153,18 @@ def test_certified_pairs(spark):
     assert judged(spark, "abc", "abd", (True, style), (False, answer(2, 5, "second", ["style_only_difference"])))["codes"] == ["rejected_defect_not_classified"]
 
 
+def test_judgements_are_unwrapped_and_held_to_range(spark):
+    a, b = answer(5, 2, "first", (), ["misses_question"]), answer(3, 4, "second", ["omits_requirement"], (), 0.6)
+    plain = judged(spark, "a good answer", "a poor reply", (True, a), (False, b))
+    for wrap in ("```json\n{}\n```", "```\n{}```", "  {}\n", "I think: {} and no more."):
+        assert judged(spark, "a good answer", "a poor reply", (True, wrap.format(a)), (False, b)) == plain
+    high = judged(spark, "a good answer", "a poor reply", (True, answer(50, -3, "first", (), ["misses_question"], 7)), (False, answer(1, 5, "second", (), (), 9)))
+    assert (high["chosen_absolute"], high["rejected_absolute"], high["confidence"]) == (5.0, 1.0, 1.0)
+    for bad in (f"[{a}]", '{"first_quality": "x", "second_quality": 2, "preferred": "first"}', a.replace('"first"', '"both"'), a.replace("0.8", '"high"'), "{", ""):
+        assert judged(spark, "a", "b", (True, bad), (False, b))["codes"] == ["judge_output_invalid"], bad
+    assert judged(spark, "a good answer", "a poor reply", (True, a.replace("5", '"5"')), (False, b)) == plain
+
+
 def test_model_verdicts_hold_a_judge_to_the_citations(spark):
     text = '```json\n[{"claim_id": "1", "verdict": "entailed", "confidence": -2, "evidence_span_ids": ["x", "s"]}, "odd", {"claim_id": 1, "verdict": "contradicted"}]\n```'
     claims, cited = F.array(F.lit("p"), F.lit("q")), F.array(F.lit("s"))
