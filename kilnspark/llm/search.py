@@ -259,7 +259,9 @@ def _tiles(blocks: DataFrame, shards: DataFrame, first: bool) -> DataFrame:
     parts = shards.groupBy("dim").agg(F.expr(f"count(*) div {SHARD_BLOCK} + 1").alias("parts"))
     dealt = shards.join(parts, "dim").withColumn("part", F.pmod(F.xxhash64("cell", "salt"), "parts"))
     inside = F.array_sort(F.collect_list(F.struct("cell", "salt", "centre", "radius")))
-    met = blocks.join(dealt.groupBy("dim", "part").agg(inside.alias("shards")), "dim")  # blocks of at most about SHARD_BLOCK shards
+    # a block of queries goes to each block of at most about SHARD_BLOCK shards, by number, so that the tiles spread; one row for each vector length is broadcast
+    spread = blocks.join(F.broadcast(parts), "dim").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    met = spread.join(dealt.groupBy("dim", "part").agg(inside.alias("shards")), ["dim", "part"])
 
     def run(row: pd.DataFrame) -> pd.DataFrame:
         row = row.iloc[0]

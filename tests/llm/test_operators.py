@@ -98,6 +98,31 @@ def test_many_buckets_agree_with_one(spark, monkeypatch):
     assert sorted(map(tuple, fingerprints.fingerprint_report(rows).collect())) == one
 
 
+def test_large_ids_keep_their_neighbours(spark, monkeypatch):
+    """Ids that a double can't tell apart: every row still meets the next."""
+    rng = np.random.default_rng(2)
+    ids = sorted({int(i) for i in rng.integers(1 << 61, 1 << 62, 300)} | {(1 << 61) + i for i in range(200)} | {-(1 << 62) + i for i in range(50)})
+    rows = spark.createDataFrame([(i, f"text {n} " * (n % 4 + 1)) for n, i in enumerate(ids)], "doc_id long, text string").repartition(4)
+    one = sorted(map(tuple, fingerprints.fingerprint_report(rows).collect()))
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 200)
+    assert len(one) == len(ids) and sorted(map(tuple, fingerprints.fingerprint_report(rows).collect())) == one
+
+
+def test_a_hot_id_is_cut_by_its_texts(spark, monkeypatch):
+    """Null ids, one id with many texts and one text that repeats under one id: the rows of one bucket, in many."""
+    texts = [(None, f"null {i * 37 % 300} words " * (i % 3 + 1)) for i in range(300)] + [(7, f"seven {i}") for i in range(200)] + [(9, "the same text")] * 400 + [(i, f"own {i}") for i in range(10, 60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    one = sorted(map(str, map(tuple, fingerprints.fingerprint_report(rows).collect())))
+    monkeypatch.setattr(fingerprints, "BUCKET_BYTES", 300)
+    assert sorted(map(str, map(tuple, fingerprints.fingerprint_report(rows).collect()))) == one and len(one) == len(texts)
+    docs = rows.select(F.coalesce("doc_id", F.lit(fingerprints.NULL_KEY)).alias("k"), "text")
+    ids, ties, often = fingerprints.cut_places(docs, 40)
+    assert often == {(9, fingerprints.tie_of(b"the same text")): 400}
+    got = [r for r in docs.collect() if r["k"] != 9]
+    at = fingerprints.bucket_of(ids, ties, np.array([r["k"] for r in got]), fingerprints.high_part([fingerprints.tie_of(r["text"].encode()) for r in got]))
+    assert at.min() == 0 and np.bincount(at).max() < 0.1 * len(got)
+
+
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, "alpha"), (4, "gamma")], "doc_id long, text string")
     monkeypatch.setattr(fingerprints, "fingerprint", lambda canon: "0" * 32)
