@@ -14,6 +14,7 @@ from kilnspark.queries.examples import _PRECISION, EXAMPLES, _generated_sql, _lo
 from kilnspark.queries.operations import SQL_EVENTS, _events
 from kilnspark.sources import release, sinks
 from kilnspark.sources.intake import folder_manifest
+from kilnspark.sources.upserts import UpsertStore
 
 BUDGET = {"cost": 400_000, "calls": 12, "input_tokens": 9_000}
 MODEL_CAPS = {"click": 60_000, "purchase": 90_000}
@@ -120,7 +121,19 @@ def backup_restore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.restore_plan(tree.compare_snapshots(spark, old, new, levels), backup.select("path", F.sha2("content", 256).alias("sha256")))
 
 
+def upsert_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' records after three upserts, with a compaction after the second."""
+    store = UpsertStore(spark, f"{shared_dir(spark)}/upserts-{uuid.uuid4().hex}", "doc_id long, rev int, source string, n_chars long", ["doc_id"], ["rev"], buckets=16)
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("rev"), "source", F.col("n_chars").cast("long").alias("n_chars"))
+    store.upsert(rows)
+    store.upsert(rows.where("doc_id % 3 = 0").withColumns({"rev": F.lit(1), "n_chars": F.col("n_chars") + 1}))
+    store.compact()
+    store.upsert(rows.where("doc_id % 5 = 0").withColumns({"rev": F.lit(2), "source": F.lit("moved")}))
+    return store.state().withColumn("rev", F.col("rev").cast("long"))
+
+
 QUERIES = {
+    "upsert_state": upsert_state,
     "release_written": release_written,
     "release_damage": release_damage,
     "snapshot_changes": snapshot_changes,
@@ -172,3 +185,4 @@ _CHANGES = """f AS (SELECT 'doc/' || doc_id AS path, coalesce(text, '') AS c, do
     d AS (SELECT path, c, CASE WHEN doc_id % 101 = 7 AND doc_id % 97 = 5 THEN NULL WHEN doc_id % 101 = 7 THEN 'extra' WHEN doc_id % 97 = 5 THEN 'missing' WHEN doc_id % 53 = 3 THEN 'changed' END AS change FROM f)"""
 ORACLES["snapshot_changes"] = f"WITH {_CHANGES} SELECT path, change FROM d WHERE change IS NOT NULL"
 ORACLES["backup_restore"] = f"WITH {_CHANGES} SELECT path, CASE change WHEN 'extra' THEN 'delete' ELSE 'copy' END AS action, CASE WHEN change <> 'extra' THEN sha256(c) END AS sha256 FROM d WHERE change IS NOT NULL"
+ORACLES["upsert_state"] = "SELECT doc_id, (CASE WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS rev, CASE WHEN doc_id % 5 = 0 THEN 'moved' ELSE source END AS source, (n_chars + CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_chars FROM documents"
