@@ -1,10 +1,12 @@
-"""Text functions as Column -> Column expressions; all but `similar_characters` and `normalize_any` are native."""
+"""Text functions as Column -> Column expressions; all but `similar_characters` and `normalize_any` are native,
+and `normalize_exact` is for most texts."""
 
 from __future__ import annotations
 
 import difflib
 import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -45,8 +47,45 @@ def normalize_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield x.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
 
 
+def _settled() -> str:
+    """A character class of code points that NFC leaves alone whatever stands before them and whose folding is their lower case, so that
+    `normalize` is exact for texts of them alone: long runs of such, from the Unicode tables."""
+    old, joined = unicodedata.ucd_3_2_0, {0x03A3, *range(0x1C, 0x20)}  # a sigma's lower case depends on its place; 1C to 1F part words only in Python
+    for c in map(chr, range(0x11_0000)):
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and parts[0][0] != "<":
+            joined.add(int(parts[1], 16))
+
+    def plain(code: int) -> bool:
+        c = chr(code)
+        if code == 0xDF:
+            return True
+        known = old.category(c) not in ("Cn", "Cs", "Co")
+        return known and code not in joined and not unicodedata.combining(c) and not 0x1160 <= code < 0x1200 and unicodedata.normalize("NFC", c) == c and c.lower() == c.casefold() and len(c.lower()) == 1
+
+    runs, start = [], None
+    for code in range(0x1_0000):
+        if plain(code):
+            start = code if start is None else start
+        elif start is not None:
+            runs.append((start, code - 1))
+            start = None
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs if b - a >= 15 or b < 0x250)
+
+
+@cache
+def settled_class() -> str:
+    return _settled()
+
+
+def normalize_exact(x: Column) -> Column:
+    """`normalize_any`, in which only texts that may change in ways that the JVM's functions don't know go through Python."""
+    odd = x.rlike(f"[^{settled_class()}]")
+    return F.when(odd, normalize_any(F.when(odd, x))).otherwise(normalize(x))
+
+
 def normalized_hash(x: Column) -> Column:
-    return F.sha2(normalize(x), 256)
+    return F.sha2(normalize_exact(x), 256)
 
 
 def content_handle(prefix: str, *parts: Column) -> Column:

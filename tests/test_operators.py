@@ -1,6 +1,8 @@
 """Hand-computed rows and invariants of the library's operators."""
 
 import hashlib
+import unicodedata
+import random
 import io
 import zipfile
 
@@ -28,6 +30,20 @@ def test_normalize(spark, raw, want):
     assert one(spark, T.normalize_any(F.col("t")), t=raw) == want
 
 
+def test_normalize_exact_is_exact_for_any_text(spark):
+    """All code points alone and in pairs with others, texts in both forms, against the standard library."""
+    rng = random.Random(3)
+    plain = lambda t: " ".join(unicodedata.normalize("NFC", t).casefold().split())
+    codes = [c for c in range(1, 0x1_1000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"{chr(c)}x {chr(c)}" for c in codes[i : i + 40]) for i in range(0, len(codes), 40)]
+    texts += ["".join(rng.choice("aeÉé\u0301\u0308ßẞΣσςİIıſ\u1100\u1161\u11a8 \t\x1c\xa0中한ÅÅ") for _ in range(12)) for _ in range(600)]
+    texts += [unicodedata.normalize("NFD", "Crème brûlée"), "ΟΔΟΣ ΟΔΟΣ.", "plain English text", "Fußgänger", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r["n"] for r in df.select(T.normalize_exact(F.col("t")).alias("n")).collect()] == [plain(t) for t in texts]
+    quick = df.select(F.col("t").rlike(f"[^{T.settled_class()}]").alias("odd"), "t").collect()
+    assert not any(r["odd"] for r in quick if r["t"] in ("plain English text", "Fußgänger", "")) and len(T.settled_class()) < 20_000
+
+
 def test_normalize_any_composes(spark):
     assert one(spark, T.normalize_any(F.col("t")), t="Café ﬁ") == "café fi"
 
