@@ -25,6 +25,19 @@ def _along(rows: DataFrame, key: list[str], order: list[str], **what) -> DataFra
     return scan(blocks(rows, key, columns, Scratch(rows.sparkSession), "ledger"), key, columns, **what).drop(BLOCK)
 
 
+USAGE = "struct<input_tokens:long,cached_input_tokens:long,output_tokens:long,prompt_tokens_details:struct<cached_tokens:long>>"
+
+
+def ledger_entry(usage: Column, *, price_in: float = 0.0, price_out: float = 0.0, price_cached: float | None = None) -> Column:
+    """struct(input_tokens, cached_input_tokens, output_tokens, cost_micro) of a provider's usage (JSON text): missing counts are 0, and cached
+    tokens are taken from either of the two places in which providers tell them. Prices are for a million tokens."""
+    told = F.from_json(usage, USAGE)
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    given, nested = count(told["cached_input_tokens"]), count(told["prompt_tokens_details"]["cached_tokens"])
+    i, c, o = count(told["input_tokens"]), F.when(given != 0, given).otherwise(nested), count(told["output_tokens"])
+    return F.struct(i.alias("input_tokens"), c.alias("cached_input_tokens"), o.alias("output_tokens"), call_cost(i, c, o, price_in=price_in, price_out=price_out, price_cached=price_cached).alias("cost_micro"))
+
+
 def budget_state(events: DataFrame, job: str, order: list[str], cost: str, limit: int) -> DataFrame:
     """Adds spent (running, in each job) and over (the limit is reached)."""
     return _along(events, [job], order, sums={"spent": F.col(cost)}).withColumn("over", F.col("spent") >= limit)

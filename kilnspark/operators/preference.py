@@ -101,6 +101,25 @@ def signal() -> Column:
     )
 
 
+def assess() -> tuple[Column, Column]:
+    """(score, codes) of the preference dimension of prepared pairs with their topology: 0 if anything is wrong, style that alone tells the sides
+    apart included. A certified judgement, where there is one (certified: struct(verdict, codes) or null), can only lower it."""
+    s, a = signal(), absolute_quality()
+    both = (F.coalesce("chosen", F.lit("")) != "") & (F.coalesce("rejected", F.lit("")) != "")
+    trivial = both & (T.separability(F.col("chosen"), F.col("rejected")) > 0.2)
+    some = lambda c, x: F.when(c, x).otherwise(F.array().cast("array<string>"))
+    bad = s["verdict"] == "invalid"
+    reasons = F.concat(some(s["verdict"] != "valid", s["codes"]), some(bad, F.array(F.lit("no_preference_signal"))), some(a["verdict"] == "invalid", F.array(a["code"])), some(trivial, F.array(F.lit("trivial_style_separation"))))
+    score = F.when(F.size(reasons) > 0, 0.0).when(s["verdict"] == "review", 0.6).otherwise(1.0)
+    judged = F.col("certified.verdict")
+    lowered = F.when(judged == "invalid", 0.0).when(judged == "review", F.least(score, F.lit(0.6))).otherwise(score)
+    told = F.when(F.size("certified.codes") > 0, F.col("certified.codes")).otherwise(F.array(F.concat(F.lit("certified_pair_"), judged)))
+    whole = F.concat(reasons, some(judged.isin("invalid", "review"), told))
+    pair = F.col("topology") == "preference"
+    codes = F.when(~pair, F.array(F.lit("not_preference_topology"))).when(F.size(whole) > 0, whole).otherwise(F.array(F.lit("preference_signal_ok")))
+    return F.when(pair, lowered).otherwise(0.0), codes
+
+
 def reconcile(judgements: DataFrame, *, margin: float = 0.5) -> DataFrame:
     """Two judgements of a pair, one for each order (pair_id, side_order ab/ba, score_a, score_b), to one verdict.
 

@@ -30,6 +30,15 @@ def call_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).select("event_id", "input_tokens", "cached_tokens", "output_tokens", "cost_micro")
 
 
+def usage_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ledger entries of usages as different providers tell them: cached tokens in either place or none, and nothing at all."""
+    rows, k = _events(spark, sf_dir), F.col("event_id") % 5
+    parts = [F.concat(F.lit('"input_tokens": '), "input_tokens"), F.concat(F.lit('"output_tokens": '), "output_tokens")]
+    cached = F.when(k == 1, F.concat(F.lit('"cached_input_tokens": '), "cached_tokens")).when(k == 2, F.concat(F.lit('"prompt_tokens_details": {"cached_tokens": '), "cached_tokens", F.lit("}")))
+    usage = F.when(k == 4, F.lit(None).cast("string")).otherwise(F.concat(F.lit("{"), F.concat_ws(", ", *parts, cached), F.lit("}")))
+    return rows.select("event_id", ledger.ledger_entry(usage, price_in=3.0, price_out=15.0, price_cached=0.5).alias("e")).select("event_id", "e.*")
+
+
 def ledger_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _events(spark, sf_dir).groupBy("user_id", "event_type").agg(F.count("*").alias("calls"), F.coalesce(F.sum("cost_micro"), F.lit(0)).alias("cost_micro"), F.sum("input_tokens").alias("input_tokens"))
 
@@ -175,6 +184,7 @@ def backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "call_costs": call_costs,
     "ledger_cost": ledger_cost,
+    "usage_ledger": usage_ledger,
     "budget_running_cut": budget_running_cut,
     "budget_first_over": budget_first_over,
     "event_sequence": event_sequence,
@@ -216,6 +226,8 @@ _PLAN = f"""WITH {_weights('t', planner.TOPOLOGY)}, {_weights('f', FAMILIES)}, {
 
 ORACLES = {
     "call_costs": f"WITH {SQL_EVENTS} SELECT event_id, input_tokens, cached_tokens, output_tokens, cost_micro FROM c",
+    "usage_ledger": f"""WITH {SQL_EVENTS}, u AS (SELECT event_id, CASE event_id % 5 WHEN 4 THEN 0 ELSE input_tokens END AS i, CASE WHEN event_id % 5 IN (1, 2) THEN cached_tokens ELSE 0 END AS k, CASE event_id % 5 WHEN 4 THEN 0 ELSE output_tokens END AS o FROM c)
+        SELECT event_id, i AS input_tokens, k AS cached_input_tokens, o AS output_tokens, round(k * 0.5::DOUBLE + (i - k) * 3.0::DOUBLE + o * 15.0::DOUBLE)::BIGINT AS cost_micro FROM u""",
     "ledger_cost": f"WITH {SQL_EVENTS} SELECT user_id, event_type, count(*) AS calls, sum(cost_micro)::BIGINT AS cost_micro, sum(input_tokens)::BIGINT AS input_tokens FROM c GROUP BY ALL",
     "budget_running_cut": f"{_RUNNING} SELECT event_id, user_id, spent, spent >= 400000 AS over FROM r",
     "budget_first_over": f"{_RUNNING} SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS paused_at, min(spent) AS spent FROM r WHERE spent >= 400000 GROUP BY 1",

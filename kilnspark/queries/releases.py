@@ -89,6 +89,11 @@ def release_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folder_manifest(spark, path).where("path like 'data/%' or path like 'sources/%'")
 
 
+def format_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of the sharegpt layout, with the digests of their bytes."""
+    return release.write_format(conversation_examples(spark, sf_dir), "sharegpt", f"{shared_dir(spark)}/format-{uuid.uuid4().hex}", shard_rows=64)
+
+
 def release_damage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the check of a release on disk finds after all shards of one split have gone and those of the sources were written again."""
     path = _written(spark, sf_dir)
@@ -136,6 +141,7 @@ QUERIES = {
     "upsert_state": upsert_state,
     "release_written": release_written,
     "release_damage": release_damage,
+    "format_files": format_files,
     "snapshot_changes": snapshot_changes,
     "backup_restore": backup_restore,
     "training_rows": training_rows,
@@ -186,3 +192,8 @@ _CHANGES = """f AS (SELECT 'doc/' || doc_id AS path, coalesce(text, '') AS c, do
 ORACLES["snapshot_changes"] = f"WITH {_CHANGES} SELECT path, change FROM d WHERE change IS NOT NULL"
 ORACLES["backup_restore"] = f"WITH {_CHANGES} SELECT path, CASE change WHEN 'extra' THEN 'delete' ELSE 'copy' END AS action, CASE WHEN change <> 'extra' THEN sha256(c) END AS sha256 FROM d WHERE change IS NOT NULL"
 ORACLES["upsert_state"] = "SELECT doc_id, (CASE WHEN doc_id % 5 = 0 THEN 2 WHEN doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS rev, CASE WHEN doc_id % 5 = 0 THEN 'moved' ELSE source END AS source, (n_chars + CASE WHEN doc_id % 5 <> 0 AND doc_id % 3 = 0 THEN 1 ELSE 0 END)::BIGINT AS n_chars FROM documents"
+_TURNS = "list_transform(prompt || chosen, lambda m: {'from': CASE WHEN m.role IN ('user', 'system') THEN 'human' ELSE 'gpt' END, 'value': m.content})"
+ORACLES["format_files"] = f"""WITH {EXAMPLES}, l AS (SELECT example_id, to_json({{'content_hash': content_hash, 'conversations': {_TURNS}, 'example_id': example_id, 'generation_candidate_ids': ['cand_' || conv_id], 'source_document_ids': ['doc_' || conv_id],
+        'source_span_ids': spans, 'split': {_SPLIT}}})::VARCHAR AS line, count(*) OVER () // 64 + 1 AS shards FROM e),
+    f AS (SELECT 'part-' || {_SHARD.format(key='example_id', shards='shards')} || '.jsonl' AS path, string_agg(line, chr(10) ORDER BY example_id) || chr(10) AS content FROM l GROUP BY 1)
+    SELECT path, strlen(content)::BIGINT AS size_bytes, sha256(content) AS sha256 FROM f"""

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kilnspark.operators.export import content_tree, media_type, verify_records
+from kilnspark.operators.export import content_tree, layout, media_type, verify_records
 from kilnspark.sources.intake import folder_manifest
 
 SCHEMA = "kilnspark-release/1"
@@ -78,14 +78,16 @@ def _write_lines(lines: DataFrame, key: str, folder: _Folder, staging: str, shar
     shards = F.create_map(*[F.lit(x) for name, rows in counts.items() for x in (name, rows // shard_rows + 1)])
     number = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 8), 16, 10).cast("long") % shards[F.col("folder")]
     whole = F.regexp_replace("line", r"\r(?=\n|\z)", "")
-    dealt = lines.select("folder", number.alias("number"), F.col(key).alias("__key"), whole.alias("value")).repartition(n, "folder", "number")
+    # one column that the key decides, so that the writer asks for no order of its own
+    place = F.concat_ws("|", "folder", number.cast("string"))
+    dealt = lines.select(place.alias("place"), F.col(key).alias("__key"), whole.alias("value")).repartition(n, "place")
     parts = f"{staging}/_parts"
-    dealt.sortWithinPartitions("folder", "number", "__key", "value").select("folder", "number", "value").write.option("compression", "none").partitionBy("folder", "number").text(parts)
-    for found in folder.fs.globStatus(folder.at(f"{parts}/folder=*/number=*/part-*")):
+    dealt.sortWithinPartitions("place", "__key", "value").select("place", "value").write.option("compression", "none").partitionBy("place").text(parts)
+    for found in folder.fs.globStatus(folder.at(f"{parts}/place=*/part-*")):
         source = found.getPath()
-        number = int(source.getParent().getName().removeprefix("number="))
-        name = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(source.getParent().getParent().getName().removeprefix("folder="))
-        folder.move(source.toString(), f"{staging}/{name}/part-{number:05d}.jsonl")
+        named = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName(source.getParent().getName().removeprefix("place="))
+        name, _, number = named.rpartition("|")
+        folder.move(source.toString(), f"{staging}/{name}/part-{int(number):05d}.jsonl")
     folder.fs.delete(folder.at(parts), True)
     return counts
 
@@ -161,3 +163,26 @@ def verify_release(spark: SparkSession, path: str) -> DataFrame:
         return problems
     root = manifest.get("content_root_sha256")
     return problems.unionByName(verify_records(read_records(spark, path), folder_manifest(spark, path), REQUIRED, root))
+
+
+def write_lines(rows: DataFrame, path: str, *, key: str, line: str = "line", shard_rows: int = 4096) -> DataFrame:
+    """Writes the lines of `rows` (key, line) as `part-00000.jsonl` and so on below a new folder, each shard in key order; returns (path,
+    size_bytes, sha256) of the files, the digests being those of their bytes."""
+    spark, path = rows.sparkSession, path.rstrip("/")
+    folder = _Folder(spark, path)
+    if folder.exists(path):
+        raise FileExistsError(path)
+    parent, _, name = path.rpartition("/")
+    staging = f"{parent}/_staging-{name}-{uuid.uuid4().hex}"
+    folder.fs.mkdirs(folder.at(f"{staging}/lines"))
+    _write_lines(rows.select(F.lit("lines").alias("folder"), F.col(key), F.col(line).alias("line")), key, folder, staging, shard_rows)
+    folder.move(f"{staging}/lines", path)
+    folder.fs.delete(folder.at(staging), True)
+    return folder_manifest(spark, path)
+
+
+def write_format(examples: DataFrame, name: str, path: str, *, key: str = "example_id", shard_rows: int = 4096) -> DataFrame:
+    """Writes examples in one of the trainers' layouts, one JSON object a line with its keys in order; returns the files' records."""
+    rows = layout(examples, name, key)
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    return write_lines(rows.select(F.col(key), whole.alias("line")), path, key=key, shard_rows=shard_rows)
