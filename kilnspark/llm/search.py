@@ -219,7 +219,9 @@ def in_cells(rows: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
 def _salted(rows: DataFrame, most: int) -> DataFrame:
     """`rows` with salt, so that (dim, cell, salt) holds about `most` rows at most."""
     parts = rows.groupBy("dim", "cell").agg(F.expr(f"count(*) div {most} + 1").alias("parts"))
-    return rows.join(parts, ["dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "parts").cast("int")).drop("parts")
+    salted = rows.join(parts, ["dim", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "parts").cast("int")).drop("parts")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return salted.repartition(n, "dim", "cell", "salt")  # by all three: a grouping would be content with the join's dealing by (dim, cell)
 
 
 def distinct_enough(rows: DataFrame, k: int) -> DataFrame:
