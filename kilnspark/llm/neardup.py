@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.llm.common import MARK_BITS, Scratch, bit_table, coded, decoded, text_or_empty
 from kilnspark.llm.graph import connected_components
-from kilnspark.llm.simhash import LOWER, WORD, covering_masks
+from kilnspark.llm.simhash import covering_masks
 
 SHINGLE = 5
 SEEDS = 2
@@ -69,18 +69,19 @@ class Describer:
     """Fingerprints, keys of all buckets and sketch of a text, or its set of shingles of any width; remembers the hashes of words."""
 
     def __init__(self, width: int = SHINGLE) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[bytes, int] = {}
         self.width = width
 
-    def _hash(self, word: str) -> int:
+    def _hash(self, word: bytes) -> int:
         if len(self.known) >= KNOWN:
             self.known.clear()
         got = self.known[word] = xxhash.xxh64_intdigest(word, 42) or 1
         return got
 
     def words(self, text: str) -> np.ndarray:
-        known, fresh = self.known, self._hash
-        return np.fromiter((known.get(w) or fresh(w) for w in WORD.findall(text.translate(LOWER))), dtype=np.uint64)
+        # of bytes, lower() folds A-Z alone and split() parts at the space and 9 to 13 alone
+        known, fresh, words = self.known, self._hash, text.encode("utf-8", "surrogatepass").lower().split()
+        return np.fromiter((known.get(w) or fresh(w) for w in words), np.uint64, len(words))
 
     def shingles(self, text: str) -> np.ndarray:
         """The set of shingles, sorted; that of a text without words is one zero."""
@@ -305,16 +306,21 @@ def _set_links(ids: np.ndarray, shingles: np.ndarray, share: tuple[int, int] = (
     return [(int(ids[i]), int(ids[j])) for i, j in _spread(len(ids), near)]
 
 
-def exact_links(sets: DataFrame, share: tuple[int, int] = (4, 5)) -> DataFrame:
-    """Links (a, b) that connect what the pairs of a Jaccard of share[0] / share[1] or more inside the components of `sets` connect."""
+def exact_links(sets: DataFrame, share: tuple[int, int] = (4, 5), dealt_by: tuple[int, int, int] = (SPREAD, SPREAD_SHINGLES, SHARE_SHINGLES)) -> DataFrame:
+    """Links (a, b) that connect what the pairs of a Jaccard of share[0] / share[1] or more inside the components of `sets` connect.
+
+    dealt_by: the most shares of a component that fewer would hold, the shingles of each of these, and those that a share never exceeds. Sets
+    that know the shingles of their component (weight) are not joined with these."""
+    spread, some, most = dealt_by
     n = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    weights = sets.groupBy("component").agg(F.sum("size").alias("__weight"))
-    parts = F.greatest(F.least(F.floor(F.col("__weight") / SPREAD_SHINGLES) + 1, F.lit(SPREAD)), F.floor(F.col("__weight") / SHARE_SHINGLES) + 1)
+    known = "weight" in sets.columns
+    weighed = sets.withColumnRenamed("weight", "__weight") if known else sets.join(sets.groupBy("component").agg(F.sum("size").alias("__weight")), "component")
+    parts = F.greatest(F.least(F.floor(F.col("__weight") / some) + 1, F.lit(spread)), F.floor(F.col("__weight") / most) + 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield from _frames(_set_links(*group, share) for group in _groups(batches, ["component", "i", "j"], ["nid", "shingles"]))
 
-    dealt = dealt_blocks(sets.join(weights, "component"), parts).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "nid")
+    dealt = dealt_blocks(weighed, parts).repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j", "nid")
     return dealt.select("component", "i", "j", "nid", "shingles").mapInPandas(run, "a long, b long").distinct()
 
 

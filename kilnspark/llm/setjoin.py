@@ -33,15 +33,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kilnspark.llm.common import Scratch, coded, decoded, pick, text_or_empty
+from kilnspark.llm.common import MARK_BITS, Scratch, bit_table, coded, decoded, pick, text_or_empty
 from kilnspark.llm.graph import connected_components
-from kilnspark.llm.neardup import SALT_ABOVE, Describer, _frames, _groups, _spread, dealt_blocks, exact_links, named_keys
+from kilnspark.llm.neardup import SALT_ABOVE, Describer, _frames, _groups, _several, _spread, dealt_blocks, exact_links, named_keys
 
 WIDTH, SHARE = 4, (85, 100)
 #: Counters of shingles: 2**COUNTERS numbers in 2**SLICES slices, whatever the data (4 MB).
 COUNTERS, SLICES = 20, 6
 #: Bits of a set's parities, and the largest size that may become light.
 PARITIES, MOST_LIGHT = 2048, 24
+#: How components are dealt into shares for the exact comparison: few shares, for each set goes to all pairs of its component's.
+DEALT = (1, 1 << 20, 3 << 19)
 
 
 def need(total: int, share: tuple[int, int] = SHARE) -> int:
@@ -104,8 +106,8 @@ def described(documents: DataFrame, counts: np.ndarray, width: int = WIDTH, shar
     told = documents.sparkSession.sparkContext.broadcast(counts)
 
     def one(text: str, of: Describer, often: np.ndarray) -> tuple:
-        h = of.shingles(text) if len(of.words(text)) else np.zeros(0, np.uint64)
-        if not len(h):
+        h = of.shingles(text)
+        if not h.any():  # no words
             return 0, None, [], b"", []
         order = np.lexsort((h, often[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]))
         parities = np.packbits(np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1)
@@ -194,32 +196,63 @@ def heavy_links(lists: DataFrame, nodes: DataFrame, scratch: Scratch, share: tup
     return ordered.select("key", "i", "j", "nid", "size", "parities").mapInPandas(run, "a long, b long").distinct()
 
 
+def shared_entries(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, nid, size, n) of the prefix entries of nodes (nid, size, prefix) that several sets have.
+
+    Keys are shuffled once, alone, to count them. A bit table of fixed size then holds back most entries that no other set has (never
+    a shared one), and the rest meets the counts."""
+    shared = scratch.table(_several(nodes.select(F.explode("prefix").alias("key"))), "shared-keys")
+    table = nodes.sparkSession.sparkContext.broadcast(bit_table(shared.select(F.shiftrightunsigned("key", 64 - MARK_BITS).alias("mark"))))
+
+    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = table.value
+        for batch in batches:
+            keys = np.concatenate([np.zeros(0, np.int64), *batch["prefix"]])
+            row = np.repeat(np.arange(len(batch)), batch["prefix"].map(len))
+            at = (keys.view(np.uint64) >> np.uint64(64 - MARK_BITS)).astype(np.int64)
+            hit = np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)) & 1)
+            yield pd.DataFrame({"nid": batch["nid"].to_numpy()[row[hit]], "size": batch["size"].to_numpy()[row[hit]], "key": keys[hit]})
+
+    held = nodes.select("nid", "size", "prefix").mapInPandas(keep, "nid long, size long, key long")
+    return scratch.table(held.join(shared, "key"), "entries")
+
+
 def candidate_links(nodes: DataFrame, scratch: Scratch, share: tuple[int, int] = SHARE, most: int | None = None) -> DataFrame:
     """Links (a, b) among nodes (nid, size, prefix, parities, light) that connect all sets that link, and perhaps some that don't.
 
     most: the boundary; chosen by cost where it is not given."""
-    index = scratch.table(nodes.select("nid", "size", F.explode("prefix").alias("key")), "prefixes")
-    lists = scratch.table(index.groupBy("key").agg(F.count("*").alias("n"), F.max("size").alias("largest")).where("n > 1"), "lists")
+    entries = shared_entries(nodes, scratch)
     if most is None:
-        most = boundary(nodes, index.join(lists, "key"), share)
+        most = boundary(nodes, entries, share)
     reach = -(-share[0] * (most + 1) // share[1])
-    held = index.where(F.col("size") >= reach).join(lists.where(F.col("largest") > most).select("key"), "key").select("key", "nid", "size")
-    heavy = heavy_links(scratch.table(held, "entries"), nodes, scratch, share)
-    return heavy.unionByName(light_links(nodes, most, share)) if most else heavy
+    heavy = entries.groupBy("key").agg(F.max("size").alias("largest")).where(F.col("largest") > most).select("key")
+    held = entries.where(F.col("size") >= reach).join(heavy, "key").select("key", "nid", "size")
+    links = heavy_links(held, nodes, scratch, share)
+    return links.unionByName(light_links(nodes, most, share)) if most else links
 
 
 def sets_of(documents: DataFrame, members: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(component, nid, size, shingles) of the members (nid, print, component): the set of the text whose MD5 is print."""
+    """(component, nid, weight, size, shingles) of the members (nid, print, component, weight): the set of the text whose MD5 is print.
+
+    A bit table of fixed size over the members' prints tells which texts to take apart; only their sets are shuffled, each
+    text's once from each task."""
+    spark, mark = documents.sparkSession, lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - MARK_BITS)
+    table = spark.sparkContext.broadcast(bit_table(members.select(mark("print").alias("mark"))))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        of = Describer(width)
+        of, bits, seen = Describer(width), table.value, set()
         for batch in batches:
-            sets = [of.shingles(t) for t in batch.pop("text")]
-            yield batch.assign(size=[len(x) for x in sets], shingles=[x.tobytes() for x in sets])
+            at = batch["mark"].to_numpy()
+            hit = batch.iloc[np.flatnonzero(bits[at >> 3] >> (7 - (at & 7)) & 1)].drop_duplicates("print")
+            hit = hit[~hit["print"].isin(seen)]
+            seen.update(hit["print"])
+            sets = [of.shingles(t) for t in hit["text"]]
+            yield pd.DataFrame({"print": hit["print"], "size": [len(x) for x in sets], "shingles": [x.tobytes() for x in sets]})
 
-    texts = documents.select(F.md5(F.encode("text", "UTF-8")).alias("print"), "text")
-    one = texts.join(members, "print").groupBy("component", "nid").agg(F.first("text").alias("text"))
-    return one.mapInPandas(run, "component long, nid long, size long, shingles binary")
+    digest = F.md5(F.encode("text", "UTF-8"))
+    found = documents.select(digest.alias("print"), mark(digest).alias("mark"), "text").mapInPandas(run, "print string, size long, shingles binary")
+    one = found.groupBy("print").agg(F.first(F.struct("size", "shingles")).alias("x"))  # dealt by print, as the join needs it
+    return one.join(members, "print").select("component", "nid", "weight", "x.size", "x.shingles")
 
 
 def set_components(documents: DataFrame, width: int = WIDTH, share: tuple[int, int] = SHARE, most: int | None = None) -> DataFrame:
@@ -234,8 +267,10 @@ def set_components(documents: DataFrame, width: int = WIDTH, share: tuple[int, i
     best = rows.where("digest is not null").groupBy("digest").agg(told, F.min(decoded(F.col("doc_id"))).alias("least"))
     nodes = scratch.table(best.select(F.monotonically_increasing_id().alias("nid"), "digest", "least", F.col("x.n").alias("size"), "x.print", "x.prefix", "x.parities", "x.light"), "nodes")
     loose = connected_components(candidate_links(nodes, scratch, share, most)).withColumnRenamed("node", "nid")
-    members = scratch.table(nodes.select("nid", "print").join(loose, "nid"), "candidates")
-    links = scratch.table(exact_links(scratch.table(sets_of(docs, members, width), "sets"), share), "links")
+    members = scratch.table(nodes.select("nid", "print", "size").join(loose, "nid"), "candidates")
+    weights = members.groupBy("component").agg(F.sum("size").alias("weight"))
+    members = scratch.table(members.join(weights, "component").select("nid", "print", "component", "weight"), "weighed")
+    links = scratch.table(exact_links(scratch.table(sets_of(docs, members, width), "sets"), share, DEALT), "links")
     found = connected_components(links).withColumnRenamed("node", "nid")
     parts = scratch.table(nodes.select("nid", "digest", "least").join(found, "nid", "left").withColumn("component", F.coalesce("component", "nid")), "components")
     roots = scratch.table(parts.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("sets")), "roots")
