@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,23 +178,51 @@ def verify_bundle(records: DataFrame, files: DataFrame, required: list[str], roo
     return verify_records(records, manifest(files), required, root)
 
 
-def freeze(examples: DataFrame, version_id: str, key: str = "example_id") -> DataFrame:
+def freeze(examples: DataFrame, version_id: str, key: str = "example_id", most_levels: int | None = None) -> DataFrame:
     """One row: a version's members (accepted examples), their counts by split, and the root of their content hashes in key order of the tree.
     Which examples are members is a table of its own (`lifecycle.stamp`), for a version may have any number of them."""
     members = examples.where("quality_status = 'accepted'")
     counts = members.agg(F.count("*").alias("member_count"), *[F.count_if(F.col("split") == s).alias(f"{s}_count") for s in SPLITS])
-    root = content_tree(members.select(F.col(key).alias("path"), F.col("content_hash").alias("sha256")))
+    root = content_tree(members.select(F.col(key).alias("path"), F.col("content_hash").alias("sha256")), most_levels=most_levels)
     return counts.crossJoin(root.select("content_root")).withColumn("version_id", F.lit(version_id))
 
 
-def content_tree(entries: DataFrame, fan_out: int = 256) -> DataFrame:
+def _digests_in_order(level: DataFrame, digits: int) -> DataFrame:
+    """(path, n, sha256) of folders of any size: a folder's digests stream through one hash in path order, so that no row gathers them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, n, made = None, 0, None
+        for batch in batches:
+            done = []
+            for name, some in batch.groupby("__f", sort=False):
+                if name != now:
+                    if made is not None:
+                        done.append((now, n, made.hexdigest()))
+                    now, n, made = name, 0, hashlib.sha256()
+                n += int(some["n"].sum())
+                made.update("".join(some["sha256"].dropna()).encode())
+            yield pd.DataFrame(done, columns=["path", "n", "sha256"])
+        if made is not None:
+            yield pd.DataFrame([(now, n, made.hexdigest())], columns=["path", "n", "sha256"])
+
+    rows = level.withColumn("__f", F.coalesce(F.substring("__h", 1, digits), F.lit(""))).repartition("__f").sortWithinPartitions("__f", "path", "sha256")
+    return rows.select("__f", "n", "sha256").mapInPandas(run, "path string, n long, sha256 string")
+
+
+def content_tree(entries: DataFrame, fan_out: int = 256, most_levels: int | None = None) -> DataFrame:
     """One row (n_files, content_root) over any number of (path, sha256): folders named by the first hex digits of a hash of the path, two
-    digits fewer on each level, as many levels as keep a folder to about `fan_out` entries."""
+    digits fewer on each level, as many levels as keep a folder to about `fan_out` entries, and `most_levels` at most. Folders that are larger
+    because of that are hashed as streams."""
     n, levels = entries.count(), 0
-    while n > fan_out * 256**levels:
+    while n > fan_out * 256**levels and levels != most_levels:
         levels += 1
+    large = levels > 0 and n > fan_out * 256**levels
     level = entries.select("path", "sha256", F.lit(1).cast("long").alias("n"), F.sha2("path", 256).alias("__h"))
     for digits in range(2 * levels, -1, -2):
+        if large and digits == 2 * levels:
+            path = F.nullif(F.col("path"), F.lit(""))
+            level = _digests_in_order(level, digits).select(path.alias("path"), "sha256", "n", path.alias("__h"))
+            continue
         inside = F.array_sort(F.collect_list(F.struct("path", "sha256")))
         folder = F.substring("__h", 1, digits) if digits else F.lit("")
         made = level.groupBy(folder.alias("__f")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(F.transform(inside, lambda e: e["sha256"]), ""), 256).alias("sha256"))

@@ -102,6 +102,10 @@ def sql_hash_ratio(key: str, seed: int = 42) -> str:
     return f"(('0x' || substr(sha256('{seed}:' || {key}), 1, 8))::BIGINT)::DOUBLE / 4294967295::DOUBLE"
 
 
+#: `sql_tree` has one level of folders at any size, and so has the root of a query that it stands for.
+TREE_LEVELS = 1
+
+
 def sql_tree(entries: str) -> str:
     """Table `tree` (n, root): the content root of `entries` (path, h) as far as two levels of folders hold (65536 entries)."""
     return f"""folders AS (SELECT substr(sha256(path), 1, 2) AS folder, sha256(string_agg(h, '' ORDER BY path)) AS r FROM {entries} GROUP BY 1),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from kilnspark.operators import examples, export, ledger, provenance, tree
 from kilnspark.operators.shared import shared_dir
-from kilnspark.queries.common import sql_hash_ratio, sql_list, sql_split_case, sql_tree, table
+from kilnspark.queries.common import TREE_LEVELS, sql_hash_ratio, sql_list, sql_split_case, sql_tree, table
 from kilnspark.queries.examples import _PRECISION, EXAMPLES, _generated_sql, _located, conversation_examples, generated
 from kilnspark.queries.operations import SQL_EVENTS, _events
 from kilnspark.sources import release, sinks
@@ -40,7 +40,7 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dataset_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The version of all examples but every fourth, which isn't accepted."""
     rows = conversation_examples(spark, sf_dir).withColumn("quality_status", F.when(F.col("conv_id") % 4 == 0, "review").otherwise("accepted"))
-    return export.freeze(rows, "ver_1")
+    return export.freeze(rows, "ver_1", most_levels=TREE_LEVELS)
 
 
 def content_hash_check(spark: SparkSession, sf_dir: str) -> DataFrame:

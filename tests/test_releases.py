@@ -62,6 +62,15 @@ def test_content_tree_has_as_many_levels_as_it_needs(spark):
         assert (got["n_files"], got["content_root"]) == (n, tree(entries, fan_out))
 
 
+def test_content_tree_of_limited_levels_streams_large_folders(spark):
+    entries = [(f"p{i}", sha(str(i)) if i % 90 else None) for i in range(3000)]
+    folders = {}
+    for path, h in sorted(entries):
+        folders.setdefault(sha(path)[:2], []).append(h or "")
+    got = export.content_tree(spark.createDataFrame(entries, "path string, sha256 string").repartition(7), 2, most_levels=1).first()
+    assert (got["n_files"], got["content_root"]) == (3000, sha("".join(sha("".join(folders[f])) for f in sorted(folders))))
+
+
 def example_rows(spark):
     said = lambda role, *texts: [(role, t) for t in texts]
     rows = [
