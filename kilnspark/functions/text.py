@@ -47,8 +47,8 @@ def normalize_any(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield x.map(lambda t: None if t is None else " ".join(unicodedata.normalize("NFC", t).casefold().split()))
 
 
-def _settled() -> str:
-    """A character class of code points that NFC leaves alone whatever stands before them and whose folding is their lower case, so that
+def _settled() -> list[tuple[int, int]]:
+    """Ranges of code points that NFC leaves alone whatever stands before them and whose folding is their lower case, so that
     `normalize` is exact for texts of them alone: long runs of such, from the Unicode tables."""
     old, joined = unicodedata.ucd_3_2_0, {0x03A3, *range(0x1C, 0x20)}  # a sigma's lower case depends on its place; 1C to 1F part words only in Python
     for c in map(chr, range(0x11_0000)):
@@ -70,18 +70,32 @@ def _settled() -> str:
         elif start is not None:
             runs.append((start, code - 1))
             start = None
-    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in runs if b - a >= 15 or b < 0x250)
+    return [(a, b) for a, b in runs if b - a >= 15 or b < 0x250]
 
 
 @cache
 def settled_class() -> str:
-    return _settled()
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in _settled())
+
+
+@cache
+def unsettled() -> str:
+    """A pattern of one code point that is not settled. The JVM tries every range of a class for every character: so most characters end at
+    a class of single Latin ones (a table of bits), and the others meet only the ranges of their own block."""
+    runs, hexed = _settled(), lambda c: f"\\x{{{c:x}}}"
+    latin = "".join(hexed(c) for a, b in runs for c in range(a, min(b, 0xFF) + 1))
+    blocks, low = [], 0
+    for at in range(0, len(runs), 12):
+        some = runs[at : at + 12]
+        high = some[-1][1] if at + 12 < len(runs) else 0x10_FFFF
+        blocks.append(f"[{hexed(low)}-{hexed(high)}&&[^{''.join(f'{hexed(a)}-{hexed(b)}' for a, b in some)}]]")
+        low = high + 1
+    return f"(?![{latin}])[{''.join(blocks)}]"
 
 
 def normalize_exact(x: Column) -> Column:
     """`normalize_any`, in which only texts that may change in ways that the JVM's functions don't know go through Python."""
-    odd = x.rlike(f"[^{settled_class()}]")
-    return F.when(odd, normalize_any(F.when(odd, x))).otherwise(normalize(x))
+    return F.coalesce(normalize_any(F.when(x.rlike(unsettled()), x)), normalize(x))
 
 
 def normalized_hash(x: Column) -> Column:

@@ -44,6 +44,14 @@ def test_normalize_exact_is_exact_for_any_text(spark):
     assert not any(r["odd"] for r in quick if r["t"] in ("plain English text", "Fußgänger", "")) and len(T.settled_class()) < 20_000
 
 
+def test_quick_pattern_finds_what_the_class_finds(spark):
+    codes = [c for c in range(0x11_0000) if not 0xD800 <= c < 0xE000]
+    runs = ["".join(map(chr, codes[at : at + 5])) for at in range(0, len(codes), 5)]
+    chars = spark.createDataFrame([(r,) for r in runs[:16_000] + runs[-200:]], "r string").select(F.explode(F.split("r", "")).alias("c"))
+    differ = chars.where(F.col("c").rlike(f"[^{T.settled_class()}]") != F.col("c").rlike(T.unsettled()))
+    assert differ.count() == 0 and T.unsettled().startswith("(?![\\x{0}\\x{1}")
+
+
 def test_normalize_any_composes(spark):
     assert one(spark, T.normalize_any(F.col("t")), t="Café ﬁ") == "café fi"
 
