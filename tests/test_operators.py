@@ -6,10 +6,11 @@ import random
 import io
 import zipfile
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from kilnspark.functions import claims, text as T
+from kilnspark.functions import arrow, claims, text as T
 from kilnspark.functions.wordlists import DOUBLE_NEGATIONS, NEGATION_WORDS, OPENING_NEGATIONS
 from kilnspark.operators import blocks, evidence, examples, export, gain, governance, ledger, lifecycle, planner, preference, provenance, report, split, validators
 from kilnspark.sources import intake, sinks
@@ -503,3 +504,34 @@ def test_identical_pairs_against_plain_python(spark):
     got = {r["n"]: tuple(r["x"]) for r in preference.prepare(frame).select("n", preference.identical().alias("x")).collect()}
     assert got == {n: expect(a, b) for n, a, b in cases}
     assert {v[1] for v in got.values()} == {"missing_preference_text", "identical_pair", "near_duplicate_pair", None}
+
+
+def test_slices_bound_a_part_and_keep_all_rows():
+    texts = pd.Series(["a" * n for n in (5, 1, 1, 30, 2, 0)] + [None, "b" * 8], index=range(3, 11))
+    parts = [part for (part,) in arrow.slices(texts, rows=3, characters=8)]
+    assert pd.concat(parts).equals(texts) and [len(p) for p in parts] == [3, 1, 3, 1]
+    assert [len(a) for a, _ in arrow.slices(pd.Series([], dtype=object), pd.Series([], dtype=object))] == [0]
+
+
+def test_results_of_long_batches_come_in_parts():
+    made = []
+
+    class Counted(str):
+        def splitlines(self):
+            made.append(self)
+            return str.splitlines(self)
+
+    texts = pd.Series([Counted("# a\n\nb c")] * 3000)
+    run = blocks.parse_blocks.__wrapped__(iter([texts]))
+    assert len(next(run)) == len(made) == 1024 and sum(map(len, run)) == 3000 - 1024
+
+
+def test_claims_take_their_evidence_apart_once(monkeypatch):
+    evidence, seen = "Rain causes Floods. In 2020, 5 kg cost $7! B ( a ) goes far now.", []
+    plain = claims.numbers
+    monkeypatch.setattr(claims, "numbers", lambda text: seen.append(text) or plain(text))
+    frame = next(claims.verify_claims.__wrapped__(iter([(pd.Series(["It had 4 kg here. They cost 9 in 2021. Floods causes Rain."]), pd.Series([evidence]))])))
+    assert seen.count(evidence) == 1 and len(frame[0]) == 3
+    assert "subject_object_reversal" in frame[0][2]["codes"]
+    assert claims.Evidence(evidence).sentences(6) == {("in", "2020", "5", "kg", "cost", "$7")}
+    assert claims.Evidence(evidence).sentences(5) == {("b", "a", "goes", "far", "now")}
