@@ -17,7 +17,7 @@ rows); an empty table gives an empty result."""
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -143,7 +143,7 @@ class Attention:
         y, z, a, count = self.attend(h, e, starts)
         return y, (f, h, t, s, a, z, count)
 
-    def fit(self, bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Attention:
+    def fit(self, bags: Sequence[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = EPOCHS) -> Attention:
         """Adam on the mean log loss of batches of documents; bags as `Describer.blocks` gives them (counts in any integer type)."""
         ones = float(labels.sum())
         if not len(labels) or ones in (0, len(labels)):
@@ -159,8 +159,9 @@ class Attention:
             order = r.permutation(len(bags))
             for at in range(0, len(order), BATCH):
                 some = order[at : at + BATCH]
-                x = np.concatenate([rows_of(*bags[i]) for i in some]).astype(float)
-                starts = np.concatenate([[0], np.cumsum([len(bags[i][0]) for i in some])[:-1]])
+                rows = [rows_of(*bags[i]) for i in some]
+                x = np.concatenate(rows).astype(float)
+                starts = np.concatenate([[0], np.cumsum([len(r) for r in rows])[:-1]])
                 step += 1
                 for k, g in self._gradient(x, starts, labels[some]).items():
                     g = g + decay[k] * self.p[k]
@@ -202,6 +203,19 @@ def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return surface, counts.reshape(n, -1)
 
 
+class Packed(Sequence):
+    """Described texts, each taken out when it is asked for, so that the driver never holds the dense counts of all."""
+
+    def __init__(self, raws: list[bytes]):
+        self.raws = raws
+
+    def __len__(self) -> int:
+        return len(self.raws)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        return unpacked(self.raws[i])
+
+
 def train(documents: DataFrame, labels: DataFrame, target: str = "quality", most: int = TRAIN_ROWS) -> Attention:
     chosen = F.broadcast(training_labels(labels, target, most))
 
@@ -212,7 +226,7 @@ def train(documents: DataFrame, labels: DataFrame, target: str = "quality", most
 
     rows = documents.join(chosen, "doc_id").select("doc_id", "label", text_or_empty().alias("text")).mapInPandas(run, "doc_id long, label int, x binary")
     got = bounded_rows(rows, target, TRAIN_BYTES)
-    return Attention().fit([unpacked(r["x"]) for r in got], np.array([r["label"] for r in got], float))
+    return Attention().fit(Packed([r["x"] for r in got]), np.array([r["label"] for r in got], float))
 
 
 def scorer(model: Attention) -> callable:

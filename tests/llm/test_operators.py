@@ -4,6 +4,7 @@ import binascii
 import hashlib
 import bisect
 import itertools
+import random
 import zlib
 
 import numpy as np
@@ -180,6 +181,15 @@ def test_quality_held_out(labelled):
     assert all(r["predicted"] == int(r["score"] >= 0.3) for r in got)
 
 
+def test_quality_fit_takes_packed_rows_out_one_by_one():
+    of, rng = quality.Describer(), random.Random(5)
+    texts = [" ".join(rng.choice(["good", "bad", "so", "x1"]) for _ in range(rng.randrange(300))) for _ in range(60)]
+    raws, labels = [quality.packed(t, of) for t in texts], np.array([i % 2 for i in range(60)], float)
+    a = quality.Attention().fit(quality.Packed(raws), labels, epochs=2)
+    b = quality.Attention().fit([quality.unpacked(r) for r in raws], labels, epochs=2)
+    assert all(np.array_equal(a.p[k], b.p[k]) for k in a.p)
+
+
 def test_quality_reads_every_passage_and_the_words_in_it(spark):
     """No mark or letter case tells good from bad: one of two words in a passage near the end of a long text does."""
     rng = np.random.default_rng(8)
