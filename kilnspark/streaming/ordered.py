@@ -9,13 +9,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-EVENT = "event_id long, ms long, value long"
+#: Waiting rows (event_id, ms, value) of one micro-batch, as long numbers side by side: one entry of the state for each call.
+WAITING = "events binary"
 
 
 class Fold:
@@ -104,23 +106,23 @@ class Ordered(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", EVENT)
+        self.waiting = handle.getListState("waiting", WAITING)
         self.reached = handle.getValueState("reached", self.fold.state)
 
-    def _frame(self, key: tuple, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=self.names)
-        out.insert(0, self.key, key[0])
-        return out
+    def _frames(self, key: tuple, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+        if rows:
+            yield pd.DataFrame({self.key: [key[0]] * len(rows), **dict(zip(self.names, map(list, zip(*rows, strict=True)), strict=True))})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(i), int(ms), int(v)) for part in rows for i, ms, v in zip(part["event_id"], part["ms"], part["value"], strict=True)]
-        self.waiting.appendList([Row(*r) for r in new])
-        self.handle.registerTimer(min(ms for _, ms, _ in new))
-        yield self._frame(key, [])
+        new = np.concatenate([np.column_stack([part[c].to_numpy(np.int64) for c in ("event_id", "ms", "value")]) for part in rows])
+        self.waiting.appendValue((new.tobytes(),))
+        self.handle.registerTimer(int(new[:, 1].min()))
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         upto = timerValues.getCurrentWatermarkInMs()
-        rows = _ordered([tuple(r) for r in self.waiting.get()]) if self.waiting.exists() else []
+        held = [np.frombuffer(r[0], np.int64).reshape(-1, 3) for r in self.waiting.get()] if self.waiting.exists() else []
+        rows = _ordered(list(map(tuple, np.concatenate(held).tolist()))) if held else []
         state = tuple(self.reached.get()) if self.reached.exists() else self.fold.start()
         out: list[tuple] = []
         for row in rows:
@@ -132,11 +134,11 @@ class Ordered(StatefulProcessor):
         rest = [r for r in rows if r[1] > upto]
         self.waiting.clear()
         if rest:
-            self.waiting.put([Row(*r) for r in rest])
+            self.waiting.put([(np.array(rest, np.int64).tobytes(),)])
         again = min([ms for _, ms, _ in rest[:1]] + [t for t in (self.fold.due(state),) if t is not None], default=None)
         if again is not None and again > upto:
             self.handle.registerTimer(again)
-        yield self._frame(key, out + given)
+        yield from self._frames(key, out + given)
 
     def close(self) -> None:
         pass

@@ -1,8 +1,10 @@
 """Stateful streams against the batch operators: shuffled, late and repeated micro-batches, and a start from the checkpoint."""
 
 import random
+from types import SimpleNamespace
 from datetime import datetime, timedelta
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from kilnspark.operators import ledger as batch_ledger
 from kilnspark.streaming import events as streams
 from kilnspark.streaming import ledger
-from kilnspark.streaming.ordered import Leases, Limit, Numbered, fold_stream, fold_table
+from kilnspark.streaming.ordered import Leases, Limit, Numbered, Ordered, fold_stream, fold_table
 
 SCHEMA = "event_id long, user_id long, ts timestamp, value long"
 BEGIN = datetime(2024, 1, 1)
@@ -97,3 +99,13 @@ def test_ledger_keeps_each_call_once(spark, tmp_path):
     assert sorted(map(tuple, ledger.read_ledger(spark, f"{tmp_path}/ledger", schema).collect())) == first
     found = ledger.ledger_lookup(spark.createDataFrame([(1, "c"), (3, "a")], "job long, fingerprint string"), ledger.read_ledger(spark, f"{tmp_path}/ledger", schema), key)
     assert sorted(map(tuple, found.collect())) == [(1, "c", True), (3, "a", False)]
+
+
+def test_waiting_rows_are_one_entry_of_the_state_for_each_call():
+    held, timers = [], []
+    run = Ordered(Numbered(), "user_id")
+    run.waiting = SimpleNamespace(appendValue=held.append)
+    run.handle = SimpleNamespace(registerTimer=timers.append)
+    part = pd.DataFrame({"event_id": [2**60 + 1, 4], "ms": [9, 5], "value": [-1, 0]})
+    assert list(run.handleInputRows((1,), iter([part, part]), None)) == [] and timers == [5]
+    assert np.frombuffer(held[0][0], np.int64).tolist() == [2**60 + 1, 9, -1, 4, 5, 0] * 2 and len(held) == 1
