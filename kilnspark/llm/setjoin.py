@@ -8,7 +8,7 @@ the smaller size, which each of them does link with.
 
 Heavy sets: inverted lists over prefixes. All shingles are ordered by how often they occur (counters of fixed size over all documents, then the
 hash), rarest first; sets that link share one of their first size - ceil(0.85 size) + 1 shingles, whatever the order is. A list's members are compared by
-a lower bound of their difference (parities of 2048 hash classes), breadth first, so that a group of similar sets leaves only the links that span it and
+a lower bound of their difference (parities of hash classes, about half as many as shingles and 2048 at least), breadth first, so that a group of similar sets leaves only the links that span it and
 no pair of its members is lost. Light sets that a heavy one can reach are in the lists too. A list that holds many sets is dealt into
 shares, every pair of which meets in one task.
 
@@ -40,8 +40,8 @@ from kilnspark.llm.neardup import SALT_ABOVE, Describer, _frames, _groups, _seve
 WIDTH, SHARE = 4, (85, 100)
 #: Counters of shingles: 2**COUNTERS numbers in 2**SLICES slices, whatever the data (4 MB).
 COUNTERS, SLICES = 20, 6
-#: Bits of a set's parities, and the largest size that may become light.
-PARITIES, MOST_LIGHT = 2048, 24
+#: Bits of a set's parities, at least and at most, and the largest size that may become light.
+PARITIES, MOST_PARITIES, MOST_LIGHT = 2048, 1 << 18, 24
 #: How components are dealt into shares for the exact comparison: few shares, for each set goes to all pairs of its component's.
 DEALT = (1, 1 << 20, 3 << 19)
 
@@ -65,6 +65,12 @@ def prefix_size(size: int, share: tuple[int, int] = SHARE) -> int:
     return size + (-share[0] * size // share[1]) + 1
 
 
+def parity_bits(size: int) -> int:
+    """Hash classes for the parities of a set: a power of two, half its size or more. Sets that have little in common differ in half of the classes, far more
+    than a link allows (0.16 of the size); with fewer classes than a third of the size no difference could be told."""
+    return min(max(PARITIES, 1 << (-(-size // 2) - 1).bit_length()), MOST_PARITIES)
+
+
 def shingle_counts(documents: DataFrame, width: int = WIDTH) -> np.ndarray:
     """How often shingles of each of 2**COUNTERS hash classes occur in the sets of all documents (at most 2**32 - 1).
 
@@ -110,7 +116,8 @@ def described(documents: DataFrame, counts: np.ndarray, width: int = WIDTH, shar
         if not h.any():  # no words
             return 0, None, [], b"", []
         order = np.lexsort((h, often[(h >> np.uint64(64 - COUNTERS)).astype(np.int64)]))
-        parities = np.packbits(np.bincount((h & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES).astype(np.uint8) & 1)
+        bits = parity_bits(len(h))
+        parities = np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1)
         signed = h.view(np.int64)
         return len(h), hashlib.md5(h.tobytes()).digest(), signed[order[: prefix_size(len(h), share)]], parities.tobytes(), signed if len(h) <= MOST_LIGHT else []
 
@@ -163,7 +170,23 @@ def light_links(nodes: DataFrame, most: int, share: tuple[int, int] = SHARE) ->
 
 def _near_links(ids: np.ndarray, sizes: np.ndarray, parities: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
     """Spanning links of the sets of one list that may be near enough: no pair that links is left apart."""
-    classes = np.frombuffer(b"".join(parities), np.uint64).reshape(len(ids), -1)
+    widths, row, classes = np.array([len(p) for p in parities]), {}, {}
+    for w in np.unique(widths).tolist():  # sets of more classes are folded to these: parities of the lower bits are sums of theirs
+        row[w] = np.cumsum(widths >= w) - 1
+        classes[w] = np.zeros((row[w][-1] + 1, w // 8), np.uint64)
+        for v in np.unique(widths[widths >= w]):
+            own = np.flatnonzero(widths == v)
+            classes[w][row[w][own]] = np.bitwise_xor.reduce(np.frombuffer(b"".join(parities[own]), np.uint64).reshape(len(own), -1, w // 8), axis=1)
+
+    def differ(i: int, others: np.ndarray) -> np.ndarray:
+        if len(row) == 1:
+            return np.bitwise_count(classes[widths[0]][others] ^ classes[widths[0]][i]).sum(axis=1, dtype=np.int64)
+        least, out = np.minimum(widths[others], widths[i]), np.zeros(len(others), np.int64)
+        for w, at in row.items():
+            some = least == w
+            if some.any():
+                out[some] = np.bitwise_count(classes[w][at[others[some]]] ^ classes[w][at[i]]).sum(axis=1, dtype=np.int64)
+        return out
 
     def near(sets: np.ndarray, others: np.ndarray) -> np.ndarray:
         hit = np.zeros(len(others), bool)
@@ -173,7 +196,7 @@ def _near_links(ids: np.ndarray, sizes: np.ndarray, parities: np.ndarray, share:
                 total = sizes[part] + sizes[i]
                 most = total - 2 * (-(-share[0] * total // (share[0] + share[1])))
                 fits = np.abs(sizes[part] - sizes[i]) <= most
-                fits[fits] = np.bitwise_count(classes[part[fits]] ^ classes[i]).sum(axis=1, dtype=np.int64) <= most[fits]
+                fits[fits] = differ(i, part[fits]) <= most[fits]
                 hit[at : at + 4096] |= fits
         return hit
 

@@ -77,6 +77,32 @@ def test_join_equals_all_pairs(spark, table, most, monkeypatch):
     assert sorted((tuple(r) for r in got.collect()), key=str) == plain_join(rows)
 
 
+def long_texts():
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(200_000)]
+    passage = [rng.choice(words) for _ in range(60)]
+    rows = [[*[rng.choice(words) for _ in range(9000 + i)], *passage] for i in range(6)]  # unlike each other but for a passage
+    grown = [rng.choice(words) for _ in range(3700)]
+    for _ in range(8):  # each is like the next; their parities have 2048 classes, then 4096
+        grown = [*grown, *[rng.choice(words) for _ in range(200)]]
+        rows.append([*grown, *passage])
+    rows += [[*rows[5][:-700], *[rng.choice(words) for _ in range(700)]], [*rows[5][:-1500], *[rng.choice(words) for _ in range(1500)]]]
+    return [(i, " ".join(t)) for i, t in enumerate(rows)]
+
+
+def test_long_sets_that_share_a_passage_are_no_candidates(spark):
+    rows = long_texts()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = plain_join(rows)
+    assert sorted((tuple(r) for r in setjoin.set_components(df).select("doc_id", "n_shingles", "component_id").collect()), key=str) == expected
+    told = setjoin.described(df, setjoin.shingle_counts(df)).selectExpr("doc_id as nid", "n as size", "prefix", "parities", "light")
+    nodes = setjoin.Scratch(spark).table(told, "nodes")
+    loose = {r["node"]: r["component"] for r in setjoin.connected_components(setjoin.candidate_links(nodes, setjoin.Scratch(spark))).collect()}
+    assert all(i not in loose for i in range(5))
+    assert all(loose[d] == loose[c] for d, _, c in expected if d != c)
+    assert len({len(r["parities"]) for r in nodes.collect()}) == 3
+
+
 def test_report_of_nothing(spark):
     assert setjoin.join_report(spark.createDataFrame([], SCHEMA)).count() == 0
     odd = spark.createDataFrame([(1, None, 1, "", 1), (None, "", 1, "", 1)], SCHEMA)
