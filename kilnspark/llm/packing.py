@@ -47,6 +47,11 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 ENDINGS = ".,;:!?%&$#*|)]}\"+-/=<>@^_`~([{\\"
 #: str.split() also splits at these, the tokenizer does not.
 ODD_SPACE = re.compile(r"[\x1c-\x1f]")
+#: A text without any of these (beyond Latin letters, or not printable) is split whole, by the same pattern with its classes written out for what is left.
+NOT_LATIN = re.compile("[^\t-\r -~\x85\xa0-\xac\xae-ɏ]")
+_LOWERED = sorted({low for c in range(ord(LAST_LATIN) + 1) for low in chr(c).lower()})  # some small letters come after the last
+_LETTERS, _NUMBERS = ("".join(c for c in _LOWERED if unicodedata.category(c)[0] == kind) for kind in "LN")
+LATIN_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
 
 
 def tokenizer_path() -> str:
@@ -66,7 +71,7 @@ class WordEncoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, equal to the tokenizer's, with words cached.
 
     The tokenizer splits at white space before it does anything that looks further, so a text's ids are its
-    chunks' ids in turn. Chunks of Latin letters are split by the tokenizer's pattern and its model encodes the parts;
+    chunks' ids in turn. Texts and chunks of Latin letters are split by the tokenizer's pattern and its model encodes the parts;
     any other chunk, and any text with odd white space or with an added token's content, goes through the whole tokenizer."""
 
     def __init__(self, path: str):
@@ -114,8 +119,23 @@ class WordEncoder:
             return self._whole(chunk)
         return b"".join(map(self._word, PIECES.findall(low)))
 
+    def _latin(self, text: str) -> bytes:
+        parts = LATIN_PIECES.findall(text.lower())
+        out = list(map(self.words.get, parts))
+        if None in out:
+            for i, got in enumerate(out):
+                if got is None:
+                    out[i] = self._word(parts[i])
+            if len(self.words) >= WORDS:
+                self.older_words, self.words = self.words, {}
+        return b"".join(out)
+
     def encode(self, text: str) -> bytes:
-        if ODD_SPACE.search(text) or self.added.search(text):
+        if self.added.search(text):
+            return self._whole(text)
+        if not NOT_LATIN.search(text):
+            return self._latin(text)
+        if ODD_SPACE.search(text):
             return self._whole(text)
         parts = text.split()
         known, older = self.chunks, self.older

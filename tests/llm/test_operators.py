@@ -406,6 +406,19 @@ def test_encoder_equals_the_tokenizer():
         assert e.encode(t or "") == np.array(e.whole.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_latin_texts_are_split_whole():
+    e, fresh = packing.WordEncoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
+    told = lambda t: np.array(fresh.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    letters = [c for c in map(chr, range(0x250)) if not packing.NOT_LATIN.search(c)]
+    for t in [c + after for c in letters for after in ("", "Ɛa", "'s", "½.")]:  # some small letters come after the last Latin one
+        assert e.encode(t) == told(t)
+    seen = []
+    e._word, plain = lambda w: seen.append(w) or plain(w), e._word
+    text = " ".join(w + end for end in ".,;:!?" for w in ("alphaé", "ALPHAÉ", "Alphaé", "beta", "Beta", "BETA"))
+    assert e.encode(text) == told(text) and not e.chunks
+    assert e.encode(text) == told(text) and len(seen) <= 36 + 18  # the second time all of its words are known
+
+
 def test_added_tokens_keep_their_ids():
     e, fresh = packing.WordEncoder(packing.tokenizer_path()), Tokenizer.from_file(packing.tokenizer_path())
     for t in ["a <|endoftext|> b", "end.<|endoftext|><|startoftext|>Start", "<|ENDOFTEXT|> x", *filter(None, TEXTS)]:
